@@ -32,10 +32,10 @@ def _targets(sources: DataFrame, largest: int) -> DataFrame:
     after = by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     left = F.sum("source_size").over(everything) - largest * F.coalesce(F.sum("source_size").over(before), F.lit(0))
     sources = sources.withColumn("try", left.cast("double") / F.sum("weight").over(after))
-    sources = sources.withColumn("fits", largest * F.col("source_size") >= F.col("try") * F.col("weight"))
-    sources = sources.withColumn("level", F.min(F.when(F.col("fits"), F.col("try"))).over(everything))
+    # Capping a source below the level raises what is left for a unit of weight, capping one above it lowers it.
+    sources = sources.withColumn("level", F.max("try").over(everything))
     capped = (largest * F.col("source_size")).cast("double")
-    return sources.withColumn("target", F.when(F.col("level").isNull(), capped).otherwise(F.least(capped, F.col("level") * F.col("weight"))))
+    return sources.withColumn("target", F.least(capped, F.col("level") * F.col("weight")))
 
 
 def mix(docs: DataFrame, seed: str = "mix", largest: int = LARGEST_REPEAT) -> DataFrame:
@@ -72,6 +72,17 @@ def mix(docs: DataFrame, seed: str = "mix", largest: int = LARGEST_REPEAT) -> Da
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+
+def mixed_documents(docs: DataFrame, seed: str = "mix", largest: int = LARGEST_REPEAT) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it; rows that share a doc_id are told apart by source and size."""
+    copies = mix(docs, seed, largest).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")))
+    copies = copies.where("copies > 0").select(F.col("doc_id").alias("_id"), "_k", F.col("copies").alias("_copies"))
+    ordered = Window.partitionBy(F.col("doc_id").cast("long")).orderBy(F.col("source").cast("string"), word_count(F.col("text").cast("string")))
+    rows = docs.withColumn("_row", F.row_number().over(ordered))
+    rows = rows.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_k")))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+
+
 SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -91,9 +102,9 @@ tries AS (
   SELECT *, CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
             / sum(weight) OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS try
   FROM sources),
-level AS (SELECT min(try) AS level FROM tries WHERE 3 * source_size >= try * weight),
+level AS (SELECT max(try) AS level FROM tries),
 targets AS (
-  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), coalesce(level * weight, 3 * source_size)) AS target,
+  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), level * weight) AS target,
          CAST(CAST('0x' || substr(md5('mix:' || coalesce('=' || source, '')), 1, 5) AS BIGINT) AS DOUBLE) / 1048576 AS u
   FROM tries, level),
 rated AS (

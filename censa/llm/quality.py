@@ -154,6 +154,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return np.average([np.frombuffer(r.w, np.float32) for r in found], axis=0, weights=[r.n for r in found]).astype(np.float32)
 
 
+def scores(texts: pa.Array, w: np.ndarray) -> np.ndarray:
+    """The score of each text."""
+    out = np.empty(len(texts))
+    for lo, hi, data, at in text_chunks(texts):
+        counts, families = features(data, at)
+        sums = np.r_[0.0, np.cumsum(sum(w[f] for f in families))]
+        cuts = np.r_[0, np.cumsum(counts)]
+        total = (sums[cuts[1:]] - sums[cuts[:-1]]) / np.maximum(counts, 1)
+        out[lo:hi] = 1 / (1 + np.exp(-np.clip(total + w[-1], -35, 35)))
+    return out
+
+
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, score) per row: the probability of label 1, from the whole text; null and empty texts score by the bias."""
     model = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS + 1 numbers
@@ -161,14 +173,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value.astype(np.float64)
         for ids, texts in batches(rows, "doc_id", "text"):
-            out = np.empty(len(ids))
-            for lo, hi, data, at in text_chunks(texts):
-                counts, families = features(data, at)
-                sums = np.r_[0.0, np.cumsum(sum(w[f] for f in families))]
-                cuts = np.r_[0, np.cumsum(counts)]
-                total = (sums[cuts[1:]] - sums[cuts[:-1]]) / np.maximum(counts, 1)
-                out[lo:hi] = 1 / (1 + np.exp(-np.clip(total + w[-1], -35, 35)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.round(out, 9))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.round(scores(texts, w), 9))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -180,3 +185,16 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     """
     scored = score(docs, train(docs, labels, sample_rows))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of `docs`, as they are, whose text scores at least `threshold`."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = model.value.astype(np.float64)
+        for batch in rows:
+            if batch.num_rows:
+                yield batch.filter(pa.array(np.round(scores(batch.column(batch.schema.get_field_index("text")), w), 9) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
