@@ -1 +1,5 @@
+"""Queries over role views, gathered in catalogues."""
 
+from . import relational
+
+CATALOGUES = [relational.catalogue]
