@@ -1,5 +1,5 @@
 """Queries over role views, gathered in catalogues."""
 
-from . import relational
+from . import evaluation, relational
 
-CATALOGUES = [relational.catalogue]
+CATALOGUES = [relational.catalogue, evaluation.catalogue]
