@@ -167,9 +167,9 @@ def perimeter(points: Col) -> Column:
 
 
 def bin_of(t: Col, side: Col) -> Column:
-    """1 to 4 for the quarters of the left side, 5 to 8 for the right; null for neither side."""
+    """Boxes 1 to 8 from head to tail, odd ones on the left; null for neither side."""
     quarter = F.least(F.greatest(F.floor(col(t) * 4), F.lit(0)), F.lit(3)).cast("int")
-    return F.when(col(side) == "left", quarter + 1).when(col(side) == "right", quarter + 5)
+    return F.when(col(side) == "left", 2 * quarter + 1).when(col(side) == "right", 2 * quarter + 2)
 
 
 # Identifiers

@@ -205,7 +205,7 @@ def _with_next(docs: DataFrame, rows_each: int) -> DataFrame:
     places = F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(0).alias("copy")), F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("bucket"), F.lit(1).alias("copy")))))
     dealt = dealt.select(F.explode(places).alias("p"), "key", "doc_id", "text")
     dealt = dealt.select("p.bucket", "p.copy", "key", F.xxhash64("text").alias("tie"), "doc_id", "text")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "copy", "key", "tie")
+    return dealt.repartition(ranges, "bucket").sortWithinPartitions("bucket", "copy", "key", "tie")
 
 
 def digests(docs: DataFrame, ranks: np.ndarray | None = None, rows_each: int = 20_000) -> DataFrame:

@@ -1,5 +1,5 @@
 """Queries over role views, gathered in catalogues."""
 
-from . import evaluation, relational
+from . import evaluation, matching, relational
 
-CATALOGUES = [relational.catalogue, evaluation.catalogue]
+CATALOGUES = [relational.catalogue, evaluation.catalogue, matching.catalogue]

@@ -20,7 +20,7 @@ add = catalogue.add
 def rank_candidates(models: DataFrame) -> DataFrame:
     """Candidates of each query by calibrated confidence."""
     rows = models.select("kind", "model_id", S.sigmoid_platt("bal_acc", 6.0, -3.0).alias("c"))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.col("c").desc(), "model_id"))).where("rank <= 5")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.col("c").desc(), "model_id")).cast("bigint")).where("rank <= 5")
     return rows.select("kind", "model_id", F.round("c", 4).alias("confidence"), "rank")
 
 
@@ -30,7 +30,7 @@ def rank_candidates(models: DataFrame) -> DataFrame:
     WHERE rank = 1 OR (before / total + 1e-9 < 0.5 AND rank <= 20)""")
 def rank_top_n_coverage(models: DataFrame) -> DataFrame:
     """The fewest candidates that cover half of a query's confidence."""
-    return R.coverage(models.select("kind", "model_id", "bal_acc"), "kind", "bal_acc", "model_id", 0.5, 20).select("kind", "model_id", "rank")
+    return R.coverage(models.select("kind", "model_id", "bal_acc"), "kind", "bal_acc", "model_id", 0.5, 20).select("kind", "model_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @add("images", sql="SELECT individual_id, image_id, blur FROM images WHERE blur IS NOT NULL QUALIFY row_number() OVER (PARTITION BY individual_id ORDER BY blur DESC, image_id) = 1")
@@ -116,7 +116,7 @@ def win_risk_coverage(verdicts: DataFrame) -> DataFrame:
 @add("individuals", sql="SELECT individual_id, row_number() OVER (PARTITION BY site_id ORDER BY CAST(split_part(display_id, '#', 2) AS BIGINT), display_id) AS number FROM individuals")
 def win_renumber(individuals: DataFrame) -> DataFrame:
     """Numbers from 1 in natural order within a site."""
-    return individuals.select("individual_id", F.row_number().over(Window.partitionBy("site_id").orderBy(S.natural_key("display_id"))).alias("number"))
+    return individuals.select("individual_id", F.row_number().over(Window.partitionBy("site_id").orderBy(S.natural_key("display_id"))).cast("bigint").alias("number"))
 
 
 @add("images", sql="SELECT image_id, coalesce(top, -1) + row_number() OVER (PARTITION BY individual_id ORDER BY image_id) AS k FROM (SELECT *, max(CASE WHEN is_synthetic THEN n_spots END) OVER (PARTITION BY individual_id) AS top FROM images) WHERE NOT is_synthetic")

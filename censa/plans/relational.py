@@ -431,7 +431,7 @@ def sort_bool_first(activity: DataFrame) -> DataFrame:
 def sort_multi_frozen(images: DataFrame) -> DataFrame:
     """Order by mean, worst and label, unmeasured first; the place freezes the order."""
     per = images.where("individual_id <= 200").groupBy("individual_id").agg(F.round(F.coalesce(F.avg("q_overall"), F.lit(-1.0)), 6).alias("mean"), F.coalesce(F.min("q_overall"), F.lit(-1.0)).alias("worst"))
-    return per.withColumn("place", F.row_number().over(Window.orderBy("mean", "worst", "individual_id")))
+    return per.withColumn("place", F.row_number().over(Window.orderBy("mean", "worst", "individual_id")).cast("bigint"))
 
 
 @add("images", sql="SELECT image_id, created_at FROM images ORDER BY created_at DESC, image_id LIMIT 50")

@@ -34,7 +34,7 @@ ROLES = {
     "contributors": "SELECT s_suppkey AS contributor_id, s_name AS name, s_nationkey AS home FROM supplier",
     "individual_contributors": "SELECT c_custkey AS individual_id, s_suppkey AS contributor_id FROM customer JOIN supplier ON c_nationkey = s_nationkey AND (c_custkey + s_suppkey) % 3 = 0",
     "spots": """
-        SELECT l_orderkey AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS spot_id,
+        SELECT l_orderkey AS image_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS BIGINT) AS spot_id,
                l_quantity AS area, l_discount * 10 + 0.0 AS axis_t, l_tax - 0.04 AS axis_offset, l_extendedprice AS mass, l_partkey AS part
         FROM lineitem""",
     "models": """
