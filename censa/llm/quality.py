@@ -22,8 +22,10 @@ from .common import batches, text_chunks
 BITS = 18
 #: At most about so many labelled rows are fitted (a documented bound; all labelled rows below it).
 SAMPLE_ROWS = 16_000
-#: Models fitted side by side on disjoint parts of the sample, and averaged.
-PARTS = 8
+#: Models are fitted side by side on disjoint parts of the sample of about so many rows, and averaged.
+PART_ROWS = 2_000
+#: At least so many updates a model: a small sample is gone through more often.
+UPDATES = 8_000
 THRESHOLD = 0.7
 FAMILIES = 5
 
@@ -102,7 +104,7 @@ def _documents(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield ids, times / max(1, counts[k])
 
 
-def train_part(texts: list[str], labels: np.ndarray, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> np.ndarray:
+def train_part(texts: list[str], labels: np.ndarray, epochs: int | None = None, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> np.ndarray:
     """Weights (the last is the bias) after FTRL-proximal updates over the texts in the given order."""
     size = (1 << BITS) + 1
     z, g2 = np.zeros(size), np.zeros(size)
@@ -112,7 +114,7 @@ def train_part(texts: list[str], labels: np.ndarray, epochs: int = 4, alpha: flo
         zi = z[i]
         return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(g2[i])) / alpha + l2))
 
-    for _ in range(epochs):
+    for _ in range(epochs or max(4, -(-UPDATES // max(1, len(docs))))):
         for (i, x), y in zip(docs, labels, strict=True):
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
@@ -147,8 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         w = train_part(part["text"].tolist(), part["quality"].to_numpy(float))
         return pd.DataFrame({"n": [len(part)], "w": [w.astype(np.float32).tobytes()]})
 
-    parts = rows.select(F.pmod(F.shiftright("order", 31), F.lit(PARTS)).alias("part"), "order", "doc_id", "text", "quality").groupBy("part").applyInPandas(fit, "n long, w binary")
-    found = parts.collect()  # PARTS rows of 1 MB, whatever the input
+    parts = rows.select(F.pmod(F.shiftright("order", 31), F.lit(max(1, round(min(total, sample_rows) / PART_ROWS)))).alias("part"), "order", "doc_id", "text", "quality").groupBy("part").applyInPandas(fit, "n long, w binary")
+    found = parts.collect()  # sample_rows / PART_ROWS rows of 1 MB, whatever the input
     if not found:
         return np.zeros((1 << BITS) + 1, np.float32)
     return np.average([np.frombuffer(r.w, np.float32) for r in found], axis=0, weights=[r.n for r in found]).astype(np.float32)
