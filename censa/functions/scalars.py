@@ -129,8 +129,8 @@ def additive_cosine(a: Col, b: Col) -> Column:
 
 def sinusoidal(x: Col, bands: int) -> Column:
     """sin and cos of x at doubling frequencies."""
-    steps = F.sequence(F.lit(0), F.lit(bands - 1))
-    return F.concat(*(F.transform(steps, lambda k, f=f: f(F.pow(F.lit(2.0), k) * F.lit(3.141592653589793) * col(x))) for f in (F.sin, F.cos)))
+    angles = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.pow(F.lit(2.0), k) * F.lit(3.141592653589793) * col(x))
+    return F.concat(F.transform(angles, lambda a: F.sin(a)), F.transform(angles, lambda a: F.cos(a)))
 
 
 def outer(a: Col, b: Col) -> Column:

@@ -1,5 +1,5 @@
 """Queries over role views, gathered in catalogues."""
 
-from . import evaluation, matching, relational, workflow
+from . import evaluation, extended, matching, relational, workflow
 
-CATALOGUES = [relational.catalogue, evaluation.catalogue, matching.catalogue, workflow.catalogue]
+CATALOGUES = [relational.catalogue, evaluation.catalogue, matching.catalogue, workflow.catalogue, extended.catalogue]
