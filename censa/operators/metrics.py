@@ -57,7 +57,7 @@ def tpr_at_fpr(df: DataFrame, score: str, truth: str, most: float, tie: str) ->
     order = Window.orderBy(F.col(score).desc(), tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hit = F.col(truth).cast("int")
     rows = df.select(F.sum(hit).over(order).alias("tp"), F.sum(1 - hit).over(order).alias("fp"), F.sum(hit).over(w).alias("P"), F.sum(1 - hit).over(w).alias("N"))
-    return rows.agg(F.round(F.coalesce(F.max(F.when(F.col("fp") / F.col("N") <= most, F.col("tp") / F.col("P"))), F.lit(0.0)), 6).alias("tpr"))
+    return rows.agg(F.round(F.coalesce(F.max(F.when(F.coalesce(F.try_divide("fp", "N"), F.lit(0.0)) <= most, F.try_divide("tp", "P"))), F.lit(0.0)), 6).alias("tpr"))
 
 
 def rank_k_map(df: DataFrame, query: str, score: str, same: str, tie: str, *ks: int) -> DataFrame:
@@ -127,8 +127,8 @@ def risk_coverage(df: DataFrame, score: str, right: str, tie: str, *group: str)
 
 
 def spearman(df: DataFrame, a: str, b: str, *group: str) -> DataFrame:
-    """Correlation of average ranks."""
+    """Correlation of average ranks; null where either side is constant."""
     from .ranking import average_rank
 
     ranked = df.select(*group, average_rank(a, *group).alias("_a"), average_rank(b, *group).alias("_b"))
-    return ranked.groupBy(*group).agg(F.round(F.corr("_a", "_b"), 6).alias("rho"))
+    return ranked.groupBy(*group).agg(F.round(F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")), 6).alias("rho"))

@@ -55,7 +55,7 @@ def coverage(df: DataFrame, query: str, confidence: str, tie: str, target: float
     order = w.orderBy(F.col(confidence).desc(), tie)
     before = F.coalesce(F.sum(confidence).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     out = df.select("*", F.row_number().over(order).alias("rank"), before.alias("_before"), F.sum(confidence).over(w).alias("_total"))
-    return out.where((F.col("rank") == 1) | ((F.col("_before") / F.col("_total") + 1e-9 < target) & (F.col("rank") <= most))).drop("_before", "_total")
+    return out.where((F.col("rank") == 1) | ((F.coalesce(F.try_divide("_before", "_total"), F.lit(0.0)) + 1e-9 < target) & (F.col("rank") <= most))).drop("_before", "_total")
 
 
 def running_prf(df: DataFrame, group: list[str], score: str, truth: str, tie: str) -> DataFrame:

@@ -68,7 +68,7 @@ def rank_percentile_bisect(models: DataFrame) -> DataFrame:
     """Share of values below, and z-score, within a kind."""
     w = Window.partitionBy("kind")
     pct = (F.rank().over(w.orderBy("blur")) - 1) / F.greatest(F.count(F.lit(1)).over(w) - 1, F.lit(1))
-    return models.select("model_id", F.round(pct, 6).alias("pct"), F.round((F.col("blur") - F.avg("blur").over(w)) / F.stddev_samp("blur").over(w), 6).alias("z"))
+    return models.select("model_id", F.round(pct, 6).alias("pct"), F.round(F.try_divide(F.col("blur") - F.avg("blur").over(w), F.stddev_samp("blur").over(w)), 6).alias("z"))
 
 
 _RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, edge_id) AS place FROM verdicts)"
@@ -95,7 +95,7 @@ def rank_relative_features(models: DataFrame) -> DataFrame:
     r = models.withColumn("k", F.row_number().over(w.orderBy(F.col("bal_acc").desc(), "model_id"))).withColumn("top", F.max("bal_acc").over(w))
     x, second, top = F.col("bal_acc"), F.max(F.when(F.col("k") == 2, F.col("bal_acc"))), F.max("top")
     q = lambda p: F.percentile(x, F.lit(p))
-    out = {"top1": top, "margin": top - F.coalesce(second, F.lit(0.0)), "ratio": second / top, "z": (top - F.avg(x)) / F.stddev_pop(x), "over_median": top - q(0.5), "over_top5": top - F.avg(F.when(F.col("k") <= 5, x)), "spread": F.stddev_pop(x), "iqr": q(0.75) - q(0.25), "near": F.avg((x >= 0.9 * F.col("top")).cast("double")), "log_n": F.log1p(F.count(F.lit(1)))}
+    out = {"top1": top, "margin": top - F.coalesce(second, F.lit(0.0)), "ratio": F.try_divide(second, top), "z": F.try_divide(top - F.avg(x), F.stddev_pop(x)), "over_median": top - q(0.5), "over_top5": top - F.avg(F.when(F.col("k") <= 5, x)), "spread": F.stddev_pop(x), "iqr": q(0.75) - q(0.25), "near": F.avg((x >= 0.9 * F.col("top")).cast("double")), "log_n": F.log1p(F.count(F.lit(1)))}
     return r.groupBy("kind").agg(*(F.round(v, 6).alias(n) for n, v in out.items()))
 
 
@@ -203,7 +203,7 @@ def m_novelty(verdicts: DataFrame) -> DataFrame:
     """Known and novel recall at each threshold; the totals are those of the lowest threshold of all."""
     counts = M.at_thresholds(verdicts, [float("-inf"), *_GRID], "score", ("known", ~F.col("novel")), ("novel", F.col("novel")))
     w = Window.partitionBy()
-    out = counts.select("threshold", (F.col("known") / F.max("known").over(w)).alias("k"), (1 - F.col("novel") / F.max("novel").over(w)).alias("v"))
+    out = counts.select("threshold", F.try_divide("known", F.max("known").over(w)).alias("k"), (1 - F.try_divide("novel", F.max("novel").over(w))).alias("v"))
     return out.where(F.col("threshold") > float("-inf")).select("threshold", F.round("k", 6).alias("known_recall"), F.round("v", 6).alias("novel_recall"))
 
 

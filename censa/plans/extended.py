@@ -295,9 +295,9 @@ def m_pooled(verdicts: DataFrame) -> DataFrame:
     one = lambda c: F.sum(c.cast("int"))
     known, right = ~F.col("novel"), F.col("accepted")
     o = verdicts.select(one(known & right).over(w).alias("tp"), one(known).over(w).alias("k"), one(~known).over(w).alias("fp"), F.count(F.lit(1)).over(w).alias("n"), one(known).over(every).alias("nk"), one(~known).over(every).alias("nn"), one(known & right).over(every).alias("hits"))
-    p, r = F.col("tp") / F.col("n"), F.col("tp") / F.col("nk")
-    balanced = 0.5 * (F.col("k") / F.col("nk") + (F.col("nn") - F.col("fp")) / F.col("nn"))
-    return o.agg(F.round(F.max(F.col("hits") / F.col("nk")), 6).alias("r1"), F.round(F.max(S.fbeta(p, r)), 6).alias("census_f"), F.round(F.max(balanced), 6).alias("bal_acc"))
+    p, r = F.col("tp") / F.col("n"), F.try_divide("tp", "nk")
+    balanced = 0.5 * (F.try_divide("k", "nk") + F.try_divide(F.col("nn") - F.col("fp"), "nn"))
+    return o.agg(F.round(F.max(F.try_divide("hits", "nk")), 6).alias("r1"), F.round(F.max(S.fbeta(p, r)), 6).alias("census_f"), F.round(F.max(balanced), 6).alias("bal_acc"))
 
 
 @add("verdicts", sql="""
