@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import fresh, word_count, written
 
 LARGEST_REPEAT = 3
 #: Of the hash of a document's id: 32 bits.
@@ -75,12 +75,14 @@ def mix(docs: DataFrame, seed: str = "mix", largest: int = LARGEST_REPEAT) -> Da
 
 def mixed_documents(docs: DataFrame, seed: str = "mix", largest: int = LARGEST_REPEAT) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it; rows that share a doc_id are told apart by source and size."""
-    copies = mix(docs, seed, largest).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")))
-    copies = copies.where("copies > 0").select(F.col("doc_id").alias("_id"), "_k", F.col("copies").alias("_copies"))
+    row, own, k, times, copy = fresh(docs, "_row", "_own", "_k", "_times", "_copy")
+    copies = mix(docs, seed, largest)
+    copies = copies.select(F.col("doc_id").alias(own), F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")).alias(k), F.col("copies").alias(times))
     ordered = Window.partitionBy(F.col("doc_id").cast("long")).orderBy(F.col("source").cast("string"), word_count(F.col("text").cast("string")))
-    rows = docs.withColumn("_row", F.row_number().over(ordered))
-    rows = rows.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_k")))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    rows = docs.withColumn(row, F.row_number().over(ordered))
+    # A merge join by choice: the copies grow with the documents, so they are never broadcast, at any size.
+    rows = rows.join(copies.where(F.col(times) > 0).hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(row) == F.col(k)))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(copy)).drop(copy)
 
 
 SQL = r"""

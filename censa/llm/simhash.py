@@ -232,7 +232,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, blocks:
 
 
 def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, shingles): the sorted distinct 64-bit hashes of each text's word shingles."""
+    """(doc_id, shingles): the distinct 32-bit hashes of each text's word shingles."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in batches(rows, "doc_id", "text"):
@@ -242,10 +242,10 @@ def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
                 for k in range(hi - lo):
                     parts = raw[at[k] : at[k + 1]].lower().split()
                     some = [b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))] if parts else []
-                    out.append(np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in some], np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                    out.append(np.unique(np.array([xxhash.xxh32_intdigest(x, 42) for x in some], np.uint32)).view(np.int32))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(pa.int32()))], ["doc_id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, shingles array<int>")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 7, blocks: int = 9, verify_words: int = 5, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -261,8 +261,9 @@ def near_duplicates(docs: DataFrame, radius: int = 7, blocks: int = 9, verify_wo
     # Rows with the fingerprint of another document are compared with its first document; others by their trees.
     same = prints.join(codes, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     pairs = written(links(codes, radius, blocks, shard_rows, nearest=True).unionByName(same).distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi"), verify_words), "sets")
+    # Merge joins by choice: the ids grow with the documents, so they are never broadcast, at any size.
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")
+    sets = written(shingle_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi"), verify_words), "sets").hint("merge")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     alike = F.when((F.size("x") == 0) & (F.size("y") == 0), 1.0).otherwise(both / (F.size("x") + F.size("y") - both))
