@@ -31,7 +31,10 @@ SHARD_ROWS = 1024
 
 def fingerprint_bytes(text: bytes, words: int = 3) -> int:
     """SimHash of a text's lower-cased (A-Z) word shingles, repeats included: a bit is 1 if set in over half the hashes."""
-    parts = text.lower().split()
+    return _simhash(text.lower().split(), words)
+
+
+def _simhash(parts: list[bytes], words: int) -> int:
     if not parts:
         return 0
     if len(parts) <= words:
@@ -47,19 +50,27 @@ def fingerprint_bytes(text: bytes, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * total > count).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit SimHash of each row's whole text; null and wordless texts have 0."""
+def fingerprints(docs: DataFrame, words: int = 3, same: bool = False) -> DataFrame:
+    """(doc_id, fp): the signed 64-bit SimHash of each row's whole text; null and wordless texts have 0.
+
+    With `same`, also `line`: a 64-bit hash of the lower-cased words, equal for texts of the same words.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in batches(rows, "doc_id", "text"):
-            out = np.zeros(len(ids), np.uint64)
+            out = np.zeros((2, len(ids)), np.uint64)
             for lo, hi, data, at in text_chunks(texts):
                 raw = data.tobytes()
                 for k in range(lo, hi):
-                    out[k] = fingerprint_bytes(raw[at[k - lo] : at[k - lo + 1]], words)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out.view(np.int64))], ["doc_id", "fp"])
+                    parts = raw[at[k - lo] : at[k - lo + 1]].lower().split()
+                    out[0, k] = _simhash(parts, words)
+                    if same:
+                        out[1, k] = xxhash.xxh64_intdigest(b" ".join(parts), 0)
+            names = ["doc_id", "fp", "line"][: 3 if same else 2]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(out[k].view(np.int64)) for k in range(len(names) - 1))], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", line long" * same)
 
 
 class Forest:
@@ -249,17 +260,18 @@ def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 7, blocks: int = 9, verify_words: int = 5, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, component_id) per row of `docs`: groups of texts whose word shingles overlap (Jaccard) by `similarity` or more.
+    """(doc_id, component_id) per doc_id: groups of texts whose word shingles overlap (Jaccard) by `similarity` or more.
 
-    SimHash fingerprints within `radius` bits propose, for each distinct fingerprint, the nearest one of a smaller doc_id
-    in every shard, and for each further document of a fingerprint the first one. Each proposal is verified on the exact
-    sets of `verify_words`-word shingles, and verified links are united. Wordless and null texts form one group.
-    Rows without doc_id are left out; repeated doc_ids count once.
+    Texts of the same words are one class, whatever their number. SimHash fingerprints within `radius` bits propose, for
+    each distinct fingerprint, the nearest one of a smaller doc_id in every shard, and for each further class of a
+    fingerprint the first one. Each proposal is verified on the exact sets of `verify_words`-word shingles, and verified
+    links are united. Wordless and null texts form one class. Rows without doc_id are left out; repeated ids count once.
     """
-    prints = written(fingerprints(docs).where(F.col("doc_id").isNotNull()), "prints")
-    codes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "codes")
-    # Rows with the fingerprint of another document are compared with its first document; others by their trees.
-    same = prints.join(codes, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    prints = written(fingerprints(docs, same=True).where(F.col("doc_id").isNotNull()), "prints")
+    lines = written(prints.groupBy("line").agg(F.min("doc_id").alias("own"), F.first("fp").alias("fp")), "lines")
+    codes = written(lines.groupBy("fp").agg(F.min("own").alias("rep")), "codes")
+    # Classes with the fingerprint of another are compared with its first; fingerprints by their trees.
+    same = lines.join(codes, "fp").where("own <> rep").select(F.col("own").alias("a"), F.col("rep").alias("b"))
     pairs = written(links(codes, radius, blocks, shard_rows, nearest=True).unionByName(same).distinct(), "pairs")
     # Merge joins by choice: the ids grow with the documents, so they are never broadcast, at any size.
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")
@@ -269,6 +281,5 @@ def near_duplicates(docs: DataFrame, radius: int = 7, blocks: int = 9, verify_wo
     alike = F.when((F.size("x") == 0) & (F.size("y") == 0), 1.0).otherwise(both / (F.size("x") + F.size("y") - both))
     good = pairs.join(left, "a").join(right, "b").where(alike >= similarity).select("a", "b")
     found = connected_components(good)
-    ids = prints.select("doc_id").distinct()
-    out = ids.join(found, ids.doc_id == found.id, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
-    return out
+    labels = written(lines.join(found, lines.own == found.id, "left").select("line", F.coalesce("component", "own").alias("component_id")), "labels")
+    return prints.join(labels, "line").select("doc_id", "component_id").distinct()
