@@ -237,6 +237,14 @@ def test_main_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_marks_of_elements():
+    kind = lambda tag, attributes: html_text._read_tag(tag, attributes)[1]
+    assert kind("div", ' class="userComments"') == kind("div", ' id="ad-7"') == kind("section", ' class="related"') == kind("div", ' role="banner"') == kind("article", ' class="comment"') == 1
+    assert kind("article", ' class="post has-sidebar"') == kind("article", ' class="sidebar-left"') == kind("div", ' class="entry"') == 2
+    assert kind("body", ' class="nav-open"') == kind("div", ' class="page with-sidebar"') == kind("p", ' class="lead"') == 0
+    assert kind("div", ' class="article-header"') == 4 and kind("div", ' hidden') == kind("div", ' style="display: none"') == 1
+
+
 def test_wrappers_find_optional_and_repeated_parts():
     a, b = (html_text.page_wrapper(h) for h in ("<div><p>x</p><p>y</p><h2>h</h2></div>", "<div><h2>h</h2><ul><li>1</li><li>2</li></ul></div>"))
     html_text._unite(a, b)
