@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import connected_components
+from .simhash import least_labels
 
 COSINE = 0.93
 WINDOW = 64
 SIGN_BITS = 48
-CHUNK = 1024
+CHUNK = 256
 
 
 def passes_needed(rows: int, cosine: float, window: int, miss: float) -> int:
@@ -75,17 +76,25 @@ def _signs(number: int, seed: int):
 
 
 def _windows(cosine: float, window: int):
-    """Verified pairs of each vector and its successors within the window; rows come sorted."""
+    """Compares each vector with its successors within the window; rows come sorted.
+
+    Of the verified pairs of a run of rows a spanning forest is emitted: what they connect, without a crowd's many pairs.
+    """
 
     def solve(key: np.ndarray, ids: np.ndarray, x: np.ndarray, fresh: int):
-        """Pairs whose later vector is row `fresh` or after."""
-        a, b = [], []
+        """A forest of the pairs whose later vector is row `fresh` or after."""
+        a = []
+        b = []
         for step in range(1, min(window, len(ids) - 1) + 1):
             lo = max(0, fresh - step)
             left, right = slice(lo, len(ids) - step), slice(lo + step, len(ids))
-            hit = (key[left] == key[right]) & (np.einsum("ij,ij->i", x[left], x[right]) >= cosine)
-            a.append(ids[left][hit]), b.append(ids[right][hit])
-        return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+            hit = lo + np.flatnonzero((key[left] == key[right]) & (np.einsum("ij,ij->i", x[left], x[right]) >= cosine))
+            a.append(hit), b.append(hit + step)
+        if not a:
+            return ids[:0], ids[:0]
+        label = least_labels(len(ids), np.concatenate(a), np.concatenate(b))
+        own = np.flatnonzero(label != np.arange(len(ids)))
+        return ids[own], ids[label[own]]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -177,15 +186,3 @@ def embedding_duplicates(table: DataFrame, cosine: float = COSINE, window: int =
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
 
-
-#: Every pair of a label; only for tables small enough to compare with brute force.
-SQL = """
-WITH usable AS (
-  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
-    AND list_bool_or(list_transform(embedding, x -> x <> 0))),
-links AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
-  WHERE list_cosine_similarity(a.v, b.v) >= 0.93)
-SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links FROM embeddings
-"""
