@@ -15,6 +15,7 @@ BK-tree of 64-bit codes prunes little; the shards make the trees small and their
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,15 +35,15 @@ def fingerprint_bytes(text: bytes, words: int = 3) -> int:
     return _simhash(text.lower().split(), words)
 
 
-def _simhash(parts: list[bytes], words: int) -> int:
+def _simhash(parts: list[bytes], words: int, seed: int = 42) -> int:
     if not parts:
         return 0
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), 42)
+        return xxhash.xxh64_intdigest(b" ".join(parts), seed)
     total, count, digest = np.zeros(64, np.int64), len(parts) - words + 1, xxhash.xxh64_digest
     for at in range(0, count, 1 << 16):
         run = parts[at : at + (1 << 16) + words - 1]
-        hashes = b"".join([digest(b" ".join(x), 42) for x in zip(*(run[k:] for k in range(words)), strict=False)])
+        hashes = b"".join([digest(b" ".join(x), seed) for x in zip(*(run[k:] for k in range(words)), strict=False)])
         bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
         even = len(bits) // 255 * 255
         total += bits[:even].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
@@ -50,27 +51,29 @@ def _simhash(parts: list[bytes], words: int) -> int:
     return int.from_bytes(np.packbits(2 * total > count).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, same: bool = False) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit SimHash of each row's whole text; null and wordless texts have 0.
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, fp): the signed 64-bit SimHash of each row's whole text; null and wordless texts have 0."""
+    return _fingerprints(docs, ["fp"], lambda parts: [_simhash(parts, words)])
+
+
+def seeded_fingerprints(docs: DataFrame, seeds: tuple[int, ...], words: int = 3) -> DataFrame:
+    """(doc_id, line, fp0, fp1, ...): a SimHash for each seed, and a 64-bit hash of the lower-cased words, equal for texts of the same words."""
+    names = ["line", *(f"fp{k}" for k in range(len(seeds)))]
+    return _fingerprints(docs, names, lambda parts: [xxhash.xxh64_intdigest(b" ".join(parts), 0), *(_simhash(parts, words, seed) for seed in seeds)])
 
-    With `same`, also `line`: a 64-bit hash of the lower-cased words, equal for texts of the same words.
-    """
 
+def _fingerprints(docs: DataFrame, names: list[str], of) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in batches(rows, "doc_id", "text"):
-            out = np.zeros((2, len(ids)), np.uint64)
+            out = np.zeros((len(names), len(ids)), np.uint64)
             for lo, hi, data, at in text_chunks(texts):
                 raw = data.tobytes()
                 for k in range(lo, hi):
-                    parts = raw[at[k - lo] : at[k - lo + 1]].lower().split()
-                    out[0, k] = _simhash(parts, words)
-                    if same:
-                        out[1, k] = xxhash.xxh64_intdigest(b" ".join(parts), 0)
-            names = ["doc_id", "fp", "line"][: 3 if same else 2]
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(out[k].view(np.int64)) for k in range(len(names) - 1))], names)
+                    out[:, k] = of(raw[at[k - lo] : at[k - lo + 1]].lower().split())
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.view(np.int64)) for x in out)], ["doc_id", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long" + ", line long" * same)
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 class Forest:
@@ -259,20 +262,24 @@ def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, shingles array<int>")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 7, blocks: int = 9, verify_words: int = 5, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 7, blocks: int = 9, verify_words: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 7), shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, component_id) per doc_id: groups of texts whose word shingles overlap (Jaccard) by `similarity` or more.
 
-    Texts of the same words are one class, whatever their number. SimHash fingerprints within `radius` bits propose, for
-    each distinct fingerprint, the nearest one of a smaller doc_id in every shard, and for each further class of a
-    fingerprint the first one. Each proposal is verified on the exact sets of `verify_words`-word shingles, and verified
-    links are united. Wordless and null texts form one class. Rows without doc_id are left out; repeated ids count once.
+    Texts of the same words are one class, whatever their number. For each seed a SimHash fingerprint: within `radius` bits
+    it proposes, for each distinct fingerprint, the nearest one of a smaller doc_id in every shard, and for each further
+    class of a fingerprint the first one. Each proposal is verified on the exact sets of `verify_words`-word shingles, and
+    verified links are united. Wordless and null texts form one class. Rows without doc_id are left out; repeated ids
+    count once.
     """
-    prints = written(fingerprints(docs, same=True).where(F.col("doc_id").isNotNull()), "prints")
-    lines = written(prints.groupBy("line").agg(F.min("doc_id").alias("own"), F.first("fp").alias("fp")), "lines")
-    codes = written(lines.groupBy("fp").agg(F.min("own").alias("rep")), "codes")
-    # Classes with the fingerprint of another are compared with its first; fingerprints by their trees.
-    same = lines.join(codes, "fp").where("own <> rep").select(F.col("own").alias("a"), F.col("rep").alias("b"))
-    pairs = written(links(codes, radius, blocks, shard_rows, nearest=True).unionByName(same).distinct(), "pairs")
+    prints = written(seeded_fingerprints(docs, seeds).where(F.col("doc_id").isNotNull()), "prints")
+    lines = written(prints.groupBy("line").agg(F.min("doc_id").alias("own"), *(F.first(f"fp{k}").alias(f"fp{k}") for k in range(len(seeds)))), "lines")
+    proposed = []
+    for k in range(len(seeds)):
+        own = lines.select("own", F.col(f"fp{k}").alias("fp"))
+        codes = written(own.groupBy("fp").agg(F.min("own").alias("rep")), "codes")
+        # Classes with the fingerprint of another are compared with its first; fingerprints by their trees.
+        proposed += [links(codes, radius, blocks, shard_rows, nearest=True), own.join(codes, "fp").where("own <> rep").select(F.col("own").alias("a"), F.col("rep").alias("b"))]
+    pairs = written(reduce(DataFrame.unionByName, proposed).distinct(), "pairs")
     # Merge joins by choice: the ids grow with the documents, so they are never broadcast, at any size.
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")
     sets = written(shingle_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi"), verify_words), "sets").hint("merge")
