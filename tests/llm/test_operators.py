@@ -180,6 +180,39 @@ def test_links_lose_nothing(spark, radius, blocks):
     assert all(x.b < x.a and (codes[x.a] ^ codes[x.b]).bit_count() <= radius for x in near)
 
 
+def test_nearest_and_all_links_in_chunks(spark):
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(3)]
+    codes = list({b ^ sum(1 << k for k in r.sample(range(64), r.randrange(5))) for b in base for _ in range(40)})
+    ids = r.sample(range(1000), len(codes))
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    pairs = {(max(i, j), min(i, j)) for (i, x), (j, y) in combinations(zip(ids, codes, strict=True), 2) if (x ^ y).bit_count() <= 3}
+    df = spark.createDataFrame(list(zip(signed, ids, strict=True)), "fp long, rep long")
+    found = {(x.a, x.b) for x in simhash.links(df, 3, 5, shard_rows=8, nearest=True).collect()}
+    assert found <= pairs and {a for a, _ in found} == {a for a, _ in pairs} and {b for _, b in found} == {b for _, b in pairs}
+    # All links, fingerprints repeated, less those within a group.
+    twice = list(zip(signed, ids, [i % 7 for i in ids], strict=True)) + [(signed[0], 2000 + k, 7) for k in range(20)]
+    code = {i: f % (1 << 64) for f, i, _ in twice}
+    want = {(max(i, j), min(i, j)) for (_, i, g), (_, j, h) in combinations(twice, 2) if g != h and (code[i] ^ code[j]).bit_count() <= 3}
+    rows = spark.createDataFrame(twice, "fp long, rep long, apart long")
+    for shard_rows in (8, 1024):
+        assert {(x.a, x.b) for x in simhash.links_apart(rows, 3, 5, shard_rows).collect()} == want
+
+
+@pytest.mark.parametrize("shard_rows", [8, 1024])
+def test_near_duplicates_reach_all_pairs_within_the_radius(spark, shard_rows):
+    rows = [(10 * k + j, near(text(50 + k, 150), 7 * k + j, 0.03)) for k in range(6) for j in range(10)]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.lower().split()]}
+    prints = {d: [simhash._simhash(t.lower().encode().split(), 3, seed) for seed in (42, 7)] for d, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    close = lambda a, b: any((x ^ y).bit_count() <= 16 for x, y in zip(prints[a], prints[b], strict=True))
+    want = roots(sets, [(a, b) for a, b in combinations(sets, 2) if close(a, b) and alike(a, b)])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # A wide radius (whose shards are kept few by the test's size) proposes many pairs that are not alike.
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, radius=16, blocks=17, shard_rows=shard_rows).collect()}
+    assert found == want and 6 < len(set(want.values())) < 60
+
+
 def test_bk_trees_follow_only_edges_within_the_radius():
     r = np.random.default_rng(1)
     code = r.integers(0, 1 << 63, 300).astype(np.uint64)
