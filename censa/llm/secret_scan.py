@@ -2,13 +2,16 @@
 
 The novelty method looks at strings of token characters near a sensitive word. The compressor is primed with common
 identifiers and with the text around the candidate; the bytes that the candidate adds show how much of it is new. Strings
-that do not compress at all in such a context are reported, unless a pattern has them already.
+that compress no better than random text of the same alphabet and length are reported, unless a pattern has them already;
+long ones are scored in pieces.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +28,10 @@ AROUND = 256
 #: A candidate counts as in a sensitive context if a sensitive word ends or begins at most so far before it.
 REACH = 40
 MIN_CANDIDATE = 20
-#: Marginal compressed bytes for each byte of a candidate, from which on it is reported.
+#: Marginal compressed bytes for each byte of a piece, from which on it is novel, unless random text of its alphabet has less.
 NOVEL = 0.95
+#: Longer candidates are scored in pieces of so many characters or a few more.
+PIECE = 64
 KINDS = ("assign", "access", "hex", "novel")
 
 _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -77,6 +82,36 @@ def novelty(text: str, start: int, end: int) -> float:
     return (len(tool.compress(own)) - len(tool.compress(b""))) / len(own)
 
 
+@lru_cache(4096)
+def _random_novelty(alphabet: str, length: int) -> float:
+    """The least novelty of some random texts of the alphabet and length; the compressor codes characters of few kinds in less than a byte."""
+    chance = random.Random(f"{alphabet} {length}")
+    return min(novelty(text, 0, length) for text in ("".join(chance.choices(alphabet, k=length)) for _ in range(48)))
+
+
+def _alphabet(own: str) -> str:
+    """The characters that a random text like this one is drawn from: those of an encoding, or of the kinds that occur."""
+    letters = set(own)
+    for some in ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz234567"):
+        if letters <= set(some) | set("-_="):
+            return some + "".join(sorted(letters & set("-_")))
+    kinds = [k for k in (string.digits, string.ascii_lowercase, string.ascii_uppercase) if letters & set(k)]
+    return "".join(kinds) + "".join(sorted(letters & set("+/_-")))
+
+
+def is_novel(text: str, start: int, end: int) -> bool:
+    """Whether most pieces of text[start:end] compress no better than random text of their alphabet."""
+    alphabet, pieces = _alphabet(text[start:end]), max(1, (end - start) // PIECE)
+    cuts = [start + (end - start) * k // pieces for k in range(pieces + 1)]
+    missing = pieces // 2 + 1
+    for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        own = novelty(text, s, e)
+        missing -= own >= NOVEL or own >= 0.98 * _random_novelty(alphabet, e - s)
+        if missing <= 0 or missing > pieces - k - 1:
+            break
+    return missing <= 0
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the value) of the fixed patterns, leftmost non-overlapping for each kind."""
     found = [(m.start(), 0, m.end(), m.start(1)) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
@@ -100,7 +135,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[
             continue
         if words is None:
             words = [w.span() for w in _SENSITIVE.finditer(text)]
-        if any(s - REACH <= b and a < s for a, b in words) and novelty(text, s, e) >= NOVEL:
+        if any(s - REACH <= b and a < s for a, b in words) and is_novel(text, s, e):
             out.append((s, 3, e, s))
     return out
 

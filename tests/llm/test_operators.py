@@ -324,6 +324,16 @@ def test_secrets(spark):
     assert secret_scan.scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF"])
+def test_random_tokens_of_any_length_are_novel(alphabet):
+    r = random.Random(11)
+    for n in (20, 32, 40, 48, 64, 100, 128, 172, 256, 400, 1000):
+        texts = ["Authorization: Bearer " + "".join(r.choices(alphabet, k=n)) + " end" for _ in range(40)]
+        assert sum(secret_scan.novel_spans(t, []) == [(22, 3, 22 + n, 22)] for t in texts) >= 36
+    for name in ("user_authentication_service_v2_handler", "kubernetes/namespaces/production/configmaps/v1", "internationalization-module-build-2024-release-candidate", "token-value-index-1-" * 20):
+        assert secret_scan.novel_spans(f"the auth token is {name} ok", []) == []
+
+
 # 6
 
 
