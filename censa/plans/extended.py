@@ -159,7 +159,7 @@ def fn_reasons_explode(verdicts: DataFrame) -> DataFrame:
 @add("spots")
 def fn_polyline(spots: DataFrame) -> DataFrame:
     """Length, turning and Fourier shape of the line through an image's spots."""
-    rows = spots.where("image_id % 50 = 0").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("axis_t", "area", "spot_id"))).alias("s"))
+    rows = spots.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("axis_t", "area", "spot_id"))).alias("s"))
     rows = rows.select("image_id", F.transform("s", lambda x: F.array(x["axis_t"] * 100, x["area"])).alias("line"))
 
     @F.pandas_udf("length double, curl double, shape array<double>")
@@ -174,7 +174,7 @@ def fn_polyline(spots: DataFrame) -> DataFrame:
 @add("images")
 def fn_clip_polygon(images: DataFrame) -> DataFrame:
     """The eight boxes of bodies of several lengths, cut to the image."""
-    rows = images.where("image_id % 200 = 0").select("image_id", (20 + F.col("image_id") % 60).cast("double").alias("long"))
+    rows = images.select("image_id", (20 + F.col("image_id") % 60).cast("double").alias("long"))
 
     def run(parts):
         import pandas as pd
@@ -188,7 +188,7 @@ def fn_clip_polygon(images: DataFrame) -> DataFrame:
 @add("spots")
 def rebin_axis(spots: DataFrame) -> DataFrame:
     """Spots placed anew after the line of their image was corrected."""
-    rows = spots.where("image_id % 40 = 0").select("image_id", "spot_id", (F.col("axis_t") * 100).alias("x"), (F.col("axis_offset") * 500).alias("y"), F.lit(None).cast("array<array<double>>").alias("outline"))
+    rows = spots.select("image_id", "spot_id", (F.col("axis_t") * 100).alias("x"), (F.col("axis_offset") * 500).alias("y"), F.lit(None).cast("array<array<double>>").alias("outline"))
     line = lambda y: F.array(*(F.array(F.lit(a), F.lit(b)) for a, b in ((0.0, 0.0), (50.0, y), (100.0, 0.0))))
     old = rows.select("image_id").distinct().withColumn("midline", line(0.0))
     new = old.where("image_id % 80 = 0").withColumn("midline", line(20.0))
@@ -263,7 +263,7 @@ def build_embeddings(spots: DataFrame) -> DataFrame:
     """Shape and place of each spot as one vector of 62 numbers."""
     a, b = F.col("area"), F.col("area") * (0.5 + F.col("axis_t") / 2)
     outline = F.array(F.array(-a, -b), F.array(F.lit(0.0), -b / 2), F.array(a, -b), F.array(a, b), F.array(-a, b))
-    rows = spots.where("image_id % 10 = 0").select("image_id", "spot_id", outline.alias("outline"), "axis_t", (F.col("axis_offset") * 20).alias("offset"), F.when(F.col("axis_offset") >= 0, "left").otherwise("right").alias("side"))
+    rows = spots.select("image_id", "spot_id", outline.alias("outline"), "axis_t", (F.col("axis_offset") * 20).alias("offset"), F.when(F.col("axis_offset") >= 0, "left").otherwise("right").alias("side"))
     return E.build(rows)
 
 
@@ -358,7 +358,7 @@ def ml_survival(vectors: DataFrame) -> DataFrame:
 @add("spots")
 def ml_distinct(spots: DataFrame) -> DataFrame:
     """Out-of-fold probability that a spot is interesting, from its own numbers, folds by image."""
-    rows = spots.where("image_id % 25 = 0").select("image_id", "spot_id", "area", "axis_t", (F.col("mass") > 40000).alias("interesting"), N.fold_of("image_id", 2).alias("fold"))
+    rows = spots.select("image_id", "spot_id", "area", "axis_t", (F.col("mass") > 40000).alias("interesting"), N.fold_of("image_id", 2).alias("fold"))
     return ML.out_of_fold(rows, ["area", "axis_t"], "interesting", "fold", 2, balanced=True).select("image_id", "spot_id", "confidence")
 
 

@@ -325,7 +325,7 @@ def fn_bin_of(spots: DataFrame) -> DataFrame:
 @add("spots")
 def geom_bin_spots(spots: DataFrame) -> DataFrame:
     """Places and boxes of spots with outlines along a bent line."""
-    rows = spots.where("image_id % 20 = 0").select("image_id", "spot_id", (F.col("axis_t") * 100).alias("x"), (F.col("axis_offset") * 500).alias("y"), F.when(F.col("area") > 25, F.array(*(F.array(F.lit(float(a)), F.lit(float(b))) for a, b in ((-3, -3), (3, -3), (3, 3), (-3, 3))))).alias("outline"))
+    rows = spots.select("image_id", "spot_id", (F.col("axis_t") * 100).alias("x"), (F.col("axis_offset") * 500).alias("y"), F.when(F.col("area") > 25, F.array(*(F.array(F.lit(float(a)), F.lit(float(b))) for a, b in ((-3, -3), (3, -3), (3, 3), (-3, 3))))).alias("outline"))
     lines = rows.select("image_id").distinct().withColumn("midline", F.array(*(F.array(F.lit(a), F.lit(b)) for a, b in ((0.0, 0.0), (50.0, 5.0), (100.0, 0.0)))))
     return G.bin_spots(rows, lines, "image_id").drop("outline")
 

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from censa.plans import CATALOGUES
 
@@ -21,6 +22,10 @@ def duck():
     return con
 
 
+def query_of(name):
+    return next(c.queries[name] for c in CATALOGUES if name in c.queries)
+
+
 def canonical(rows, names):
     def value(x):
         if x is None or isinstance(x, float) and math.isnan(x):
@@ -43,3 +48,12 @@ def test_query(spark, duck, name, catalogue):
     found = duck.execute(catalogue.sql[name])
     names = [d[0] for d in found.description]
     assert canonical([tuple(r) for r in rows], out.columns) == canonical(found.fetchall(), names)
+
+
+@pytest.mark.parametrize("name,table,key", [("fn_polyline", "lineitem", "l_orderkey"), ("fn_clip_polygon", "orders", "o_orderkey"), ("rebin_axis", "lineitem", "l_orderkey"), ("geom_bin_spots", "lineitem", "l_orderkey"), ("build_embeddings", "lineitem", "l_orderkey"), ("ml_distinct", "lineitem", "l_orderkey")])
+def test_queries_cover_all_images(spark, name, table, key):
+    rows = query_of(name)(spark, SF)
+    whole = spark.read.parquet(f"{SF}/{table}.parquet")
+    assert rows.select("image_id").distinct().count() == whole.select(key).distinct().count()
+    if "spot_id" in rows.columns:
+        assert rows.count() == whole.count() == rows.select("image_id", F.col("spot_id")).distinct().count()
