@@ -168,10 +168,10 @@ def _unite(a: list, b: list) -> None:
 
 
 def _align(a: list, b: list) -> None:
-    """Children of b aligned with those of a, by the next place where signatures meet; the rest is optional on both sides."""
+    """Children of b aligned with those of a, by the next place where signatures and kinds meet; the rest is optional on both sides."""
     at, met = 0, set()
     for child in b:
-        k = next((k for k in range(at, len(a)) if a[k][0] == child[0]), -1)
+        k = next((k for k in range(at, len(a)) if a[k][:2] == child[:2]), -1)
         if k < 0:
             child[2] = 1
             a.insert(at, child)
@@ -184,14 +184,14 @@ def _align(a: list, b: list) -> None:
         if id(child) not in met:
             child[2] = 1
     if len(a) > MAX_ROW:
-        # Too varied for one sequence: a repeated group of optional members, one for each signature.
-        merged: dict[str, list] = {}
+        # Too varied for one sequence: a repeated group of optional members, one for each signature and kind.
+        merged: dict[tuple, list] = {}
         for child in a:
             child[2] = child[3] = 1
-            if child[0] in merged:
-                _unite(merged[child[0]], child)
+            if (own := tuple(child[:2])) in merged:
+                _unite(merged[own], child)
             else:
-                merged[child[0]] = child
+                merged[own] = child
         a[:] = merged.values()
 
 
@@ -209,7 +209,7 @@ def page_wrapper(html: str) -> list:
         del open_nodes[same + 1 :]
         for sig, kind in path[same:]:
             row = open_nodes[-1][5]
-            if row and row[-1][0] == sig:
+            if row and row[-1][:2] == [sig, kind]:
                 row[-1][3] = 1
             else:
                 row.append(_node(sig, kind))
