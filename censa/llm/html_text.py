@@ -2,7 +2,7 @@
 
 A page is a stream of structural tokens (block tags with class and id) and texts. Streams of a host are aligned one after
 another. Where two differ, the mismatch becomes an optional group, a run of equal neighbours becomes a repeated group, and
-texts that differ become a text slot; texts that stay the same are part of the template. Wrappers merge like the pages do,
+texts that differ become a text slot; texts that stay the same on pages that differ otherwise are part of the template. Wrappers merge like the pages do,
 so they are inferred in tasks, then merged by host in salted steps; a host of any size never meets in one task.
 
 A wrapper decides for each slot whether it belongs to the article: slots inside article or main elements, less what is
@@ -19,6 +19,7 @@ from html import unescape
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +85,15 @@ def _read_tag(tag: str, attributes: str) -> tuple[str, int]:
     return sig, kind
 
 
+def _short(path: list[tuple[str, int]]) -> tuple:
+    """The path, or of a deep one its beginning and one element for the rest: a hash of it, with the kind that counts there."""
+    if len(path) <= MAX_DEPTH:
+        return tuple(path)
+    rest = path[MAX_DEPTH - 1 :]
+    kinds = {k for _, k in rest}
+    return (*path[: MAX_DEPTH - 1], (f"+{xxhash.xxh64_hexdigest(repr(rest))}", next(k for k in (1, 2, 4, 0) if k in kinds)))
+
+
 def blocks(html: str) -> Iterator[tuple[tuple, bool, str, int]]:
     """(path, skipped, text, link characters) of each block of text, in page order.
 
@@ -105,7 +115,7 @@ def blocks(html: str) -> Iterator[tuple[tuple, bool, str, int]]:
             return ()
         inside = any(k == 2 for _, _, k in path)
         skipped = any(k == 1 or (k == 4 and not inside) for _, _, k in path)
-        return ((tuple((s, k) for _, s, k in path[:MAX_DEPTH]), skipped, text, n),)
+        return ((_short([(s, k) for _, s, k in path]), skipped, text, n),)
 
     for m in _TOKEN.finditer(html):
         tag = m[3] or m[6]
@@ -151,11 +161,13 @@ def blocks(html: str) -> Iterator[tuple[tuple, bool, str, int]]:
     yield from block()
 
 
-# A wrapper is [signature, kind, optional, repeated, text, children, chars, links, pages with text]; text: None no text, 0 a slot, else the constant.
+# A wrapper is [signature, kind, optional, repeated, text, children, chars, links, pages with text]; text: None no text, 0 a slot, else the
+# constant, a long one as its beginning and a hash of the whole. Of the pages, by hashes of all their texts that are not skipped, the least TEMPLATE_PAGES different ones are held.
+TEMPLATE_PAGES = 3
 
 
 def _node(sig: str, kind: int) -> list:
-    return [sig, kind, 0, 0, None, [], 0, 0, 0]
+    return [sig, kind, 0, 0, None, [], 0, 0, []]
 
 
 def _unite(a: list, b: list) -> None:
@@ -163,7 +175,7 @@ def _unite(a: list, b: list) -> None:
     a[2], a[3] = a[2] | b[2], a[3] | b[3]
     if b[4] is not None:
         a[4] = b[4] if a[4] is None else a[4] if a[4] == b[4] else 0
-    a[6], a[7], a[8] = a[6] + b[6], a[7] + b[7], a[8] + b[8]
+    a[6], a[7], a[8] = a[6] + b[6], a[7] + b[7], sorted({*a[8], *b[8]})[:TEMPLATE_PAGES]
     _align(a[5], b[5])
 
 
@@ -200,7 +212,10 @@ def page_wrapper(html: str) -> list:
     root = _node("", 0)
     open_nodes = [root]
     last: tuple = ()
-    for path, _, text, links in blocks(html):
+    found = list(blocks(html))
+    # A constant is the same on its pages, so their remaining texts differ where their whole texts do.
+    page = xxhash.xxh64_hexdigest("\n".join(text for _, skipped, text, _ in found if not skipped))
+    for path, _, text, links in found:
         same = 0
         while same < min(len(path), len(last)) and path[same] == last[same]:
             same += 1
@@ -215,8 +230,9 @@ def page_wrapper(html: str) -> list:
                 row.append(_node(sig, kind))
             open_nodes.append(row[-1])
         node = open_nodes[-1]
-        node[4] = text[:200] if node[4] is None else node[4] if node[4] == text[:200] else 0
-        node[6], node[7], node[8] = node[6] + len(text), node[7] + min(links, len(text)), 1
+        own = text if len(text) <= 200 else f"{text[:200]}+{xxhash.xxh64_hexdigest(text)}"
+        node[4] = own if node[4] is None else node[4] if node[4] == own else 0
+        node[6], node[7], node[8] = node[6] + len(text), node[7] + min(links, len(text)), [page]
         last = path
     return root
 
@@ -233,7 +249,7 @@ def kept_paths(wrapper: list) -> tuple[set, set]:
         if node[4] is not None and not skipped:
             if inside:
                 main.add(path)
-            elif not (node[4] != 0 and node[8] >= 3) and 2 * node[7] <= node[6]:
+            elif not (node[4] != 0 and len(node[8]) >= TEMPLATE_PAGES) and 2 * node[7] <= node[6]:
                 rest.add(path)
         for child in node[5]:
             walk(child, path, inside, skipped)
