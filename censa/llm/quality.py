@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, text_chunks
+from .common import batches, mix, text_chunks, word_hashes
 
 #: Features are hashed to 2**BITS weights, so a model has a fixed size.
 BITS = 18
@@ -30,54 +30,24 @@ THRESHOLD = 0.7
 FAMILIES = 5
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-
-
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    base = int(_ODD)
-    inverse = pow(base, -1, 1 << 64)
-    return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (base, inverse))
 
 
 @lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each byte: is it space; its lower-case value plus 1; its class as a bit."""
-    space, lower, kind = np.zeros(256, bool), np.arange(1, 257).astype(np.uint64), np.full(256, 1, np.uint8)
-    space[[32, *range(9, 14)]] = True
-    lower[65:91] += np.uint64(32)
+def _kinds() -> np.ndarray:
+    """Of each byte its class, as a bit."""
+    kind = np.full(256, 1, np.uint8)
     for bit, chosen in enumerate((range(97, 123), range(65, 91), range(48, 58), range(128, 256), b".,;:", b"#$%&*", b"!?|")):
         kind[list(chosen)] = 2 << bit if bit < 7 else 1
-    return space, lower, kind
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    return h ^ (h >> np.uint64(29))
+    return kind
 
 
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Words per document, and for each feature family the hashed feature of each word, in text order."""
-    space, lower, kind = _tables()
     n = len(data)
-    gap = space[data]
-    first = np.zeros(n + 1, bool)
-    first[at] = True
-    begin = ~gap
-    begin[1:] &= gap[:-1] | first[1:n]
-    end = ~gap
-    end[:-1] &= gap[1:] | first[1:n]
-    begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    counts = np.diff(np.searchsorted(begin, at))
+    counts, begin, end, word = word_hashes(data, at)
     if not len(begin):
         return counts, [np.zeros(0, np.int64)] * FAMILIES
-    size = max(1 << 20, 1 << (n - 1).bit_length())
-    powers, inverses = _powers(size)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(lower[data] * powers[:n], out=sums[1:])
-    word = _mix((sums[end] - sums[begin]) * inverses[begin])
-    kinds = kind[data]
+    kinds = _kinds()[data]
     shape = np.bitwise_or.reduceat(kinds, np.stack([begin, np.minimum(end, n - 1)], 1).ravel())[::2] if n > 1 else kinds[begin]
     shape = (shape.astype(np.uint64) << np.uint64(8)) | data[end - 1]
     fresh = np.zeros(len(word), bool)
@@ -91,7 +61,7 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndar
     drop = np.uint64(64 - BITS)
     salts = (np.arange(1, FAMILIES + 1).astype(np.uint64) << np.uint64(40)) * _ODD
     raw = (word, word * _ODD + before, shape, (shape << np.uint64(17)) | shaped, same)
-    return counts, [(_mix((x + s) * _ODD) >> drop).astype(np.int64) for x, s in zip(raw, salts, strict=True)]
+    return counts, [(mix((x + s) * _ODD) >> drop).astype(np.int64) for x, s in zip(raw, salts, strict=True)]
 
 
 def _documents(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -15,7 +15,6 @@ BK-tree of 64-bit codes prunes little; the shards make the trees small and their
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, discard, text_chunks, written
+from .common import batches, dealt_in_chunks, discard, text_chunks, whole_parts, written
 from .components import connected_components
 
 SHARD_ROWS = 1024
@@ -53,27 +52,18 @@ def _simhash(parts: list[bytes], words: int, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp): the signed 64-bit SimHash of each row's whole text; null and wordless texts have 0."""
-    return _fingerprints(docs, ["fp"], lambda parts: [_simhash(parts, words)])
 
-
-def seeded_fingerprints(docs: DataFrame, seeds: tuple[int, ...], words: int = 3) -> DataFrame:
-    """(doc_id, line, fp0, fp1, ...): a SimHash for each seed, and a 64-bit hash of the lower-cased words, equal for texts of the same words."""
-    names = ["line", *(f"fp{k}" for k in range(len(seeds)))]
-    return _fingerprints(docs, names, lambda parts: [xxhash.xxh64_intdigest(b" ".join(parts), 0), *(_simhash(parts, words, seed) for seed in seeds)])
-
-
-def _fingerprints(docs: DataFrame, names: list[str], of) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in batches(rows, "doc_id", "text"):
-            out = np.zeros((len(names), len(ids)), np.uint64)
+            out = np.zeros(len(ids), np.uint64)
             for lo, hi, data, at in text_chunks(texts):
                 raw = data.tobytes()
                 for k in range(lo, hi):
-                    out[:, k] = of(raw[at[k - lo] : at[k - lo + 1]].lower().split())
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.view(np.int64)) for x in out)], ["doc_id", *names])
+                    out[k] = fingerprint_bytes(raw[at[k - lo] : at[k - lo + 1]], words)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 class Forest:
@@ -143,36 +133,23 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _shards(codes: DataFrame, radius: int, blocks: int, shard_rows: int) -> DataFrame:
-    """(key, part, role, fp, rep, apart): role 1 is in the part's tree, 2 searches it, 3 both."""
+    """(key, part, role, fp, rep): role 1 is in the part's tree, 2 searches it, 3 both."""
     agree = blocks - radius
     cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
     masks = [sum(((1 << (cuts[k + 1] - cuts[k])) - 1) << cuts[k] for k in chosen) for chosen in combinations(range(blocks), agree)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = codes.select("fp", "rep", "apart", F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)])).alias("key"))
-    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > shard_rows)
-    crowds = written(crowds.select("key", F.ceil(F.col("rows") / shard_rows).cast("int").alias("chunks")), "crowds")
-    own = F.pmod(F.xxhash64("fp", "rep"), F.col("chunks")).cast("int")
-    other = F.transform(
-        F.sequence(F.lit(0), F.col("chunks") - 1),
-        lambda x: F.struct(
-            (F.least(F.col("own"), x) * F.col("chunks") + F.greatest(F.col("own"), x)).alias("part"),
-            F.when(x == F.col("own"), 3).when(F.col("own") < x, 1).otherwise(2).alias("role"),
-        ),
-    )
-    whole = F.array(F.struct(F.lit(0).alias("part"), F.lit(3).alias("role")))
-    dealt = keyed.join(crowds, "key", "left").withColumn("own", own)
-    dealt = dealt.select("key", "fp", "rep", "apart", F.explode(F.when(F.col("chunks").isNull(), whole).otherwise(other)).alias("x"))
-    return dealt.select("key", F.col("x.part").alias("part"), F.col("x.role").alias("role"), "fp", "rep", "apart")
-
-
-def _search_shards(radius: int, which: str):
-    def solve(key, part, role, code, rep, apart):
-        """Links of complete parts; rows are sorted by key and part."""
+    keyed = codes.select("fp", "rep", F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)])).alias("key"))
+    return dealt_in_chunks(keyed, "key", F.xxhash64("fp", "rep"), shard_rows)
+
+
+def _search_shards(radius: int):
+    def solve(key, part, role, code, rep):
+        """A spanning forest of the links of complete parts; rows are sorted by key and part."""
         fresh = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
         group = np.cumsum(fresh) - 1
         single = np.bincount(group) == 1
         keep = ~single[group]
-        group, role, code, rep, apart = group[keep], role[keep], code[keep], rep[keep], apart[keep]
+        group, role, code, rep = group[keep], role[keep], code[keep], rep[keep]
         if not len(group):
             return rep, rep
         tree, probe = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
@@ -181,69 +158,35 @@ def _search_shards(radius: int, which: str):
         root[group[tree][forest.roots]] = forest.roots
         start = root[group[probe]]
         probe, start = probe[start >= 0], start[start >= 0]
-        left, right, far = [], [], []
-        for q, node, d in forest.search(code[probe], start, radius):
+        left, right = [], []
+        for q, node, _ in forest.search(code[probe], start, radius):
             q, node = probe[q], tree[node]
-            ok = (q != node) if which == "forest" else (apart[q] != apart[node])
-            left.append(q[ok]), right.append(node[ok]), far.append(d[ok])
+            ok = q != node
+            left.append(q[ok]), right.append(node[ok])
         if not left:
             return rep[:0], rep[:0]
-        left, right, far = np.concatenate(left), np.concatenate(right), np.concatenate(far)
-        if which != "forest":
-            # Either end may have searched for the other: the larger comes first.
-            swap = rep[left] < rep[right]
-            left, right = np.where(swap, right, left), np.where(swap, left, right)
-            if which == "nearest":
-                chosen = []
-                for own, other in ((left, right), (right, left)):
-                    order = np.lexsort((rep[other], far, own))
-                    chosen.append(order[np.r_[True, own[order][1:] != own[order][:-1]]] if len(order) else order)
-                some = np.unique(np.concatenate(chosen))
-                left, right = left[some], right[some]
-            return rep[left], rep[right]
-        label = least_labels(len(rep), left, right)
+        label = least_labels(len(rep), np.concatenate(left), np.concatenate(right))
         own = label != np.arange(len(rep))
         return rep[own], rep[label[own]]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for cols in batches(rows, "key", "part", "role", "fp", "rep", "apart"):
-            now = [np.asarray(c) for c in cols]
-            now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            key, part = now[:2]
-            cut = int(np.flatnonzero((key != key[-1]) | (part != part[-1]))[-1]) + 1 if ((key != key[-1]) | (part != part[-1])).any() else 0
-            held = [x[cut:] for x in now]
-            if cut:
-                a, b = solve(*(x[:cut] for x in (key, part, now[2], now[3].view(np.uint64), now[4], now[5])))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        if held is not None:
-            a, b = solve(held[0], held[1], held[2], held[3].view(np.uint64), held[4], held[5])
+        for key, part, role, code, rep in whole_parts(rows, "key", "part", "role", "fp", "rep"):
+            a, b = solve(key, part, role, code.view(np.uint64), rep)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def links(codes: DataFrame, radius: int = 3, blocks: int = 5, shard_rows: int = SHARD_ROWS, nearest: bool = False) -> DataFrame:
+def links(codes: DataFrame, radius: int = 3, blocks: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b) links between representatives of distinct fingerprints (fp, rep) within the radius.
 
-    By default a spanning forest of each shard's links: no link is lost for components, and none of a crowd's many
-    pairs is emitted. With `nearest`, each fingerprint's nearest ones of a smaller and of a larger representative in each
-    part of a shard, a > b: whoever has a partner is in a link.
+    A spanning forest of each shard's links: no link is lost for components, and none of a crowd's many pairs is emitted.
     """
-    return _links(codes.withColumn("apart", F.col("rep")), radius, blocks, shard_rows, "nearest" if nearest else "forest")
-
-
-def links_apart(codes: DataFrame, radius: int, blocks: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b), a > b: all links between rows (fp, rep, apart) whose `apart` differs. Fingerprints may repeat."""
-    return _links(codes, radius, blocks, shard_rows, "all")
-
-
-def _links(codes: DataFrame, radius: int, blocks: int, shard_rows: int, which: str) -> DataFrame:
     if blocks <= radius:
         raise ValueError("blocks must exceed radius")
     dealt = _shards(codes, radius, blocks, shard_rows)
     dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
-    return dealt.mapInArrow(_search_shards(radius, which), "a long, b long").distinct()
+    return dealt.mapInArrow(_search_shards(radius), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -260,67 +203,3 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, blocks:
     labels = written(labels, "labels")
     discard(codes)
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, shingles): the distinct 32-bit hashes of each text's word shingles."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in batches(rows, "doc_id", "text"):
-            out = []
-            for lo, hi, data, at in text_chunks(texts):
-                raw = data.tobytes()
-                for k in range(hi - lo):
-                    parts = raw[at[k] : at[k + 1]].lower().split()
-                    some = [b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))] if parts else []
-                    out.append(np.unique(np.array([xxhash.xxh32_intdigest(x, 42) for x in some], np.uint32)).view(np.int32))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(pa.int32()))], ["doc_id", "shingles"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, shingles array<int>")
-
-
-def near_duplicates(docs: DataFrame, radius: int = 7, blocks: int = 9, verify_words: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 7), shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, component_id) per doc_id: groups of texts whose word shingles overlap (Jaccard) by `similarity` or more.
-
-    Texts of the same words are one class, whatever their number. For each seed a SimHash fingerprint; classes within
-    `radius` bits of one of them are candidates. First the nearest ones in every shard, and the first class of an equal
-    fingerprint, are verified on the exact sets of `verify_words`-word shingles and united; then all other candidates that
-    are not in one group already. So every pair within the radius is verified or in one group. Wordless and null texts form
-    one class. Rows without doc_id are left out; repeated ids count once.
-    """
-    prints = written(seeded_fingerprints(docs, seeds).where(F.col("doc_id").isNotNull()), "prints")
-    lines = written(prints.groupBy("line").agg(F.min("doc_id").alias("own"), *(F.first(f"fp{k}").alias(f"fp{k}") for k in range(len(seeds)))), "lines")
-    proposed, owns = [], []
-    for k in range(len(seeds)):
-        own = lines.select("own", F.col(f"fp{k}").alias("fp"))
-        codes = written(own.groupBy("fp").agg(F.min("own").alias("rep"), F.count(F.lit(1)).alias("classes")), "codes")
-        # Classes with the fingerprint of another are compared with its first; fingerprints by their trees.
-        near = written(links(codes.select("fp", "rep"), radius, blocks, shard_rows, nearest=True), "near")
-        proposed += [near, own.join(codes, "fp").where("own <> rep").select(F.col("own").alias("a"), F.col("rep").alias("b"))]
-        # Fingerprints that have a partner, or several classes: only these can have further candidates.
-        some = codes.join(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct().hint("merge"), "rep", "left_semi").select("fp")
-        owns.append(own.join(some.unionByName(codes.where("classes > 1").select("fp")).distinct().hint("merge"), "fp", "left_semi"))
-    pairs = written(reduce(DataFrame.unionByName, proposed).distinct(), "pairs")
-    # Merge joins by choice: the ids grow with the documents, so they are never broadcast, at any size.
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")
-    sets = written(shingle_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi"), verify_words), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        # Sets whose sizes differ by more than the similarity allows are not fetched.
-        sizes = sets.select("doc_id", F.size("shingles").alias("n")).distinct().hint("merge")
-        sized = pairs.join(sizes.toDF("a", "m"), "a").join(sizes.toDF("b", "n"), "b").where(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-6).select("a", "b")
-        left, right = sets.toDF("a", "x").hint("merge"), sets.toDF("b", "y").hint("merge")
-        both = F.size(F.array_intersect("x", "y"))
-        alike = F.when((F.size("x") == 0) & (F.size("y") == 0), 1.0).otherwise(both / (F.size("x") + F.size("y") - both))
-        return sized.join(left, "a").join(right, "b").where(alike >= similarity).select("a", "b")
-
-    good = written(verified(pairs), "good")
-    groups = written(connected_components(good), "groups").hint("merge")
-    rest = []
-    for own in owns:
-        grouped = own.join(groups, own.own == groups.id, "left").select("fp", F.col("own").alias("rep"), F.coalesce("component", "own").alias("apart"))
-        rest.append(written(links_apart(written(grouped, "apart"), radius, blocks, shard_rows), "rest"))
-    rest = reduce(DataFrame.unionByName, rest).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti")
-    found = connected_components(good.unionByName(verified(rest)))
-    labels = written(lines.join(found, lines.own == found.id, "left").select("line", F.coalesce("component", "own").alias("component_id")), "labels")
-    return prints.join(labels, "line").select("doc_id", "component_id").distinct()

@@ -11,9 +11,12 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from censa.llm import byte_digest, chat, common, components, embedding_dedup, html_text, mixing, packing, quality, secret_scan, simhash, warc
+import corpus_pipeline
+from censa.llm import byte_digest, chat, common, components, embedding_dedup, html_text, mixing, near_duplicates, packing, quality, secret_scan, simhash, warc
 
 SF = "/root/testdata/sf0.001"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -176,41 +179,53 @@ def test_links_lose_nothing(spark, radius, blocks):
     for shard_rows in (8, 1024):
         found = components.connected_components(simhash.links(df, radius, blocks, shard_rows)).collect()
         assert {k: v for k, v in want.items() if v != k} == {x.id: x.component for x in found if x.id != x.component}
-    near = simhash.links(df, radius, blocks, nearest=True).collect()
-    assert all(x.b < x.a and (codes[x.a] ^ codes[x.b]).bit_count() <= radius for x in near)
-
-
-def test_nearest_and_all_links_in_chunks(spark):
-    r = random.Random(5)
-    base = [r.getrandbits(64) for _ in range(3)]
-    codes = list({b ^ sum(1 << k for k in r.sample(range(64), r.randrange(5))) for b in base for _ in range(40)})
-    ids = r.sample(range(1000), len(codes))
-    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
-    pairs = {(max(i, j), min(i, j)) for (i, x), (j, y) in combinations(zip(ids, codes, strict=True), 2) if (x ^ y).bit_count() <= 3}
-    df = spark.createDataFrame(list(zip(signed, ids, strict=True)), "fp long, rep long")
-    found = {(x.a, x.b) for x in simhash.links(df, 3, 5, shard_rows=8, nearest=True).collect()}
-    assert found <= pairs and {a for a, _ in found} == {a for a, _ in pairs} and {b for _, b in found} == {b for _, b in pairs}
-    # All links, fingerprints repeated, less those within a group.
-    twice = list(zip(signed, ids, [i % 7 for i in ids], strict=True)) + [(signed[0], 2000 + k, 7) for k in range(20)]
-    code = {i: f % (1 << 64) for f, i, _ in twice}
-    want = {(max(i, j), min(i, j)) for (_, i, g), (_, j, h) in combinations(twice, 2) if g != h and (code[i] ^ code[j]).bit_count() <= 3}
-    rows = spark.createDataFrame(twice, "fp long, rep long, apart long")
-    for shard_rows in (8, 1024):
-        assert {(x.a, x.b) for x in simhash.links_apart(rows, 3, 5, shard_rows).collect()} == want
 
 
-@pytest.mark.parametrize("shard_rows", [8, 1024])
-def test_near_duplicates_reach_all_pairs_within_the_radius(spark, shard_rows):
+def plain_shingles(t, k=5):
+    w = re.findall(common.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def plain_groups(rows, similarity=0.8):
+    """Groups of (id, text) rows by all pairs."""
+    sets = {d: plain_shingles(t) for d, t in rows}
+    alike = lambda x, y: x == y or len(x & y) >= similarity * len(x | y)
+    return roots(sets, [(a, b) for a, b in combinations(sets, 2) if alike(sets[a], sets[b])])
+
+
+@pytest.mark.parametrize("token_rows", [4, 1024])
+def test_near_duplicates_match_all_pairs(spark, token_rows):
+    passage = text(999, 60)
     rows = [(10 * k + j, near(text(50 + k, 150), 7 * k + j, 0.03)) for k in range(6) for j in range(10)]
-    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.lower().split()]}
-    prints = {d: [simhash._simhash(t.lower().encode().split(), 3, seed) for seed in (42, 7)] for d, t in rows}
-    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
-    close = lambda a, b: any((x ^ y).bit_count() <= 16 for x, y in zip(prints[a], prints[b], strict=True))
-    want = roots(sets, [(a, b) for a, b in combinations(sets, 2) if close(a, b) and alike(a, b)])
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    # A wide radius (whose shards are kept few by the test's size) proposes many pairs that are not alike.
-    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, radius=16, blocks=17, shard_rows=shard_rows).collect()}
-    assert found == want and 6 < len(set(want.values())) < 60
+    rows += [(200 + k, near(text(k % 4, 12 + 3 * (k % 4)), k, 0.05)) for k in range(40)] + [(300 + k, passage + " " + text(300 + k, 20 * (k % 9))) for k in range(40)]
+    rows += [(400, ""), (401, None), (402, " \n"), (403, "A b c"), (404, "a B  c"), (405, "a b"), (406, text(50, 150) + " " + text(50, 150)), (407, text(50, 150).upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(df, token_rows=token_rows).collect()}
+    want = plain_groups(rows)
+    assert found == want and 60 < len(set(want.values())) < len(rows) - 20
+
+
+@given(st.lists(st.lists(st.sampled_from("ab"), max_size=9), min_size=2, max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_similar_sets_share_a_token_of_their_prefixes(texts):
+    raw = [" ".join(t).encode() for t in texts]
+    at = np.cumsum([0, *map(len, raw)])
+    sets = near_duplicates.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), at, 2)
+    for (x, s), (y, t) in combinations(zip(texts, sets, strict=True), 2):
+        plain = [{tuple(z[i : i + 2]) for i in range(max(1, len(z) - 1))} if z else set() for z in (x, y)]
+        assert (len(s), len(t), len(np.intersect1d(s, t))) == (len(plain[0]), len(plain[1]), len(plain[0] & plain[1]))
+        assert (near_duplicates.set_hash(s) == near_duplicates.set_hash(t)) == (plain[0] == plain[1])
+        if len(s) and len(np.intersect1d(s, t)) >= 0.8 * len(np.union1d(s, t)):
+            assert set(s[: near_duplicates.prefix_length(len(s), 0.8)]) & set(t[: near_duplicates.prefix_length(len(t), 0.8)])
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, text(1, 50)), (1, text(2, 50)), (2, text(1, 50)), (3, text(3, 50)), (3, text(3, 50)), (None, text(4, 50)), (None, text(4, 50)), (None, text(3, 50)), (5, text(4, 50)), (None, text(6, 50)), (None, text(6, 50)), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).alias("_own"), F.lit(0).alias("_h"), F.lit(0).alias("_k"))
+    out = corpus_pipeline.one_of_each(spark, df, None)
+    assert out.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(1, text(1, 50)), (1, text(2, 50)), (3, text(3, 50)), (5, text(4, 50)), (None, text(6, 50)), (7, None)])
+    assert corpus_pipeline.one_of_each(spark, df.limit(0), None).count() == 0
 
 
 def test_bk_trees_follow_only_edges_within_the_radius():
@@ -224,11 +239,11 @@ def test_bk_trees_follow_only_edges_within_the_radius():
 
 
 def test_near_duplicates_are_verified(spark, docs):
-    rows = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    rows = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs).collect()}
     assert {rows[100 + k] for k in range(25)} == {rows[100]} and {rows[200 + k] for k in range(10)} == {rows[200]}
     assert rows[300] == rows[301] == rows[302] == 300
     assert all(rows[k] == k for k in range(20) if k != 7) and rows[306] == 306 and rows[303] == 303
-    assert simhash.near_duplicates(empty(docs)).count() == 0
+    assert near_duplicates.near_duplicates(empty(docs)).count() == 0
 
 
 # Components
