@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from censa.llm import common, mixing, packing, quality, secret_scan, simhash
+from censa.llm import common, mixing, near_duplicates, packing, quality, secret_scan
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,14 +17,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near-duplicates (five-word shingles, 0.8), and rows without doc_id."""
-    own, k = common.fresh(docs, "_own", "_k")
-    gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(own))
-    repeated = docs.select("doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias(k)).where(F.col(k) > 1).select(F.col("doc_id").alias(own))
-    left = docs.join(gone.unionByName(repeated).hint("merge"), F.col("doc_id") == F.col(own), "left_anti")
-    # Of rows that repeat an id (none, as a rule), one stays if its group keeps that id.
-    again = docs.join(repeated, F.col("doc_id") == F.col(own), "left_semi").join(gone, F.col("doc_id") == F.col(own), "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    """Keeps one document of each group of near-duplicates (five-word shingles, 0.8 or more, directly or through others).
+
+    The smallest doc_id stays, rows without doc_id last, ties by a hash of the text; rows that repeat an id with another text
+    are documents of their own. Null, empty and wordless texts are one group. An empty table stays empty.
+    """
+    own, h, k = common.fresh(docs, "_own", "_h", "_k")
+    gone, repeated = (df.toDF(own, h) for df in near_duplicates.surplus(docs))
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (text_hash == F.col(h))
+    left = docs.join(gone.unionByName(repeated).hint("merge"), same, "left_anti")
+    # Of rows that repeat both id and text (few, as a rule) one is left.
+    again = docs.join(repeated.hint("merge"), same, "left_semi").join(gone.hint("merge"), same, "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id", text_hash).orderBy(F.xxhash64("source", "lang")))
     return left.unionByName(again.withColumn(k, first).where(F.col(k) == 1).drop(k))
 
 
