@@ -12,6 +12,7 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -121,21 +122,27 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Incompressible candidates in a sensitive context that overlap no base span."""
-    out, words, k = [], None, 0
+    """Incompressible candidates in a sensitive context that overlap no base span.
+
+    Candidates need a digit and a letter: without one of them, long numbers and identifiers are as new as a secret is.
+    """
+    out, begins, ends, k = [], None, None, 0
     taken = sorted((s, e) for s, _, e, _ in base)
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
         while k < len(taken) and taken[k][1] <= s:
             k += 1
-        if any(a < e and b > s for a, b in taken[k : k + 8]):
+        if k < len(taken) and taken[k][0] < e:
             continue
         own = m[0]
         if not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)) or len(set(own)) < 8:
             continue
-        if words is None:
+        if begins is None:
             words = [w.span() for w in _SENSITIVE.finditer(text)]
-        if any(s - REACH <= b and a < s for a, b in words) and is_novel(text, s, e):
+            begins, ends = [a for a, _ in words], [b for _, b in words]
+        # Some word ends after s - REACH and begins before s: both lists are sorted, so it is the first that ends late enough.
+        at = bisect_left(ends, s - REACH)
+        if at < len(begins) and begins[at] < s and is_novel(text, s, e):
             out.append((s, 3, e, s))
     return out
 
