@@ -16,8 +16,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ PER_FILTER = 128
 FILTER_BITS = 2048
 HASHES = 5
 #: (texts of fewer bytes, window)
-SHORT = ((256, 4), (32, 2))
+SHORT = ((256, 4), (32, 2), (2, 1))
 #: Entropies are kept as whole multiples of a hundredth of a bit, times the window length.
 CLASSES = 1 + WINDOW * 400
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -188,23 +188,32 @@ def rarity(docs: DataFrame) -> np.ndarray:
 def _with_next(docs: DataFrame, rows_each: int) -> DataFrame:
     """(bucket, copy, doc_id, text), sorted within partitions so that each row is followed by its next document.
 
-    Documents are dealt into ranges of ids; the first document of a range is also sent, as a copy, to the end of the range
-    before it, and the very first to the last range. Ranges come from quantiles of the ids alone, so whole texts are
-    shuffled once. The bounds are one number for each range.
+    Documents are dealt into ranges of (doc_id, hash of the text); the first document of a range is also sent, as a copy, to the end
+    of the range before it, and the very first to the last range. The ranges are those into which Spark sorts the ids
+    alone, so whole texts are shuffled once. What reaches the driver and the tasks is the head of each range: 16 bytes
+    for `rows_each` documents.
     """
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", key)
-    ids = rows.select(F.col("key"), F.col("key").cast("double").alias("at"))
-    total = ids.count()
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_each))
-    bounds = sorted(set(ids.approxQuantile("at", [k / ranges for k in range(1, ranges)], 0.2 / ranges))) if total else []
-    deal = Bucketizer(splits=[-float("inf"), *bounds, float("inf")] if bounds else [-float("inf"), 0.0, float("inf")], inputCol="at", outputCol="bucket")
-    heads = sorted((r["bucket"], r["head"]) for r in deal.transform(ids).groupBy("bucket").agg(F.min("key").alias("head")).collect())  # a row for each range
-    targets = docs.sparkSession.createDataFrame([(h, heads[k - 1][0]) for k, (_, h) in enumerate(heads)], "key long, target double")
-    dealt = deal.transform(rows.withColumn("at", F.col("key").cast("double"))).join(F.broadcast(targets), "key", "left")
-    places = F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(0).alias("copy")), F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("bucket"), F.lit(1).alias("copy")))))
-    dealt = dealt.select(F.explode(places).alias("p"), "key", "doc_id", "text")
-    dealt = dealt.select("p.bucket", "p.copy", "key", F.xxhash64("text").alias("tie"), "doc_id", "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(text).alias("tie"))
+    ids = rows.select("key", "tie")
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // rows_each))
+    found = ids.repartitionByRange(ranges, "key", "tie").groupBy(F.spark_partition_id().alias("range")).agg(F.min(F.struct("key", "tie")).alias("head"))
+    heads = np.array(sorted((r.head.key, r.head.tie) for r in found.collect()), np.dtype([("key", np.int64), ("tie", np.int64)]))
+    shared = docs.sparkSession.sparkContext.broadcast(heads)
+
+    def places(key: pd.Series, tie: pd.Series) -> pd.Series:
+        """The range of each row, twice that number and one more where the row is the head of its range."""
+        heads = shared.value
+        own = np.empty(len(key), heads.dtype)
+        own["key"], own["tie"] = key.to_numpy(), tie.to_numpy()
+        at = np.searchsorted(heads, own, "right") - 1
+        return pd.Series(2 * at + (heads[at] == own))
+
+    place = F.pandas_udf(places, "long")
+    dealt = rows.withColumn("place", place("key", "tie"))
+    bucket, n = F.shiftright("place", 1), max(1, len(heads))
+    sent = F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("copy")), F.when(F.col("place") % 2 == 1, F.struct(F.pmod(bucket - 1, F.lit(n)).alias("bucket"), F.lit(1).alias("copy"))))
+    dealt = dealt.select(F.explode(F.array_compact(sent)).alias("p"), "key", "tie", "doc_id", "text").select("p.bucket", "p.copy", "key", "tie", "doc_id", "text")
     return dealt.repartition(ranges, "bucket").sortWithinPartitions("bucket", "copy", "key", "tie")
 
 
