@@ -23,6 +23,8 @@ ARCHIVE_BYTES = 8 << 20
 #: Compressed bytes of one row of an archive table; the archive is the concatenation of its rows.
 PIECE_BYTES = 1 << 20
 LEVEL = 3
+#: Archives that a task reads, about.
+ARCHIVES_EACH = 2
 
 
 class WarcError(ValueError):
@@ -195,7 +197,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    ordered = archives.repartition("archive").sortWithinPartitions("archive", "piece")
+    # An archive has a bounded size, so partitions are counted by archives and grow with the data.
+    some = archives.select("archive").distinct().count() // ARCHIVES_EACH
+    parts = max(1, some, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = archives.repartition(parts, "archive").sortWithinPartitions("archive", "piece")
     return ordered.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
