@@ -67,7 +67,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     size counts words. A bin holds at most `capacity` words, at most `per_source` pieces of a source (null is a source of
     its own) and no two pieces of one duplicate cluster; clusters are equal texts (null: empty), so copies of a document
     and pieces of one document never share a bin. Texts without words have one piece of size 0. Repeated rows and null
-    ids are packed like any other; an empty table gives an empty result; further columns are ignored.
+    ids are packed like any other; an empty table gives an empty result; further columns are ignored. The bins are the
+    same however the rows are partitioned.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -81,11 +82,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
         F.explode(F.sequence(F.lit(0), full)).alias("piece"),
     ).withColumn("first_word", F.col("piece").cast("long") * capacity)
     pieces = pieces.withColumn("size", F.least(F.col("words") - F.col("first_word"), F.lit(capacity).cast("long"))).drop("words")
-    pieces = written(pieces, "pieces")
-    shards = max(1, -(-pieces.count() // shard_rows))
-    # Copies of a row (same id) are told apart by a number within the id's rows, so each has a shard of its own.
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", F.desc("size"), "doc_id", "piece")
+    # Equal rows are counted and made anew with numbers, so that bins do not depend on how the input is partitioned.
+    own = ["doc_id", "source", "cluster", "piece", "first_word", "size"]
+    pieces = written(pieces.groupBy(*own).agg(F.count(F.lit(1)).alias("rows")), "pieces")
+    total = pieces.agg(F.sum("rows")).first()[0] or 0
+    shards = max(1, -(-total // shard_rows))
+    # Two steps, so that no row holds a list as long as its count.
+    step = F.ceil(F.sqrt("rows")).cast("long")
+    dealt = pieces.withColumn("step", step).withColumn("begin", F.explode(F.expr("sequence(0L, rows - 1, step)")))
+    dealt = dealt.withColumn("number", F.explode(F.expr("sequence(begin, least(rows, begin + step) - 1)")))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster", "piece", "number"), F.lit(shards)))
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", F.desc("size"), "doc_id", "piece", "source", "cluster", "number")
 
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, packer = None, None
