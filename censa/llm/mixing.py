@@ -6,8 +6,8 @@ source the order goes by size class, then by a hash, then by size, so that copie
 documents and the words taken stay near the target.
 
 The running sum needs no task that holds a whole source: a document's place is the number of documents in earlier cells
-(source, size class, hash slice), from a table with a bounded number of rows a source, plus its place in its cell. The
-number of slices grows with the table, so a cell keeps about the same number of rows at every scale.
+(source, size class, hash slice), summed in two levels, plus its place in its cell. The number of slices grows with the
+table, so a cell keeps about the same number of rows at every scale.
 """
 
 from __future__ import annotations
@@ -38,6 +38,10 @@ def _targets(sources: DataFrame, largest: int) -> DataFrame:
     return sources.withColumn("target", F.least(capped, F.col("level") * F.col("weight")))
 
 
+def _text_hash(text):
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def mix(docs: DataFrame, seed: str = "mix", largest: int = LARGEST_REPEAT) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) per row of `docs`.
 
@@ -46,42 +50,57 @@ def mix(docs: DataFrame, seed: str = "mix", largest: int = LARGEST_REPEAT) -> Da
     target 0 and no copies. Rows that repeat a doc_id are documents of their own; null ids are allowed. An empty table
     gives an empty result; further columns are ignored. The same table gives the same copies on every run.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    return _mixed(docs, seed, largest).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _mixed(docs: DataFrame, seed: str, largest: int) -> DataFrame:
+    """(doc_id, source, h, number, size, source_size, target, copies) per row: h a hash of the text, number that of the row among equal ones, from 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), _text_hash(F.col("text")).alias("h"))
     binary = F.bin("size")
     rows = rows.select("*", F.expr(_HASH).cast("long").alias("hash"), F.concat(F.lpad(F.length(binary), 2, "0"), F.substring(binary, 1, 3)).alias("size_class"))
-    rows = written(rows, "sizes")  # a few numbers a document; texts are read once
-    total = rows.count()
+    # Equal rows (null ids, repeated rows) are counted, so that no slice is crowded by one id. Texts are read once.
+    rows = written(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    total = rows.agg(F.sum("rows")).first()[0] or 0
     slices = 16 * max(1, -(-total // 500_000))
     rows = rows.withColumn("slice", F.col("hash") % slices)
     cell = ["source", "size_class", "slice"]
-    cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    in_source = Window.partitionBy("source").orderBy("size_class", "slice")
-    cells = cells.withColumn("ahead", F.sum("n").over(in_source) - F.col("n"))
-    cells = written(cells, "cells")
-    sources = _targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), largest)
+    cells = written(rows.groupBy(*cell).agg(F.sum("rows").alias("n"), F.sum(F.col("rows") * F.col("size")).alias("words")), "cells")
+    # Prefix sums in two levels: over the size classes of a source (a few dozen), and over the slices of a size class.
+    classes = cells.groupBy("source", "size_class").agg(F.sum("n").alias("rows"), F.sum("words").alias("words"))
+    classes = written(classes.withColumn("before", F.sum("rows").over(Window.partitionBy("source").orderBy("size_class")) - F.col("rows")), "classes")
+    sources = _targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), largest)
     sources = sources.select(F.col("source").alias("s"), "source_size", "target", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))), 1, 5), 16, 10).cast("double") / (1 << 20)).alias("offset"))
-    cells = written(cells.join(sources, F.col("source").eqNullSafe(F.col("s"))).select(*cell, "ahead", "source_size", "target", "offset"), "shares")
+    classes = classes.join(sources, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("size_class").alias("c"), "before", "source_size", "target", "offset")
+    cells = cells.withColumn("ahead", F.sum("n").over(Window.partitionBy("source", "size_class").orderBy("slice")) - F.col("n"))
+    cells = cells.join(classes, F.col("source").eqNullSafe(F.col("s")) & (F.col("size_class") == F.col("c")))
     # The cell's facts join a table of plain rows, so a crowded cell can be split; places within a cell follow.
-    cells = cells.select(F.col("source").alias("s"), F.col("size_class").alias("c"), F.col("slice").alias("l"), "ahead", "source_size", "target", "offset")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*cell).orderBy("size", "hash", "doc_id")))
+    cells = written(cells.select("s", "c", F.col("slice").alias("l"), (F.col("before") + F.col("ahead")).alias("ahead"), "source_size", "target", "offset"), "shares")
+    order = Window.partitionBy(*cell).orderBy("size", "hash", "doc_id", "h")
+    rows = rows.withColumn("inside", F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("rows"))
     rows = rows.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("size_class") == F.col("c")) & (F.col("slice") == F.col("l")))
+    # Two steps, so that no row holds a list as long as its count.
+    rows = rows.withColumn("step", F.ceil(F.sqrt("rows")).cast("long")).withColumn("begin", F.explode(F.expr("sequence(0L, rows - 1, step)")))
+    rows = rows.withColumn("number", F.explode(F.expr("sequence(begin, least(rows, begin + step) - 1)")))
+    rows = rows.withColumn("place", F.col("inside") + F.col("number") + 1)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     upto = lambda k: F.floor(k * each + F.col("offset"))
     at = F.col("ahead") + F.col("place")
     copies = F.least(F.lit(largest).cast("long"), upto(at) - upto(at - 1))
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-
+    return rows.select("doc_id", "source", "h", "number", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix", largest: int = LARGEST_REPEAT) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it; rows that share a doc_id are told apart by source and size."""
-    row, own, k, times, copy = fresh(docs, "_row", "_own", "_k", "_times", "_copy")
-    copies = mix(docs, seed, largest)
-    copies = copies.select(F.col("doc_id").alias(own), F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")).alias(k), F.col("copies").alias(times))
-    ordered = Window.partitionBy(F.col("doc_id").cast("long")).orderBy(F.col("source").cast("string"), word_count(F.col("text").cast("string")))
-    rows = docs.withColumn(row, F.row_number().over(ordered))
+    """The rows of `docs`, each as often as the mix takes it.
+
+    Rows that share a doc_id are told apart by source and a hash of the text, so reruns repeat the same rows. Nulls, empty
+    tables and clashing columns as in `mix`.
+    """
+    row, own, src, h, k, times, copy = fresh(docs, "_row", "_own", "_source", "_h", "_k", "_times", "_copy")
+    copies = _mixed(docs, seed, largest).where("copies > 0").select(F.col("doc_id").alias(own), F.col("source").alias(src), F.col("h").alias(h), F.col("number").alias(k), F.col("copies").alias(times))
+    key = (F.col("doc_id").cast("long"), F.col("source").cast("string"), _text_hash(F.col("text")))
+    rows = docs.withColumn(row, F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))) - 1)
     # A merge join by choice: the copies grow with the documents, so they are never broadcast, at any size.
-    rows = rows.join(copies.where(F.col(times) > 0).hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(row) == F.col(k)))
+    rows = rows.join(copies.hint("merge"), key[0].eqNullSafe(F.col(own)) & key[1].eqNullSafe(F.col(src)) & (key[2] == F.col(h)) & (F.col(row) == F.col(k)))
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(copy)).drop(copy)
 
 
