@@ -133,6 +133,74 @@ def test_digests(docs):
     assert byte_digest.digests(empty(docs)).count() == 0
     (one,) = byte_digest.digests(docs.where("doc_id = 3")).collect()
     assert one.near_next == 1.0
+    # Likenesses anew, from plain filters of the texts one by one.
+    ranks = byte_digest.rarity(docs)
+    texts = [t for _, t in order]
+    want = Counter()
+    for k, t in enumerate(texts):
+        n, following = len(t) // 2, texts[(k + 1) % len(texts)]
+        a, b, c = (plain_filters(x, ranks) for x in (t, t[: len(t) - n] + following[:n], following))
+        want[(order[k][0], len(t), round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9))] += 1
+    assert Counter((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_chars, round(r.near_edited, 9), round(r.near_next, 9)) for r in rows) == want
+
+
+def plain_filters(t, ranks):
+    """The chain of filters of a text as sets of bits, by the definition: neighbourhoods one after another."""
+    data, w = t.encode(), byte_digest.WINDOW
+    f = [0.0] + [n * math.log2(n) for n in range(1, w + 1)]
+    steps = [round(100 * x) for x in f]
+
+    def rank(at):
+        counts = Counter(data[at : at + w]).values()
+        return ranks[round(100 * w * math.log2(w)) - sum(steps[c] for c in counts)], at
+
+    n, hood = len(data) - w + 1, byte_digest.NEIGHBOURHOOD
+    places = []
+    if n > 0:
+        each = [rank(at) for at in range(n)]
+        firsts = [min(each[at : at + hood])[1] for at in range(max(1, n - hood + 1))]
+        often = Counter(firsts)
+        chosen = {at for at, c in often.items() if c >= min(byte_digest.POPULARITY, len(firsts))}
+        bare = [k for k in range(-(-n // hood)) if not any(k * hood <= at < (k + 1) * hood for at in chosen)]
+        places = [(at, w) for at in sorted(chosen | {firsts[min(k * hood, len(firsts) - 1)] for k in bare})]
+    for below, width in byte_digest.SHORT:
+        if width <= len(data) < below:
+            places += [(at, width) for at in range(len(data) - width + 1)]
+    keys, seen = [], set()
+    for at, width in sorted(places, key=lambda p: p[0]):
+        h = width
+        for b in data[at : at + width]:
+            h = ((h ^ b) * 0x9E3779B97F4A7C15) % (1 << 64)
+            h ^= h >> 29
+        if h not in seen:
+            seen.add(h)
+            keys.append(h)
+    size = byte_digest.PER_FILTER
+    return [{(h >> 11 * k) % byte_digest.FILTER_BITS for h in keys[i : i + size] for k in range(byte_digest.HASHES)} for i in range(0, max(1, len(keys)), size)]
+
+
+def plain_likeness(a, b):
+    a, b = sorted((a, b), key=len)
+    if not any(a) or not any(b):
+        return float(not any(a) and not any(b))
+    total = sum(max(len(x), 1e-9) for x in a)
+    best = [max((max(len(x & y) - len(x) * len(y) / 2048, 0) / max(min(len(x), len(y)) - len(x) * len(y) / 2048, 1e-9) for y in b if x and y), default=0.0) for x in a]
+    return min(1.0, sum(max(len(x), 1e-9) * v for x, v in zip(a, best, strict=True)) / total)
+
+
+def test_likeness_of_tiny_texts():
+    ranks = np.arange(byte_digest.CLASSES)
+    prints = [byte_digest.fingerprints([t], ranks)[0] for t in (b"x", b"y", b"", b"", b"xy")]
+    like = lambda i, j: byte_digest.likeness(prints[i], prints[j])
+    assert like(0, 0) == like(2, 3) == 1.0 and like(0, 1) < 0.1 and like(0, 2) == like(2, 4) == 0.0
+
+
+def test_ranges_split_rows_of_one_id(spark):
+    rows = [(None, text(k, 5)) for k in range(60)] + [(k, text(k, 3)) for k in range(30)] + [(7, text(7, 3))] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt = byte_digest._with_next(df, 10)
+    parts = Counter(r.bucket for r in dealt.where("copy = 0").collect())
+    assert max(parts.values()) < 50 and sum(parts.values()) == len(rows)
 
 
 def common_hash(t):
@@ -487,6 +555,35 @@ def test_packing(spark, docs):
         assert max(Counter(r.source for r in held).values()) <= 2
         assert max(Counter(r.cluster for r in held).values()) == 1
     assert packing.pack(empty(docs)).count() == 0
+    # Whatever the partitions of the input: the bins of a plain best-fit over the rows of each shard.
+    key = lambda r: (r.doc_id is None, r.doc_id, r.piece, r.source or "", r.cluster, r.bin_id)
+    assert sorted(map(key, packing.pack(many.repartition(9), capacity=100, per_source=2, shard_rows=64).collect())) == sorted(map(key, rows))
+    (shards,) = {max(r.bin_id >> 32 for r in rows) + 1}
+    assert shards == -(-len(rows) // 64)
+    pieces = [(r.bin_id >> 32, -r.size, r.bin_id, r.source, r.cluster) for r in rows]
+    for shard in {p[0] for p in pieces}:
+        left, held = {}, defaultdict(list)
+        own = [p for p in pieces if p[0] == shard]
+        for size in sorted({-p[1] for p in own}, reverse=True):
+            for _, _, number, source, cluster in (p for p in own if -p[1] == size):
+                assert sum(s == source for s, _ in held[number]) < 2 and cluster not in [c for _, c in held[number]]
+                held[number].append((source, cluster))
+                left[number] = left.get(number, 100) - size
+        assert min(left.values()) >= 0
+
+
+@given(st.lists(st.tuples(st.integers(0, 12), st.sampled_from("abc"), st.one_of(st.none(), st.integers(0, 4))), max_size=40), st.integers(1, 3))
+@settings(max_examples=200, deadline=None)
+def test_best_fit_equals_a_plain_search(pieces, per_source):
+    packer, bins = packing.BestFit(12, per_source), []
+    for size, source, cluster in pieces:
+        fits = [k for k, (left, held) in enumerate(bins) if left >= size and left > 0 and sum(s == source for s, _ in held) < per_source and (cluster is None or cluster not in [c for _, c in held])]
+        best = min(fits, key=lambda k: (bins[k][0], k), default=len(bins))
+        if best == len(bins):
+            bins.append([12, []])
+        bins[best][0] -= size
+        bins[best][1].append((source, cluster))
+        assert packer.add(size, source, cluster) == best
 
 
 def test_best_fit_takes_the_tightest_compatible_bin():
@@ -542,6 +639,17 @@ def test_mix(spark, docs):
     assert mixing.mix(empty(docs)).count() == 0
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in rows)
+    once = sorted(map(str, out.collect()))
+    assert once == sorted(map(str, mixing.mixed_documents(docs.repartition(7)).collect()))
+
+
+def test_rows_without_id_spread_over_cells(spark):
+    rows = [(None, None, None)] * 500 + [(None, "w " * (k % 7), "s") for k in range(200)] + [(k, "w " * 9, "s") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df).collect()
+    assert len(out) == len(rows) and all(r.copies == (r.target > 0) * r.copies for r in out)
+    assert abs(sum(r.taken for r in out) - sum(r.size for r in out)) <= 9
+    assert mixing.mixed_documents(df).count() == sum(r.copies for r in out)
 
 
 def test_systematic_counts_follow_the_offset(spark):
