@@ -163,7 +163,7 @@ def whole_parts(rows: Iterator[pa.RecordBatch], key: str, part: str, *names: str
     """The columns as arrays, in runs that hold complete (key, part) groups; rows come sorted by them."""
     held = None
     for cols in batches(rows, key, part, *names):
-        now = [np.asarray(c) for c in cols]
+        now = [c.to_numpy(zero_copy_only=False) for c in cols]
         now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
         before = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
         cut = int(before[-1]) + 1 if len(before) else 0

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -284,7 +285,24 @@ def test_similar_sets_share_a_token_of_their_prefixes(texts):
         assert (len(s), len(t), len(np.intersect1d(s, t))) == (len(plain[0]), len(plain[1]), len(plain[0] & plain[1]))
         assert (near_duplicates.set_hash(s) == near_duplicates.set_hash(t)) == (plain[0] == plain[1])
         if len(s) and len(np.intersect1d(s, t)) >= 0.8 * len(np.union1d(s, t)):
-            assert set(s[: near_duplicates.prefix_length(len(s), 0.8)]) & set(t[: near_duplicates.prefix_length(len(t), 0.8)])
+            shared = set(s[: near_duplicates.prefix_length(len(s), 0.8)]) & set(t[: near_duplicates.prefix_length(len(t), 0.8)])
+            need = 1 + math.ceil(0.8 / 1.8 * (len(s) + len(t)) - 1e-6) - math.ceil(0.8 * max(len(s), len(t)) - 1e-9)
+            assert len(shared) >= need >= 1
+        differ = len(np.setxor1d(s, t))
+        parity = [np.frombuffer(near_duplicates.parities(z), np.uint64) for z in (s, t)]
+        assert np.bitwise_count(parity[0] ^ parity[1]).sum() <= differ
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 4)), max_size=30), st.integers(1, 7))
+@settings(max_examples=200, deadline=None)
+def test_shared_tokens_pass_by_in_any_batches(rows, step):
+    rows = sorted(rows)
+    some = (pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + step]], pa.int64()), pa.array([r[1] for r in rows[i : i + step]], pa.int64())], ["token", "cls"]) for i in range(0, len(rows), step))
+    found = [tuple(r.values()) for b in near_duplicates._shared(some) for r in b.to_pylist()]
+    by = defaultdict(set)
+    for t, c in rows:
+        by[t].add(c)
+    assert found == sorted((t, c) for t, cs in by.items() if len(cs) > 1 for c in cs)
 
 
 def test_one_row_of_each_group_stays(spark):
