@@ -5,9 +5,10 @@ another. Where two differ, the mismatch becomes an optional group, a run of equa
 texts that differ become a text slot; texts that stay the same on pages that differ otherwise are part of the template. Wrappers merge like the pages do,
 so they are inferred in tasks, then merged by host in salted steps; a host of any size never meets in one task.
 
-A wrapper decides for each slot whether it belongs to the article: slots inside article or main elements, less what is
-marked as navigation, advert, notice, comment and the like; on pages without such elements, slots outside marked regions
-that neither repeat the template's own text nor consist of links.
+A wrapper decides for each slot whether it belongs to the article. Inside article or main elements slots are kept, less
+what is marked as navigation, advert, notice, comment and the like, and less the template's own text: a constant line (of
+PHRASE characters at most, in no element of its own but a div or section) that no page's alignment made optional or repeated. On pages without such elements, slots outside marked regions are kept that
+neither repeat the template's own text nor consist of links. Marks are words of tags, roles, classes and ids.
 """
 
 from __future__ import annotations
@@ -60,7 +61,13 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _DIGITS = re.compile(r"\d+")
 MAX_DEPTH = 48
+#: Children of a node beyond which it is a repeated group of optional members, one for each signature and kind: no text is lost by it.
 MAX_ROW = 24
+#: Inside articles only constants of these elements, and no longer than this, are template: paragraphs, headings, cells and articles that a host mirrors are not.
+PLAIN = frozenset("div section".split())
+PHRASE = 200
+#: Hosts whose wrappers a task holds before it sends them on.
+HOSTS_HELD = 1_000
 
 
 def _read_tag(tag: str, attributes: str) -> tuple[str, int]:
@@ -230,7 +237,7 @@ def page_wrapper(html: str) -> list:
                 row.append(_node(sig, kind))
             open_nodes.append(row[-1])
         node = open_nodes[-1]
-        own = text if len(text) <= 200 else f"{text[:200]}+{xxhash.xxh64_hexdigest(text)}"
+        own = text if len(text) <= PHRASE else f"{text[:PHRASE]}+{xxhash.xxh64_hexdigest(text)}"
         node[4] = own if node[4] is None else node[4] if node[4] == own else 0
         node[6], node[7], node[8] = node[6] + len(text), node[7] + min(links, len(text)), [page]
         last = path
@@ -241,20 +248,24 @@ def kept_paths(wrapper: list) -> tuple[set, set]:
     """Paths of slots inside article elements, and of slots that pages without such elements keep."""
     main, rest = set(), set()
 
-    def walk(node, path, inside, skipped):
+    def walk(node, path, inside, skipped, fixed):
         sig, kind = node[0], node[1]
+        # Part of every page, once: neither the node nor one that holds it is optional or repeated.
+        fixed = fixed and not node[2] and not node[3]
         path = (*path, (sig, kind)) if sig else path
         inside = inside or kind == 2
         skipped = skipped or kind == 1 or (kind == 4 and not inside)
         if node[4] is not None and not skipped:
+            constant = node[4] != 0 and len(node[8]) >= TEMPLATE_PAGES
             if inside:
-                main.add(path)
-            elif not (node[4] != 0 and len(node[8]) >= TEMPLATE_PAGES) and 2 * node[7] <= node[6]:
+                if not (constant and fixed and sig.partition(".")[0] in PLAIN and len(node[4]) <= PHRASE):
+                    main.add(path)
+            elif not constant and 2 * node[7] <= node[6]:
                 rest.add(path)
         for child in node[5]:
-            walk(child, path, inside, skipped)
+            walk(child, path, inside, skipped, fixed)
 
-    walk(wrapper, (), False, False)
+    walk(wrapper, (), False, False, True)
     return main, rest
 
 
@@ -286,8 +297,14 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper, pages): the wrapper of each host as JSON, inferred from all its pages."""
 
     def infer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list] = {}
+
+        def out():
+            cols = [pa.array(list(found)), pa.array([json.dumps(w, separators=(",", ":")) for w, _ in found.values()]), pa.array([n for _, n in found.values()], pa.int64())]
+            found.clear()
+            return pa.RecordBatch.from_arrays(cols, ["host", "wrapper", "pages"])
+
         for hosts, htmls in batches(rows, "host", "html"):
-            found: dict[str, list] = {}
             for host, html in zip(hosts, htmls, strict=True):
                 own, host = page_wrapper(html.as_py() or ""), host.as_py()
                 if host in found:
@@ -295,7 +312,10 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
                     found[host][1] += 1
                 else:
                     found[host] = [own, 1]
-            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([json.dumps(w, separators=(",", ":")) for w, _ in found.values()]), pa.array([n for _, n in found.values()], pa.int64())], ["host", "wrapper", "pages"])
+            if len(found) >= HOSTS_HELD:
+                yield out()
+        if found:
+            yield out()
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("wrapper")

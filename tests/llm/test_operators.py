@@ -411,6 +411,33 @@ def test_constants_are_whole_texts_of_pages_that_differ():
     assert extracted([f"<div>site name</div><p>own {k}</p>" for k in range(4)]) == [f"own {k}" for k in range(4)]
 
 
+def test_the_wrapper_decides_inside_articles_and_without_them():
+    # Template text inside the article: on every page, once, on pages that differ. A heading that repeats or may lack stays.
+    page = "<article><div>Read this on our site</div><h2>Notes</h2><p>own %d</p><h2>Notes</h2><p>more %d</p></article>"
+    assert extracted([page % (k, k) for k in range(4)]) == [f"Notes\nown {k}\nNotes\nmore {k}" for k in range(4)]
+    assert extracted([f"<article><h1>copy {k}</h1><p>{'the same long story ' * 20}</p></article>" for k in range(4)]) == [f"copy {k}\n{('the same long story ' * 20).strip()}" for k in range(4)]
+    assert extracted(["<article><h2>Intro</h2><p>a</p></article>", "<article><h2>Intro</h2><p>b</p></article>"]) == ["Intro\na", "Intro\nb"]
+    # Without article elements the result depends on the wrapper: alone, each page keeps all that is not marked.
+    plain = [f"<div>Our paper</div><div class=body><p>news {k}</p></div><div>All rights</div>" for k in range(4)]
+    assert extracted(plain) == [f"news {k}" for k in range(4)] and extracted(plain[:1]) == ["Our paper\nnews 0\nAll rights"]
+
+
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["p", "h2", "div", "li", "section"]), st.sampled_from(["a", "b", "x 1", "y 2"])), max_size=6), min_size=1, max_size=6), st.integers(0, 5))
+@settings(max_examples=150, deadline=None)
+def test_every_block_of_an_article_stays_or_is_template(pages, first):
+    htmls = ["<article>" + "".join(f"<{t}>{x}</{t}>" for t, x in page) + f"<p>page {k}</p></article>" for k, page in enumerate(pages)]
+    turned = htmls[first % len(htmls) :] + htmls[: first % len(htmls)]
+    found = dict(zip(turned, extracted(turned), strict=True))
+    for k, (page, html) in enumerate(zip(pages, htmls, strict=True)):
+        shown, lines = [x for _, x in page] + [f"page {k}"], found[html].split("\n")
+        rest = iter(shown)
+        assert all(x in rest for x in lines)  # in page order
+        gone = Counter(shown) - Counter(lines)
+        # What is gone stands on every page, at least TEMPLATE_PAGES of them.
+        assert not gone or len(pages) >= html_text.TEMPLATE_PAGES
+        assert all(sum(x == y for _, y in other) >= 1 for x in gone for other in pages)
+
+
 def test_deep_articles_keep_their_mark():
     page = "<main><p>first</p></main>" + "<div>" * 60 + "<article><p>deep %d</p></article><nav>links</nav>" + "</div>" * 60
     assert extracted([page % k for k in range(4)]) == [f"first\ndeep {k}" for k in range(4)]
