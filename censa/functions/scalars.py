@@ -133,12 +133,16 @@ def sinusoidal(x: Col, bands: int) -> Column:
     return F.concat(F.transform(angles, lambda a: F.sin(a)), F.transform(angles, lambda a: F.cos(a)))
 
 
-def outer(a: Col, b: Col) -> Column:
-    """The outer product of two vectors, each with a 1 appended, without the last entry, flat."""
-    one = F.array(F.lit(1.0))
-    left, right = F.concat(col(a).cast("array<double>"), one), F.concat(col(b).cast("array<double>"), one)
-    flat = F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: x * y)))
-    return F.slice(flat, 1, F.size(flat) - 1)
+def outer(a: Col, b: Col, lift: float = 1.0) -> Column:
+    """The outer product, flat, of two vectors, each with `lift` appended and then of unit length: dot products are those of the two sides, multiplied."""
+
+    def lifted(v: Col) -> Column:
+        whole = F.concat(col(v).cast("array<double>"), F.array(F.lit(float(lift))))
+        size = F.sqrt(F.aggregate(whole, F.lit(0.0), lambda s, x: s + x * x))
+        return F.transform(whole, lambda x: x / size)
+
+    right = lifted(b)
+    return F.flatten(F.transform(lifted(a), lambda x: F.transform(right, lambda y: x * y)))
 
 
 def decimate(points: Col, most: int) -> Column:

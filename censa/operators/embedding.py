@@ -29,7 +29,7 @@ def conjunctive(a: np.ndarray, b: np.ndarray, c: float = 1.0) -> np.ndarray:
     return (x[:, :, None] * y[:, None, :]).reshape(len(a), -1)
 
 
-def build(spots: DataFrame, combine: str = "concat", order: int = 9, bands: int = 6) -> DataFrame:
+def build(spots: DataFrame, combine: str = "concat", order: int = 10, bands: int = 6) -> DataFrame:
     """(image_id, spot_id, embedding) from outline, axis_t, offset and side.
 
     Shape numbers are standardised over all spots: means and deviations are one small aggregate over positions, computed in

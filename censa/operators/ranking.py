@@ -25,14 +25,25 @@ def rank01(value: str, tie: list[str], *group: str) -> Column:
     return F.when(n > 1, (F.row_number().over(w.orderBy(value, *tie)) - 1) / (n - 1)).otherwise(0.0)
 
 
+#: Ranges of a value; their totals fit one task and a broadcast.
+BUCKETS = 4096
+
+
 def global_places(df: DataFrame, value: str, tie: list[str]) -> DataFrame:
     """Adds `place` (from 0) and `rows`: the order of all rows by value and tie, without bringing rows to one task.
 
-    Rows are counted by value; only the counts of distinct values are summed up in order, and rows of one value are placed
-    within it.
+    Rows are counted by value, and the counts are summed up in two levels: over BUCKETS ranges of the value, and over the
+    distinct values of each range. Rows of one value are placed within it. Values are numbers; null comes first, NaN last.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    ahead = counts.select(F.col(value).alias("_v"), (F.sum("_c").over(Window.orderBy(value)) - F.col("_c")).alias("_ahead"), F.sum("_c").over(Window.partitionBy()).alias("rows"))
+    low, high = df.where(~F.isnan(F.col(value).cast("double"))).agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    number = F.col(value).cast("double")
+    span = (high - low) if low is not None and high > low else 1.0
+    bucket = F.when(number.isNull(), -1).when(F.isnan(number), BUCKETS).otherwise(F.floor((number - F.lit(low or 0.0)) / span * (BUCKETS - 1)))
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", bucket)
+    totals = counts.groupBy("_b").agg(F.sum("_c").alias("_t"))
+    totals = totals.select(F.col("_b").alias("_o"), (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_before"), F.sum("_t").over(Window.partitionBy()).alias("rows"))
+    inside = F.sum("_c").over(Window.partitionBy("_b").orderBy(value)) - F.col("_c")
+    ahead = counts.withColumn("_i", inside).join(F.broadcast(totals), F.col("_b") == F.col("_o")).select(F.col(value).alias("_v"), (F.col("_before") + F.col("_i")).alias("_ahead"), "rows")
     within = F.row_number().over(Window.partitionBy(value).orderBy(*tie)) - 1
     return df.withColumn("_w", within).join(ahead, F.col(value).eqNullSafe(F.col("_v"))).withColumn("place", F.col("_ahead") + F.col("_w")).drop("_v", "_ahead", "_w")
 

@@ -28,21 +28,21 @@ _U = "CAST('0x' || substr(md5({}), 1, 7) AS BIGINT) / 268435456.0::DOUBLE"
 # Joins
 
 
-@add("images", sql="SELECT i.image_id AS query, c.individual_id AS candidate, count(*) AS photos FROM images i JOIN images c ON c.review_batch_id = i.review_batch_id AND c.image_id <> i.image_id WHERE i.status = 'flagged_uncertain' AND c.status = 'confirmed' AND NOT c.is_synthetic AND i.individual_id % 5 = 0 AND c.individual_id % 5 = 0 GROUP BY 1, 2")
+@add("images", sql="SELECT i.image_id AS query, c.individual_id AS candidate, count(*) AS photos FROM images i JOIN images c ON c.review_batch_id = i.review_batch_id AND c.image_id <> i.image_id WHERE i.status = 'flagged_uncertain' AND c.status = 'confirmed' AND NOT c.is_synthetic GROUP BY 1, 2")
 def join_cand_pairs(images: DataFrame) -> DataFrame:
     """Query images and candidate individuals of the same batch, the query's own photo left out."""
-    own = images.where("individual_id % 5 = 0")
-    q = own.where("status = 'flagged_uncertain'").select(F.col("image_id").alias("query"), "review_batch_id")
-    c = own.where("status = 'confirmed' AND NOT is_synthetic").select("image_id", F.col("individual_id").alias("candidate"), "review_batch_id")
-    return q.join(c, "review_batch_id").where("query <> image_id").groupBy("query", "candidate").agg(F.count(F.lit(1)).alias("photos"))
+    q = images.where("status = 'flagged_uncertain'").select(F.col("image_id").alias("query"), "review_batch_id")
+    # Candidates are counted before the join; a query is no confirmed photo, so none is its own.
+    c = images.where("status = 'confirmed' AND NOT is_synthetic").groupBy("review_batch_id", F.col("individual_id").alias("candidate")).agg(F.count(F.lit(1)).alias("photos"))
+    return q.join(c, "review_batch_id").select("query", "candidate", "photos")
 
 
-@add("images", "individuals", sql="SELECT i.image_id AS query, g.individual_id AS candidate, i.individual_id = g.individual_id AS same FROM images i JOIN individuals d ON d.individual_id = i.individual_id JOIN individuals g ON g.site_id = d.site_id WHERE i.status = 'flagged_uncertain' AND g.individual_id % 10 < 3 AND EXISTS (SELECT 1 FROM images x WHERE x.individual_id = g.individual_id AND x.image_id <> i.image_id AND x.status = 'confirmed')")
+@add("images", "individuals", sql="SELECT i.image_id AS query, g.individual_id AS candidate, i.individual_id = g.individual_id AS same FROM images i JOIN individuals d ON d.individual_id = i.individual_id JOIN individuals g ON g.site_id = d.site_id WHERE i.status = 'flagged_uncertain' AND EXISTS (SELECT 1 FROM images x WHERE x.individual_id = g.individual_id AND x.image_id <> i.image_id AND x.status = 'confirmed')")
 def join_openset_pairs(images: DataFrame, individuals: DataFrame) -> DataFrame:
     """Queries against the gallery individuals of their site; candidates without another photo are skipped."""
     q = images.where("status = 'flagged_uncertain'").select(F.col("image_id").alias("query"), "individual_id").join(individuals.select("individual_id", "site_id"), "individual_id")
     photos = images.where("status = 'confirmed'").groupBy(F.col("individual_id").alias("candidate")).agg(F.count(F.lit(1)).alias("n"), F.min("image_id").alias("one"))
-    g = individuals.where("individual_id % 10 < 3").select(F.col("individual_id").alias("candidate"), "site_id").join(photos, "candidate")
+    g = individuals.select(F.col("individual_id").alias("candidate"), "site_id").join(photos, "candidate")
     pairs = q.join(g, "site_id").where((F.col("n") > 1) | (F.col("one") != F.col("query")))
     return pairs.select("query", "candidate", (F.col("individual_id") == F.col("candidate")).alias("same"))
 
@@ -104,19 +104,24 @@ def fn_sinusoidal(spots: DataFrame) -> DataFrame:
     return spots.select("image_id", "spot_id", F.round(w[0], 6).alias("s0"), F.round(w[3], 6).alias("c1"))
 
 
-@add("vectors", sql="SELECT spot_id, round(CAST(embedding[1] AS DOUBLE) * CAST(embedding[4] AS DOUBLE), 6) AS first, round(CAST(embedding[3] AS DOUBLE), 6) AS edge, 15::BIGINT AS n FROM vectors")
+@add("vectors", sql="""
+    WITH b AS (SELECT spot_id, CAST(embedding[1:6] AS DOUBLE[]) AS e FROM vectors),
+    s AS (SELECT *, sqrt(e[1] * e[1] + e[2] * e[2] + e[3] * e[3] + 1) * sqrt(e[4] * e[4] + e[5] * e[5] + e[6] * e[6] + 1) AS size FROM b)
+    SELECT spot_id, round(e[1] * e[4] / size, 6) AS first, round(e[3] / size, 6) AS edge, round(1 / size, 6) AS last, 16::BIGINT AS n FROM s""")
 def fn_tensor_combine(vectors: DataFrame) -> DataFrame:
-    """The outer product of two blocks, each with a one appended."""
+    """The outer product of two blocks, each with a one appended and then of unit length."""
     t = S.outer(F.slice("embedding", 1, 3), F.slice("embedding", 4, 3))
-    return vectors.select("spot_id", F.round(t[0], 6).alias("first"), F.round(t[11], 6).alias("edge"), F.size(t).cast("bigint").alias("n"))
+    return vectors.select("spot_id", F.round(t[0], 6).alias("first"), F.round(t[11], 6).alias("edge"), F.round(t[15], 6).alias("last"), F.size(t).cast("bigint").alias("n"))
 
 
-@add("images", sql="SELECT individual_id, count(*) AS n, least(count(*), 10) >= 1 AS some FROM images GROUP BY 1")
+@add("images", sql="""
+    WITH r AS (SELECT individual_id, image_id, row_number() OVER (PARTITION BY individual_id ORDER BY image_id) - 1 AS k, count(*) OVER (PARTITION BY individual_id) AS n FROM images)
+    SELECT individual_id, n, string_agg(CAST(image_id AS VARCHAR), ' ' ORDER BY k) AS points FROM r
+    WHERE n <= 5 OR k = n - 1 OR (k % CAST(ceil(n / 5.0) AS BIGINT) = 0 AND k < 4 * CAST(ceil(n / 5.0) AS BIGINT)) GROUP BY 1, 2""")
 def fn_decimate(images: DataFrame) -> DataFrame:
-    """Long arrays thinned to at most ten points, the last kept; `some` says that points are left."""
+    """Long arrays thinned to at most five points, the last kept."""
     rows = images.groupBy("individual_id").agg(F.sort_array(F.collect_list("image_id")).alias("p"))
-    thin = S.decimate("p", 10)
-    return rows.select("individual_id", F.size("p").cast("bigint").alias("n"), ((F.size(thin) >= 1) & (F.size(thin) <= 10) & (F.element_at(thin, -1) == F.element_at("p", -1))).alias("some"))
+    return rows.select("individual_id", F.size("p").cast("bigint").alias("n"), F.array_join(S.decimate("p", 5), " ").alias("points"))
 
 
 @add("spots", sql="SELECT image_id, array_to_string(list(CAST(CAST(round(axis_t * 100) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(round(area) AS BIGINT) AS VARCHAR) ORDER BY spot_id), ' ') AS points FROM spots GROUP BY 1")

@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import filters as X
 from ..operators import joins as J
+from ..operators import ranking as R
 from .roles import Catalogue
 
 catalogue = Catalogue()
@@ -103,8 +104,6 @@ def filter_spot_qc(spots: DataFrame) -> DataFrame:
 @add("spots", sql="SELECT image_id, spot_id FROM (SELECT *, 100.0 * (row_number() OVER (ORDER BY area, image_id, spot_id) - 1) / (count(*) OVER () - 1) AS pct FROM spots) WHERE pct >= 20")
 def filter_small_spots(spots: DataFrame) -> DataFrame:
     """Drops spots below a global size percentile."""
-    from ..operators import ranking as R
-
     return R.size_percentile(spots, "area", ["image_id", "spot_id"]).where("pct >= 20").select("image_id", "spot_id")
 
 
@@ -230,11 +229,11 @@ def join_prefix_longest(individuals: DataFrame, contributors: DataFrame) -> Data
 @add("images", sql="""
     SELECT a.image_id AS a, b.image_id AS b, round(2 * 6371000 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))), 3) AS metres,
            CAST(abs(datediff('day', a.created_at, b.created_at)) AS INT) AS days
-    FROM (SELECT *, CAST(image_id % 180 AS DOUBLE) - 90 AS lat, CAST(image_id % 359 AS DOUBLE) - 180 AS lon FROM images WHERE individual_id % 10 = 0) a
-    JOIN (SELECT *, CAST(image_id % 180 AS DOUBLE) - 90 AS lat, CAST(image_id % 359 AS DOUBLE) - 180 AS lon FROM images WHERE individual_id % 10 = 0) b ON a.individual_id = b.individual_id AND a.image_id < b.image_id""")
+    FROM (SELECT *, CAST(image_id % 180 AS DOUBLE) - 90 AS lat, CAST(image_id % 359 AS DOUBLE) - 180 AS lon FROM images) a
+    JOIN (SELECT *, CAST(image_id % 180 AS DOUBLE) - 90 AS lat, CAST(image_id % 359 AS DOUBLE) - 180 AS lon FROM images) b ON a.individual_id = b.individual_id AND a.image_id < b.image_id""")
 def join_geo(images: DataFrame) -> DataFrame:
     """Distance in metres and days between the photos of an individual."""
-    rows = images.where("individual_id % 10 = 0").select("image_id", "individual_id", "created_at", ((F.col("image_id") % 180).cast("double") - 90).alias("lat"), ((F.col("image_id") % 359).cast("double") - 180).alias("lon"))
+    rows = images.select("image_id", "individual_id", "created_at", ((F.col("image_id") % 180).cast("double") - 90).alias("lat"), ((F.col("image_id") % 359).cast("double") - 180).alias("lon"))
     pairs = J.pairs_within(rows, "individual_id", "image_id")
     return pairs.select(F.col("a.image_id").alias("a"), F.col("b.image_id").alias("b"), F.round(S.haversine("a.lat", "a.lon", "b.lat", "b.lon"), 3).alias("metres"), F.abs(F.datediff("a.created_at", "b.created_at")).alias("days"))
 
@@ -427,11 +426,11 @@ def sort_bool_first(activity: DataFrame) -> DataFrame:
     return activity.orderBy((F.col("kind") == "purchase").desc(), F.col("at_ts").desc(), "id").limit(40).select("id", "kind")
 
 
-@add("images", sql="SELECT individual_id, round(coalesce(avg(q_overall), -1), 6) AS mean, coalesce(min(q_overall), -1) AS worst, row_number() OVER (ORDER BY round(coalesce(avg(q_overall), -1), 6), coalesce(min(q_overall), -1), individual_id) AS place FROM images WHERE individual_id <= 200 GROUP BY 1")
+@add("images", sql="SELECT individual_id, round(coalesce(avg(q_overall), -1), 6) AS mean, coalesce(min(q_overall), -1) AS worst, row_number() OVER (ORDER BY round(coalesce(avg(q_overall), -1), 6), coalesce(min(q_overall), -1), individual_id) AS place FROM images GROUP BY 1")
 def sort_multi_frozen(images: DataFrame) -> DataFrame:
     """Order by mean, worst and label, unmeasured first; the place freezes the order."""
-    per = images.where("individual_id <= 200").groupBy("individual_id").agg(F.round(F.coalesce(F.avg("q_overall"), F.lit(-1.0)), 6).alias("mean"), F.coalesce(F.min("q_overall"), F.lit(-1.0)).alias("worst"))
-    return per.withColumn("place", F.row_number().over(Window.orderBy("mean", "worst", "individual_id")).cast("bigint"))
+    per = images.groupBy("individual_id").agg(F.round(F.coalesce(F.avg("q_overall"), F.lit(-1.0)), 6).alias("mean"), F.coalesce(F.min("q_overall"), F.lit(-1.0)).alias("worst"))
+    return R.global_places(per, "mean", ["worst", "individual_id"]).select("individual_id", "mean", "worst", (F.col("place") + 1).alias("place"))
 
 
 @add("images", sql="SELECT image_id, created_at FROM images ORDER BY created_at DESC, image_id LIMIT 50")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import models as ML
+from ..operators import ranking as R
 from ..operators import sampling as N
 from ..operators import workflow as W
 from ..sources import sinks, tables
@@ -55,6 +56,68 @@ def sink_insert(images: DataFrame) -> DataFrame:
     return sinks.insert_missing(rows.where("image_id % 3 <> 0"), rows.select("image_id", F.lit("added").alias("status")), ["image_id"])
 
 
+@add("images", sql=_IMG)
+def sink_ctas(images: DataFrame) -> DataFrame:
+    """A table made from a query, replaced by a second one, then read."""
+    path = sinks.scratch_folder(images.sparkSession)
+    sinks.create_or_replace(_plain(images).limit(0), path)
+    sinks.create_or_replace(_plain(images), path, "status")
+    return _plain(images.sparkSession.read.parquet(path))
+
+
+@add("images", sql="SELECT status, count(*) AS n FROM images GROUP BY 1")
+def sink_report(images: DataFrame) -> DataFrame:
+    """A report as one ordered CSV file with a header, read back."""
+    path = sinks.scratch_folder(images.sparkSession)
+    sinks.roster_csv(images.groupBy("status").agg(F.count(F.lit(1)).alias("n")), path, "status")
+    return images.sparkSession.read.schema("status string, n long").option("header", "true").csv(path)
+
+
+@add("images", "individuals", sql="SELECT i.image_id, d.display_id FROM images i JOIN individuals d ON i.individual_id = d.individual_id")
+def sink_snapshot(images: DataFrame, individuals: DataFrame) -> DataFrame:
+    """Two tables copied as they are, and the copies joined."""
+    spark, source, target = images.sparkSession, *(sinks.scratch_folder(images.sparkSession) for _ in range(2))
+    tables_ = {"images": _plain(images), "individuals": individuals.select("individual_id", "display_id")}
+    for name, df in tables_.items():
+        sinks.create_or_replace(df, f"{source}/{name}.parquet")
+    sinks.snapshot(spark, source, target, list(tables_))
+    copies = tables.attach(spark, target, list(tables_), "copy_")
+    return copies["images"].join(copies["individuals"], "individual_id").select("image_id", "display_id")
+
+
+@add("images", sql="SELECT status, count(*) AS images, 0::BIGINT AS missing FROM images GROUP BY 1")
+def scan_attach(images: DataFrame) -> DataFrame:
+    """Tables of another folder as views with a prefix; one that is not there is left out."""
+    spark, root = images.sparkSession, sinks.scratch_folder(images.sparkSession)
+    sinks.create_or_replace(_plain(images), f"{root}/images.parquet")
+    found = tables.attach(spark, root, ["images", "absent"], "other_")
+    return spark.sql("SELECT status, count(*) AS images FROM other_images GROUP BY status").withColumn("missing", F.lit(len(found) - 1).cast("bigint"))
+
+
+@add("images", sql="SELECT individual_id % 10 AS digit, count(*) AS n FROM images GROUP BY 1")
+def scan_df_register(images: DataFrame) -> DataFrame:
+    """A frame under a name for SQL."""
+    tables.register(images.sparkSession, "registered_images", _plain(images))
+    return images.sparkSession.sql("SELECT individual_id % 10 AS digit, count(*) AS n FROM registered_images GROUP BY 1")
+
+
+@add("images", sql=_IMG)
+def scan_jsonl(images: DataFrame) -> DataFrame:
+    """JSON lines with lines that do not parse, which are left out."""
+    path = sinks.scratch_folder(images.sparkSession)
+    lines = _plain(images).select(F.to_json(F.struct("image_id", "individual_id", "status", "n_spots")).alias("value"))
+    lines.unionByName(images.select(F.concat(F.lit("{broken "), F.col("image_id").cast("string")).alias("value"))).write.text(path)
+    return tables.read_jsonl(images.sparkSession, path, "image_id long, individual_id long, status string, n_spots int")
+
+
+@add("individuals", sql="SELECT DISTINCT display_id AS label, CASE WHEN display_id LIKE 'Customer#00000000%' THEN 'first' WHEN display_id LIKE 'Customer#0000000%' THEN 'next' ELSE 'other' END AS collection FROM individuals")
+def scan_csv(individuals: DataFrame) -> DataFrame:
+    """Labels from a CSV with a header, each with the collection of its prefix."""
+    path = sinks.scratch_folder(individuals.sparkSession)
+    individuals.select(F.concat(F.lit(" "), "display_id").alias("label"), "nickname").write.option("header", "true").csv(path)
+    return tables.read_label_map(individuals.sparkSession, path, "label", {"Customer#00000000": "first", "Customer#0000000": "next"}, "other")
+
+
 @add("activity", sql="SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM (SELECT kind, count(*) AS n FROM activity WHERE actor % 2 = 0 GROUP BY 1 UNION ALL SELECT kind, count(*) FROM activity WHERE actor % 2 = 1 GROUP BY 1) GROUP BY 1")
 def sink_add_counts(activity: DataFrame) -> DataFrame:
     """A usage counter that adds."""
@@ -215,13 +278,12 @@ def split_cv(images: DataFrame) -> DataFrame:
     return per.groupBy(fold.alias("fold")).agg(F.count(F.lit(1)).alias("labels"))
 
 
-@add("individuals", sql=f"SELECT CASE WHEN row_number() OVER (ORDER BY {_U.format(chr(39) + 'open:' + chr(39) + ' || individual_id')}, individual_id) <= CAST(round_even(0.35 * count(*) OVER (), 0) AS BIGINT) THEN 'novel' ELSE 'known' END AS role, individual_id FROM individuals WHERE site_id < 8")
+@add("individuals", sql=f"SELECT CASE WHEN row_number() OVER (ORDER BY {_U.format(chr(39) + 'open:' + chr(39) + ' || individual_id')}, individual_id) <= CAST(round_even(0.35 * count(*) OVER (), 0) AS BIGINT) THEN 'novel' ELSE 'known' END AS role, individual_id FROM individuals")
 def split_openset(individuals: DataFrame) -> DataFrame:
     """35 % of the labels, rounded half to even, are novel."""
-    rows = individuals.where("site_id < 8").select("individual_id", N.uniform(F.lit("open"), "individual_id").alias("u"))
-    place = F.row_number().over(Window.orderBy("u", "individual_id"))
-    cut = F.bround(0.35 * F.count(F.lit(1)).over(Window.partitionBy()), 0)
-    return rows.select(F.when(place <= cut, "novel").otherwise("known").alias("role"), "individual_id")
+    rows = individuals.select("individual_id", N.uniform(F.lit("open"), "individual_id").alias("u"))
+    placed = R.global_places(rows, "u", ["individual_id"])
+    return placed.select(F.when(F.col("place") < F.bround(0.35 * F.col("rows"), 0), "novel").otherwise("known").alias("role"), "individual_id")
 
 
 @add("individuals", sql=f"WITH u AS (SELECT DISTINCT individual_id, {_U.format(chr(39) + 'nested:' + chr(39) + ' || individual_id')} AS u FROM individuals) SELECT f AS fraction, count(*) FILTER (WHERE u < f) AS labels FROM u, (SELECT unnest([0.25, 0.5, 1.0])::DOUBLE AS f) GROUP BY 1")

@@ -6,12 +6,23 @@ old one and then names as current; a reader sees one or the other.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset, a temporary one, but only on a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="censa-")
+    return f"{root.rstrip('/')}/censa-{uuid.uuid4().hex}"
+
+
 def create_or_replace(df: DataFrame, path: str, *partitions: str) -> None:
     """Writes the table anew. The source must not be the target itself; see `publish` for that."""
     writer = df.write.mode("overwrite")

@@ -79,7 +79,7 @@ def read_label_map(spark: SparkSession, path: str, label: str, rules: dict[str,
     rows = rows.toDF(*(c.lstrip("﻿").strip() for c in rows.columns))
     collection = F.lit(default)
     for prefix, name in reversed(rules.items()):
-        collection = F.when(F.col(label).startswith(prefix), name).otherwise(collection)
+        collection = F.when(F.trim(label).startswith(prefix), name).otherwise(collection)
     return rows.select(F.trim(label).alias("label"), collection.alias("collection")).where("label <> ''").distinct()
 
 
