@@ -12,7 +12,11 @@ from censa.llm import common, mixing, near_duplicates, packing, quality, secret_
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects."""
+    """Drops the documents that the classifier rejects.
+
+    Null and empty texts are scored by the bias, like texts of no words. Repeated rows are scored alike and rows without doc_id
+    like any other; columns are kept, whatever their names. An empty table stays empty.
+    """
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -34,17 +38,27 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces the values of secrets by a mark."""
+    """Replaces the values of secrets by a mark, and counts n_chars of those rows anew.
+
+    Null and empty texts stay as they are, rows and other columns too. An empty table stays empty.
+    """
     return secret_scan.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources come near their targets."""
+    """Repeats or leaves out documents so that sources come near their targets.
+
+    Null is a source of its own; documents without words are never needed but follow the running sum like others. Rows
+    that repeat an id are told apart by source and text, equal rows by number. An empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places the pieces of the documents in bins."""
+    """Places the pieces of the documents in bins; copies that the mix made never share a bin.
+
+    Texts without words (null, empty) have one piece of size 0. An empty table gives an empty result.
+    """
     return packing.pack(docs)
 
 
@@ -61,6 +75,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table of documents. Nulls, empty tables, repeats and further columns: as each stage says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
