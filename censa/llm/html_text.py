@@ -2,13 +2,15 @@
 
 A page is a stream of structural tokens (block tags with class and id) and texts. Streams of a host are aligned one after
 another. Where two differ, the mismatch becomes an optional group, a run of equal neighbours becomes a repeated group, and
-texts that differ become a text slot; texts that stay the same on pages that differ otherwise are part of the template. Wrappers merge like the pages do,
-so they are inferred in tasks, then merged by host in salted steps; a host of any size never meets in one task.
+texts that differ become a text slot; texts that stay the same on pages that differ otherwise are part of the template.
+Wrappers merge like the pages do, so they are inferred in tasks, then merged by host in salted steps; a host of any size
+never meets in one task.
 
 A wrapper decides for each slot whether it belongs to the article. Inside article or main elements slots are kept, less
-what is marked as navigation, advert, notice, comment and the like, and less the template's own text: a constant line (of
-PHRASE characters at most, in no element of its own but a div or section) that no page's alignment made optional or repeated. On pages without such elements, slots outside marked regions are kept that
-neither repeat the template's own text nor consist of links. Marks are words of tags, roles, classes and ids.
+what is marked as navigation, advert, notice, comment and the like, and less the template's own text: a constant line of a
+div or section, of PHRASE characters at most, that no page's alignment made optional or repeated. On pages without such
+elements, slots outside marked regions are kept that neither repeat the template's own text nor consist of links. Marks
+are words of tags, roles, classes and ids.
 """
 
 from __future__ import annotations
