@@ -577,6 +577,34 @@ def test_embedding_links_and_components(spark):
     assert embedding_dedup.embedding_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mean", [0.8, 0.87])
+def test_embedding_recall_with_small_windows(spark, mean):
+    """Labels far larger than the window, of vectors that share a direction; some vectors are equal."""
+    r = np.random.default_rng(11)
+    n, d = 3000, 32
+    e = r.normal(size=(n, d))
+    e /= np.linalg.norm(e, axis=1)[:, None]
+    x = np.sqrt(mean) * np.eye(d)[0] + np.sqrt(1 - mean) * e
+    for k in range(100):
+        x[k] = x[k + 100] + r.normal(size=d) * 0.3 * np.linalg.norm(x[k + 100]) / np.sqrt(d)
+    x[200:260] = x[200]
+    label = np.where(np.arange(n) < 2500, 1, 2)
+    df = spark.createDataFrame(list(zip(range(n), x.tolist(), label.tolist(), strict=True)), "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (u @ u.T >= 0.93) & (label[:, None] == label[None])
+    want = roots(range(n), [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
+    found = {v.vec_id: v for v in embedding_dedup.embedding_duplicates(df, window=128).collect()}
+    assert len(found) == n
+    got, true = sum(v.n_links for v in found.values()), near.sum() - n
+    assert got <= true and got >= 0.995 * true
+    assert sum(found[k].component_id != want[k] for k in range(n)) <= 0.005 * n
+    if mean > 0.8:
+        return
+    whole = {v.vec_id: v for v in embedding_dedup.embedding_duplicates(df).collect()}
+    assert [whole[k].n_links for k in range(n)] == (near.sum(1) - 1).tolist()
+    assert all(whole[k].component_id == want[k] for k in range(n))
+
+
 # 9
 
 
