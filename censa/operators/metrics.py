@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fbeta
+from .ranking import value_range
 
 
 def score_counts(df: DataFrame, score: str, truth: str, *group: str) -> DataFrame:
@@ -14,10 +15,44 @@ def score_counts(df: DataFrame, score: str, truth: str, *group: str) -> DataFram
 
 
 def prefixes(counts: DataFrame, score: str, *group: str) -> DataFrame:
-    """Adds tp and fp of the threshold at each score, and the totals P and N."""
-    w = Window.partitionBy(*group)
-    down = w.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).withColumn("P", F.sum("pos").over(w)).withColumn("N", F.sum("neg").over(w))
+    """Adds tp and fp of the threshold at each score, and the totals P and N.
+
+    Without a group the sums are taken in two levels, over ranges of the score and within them, as distinct scores may be
+    as many as rows.
+    """
+    if group:
+        w = Window.partitionBy(*group)
+        down = w.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counts.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).withColumn("P", F.sum("pos").over(w)).withColumn("N", F.sum("neg").over(w))
+    rows = counts.withColumn("_b", value_range(counts, score))
+    whole, above = Window.partitionBy(), Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    totals = totals.select("_b", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_fp"), F.sum("_p").over(whole).alias("P"), F.sum("_n").over(whole).alias("N"))
+    down = Window.partitionBy("_b").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).join(F.broadcast(totals), "_b")  # BUCKETS rows
+    return rows.select(*counts.columns, (F.col("tp") + F.col("_tp")).alias("tp"), (F.col("fp") + F.col("_fp")).alias("fp"), "P", "N")
+
+
+def on_quantiles(rows: DataFrame, steps: int) -> DataFrame:
+    """Of `prefixes` those scores that are quantiles of the rows' scores: the first at or above each of `steps` even shares."""
+    n = F.col("P") + F.col("N")
+    below = n - F.col("tp") - F.col("fp")
+    place = lambda k: F.floor((k * (n - 1) + (steps - 2)) / (steps - 1))
+    return rows.where(F.exists(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: (place(k) >= below) & (place(k) < below + F.col("pos") + F.col("neg"))))
+
+
+def choose_thresholds(df: DataFrame, score: str, known: str, steps: int = 200) -> DataFrame:
+    """(criterion, threshold, known_recall, novel_recall, value): the best threshold on the quantile grid by three criteria.
+
+    balanced is the mean of both recalls, youden their sum less 1, f1 that of the known class; of equals the lowest
+    threshold counts. No rows where one class is missing.
+    """
+    rows = on_quantiles(prefixes(score_counts(df, score, known), score), steps).where("P > 0 AND N > 0")
+    rows = rows.select(F.col(score).alias("threshold"), (F.col("tp") / F.col("P")).alias("k"), (1 - F.col("fp") / F.col("N")).alias("v"), (2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("P"))).alias("f"))
+    worth = {"balanced": (F.col("k") + F.col("v")) / 2, "youden": F.col("k") + F.col("v") - 1, "f1": F.col("f")}
+    each = rows.select("*", F.explode(F.array(*(F.struct(F.lit(n).alias("criterion"), F.round(x, 6).alias("value")) for n, x in worth.items()))).alias("c"))
+    best = each.groupBy("c.criterion").agg(F.max(F.struct(F.col("c.value").alias("value"), (-F.col("threshold")).alias("low"), "k", "v")).alias("b"))
+    return best.select("criterion", (-F.col("b.low")).alias("threshold"), F.round("b.k", 6).alias("known_recall"), F.round("b.v", 6).alias("novel_recall"), "b.value")
 
 
 def roc_auc(df: DataFrame, score: str, truth: str, *group: str) -> DataFrame:

@@ -29,17 +29,21 @@ def rank01(value: str, tie: list[str], *group: str) -> Column:
 BUCKETS = 4096
 
 
+def value_range(df: DataFrame, value: str) -> Column:
+    """The number of the range that a value lies in, of BUCKETS even ones; null comes first, NaN last."""
+    number = F.col(value).cast("double")
+    low, high = df.where(~F.isnan(number)).agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    span = (high - low) if low is not None and high > low else 1.0
+    return F.when(number.isNull(), -1).when(F.isnan(number), BUCKETS).otherwise(F.floor((number - F.lit(low or 0.0)) / span * (BUCKETS - 1)))
+
+
 def global_places(df: DataFrame, value: str, tie: list[str]) -> DataFrame:
     """Adds `place` (from 0) and `rows`: the order of all rows by value and tie, without bringing rows to one task.
 
     Rows are counted by value, and the counts are summed up in two levels: over BUCKETS ranges of the value, and over the
     distinct values of each range. Rows of one value are placed within it. Values are numbers; null comes first, NaN last.
     """
-    low, high = df.where(~F.isnan(F.col(value).cast("double"))).agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
-    number = F.col(value).cast("double")
-    span = (high - low) if low is not None and high > low else 1.0
-    bucket = F.when(number.isNull(), -1).when(F.isnan(number), BUCKETS).otherwise(F.floor((number - F.lit(low or 0.0)) / span * (BUCKETS - 1)))
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", bucket)
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", value_range(df, value))
     totals = counts.groupBy("_b").agg(F.sum("_c").alias("_t"))
     totals = totals.select(F.col("_b").alias("_o"), (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_before"), F.sum("_t").over(Window.partitionBy()).alias("rows"))
     inside = F.sum("_c").over(Window.partitionBy("_b").orderBy(value)) - F.col("_c")

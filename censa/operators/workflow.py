@@ -19,16 +19,23 @@ def transfer(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome).drop("_known")
 
 
-def chase_aliases(merges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(alias, keep) with chains followed to their end by doubling; an alias that leads back to itself keeps its last step."""
-    now = merges.select("alias", "keep").where("alias <> keep").dropDuplicates(["alias"])
+def chase_aliases(merges: DataFrame, rounds: int = 40) -> DataFrame:
+    """(alias, keep) with chains followed to their end by doubling; an alias that leads back to itself keeps its last step.
+
+    Of several steps of an alias the least `keep` counts. Doubling ends after the logarithm of the longest chain; a ring
+    of more aliases has no end, and raises.
+    """
+    now = merges.where("alias <> keep").groupBy("alias").agg(F.min("keep").alias("keep")).persist()
     for _ in range(rounds):
         step = now.select(F.col("alias").alias("keep"), F.col("keep").alias("_next"))
-        moved = now.join(step, "keep", "left").select("alias", F.when(F.col("_next").isNotNull() & (F.col("_next") != F.col("alias")), F.col("_next")).otherwise(F.col("keep")).alias("keep"), (F.col("_next").isNotNull() & (F.col("_next") != F.col("alias"))).alias("_moved"))
-        if not moved.where("_moved").limit(1).count():
-            break
-        now = moved.select("alias", "keep").cache()
-    return now
+        on = F.col("_next").isNotNull() & (F.col("_next") != F.col("alias"))
+        moved = now.join(step, "keep", "left").select("alias", F.when(on, F.col("_next")).otherwise(F.col("keep")).alias("keep"), on.alias("_moved")).persist()
+        done = moved.where("_moved").isEmpty()
+        now.unpersist()
+        now = moved
+        if done:
+            return now.select("alias", "keep")
+    raise ValueError("merges lead round in a ring")
 
 
 def apply_corrections(images: DataFrame, individuals: DataFrame, merges: DataFrame, excluded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,6 +87,30 @@ def publish_batch(individuals: DataFrame, images: DataFrame, batch: int) -> Data
     return rows.withColumn("status", F.when((F.col("status") == "provisional") & F.coalesce("_ready", F.lit(False)), "published").otherwise(F.col("status"))).drop("_ready").select(*individuals.columns)
 
 
+def register(models: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds the models of `found` that are not yet there, as candidates; known ids stay as they are."""
+    new = found.join(models.select("model_id"), "model_id", "left_anti")
+    return models.unionByName(new.withColumn("status", F.lit("candidate")), allowMissingColumns=True)
+
+
+def best_per_kind(models: DataFrame, measure: str) -> DataFrame:
+    """(kind, model_id) of the model with the highest measure of each kind; of equals the least id, unmeasured ones last."""
+    best = models.groupBy("kind").agg(F.max(F.struct(F.col(measure).isNotNull().alias("some"), F.coalesce(measure, F.lit(0)).alias("m"), (-F.col("model_id")).alias("i"))).alias("b"))
+    return best.select("kind", (-F.col("b.i")).alias("model_id"))
+
+
+def rollback(models: DataFrame, audit: DataFrame) -> DataFrame:
+    """Each kind's last promotion taken back: the model that was active before, by the audit's JSON, is active again.
+
+    Kinds without a promotion, and those whose earlier model is unknown or gone, stay as they are.
+    """
+    last = audit.where("action = 'promote'").groupBy(F.col("entity").alias("kind")).agg(F.max_by("before_json", F.struct("at_ts", "id")).alias("j"))
+    back = last.select("kind", F.get_json_object("j", "$.from").cast("bigint").alias("_back"))
+    back = back.join(models.select("kind", F.col("model_id").alias("_back")), ["kind", "_back"], "left_semi")
+    status = F.when(F.col("_back").isNull(), F.col("status")).when(F.col("model_id") == F.col("_back"), "active").when(F.col("status") == "active", "candidate").otherwise(F.col("status"))
+    return models.join(back, "kind", "left").withColumn("status", status).select(*models.columns)
+
+
 def promote(models: DataFrame, kind: str, model_id) -> DataFrame:
     """One active model of a kind: the named one; the former becomes a candidate. The same call takes a promotion back."""
     own = F.col("kind") == kind
@@ -107,6 +138,20 @@ def edit_spots(spots: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.groupBy("image_id", target.alias("spot_id")).agg(F.sum("area").alias("area"), F.count(F.lit(1)).alias("parts"))
 
 
+def spot_snapshot(spots: DataFrame, images: DataFrame) -> DataFrame:
+    """(image_id, snapshot): all spots of the named images as JSON, taken before an edit; [] for an image without spots."""
+    own = spots.join(images.select("image_id").distinct(), "image_id", "left_semi")
+    packed = own.groupBy("image_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("spot_id", *(c for c in spots.columns if c not in ("image_id", "spot_id")))))).alias("snapshot"))
+    return images.select("image_id").distinct().join(packed, "image_id", "left").withColumn("snapshot", F.coalesce("snapshot", F.lit("[]")))
+
+
+def revert_spots(spots: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Spots with those of the snapshots' images replaced by what the snapshots hold; other images stay."""
+    kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in spots.schema if f.name != "image_id")
+    held = snapshots.select("image_id", F.explode(F.from_json("snapshot", f"array<struct<{kinds}>>")).alias("x")).select("image_id", "x.*")
+    return spots.join(snapshots.select("image_id"), "image_id", "left_anti").unionByName(held)
+
+
 def audit_rows(before: DataFrame, after: DataFrame, key: str, action: str, actor: str, at: Column) -> DataFrame:
     """A row for each changed row of a table: what it was and what it is, as JSON."""
     pack = lambda df, name: df.select(F.col(key).cast("string").alias("entity_id"), F.to_json(F.struct(*sorted(df.columns))).alias(name))

@@ -207,6 +207,18 @@ def m_novelty(verdicts: DataFrame) -> DataFrame:
     return out.where(F.col("threshold") > float("-inf")).select("threshold", F.round("k", 6).alias("known_recall"), F.round("v", 6).alias("novel_recall"))
 
 
+@add("verdicts", sql="""
+    WITH c AS (SELECT score, count(*) FILTER (WHERE NOT novel) AS pos, count(*) FILTER (WHERE novel) AS neg FROM verdicts GROUP BY 1),
+    t AS (SELECT *, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp, CAST(sum(pos) OVER () AS BIGINT) AS p, CAST(sum(neg) OVER () AS BIGINT) AS n FROM c WINDOW w AS (ORDER BY score DESC)),
+    g AS (SELECT * FROM t WHERE EXISTS (SELECT 1 FROM range(200) AS r(k) WHERE (k * (p + n - 1) + 198) // 199 BETWEEN p + n - tp - fp AND p + n - tp - fp + pos + neg - 1)),
+    s AS (SELECT score, tp / p::DOUBLE AS k, 1 - fp / n::DOUBLE AS v, 2 * tp / (tp + fp + p)::DOUBLE AS f FROM g),
+    u AS (SELECT 'balanced' AS criterion, *, round((k + v) / 2, 6) AS value FROM s UNION ALL SELECT 'youden', *, round(k + v - 1, 6) FROM s UNION ALL SELECT 'f1', *, round(f, 6) FROM s)
+    SELECT criterion, score AS threshold, round(k, 6) AS known_recall, round(v, 6) AS novel_recall, value FROM u QUALIFY row_number() OVER (PARTITION BY criterion ORDER BY value DESC, score) = 1""")
+def m_threshold_choice(verdicts: DataFrame) -> DataFrame:
+    """The threshold between known and new by balanced accuracy, Youden's index and F1, on the grid of quantiles."""
+    return M.choose_thresholds(verdicts.withColumn("known", ~F.col("novel")), "score", "known")
+
+
 @add("verdicts", sql=f"WITH {_SWEEP.replace('method, score,', 'score,').replace('GROUP BY 1, 2', 'GROUP BY 1').replace('PARTITION BY method ', '').replace('PARTITION BY method', '')}, n AS (SELECT sum(pos + neg) AS n FROM c) SELECT round(coalesce(max(CASE WHEN pr >= 0.85 THEN (tp + fp) / n::DOUBLE END), 0), 6) AS coverage FROM f, n")
 def m_cov_at_precision(verdicts: DataFrame) -> DataFrame:
     return M.coverage_at_precision(verdicts, "score", "accepted", 0.85)

@@ -181,8 +181,13 @@ def match_strict_pair(vectors: DataFrame) -> DataFrame:
 
 @add("vectors")
 def match_residual(vectors: DataFrame) -> DataFrame:
-    """Explained, contradicted and unobserved mass under a one-to-one assignment."""
-    return _over(vectors, lambda x, y: K.residual(K.similarity(x["embedding"], y["embedding"]), x["w"], y["w"], x["t"], y["t"], least=0.2), "explained double, contradicted double, unobserved double, score double")
+    """Explained, contradicted and unobserved mass under a one-to-one assignment of spots at near places."""
+
+    def kernel(x, y):
+        at = lambda z: list(zip(z["t"], (v / 1000 for v in z["y"]), strict=True))
+        return K.residual(K.similarity(x["embedding"], y["embedding"]), x["w"], y["w"], at(x), at(y), least=0.2)
+
+    return _over(vectors, kernel, "explained double, contradicted double, unobserved double, worst double, n_good long, score double")
 
 
 @add("vectors")

@@ -220,6 +220,35 @@ def wf_models(models: DataFrame) -> DataFrame:
     return W.promote(models, "Brand#11", 123).select("model_id", "status")
 
 
+@add("models", sql="SELECT kind, arg_max(model_id, (bal_acc, -model_id)) AS model_id FROM models GROUP BY 1")
+def wf_best_models(models: DataFrame) -> DataFrame:
+    """The model with the best balanced accuracy of each kind."""
+    return W.best_per_kind(models, "bal_acc")
+
+
+@add("models", sql="SELECT model_id, 'candidate' AS status FROM models WHERE model_id % 4 = 0 UNION ALL SELECT model_id, status FROM models WHERE model_id % 4 <> 0")
+def wf_register_models(models: DataFrame) -> DataFrame:
+    """Every fourth model is new to the registry and comes in as a candidate."""
+    return W.register(models.where("model_id % 4 <> 0"), models.drop("status")).select("model_id", "status")
+
+
+@add("models", sql="WITH b AS (SELECT kind, min(model_id) AS back FROM models GROUP BY 1) SELECT model_id, CASE WHEN model_id = back THEN 'active' WHEN status = 'active' THEN 'candidate' ELSE status END AS status FROM models JOIN b USING (kind)")
+def wf_rollback_models(models: DataFrame) -> DataFrame:
+    """Two promotions of each kind; the later one, before which the least id was active, is taken back."""
+    ends = models.groupBy("kind").agg(F.min("model_id").alias("a"), F.max("model_id").alias("z"))
+    entry = lambda k, name: ends.select(F.lit(k).alias("id"), F.expr(f"TIMESTAMP_NTZ '2024-01-0{k}'").alias("at_ts"), F.lit("promote").alias("action"), F.col("kind").alias("entity"), F.to_json(F.struct(F.col(name).alias("from"))).alias("before_json"))
+    return W.rollback(models, entry(1, "z").unionByName(entry(2, "a"))).select("model_id", "status")
+
+
+@add("spots", sql="SELECT image_id, spot_id, area FROM spots")
+def wf_revert_spots(spots: DataFrame) -> DataFrame:
+    """Spots of every third image are snapped, edited and reverted: all are as they were."""
+    rows = spots.select("image_id", "spot_id", "area")
+    snapshots = W.spot_snapshot(rows, rows.where("image_id % 3 = 0"))
+    edited = rows.where("image_id % 3 <> 0 OR spot_id <> 2").withColumn("area", F.when(F.col("image_id") % 3 == 0, F.col("area") * 2).otherwise(F.col("area")))
+    return W.revert_spots(edited, snapshots)
+
+
 @add("images", "activity", sql="WITH l AS (SELECT coalesce(max(created_at), TIMESTAMP '1970-01-01') AS last FROM images WHERE status = 'flagged_uncertain') SELECT datediff('day', last, DATE '2001-09-01') >= 30 OR (SELECT count(*) FROM images WHERE created_at > last) >= 200 AS due, (SELECT count(*) FROM images WHERE created_at > last) AS new_images FROM l")
 def wf_training_due(images: DataFrame, activity: DataFrame) -> DataFrame:
     runs = images.where("status = 'flagged_uncertain'").select(F.col("created_at").alias("finished_at"))
