@@ -127,6 +127,19 @@ def census_confusion(df: DataFrame, score: str, known: str, right: str, threshol
     return sums.select("*", F.round(F.when(all_known > 0, F.col("fn") / all_known), 6).alias("inflation"), F.round(F.when(new > 0, F.col("fp_novel") / new), 6).alias("deflation"))
 
 
+def census_best(df: DataFrame, score: str, known: str, right: str, beta: float = 0.5, steps: int = 200) -> DataFrame:
+    """(threshold, tp, fp, precision, recall, fbeta) of the threshold on the quantile grid with the best census F-beta.
+
+    Right links of known ones count; recall is over all known ones. Of equals the lowest threshold counts.
+    """
+    rows = df.where(F.col(score).isNotNull())
+    total = rows.agg(F.count_if(F.col(known)).alias("known"))
+    grid = on_quantiles(prefixes(score_counts(rows.withColumn("_hit", F.col(known) & F.col(right)), score, "_hit"), score), steps).join(F.broadcast(total))  # one row
+    grid = grid.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))).withColumn("recall", F.coalesce(F.try_divide("tp", "known"), F.lit(0.0)))
+    best = grid.agg(F.max(F.struct(F.round(fbeta("precision", "recall", beta), 6).alias("f"), (-F.col(score)).alias("low"), "tp", "fp", "precision", "recall")).alias("b")).where("b IS NOT NULL")
+    return best.select((-F.col("b.low")).alias("threshold"), "b.tp", "b.fp", F.round("b.precision", 6).alias("precision"), F.round("b.recall", 6).alias("recall"), F.col("b.f").alias("fbeta"))
+
+
 def at_thresholds(df: DataFrame, thresholds: list[float], score: str, *counts: tuple[str, Column]) -> DataFrame:
     """(threshold, name ...): for each threshold how many rows at or above it satisfy each condition, in one pass.
 

@@ -30,9 +30,35 @@ def cluster_bootstrap(df: DataFrame, cluster: str, hit: str, replicates: int) ->
     rows = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     rows = rows.withColumn("times", poisson_one(uniform("rep", cluster)))
     rates = rows.groupBy("rep").agg((F.sum(F.col("times") * F.col("k")) / F.nullif(F.sum(F.col("times") * F.col("n")), F.lit(0))).alias("v"))
+    return _interval(rates)
+
+
+def _interval(rates: DataFrame) -> DataFrame:
     return rates.agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.percentile("v", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("v", F.lit(0.975)), 6).alias("hi"))
 
 
+def _replicated(per: DataFrame, replicates: int, *key: str) -> DataFrame:
+    rows = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return rows.withColumn("times", poisson_one(uniform("rep", *(F.col(k).cast("string") for k in key))))
+
+
+def paired_delta(df: DataFrame, cluster: str, hit: Column, other: Column, replicates: int) -> DataFrame:
+    """(mean, lo, hi) of the rate of `hit` less that of `other` on the same rows, as clusters are resampled once for both."""
+    per = df.groupBy(cluster).agg((F.count_if(hit) - F.count_if(other)).alias("k"), F.count(F.lit(1)).alias("n"))
+    rates = _replicated(per, replicates, cluster).groupBy("rep").agg((F.sum(F.col("times") * F.col("k")) / F.nullif(F.sum(F.col("times") * F.col("n")), F.lit(0))).alias("v"))
+    return _interval(rates)
+
+
+def two_sample_delta(df: DataFrame, cluster: str, hit: Column, side: Column, replicates: int) -> DataFrame:
+    """(mean, lo, hi) of the rate of `hit` where `side` is true less that where it is false, each side resampled on its own.
+
+    A replicate in which a side has no rows is left out.
+    """
+    per = df.where(side.isNotNull()).groupBy(side.alias("side"), cluster).agg(F.count_if(hit).alias("k"), F.count(F.lit(1)).alias("n"))
+    rate = lambda on: F.sum(F.when(on, F.col("times") * F.col("k"))) / F.nullif(F.sum(F.when(on, F.col("times") * F.col("n"))), F.lit(0))
+    return _interval(_replicated(per, replicates, "side", cluster).groupBy("rep").agg((rate(F.col("side")) - rate(~F.col("side"))).alias("v")))
+
+
 def fold_of(label: str, folds: int, seed: str = "fold") -> Column:
     return F.floor(uniform(F.lit(seed), label) * folds).cast("int")
 

@@ -207,6 +207,17 @@ def m_novelty(verdicts: DataFrame) -> DataFrame:
     return out.where(F.col("threshold") > float("-inf")).select("threshold", F.round("k", 6).alias("known_recall"), F.round("v", 6).alias("novel_recall"))
 
 
+@add("verdicts", sql="""
+    WITH c AS (SELECT score, count(*) FILTER (WHERE NOT novel AND accepted) AS pos, count(*) FILTER (WHERE NOT (NOT novel AND accepted)) AS neg FROM verdicts GROUP BY 1),
+    t AS (SELECT *, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp, CAST(sum(pos + neg) OVER () AS BIGINT) AS n FROM c WINDOW w AS (ORDER BY score DESC)),
+    g AS (SELECT *, tp / (tp + fp)::DOUBLE AS p, tp / (SELECT count(*) FROM verdicts WHERE NOT novel)::DOUBLE AS r FROM t WHERE EXISTS (SELECT 1 FROM range(200) AS r(k) WHERE (k * (n - 1) + 198) // 199 BETWEEN n - tp - fp AND n - tp - fp + pos + neg - 1)),
+    f AS (SELECT *, round(coalesce(1.25 * p * r / nullif(0.25 * p + r, 0), 0), 6) AS fbeta FROM g)
+    SELECT score AS threshold, tp, fp, round(p, 6) AS precision, round(r, 6) AS recall, fbeta FROM f ORDER BY fbeta DESC, score LIMIT 1""")
+def m_census_best(verdicts: DataFrame) -> DataFrame:
+    """The census threshold with the best F0.5 on the grid of quantiles."""
+    return M.census_best(verdicts.withColumn("known", ~F.col("novel")), "score", "known", "accepted")
+
+
 @add("verdicts", sql="""
     WITH c AS (SELECT score, count(*) FILTER (WHERE NOT novel) AS pos, count(*) FILTER (WHERE novel) AS neg FROM verdicts GROUP BY 1),
     t AS (SELECT *, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp, CAST(sum(pos) OVER () AS BIGINT) AS p, CAST(sum(neg) OVER () AS BIGINT) AS n FROM c WINDOW w AS (ORDER BY score DESC)),
@@ -314,6 +325,27 @@ def m_cluster_bootstrap(verdicts: DataFrame) -> DataFrame:
     return cluster_bootstrap(verdicts, "label", "accepted", 200)
 
 
+_TIMES = " + ".join(f"(u >= {p})::INT" for p in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563))
+
+
+@add("verdicts", sql=f"""
+    WITH r AS (SELECT unnest(range(200)) AS rep),
+    one AS (SELECT label, count(*) FILTER (WHERE accepted) - count(*) FILTER (WHERE score >= 400) AS k, count(*) AS n FROM verdicts GROUP BY 1),
+    two AS (SELECT novel AS side, label, count(*) FILTER (WHERE accepted) AS k, count(*) AS n FROM verdicts GROUP BY 1, 2),
+    u1 AS (SELECT rep, k, n, CAST('0x' || substr(md5(CAST(rep AS VARCHAR) || ':' || label), 1, 7) AS BIGINT) / 268435456.0::DOUBLE AS u FROM one, r),
+    u2 AS (SELECT rep, side, k, n, CAST('0x' || substr(md5(CAST(rep AS VARCHAR) || ':' || CAST(side AS VARCHAR) || ':' || label), 1, 7) AS BIGINT) / 268435456.0::DOUBLE AS u FROM two, r),
+    v AS (SELECT 'paired' AS kind, rep, sum(t * k) / nullif(sum(t * n), 0)::DOUBLE AS v FROM (SELECT *, {_TIMES} AS t FROM u1) GROUP BY 2
+      UNION ALL SELECT 'two samples', rep, sum(t * k) FILTER (WHERE side) / nullif(sum(t * n) FILTER (WHERE side), 0)::DOUBLE - sum(t * k) FILTER (WHERE NOT side) / nullif(sum(t * n) FILTER (WHERE NOT side), 0)::DOUBLE FROM (SELECT *, {_TIMES} AS t FROM u2) GROUP BY 2)
+    SELECT kind, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM v GROUP BY 1""")
+def m_bootstrap_delta(verdicts: DataFrame) -> DataFrame:
+    """Intervals of differences of rates under resampling of individuals: two measures of the same rows, and two sets of rows."""
+    from ..operators.sampling import paired_delta, two_sample_delta
+
+    yes = F.col("accepted")
+    one = paired_delta(verdicts, "label", yes, F.col("score") >= 400, 200).withColumn("kind", F.lit("paired"))
+    return one.unionByName(two_sample_delta(verdicts, "label", yes, F.col("novel"), 200).withColumn("kind", F.lit("two samples")))
+
+
 @add("verdicts", sql="SELECT label, round(avg(CASE WHEN NOT isnan(v) THEN v END), 6) AS mean FROM (SELECT label, method, CASE WHEN count(*) FILTER (WHERE novel) > 0 THEN count(*) FILTER (WHERE novel AND accepted) / count(*) FILTER (WHERE novel)::DOUBLE ELSE 'nan'::DOUBLE END AS v FROM verdicts GROUP BY 1, 2) GROUP BY 1")
 def m_fold_aggregate(verdicts: DataFrame) -> DataFrame:
     """Mean over folds that skips folds without a value."""
