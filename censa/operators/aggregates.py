@@ -99,15 +99,34 @@ def run_log(df: DataFrame, kind: str, props: str, field: str) -> DataFrame:
     return df.select(kind, units.alias("u")).groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("billed"), F.count_if(F.col("u") == 0).alias("failed"))
 
 
+def run_calls(df: DataFrame, kind: str, props: str) -> DataFrame:
+    """(kind, field, events, falsy): how often each field of the JSON objects occurs, and how often it is null, false, 0 or empty."""
+    fields = df.select(kind, F.explode(F.from_json(props, "map<string,string>")).alias("field", "value"))
+    falsy = F.col("value").isNull() | F.col("value").isin("", "false", "0", "0.0", "[]", "{}")
+    return fields.groupBy(kind, "field").agg(F.count(F.lit(1)).alias("events"), F.count_if(falsy).alias("falsy"))
+
+
 def review_counts(verdicts: DataFrame, key: str) -> DataFrame:
     out = verdicts.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if("accepted").alias("n_accepted"), F.count_if("novel").alias("n_novel"))
     return out.withColumn("precision", F.round(F.col("n_accepted") / F.col("n"), 6))
 
 
-def checksum(df: DataFrame, key: list[str], order: str, row: Column) -> DataFrame:
-    """First 16 hex digits of the SHA-256 of the rows in order, one for each key."""
-    rows = df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))).alias("rows"))
-    return rows.select(*key, F.substring(F.sha2(F.array_join(F.transform("rows", lambda x: x["r"]), "|"), 256), 1, 16).alias("checksum"))
+def checksum(df: DataFrame, key: list[str], row: Column) -> DataFrame:
+    """First 16 hex digits of a SHA-256 over the rows of each key, the same in any order of rows.
+
+    Hashes of rows, equal ones counted, are hashed by their first five digits, these by the first two, and these as a whole,
+    so that no array holds more than a 16^5th of the different rows of a key, or 4,096 hashes.
+    """
+    rows = df.groupBy(*key, F.sha2(row, 256).alias("h")).agg(F.count(F.lit(1)).alias("c"))
+    rows = rows.select(*key, F.substring("h", 1, 5).alias("p"), "h", F.concat_ws("*", "h", F.col("c").cast("string")).alias("t"))
+
+    def level(part: DataFrame, *own: Column | str) -> DataFrame:
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("h", "t"))), lambda x: x["t"]), "|")
+        return part.groupBy(*key, *own).agg(F.sha2(joined, 256).alias("t"))
+
+    low = level(rows, "p").select(*key, F.substring("p", 1, 2).alias("o"), F.col("p").alias("h"), "t")
+    high = level(low, "o").select(*key, F.col("o").alias("h"), "t")
+    return level(high).select(*key, F.substring("t", 1, 16).alias("checksum"))
 
 
 def leakage(df: DataFrame, key: str, left: Column, right: Column) -> DataFrame:

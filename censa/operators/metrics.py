@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fbeta
-from .ranking import value_range
+from .ranking import running, value_range
 
 
 def score_counts(df: DataFrame, score: str, truth: str, *group: str) -> DataFrame:
@@ -88,11 +88,24 @@ def fbeta_at(df: DataFrame, score: str, truth: str, threshold: float, beta: floa
 
 def tpr_at_fpr(df: DataFrame, score: str, truth: str, most: float, tie: str) -> DataFrame:
     """TPR of the longest prefix of rows (by falling score) whose FPR is at most `most`."""
-    w = Window.partitionBy()
-    order = Window.orderBy(F.col(score).desc(), tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hit = F.col(truth).cast("int")
-    rows = df.select(F.sum(hit).over(order).alias("tp"), F.sum(1 - hit).over(order).alias("fp"), F.sum(hit).over(w).alias("P"), F.sum(1 - hit).over(w).alias("N"))
-    return rows.agg(F.round(F.coalesce(F.max(F.when(F.coalesce(F.try_divide("fp", "N"), F.lit(0.0)) <= most, F.try_divide("tp", "P"))), F.lit(0.0)), 6).alias("tpr"))
+    rows = running(df.select(score, tie, truth), score, tie, True, tp=hit, fp=1 - hit)
+    return rows.agg(F.round(F.coalesce(F.max(F.when(F.coalesce(F.try_divide("fp", "fp_all"), F.lit(0.0)) <= most, F.try_divide("tp", "tp_all"))), F.lit(0.0)), 6).alias("tpr"))
+
+
+def pooled(df: DataFrame, score: str, tie: str, known: Column, right: Column) -> DataFrame:
+    """(r1, census_f, bal_acc): rank-1 of known rows, best census F0.5 and best balanced accuracy over prefixes of falling score."""
+    rows = df.select(score, tie, known.alias("_k"), (known & right).alias("_h"))
+    one = lambda c: F.col(c).cast("int")
+    o = running(rows, score, tie, True, tp=one("_h"), k=one("_k"), fp=1 - one("_k"), n=F.lit(1))
+    balanced = 0.5 * (F.try_divide("k", "k_all") + F.try_divide(F.col("fp_all") - F.col("fp"), "fp_all"))
+    return o.agg(F.round(F.max(F.try_divide("tp_all", "k_all")), 6).alias("r1"), F.round(F.max(fbeta(F.col("tp") / F.col("n"), F.try_divide("tp", "k_all"))), 6).alias("census_f"), F.round(F.max(balanced), 6).alias("bal_acc"))
+
+
+def abstain_point(df: DataFrame, score: str, right: str, tie: str, target: float) -> DataFrame:
+    """(n): the longest prefix of rising scores whose accuracy stays below the target; 0 if there is none."""
+    rows = running(df.select(score, tie, right), score, tie, k=F.lit(1), hit=F.col(right).cast("int"), seen=F.col(right).isNotNull().cast("int"))
+    return rows.agg(F.coalesce(F.max(F.when(F.try_divide("hit", "seen") < target, F.col("k"))), F.lit(0)).cast("bigint").alias("n"))
 
 
 def rank_k_map(df: DataFrame, query: str, score: str, same: str, tie: str, *ks: int) -> DataFrame:
@@ -174,6 +187,35 @@ def risk_coverage(df: DataFrame, score: str, right: str, tie: str, *group: str)
     return rows.groupBy(*group).agg(F.round(F.sum("area"), 6).alias("aurc"))
 
 
+def edge_prf(df: DataFrame, linked: str, same: str, missing: str, ta: str, tb: str, *group: str) -> DataFrame:
+    """(judged, precision, recall, extraction, drift, inverted) of judged edges.
+
+    `missing` marks true partners that were never extracted; drift is the mean distance of the places of true partners, and
+    the axis looks inverted if they lie nearer with one side turned around.
+    """
+    yes, own = F.col(linked), F.col(same)
+    tp = F.count_if(yes & own)
+    share = lambda a, b: F.round(a / F.nullif(b, F.lit(0)), 6)
+    drift, turned = (F.avg(F.when(own, F.abs(F.col(ta) - x))) for x in (F.col(tb), 1 - F.col(tb)))
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("judged"), share(tp, F.count_if(yes)).alias("precision"), share(tp, F.count_if(own)).alias("recall"), share(F.count_if(own), F.count_if(own | F.col(missing))).alias("extraction"), F.round(drift, 6).alias("drift"), F.coalesce(turned < drift, F.lit(False)).alias("inverted"))
+
+
+def comparability(df: DataFrame, factor: str, share: str, count: str, *group: str) -> DataFrame:
+    """Does a factor go with how well pairs matched? (rho, rho_count, n, low, high, delta, confounded) for each group.
+
+    `share` is the matched share of a pair, `count` its number of links; low and high are the mean shares where the factor
+    is in its lowest and highest third. A sign that differs between share and count (above 0.05) is that of the denominator.
+    Rows with a null in any of the three are left out.
+    """
+    rows = df.dropna(subset=[factor, share, count])
+    cuts = rows.groupBy(*group).agg(F.percentile(factor, F.lit(0.333)).alias("_lo"), F.percentile(factor, F.lit(0.667)).alias("_hi"))
+    at = rows.join(cuts, list(group)).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col(factor) <= F.col("_lo"), F.col(share))).alias("low"), F.avg(F.when(F.col(factor) >= F.col("_hi"), F.col(share))).alias("high"))
+    rho = spearman(rows, factor, share, *group).join(spearman(rows, factor, count, *group).withColumnRenamed("rho", "rho_count"), list(group))
+    out = rho.join(at, list(group))
+    confounded = F.coalesce((F.signum("rho") != F.signum("rho_count")) & (F.abs("rho_count") > 0.05), F.lit(False))
+    return out.select(*group, "rho", "rho_count", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round(F.col("high") - F.col("low"), 6).alias("delta"), confounded.alias("confounded"))
+
+
 def spearman(df: DataFrame, a: str, b: str, *group: str) -> DataFrame:
     """Correlation of average ranks; null where either side is constant."""
     from .ranking import average_rank

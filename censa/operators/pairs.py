@@ -22,56 +22,97 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
 
 
+def _frame(names: list[str], parts: list[tuple]) -> pd.DataFrame:
+    """Columns from parts of arrays. Columns of no parts are objects, as Spark takes no empty numbers for texts."""
+    columns = zip(*parts, strict=True) if parts else [(np.zeros(0, object),)] * len(names)
+    return pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, columns, strict=True)})
+
+
 def _dealt(df: DataFrame, key: Column, own: str, other: str, mine: int, others: int) -> DataFrame:
     """Rows with their own block, repeated for each block of the other side."""
     return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
 
-def pairs_above(vectors: DataFrame, cutoff: float, id_: str = "spot_id", group: str | None = None, block: int = BLOCK) -> DataFrame:
+def pairs_above(vectors: DataFrame, cutoff: float, id_: str = "spot_id", group: str | None = None, block: int = BLOCK, most: int | None = None, per_group: bool = False) -> DataFrame:
     """(a, b, sim): unordered pairs with a < b and cosine at least `cutoff`; with `group`, not of the same group.
 
-    Blocks meet once: of two blocks only the pair (smaller, larger) is compared.
+    Blocks meet once: of two blocks only the pair (smaller, larger) is compared. With `most`, a block emits its first `most`
+    pairs only, by falling similarity and ids; with `per_group` as well the first of each pair of groups, a being of the
+    smaller group, and (group_a, group_b) follow; rows without a group are left out then. The first of all blocks are still
+    to be chosen.
     """
+    if per_group:
+        vectors = vectors.where(F.col(group).isNotNull())
     blocks = max(1, -(-vectors.count() // block))
     name = group or id_
     rows = vectors.select(F.col(id_).alias("id"), F.col(name).cast("string").alias("grp"), F.col("embedding").cast("array<double>").alias("e"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
     rows = rows.withColumn("m", F.explode(meet)).select("m.i", "m.j", "own", "id", "grp", "e")
+    names = ["a", "b", "sim"] + (["group_a", "group_b"] if per_group else [])
+
+    def first(found: pd.DataFrame) -> pd.DataFrame:
+        if most is None or len(found) <= most:
+            return found
+        found = found.sort_values(["sim", "a", "b"], ascending=[False, True, True])
+        return found.groupby(["group_a", "group_b"], sort=False).head(most) if per_group else found.head(most)
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         left, right = part[part.own == part.i.iloc[0]], part[part.own == part.j.iloc[0]]
+        out = [_frame(names, [])]
         if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
+            return out[0]
         x, ids, groups = _matrix(right.e), right.id.to_numpy(), right.grp.to_numpy()
-        out = []
         for lo in range(0, len(left), 512):
             some = left.iloc[lo : lo + 512]
             s = _matrix(some.e) @ x.T
             a, b = np.nonzero(s >= cutoff)
-            own, other = some.id.to_numpy()[a], ids[b]
+            own, other, grp = some.id.to_numpy()[a], ids[b], some.grp.to_numpy()[a]
             keep = own < other if part.i.iloc[0] == part.j.iloc[0] else own != other
             if group:
-                keep &= some.grp.to_numpy()[a] != groups[b]
-            a, b, own, other = a[keep], b[keep], own[keep], other[keep]
-            out.append(pd.DataFrame({"a": np.minimum(own, other), "b": np.maximum(own, other), "sim": s[a, b]}))
-        return pd.concat(out)
+                keep &= grp != groups[b]
+            a, b, own, other, grp = a[keep], b[keep], own[keep], other[keep], grp[keep]
+            swap = grp > groups[b] if per_group else own > other
+            found = pd.DataFrame({"a": np.where(swap, other, own), "b": np.where(swap, own, other), "sim": s[a, b]})
+            if per_group:
+                found = found.assign(group_a=np.where(swap, groups[b], grp), group_b=np.where(swap, grp, groups[b]))
+            out.append(first(found))
+        return first(pd.concat([x for x in out if len(x)] or out[:1]))
+
+    return rows.groupBy("i", "j").applyInPandas(solve, "a long, b long, sim double" + (", group_a string, group_b string" if per_group else ""))
 
-    return rows.groupBy("i", "j").applyInPandas(solve, "a long, b long, sim double")
+
+def _large(sides: DataFrame, block: int) -> DataFrame:
+    """The groups that are larger than a block."""
+    return sides.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("grp")
 
 
 def best_in_groups(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -> DataFrame:
     """(q, q_group, g_group, sim, g): for each query vector and each other group its most similar vector, the least id of equals.
 
-    Both sides hold (id, grp, e). A group of the gallery stands in one block, so nothing is merged afterwards.
+    Both sides hold (id, grp, e). A group of the gallery stands in one block, so that nothing is merged afterwards; groups
+    larger than a block are dealt by id, and the best of their parts is taken.
     """
+    large = _large(gallery, block)
+    if large.isEmpty():
+        return _best(queries, gallery, "grp", block)
+    whole = _best(queries, gallery.join(large, "grp", "left_anti").select("id", "grp", "e"), "grp", block)
+    parts = _best(queries, gallery.join(large, "grp", "left_semi").select("id", "grp", "e"), "id", block)
+    merged = parts.groupBy("q", "q_group", "g_group").agg(F.max(F.struct("sim", (-F.col("g")).alias("last"))).alias("m"))
+    return whole.unionByName(merged.select("q", "q_group", "g_group", "m.sim", (-F.col("m.last")).alias("g")))
+
+
+def _best(queries: DataFrame, gallery: DataFrame, key: str, block: int) -> DataFrame:
+    """The best of each group, or of each part of it, with the gallery dealt into blocks by a column."""
     nq, ng = (max(1, -(-x.count() // block)) for x in (queries, gallery))
+    # Columns of their own, as both sides may come from one table.
+    queries, gallery = (x.select(*(F.col(c).alias(c) for c in ("id", "grp", "e"))) for x in (queries, gallery))
     q = _dealt(queries, F.col("id"), "i", "j", nq, ng)
-    g = _dealt(gallery, F.col("grp"), "j", "i", ng, nq)
+    g = _dealt(gallery, F.col(key), "j", "i", ng, nq)
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"q": [], "q_group": [], "g_group": [], "sim": [], "g": []})
+            return _frame(["q", "q_group", "g_group", "sim", "g"], [])
         right = right.sort_values(["grp", "id"])
         groups, starts = np.unique(right.grp.to_numpy(), return_index=True)
         ends = np.r_[starts[1:], len(right)]
@@ -84,8 +125,8 @@ def best_in_groups(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -
                 own = s[:, i:j]
                 k = own.argmax(1)
                 keep = some.grp.to_numpy() != grp
-                out.append(pd.DataFrame({"q": some.id.to_numpy()[keep], "q_group": some.grp.to_numpy()[keep], "g_group": grp, "sim": own[np.arange(len(own)), k][keep], "g": ids[i:j][k][keep]}))
-        return pd.concat(out)
+                out.append((some.id.to_numpy()[keep], some.grp.to_numpy()[keep], np.full(keep.sum(), grp, object), own[np.arange(len(own)), k][keep], ids[i:j][k][keep]))
+        return _frame(["q", "q_group", "g_group", "sim", "g"], out)
 
     return q.groupBy("i", "j").cogroup(g.groupBy("i", "j")).applyInPandas(solve, "q long, q_group string, g_group string, sim double, g long")
 
@@ -106,6 +147,55 @@ def mutual(forward: DataFrame, backward: DataFrame) -> DataFrame:
     return forward.join(back, ["q_group", "g_group", "q", "g"], "left_semi").select("q_group", "g_group", "q", "g", "sim")
 
 
+def _firsts(s: np.ndarray, best: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Places (row * columns + column) of the first entry of each row and group of columns that is the best there."""
+    row, column = np.nonzero(s == best[:, group])
+    _, first = np.unique(row * groups + group[column], return_index=True)
+    return row[first] * s.shape[1] + column[first]
+
+
+def mutual_in_groups(sides: DataFrame, block: int = BLOCK // 2) -> DataFrame:
+    """(q_group, g_group, q, g, sim): vectors of two groups that are each other's best, the least id of equals; q_group < g_group.
+
+    Both groups of a pair stand in one pair of blocks, which emits the mutual links alone. Groups larger than a block are
+    compared with all others in both directions instead.
+    """
+    large = _large(sides, block)
+    split = not large.isEmpty()
+    small = sides.join(large, "grp", "left_anti").select("id", "grp", "e") if split else sides.select("id", "grp", "e")
+    blocks = max(1, -(-small.count() // block))
+    own = small.withColumn("own", F.pmod(F.xxhash64("grp"), F.lit(blocks)).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
+    rows = own.withColumn("m", F.explode(meet)).select("m.i", "m.j", "own", "id", "grp", "e")
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["grp", "id"])
+        left, right = part[part.own == part.i.iloc[0]], part[part.own == part.j.iloc[0]]
+        if left.empty or right.empty:
+            return _frame(["q_group", "g_group", "q", "g", "sim"], [])
+        (a, at), (b, bt) = (np.unique(x.grp.to_numpy(), return_index=True) for x in (left, right))
+        p, r = (np.repeat(np.arange(len(t)), np.diff(np.r_[t, len(x)])) for t, x in ((at, left), (bt, right)))
+        s = _matrix(left.e) @ _matrix(right.e).T
+        forward = _firsts(s, np.maximum.reduceat(s, bt, axis=1), r, len(b))
+        row, column = np.divmod(_firsts(s.T, np.maximum.reduceat(s, at, axis=0).T, p, len(a)), len(s))
+        i, j = np.divmod(np.intersect1d(forward, column * s.shape[1] + row), s.shape[1])
+        ga, gb = a[p[i]], b[r[j]]
+        # A block that meets itself has each pair twice, and groups that meet themselves.
+        keep = ga < gb if part.i.iloc[0] == part.j.iloc[0] else ga != gb
+        i, j, ga, gb = i[keep], j[keep], ga[keep], gb[keep]
+        q, g, swap = left.id.to_numpy()[i], right.id.to_numpy()[j], ga > gb
+        return _frame(["q_group", "g_group", "q", "g", "sim"], [(np.where(swap, gb, ga), np.where(swap, ga, gb), np.where(swap, g, q), np.where(swap, q, g), s[i, j])])
+
+    out = rows.groupBy("i", "j").applyInPandas(solve, "q_group string, g_group string, q long, g long, sim double")
+    if not split:
+        return out
+    hot = sides.join(large, "grp", "left_semi").select("id", "grp", "e")
+    both = mutual(best_in_groups(hot, sides, block), best_in_groups(sides, hot, block))
+    swap = F.col("q_group") > F.col("g_group")
+    turned = both.select(F.least("q_group", "g_group").alias("q_group"), F.greatest("q_group", "g_group").alias("g_group"), F.when(swap, F.col("g")).otherwise(F.col("q")).alias("q"), F.when(swap, F.col("q")).otherwise(F.col("g")).alias("g"), "sim")
+    return out.unionByName(turned.dropDuplicates(["q_group", "g_group", "q", "g"]))
+
+
 def sets_of(vectors: DataFrame, group: str, *columns: str) -> DataFrame:
     """One row per group: arrays of the columns, in the order of the first."""
     rows = vectors.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("s"))

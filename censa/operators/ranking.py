@@ -37,6 +37,50 @@ def value_range(df: DataFrame, value: str) -> Column:
     return F.when(number.isNull(), -1).when(F.isnan(number), BUCKETS).otherwise(F.floor((number - F.lit(low or 0.0)) / span * (BUCKETS - 1)))
 
 
+def running(df: DataFrame, value: str, tie: str, falling: bool = False, **sums: Column) -> DataFrame:
+    """Adds for each name in `sums` its sum over all rows up to this one, by value and tie, and its total as name_all.
+
+    No task holds all rows, nor all rows of a value: the sums are carried over ranges of the value, over its distinct
+    values, over ranges of the tie, and last over rows. Values and ties are numbers; rows equal in both come in any order.
+    """
+    way = (lambda c: F.col(c).desc()) if falling else (lambda c: F.col(c).asc())
+    names = list(sums)
+    rows = df.select("*", *(x.alias(f"_s_{n}") for n, x in sums.items())).withColumn("_t", value_range(df, tie))
+    total = lambda t, *key: t.groupBy(*key).agg(*(F.sum(f"_s_{n}").alias(f"_s_{n}") for n in names))
+
+    def before(t: DataFrame, order: Column, level: str, *part: str) -> DataFrame:
+        w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return t.select("*", *(F.coalesce(F.sum(f"_s_{n}").over(w), F.lit(0)).alias(f"{level}{n}") for n in names))
+
+    cells = total(rows, value, "_t")
+    values = total(cells, value)
+    values = values.withColumn("_b", value_range(values, value))
+    ranges = total(values, "_b")  # at most BUCKETS + 2 rows
+    ranges = before(ranges, way("_b"), "_r_").select("_b", *(f"_r_{n}" for n in names), *(F.sum(f"_s_{n}").over(Window.partitionBy()).alias(f"{n}_all") for n in names))
+    values = before(values, way(value), "_v_", "_b").join(F.broadcast(ranges), "_b")
+    values = values.select(F.col(value).alias("_value"), *((F.col(f"_v_{n}") + F.col(f"_r_{n}")).alias(f"_v_{n}") for n in names), *(f"{n}_all" for n in names))
+    cells = before(cells, F.col("_t"), "_c_", value).join(values, F.col(value).eqNullSafe(F.col("_value")))
+    cells = cells.select("_value", F.col("_t").alias("_tie"), *((F.col(f"_c_{n}") + F.col(f"_v_{n}")).alias(f"_c_{n}") for n in names), *(f"{n}_all" for n in names))
+    w = Window.partitionBy(value, "_t").orderBy(tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(*df.columns, "_t", *(F.sum(f"_s_{n}").over(w).alias(n) for n in names))
+    rows = rows.join(cells, F.col(value).eqNullSafe(F.col("_value")) & F.col("_t").eqNullSafe(F.col("_tie")))
+    return rows.select(*df.columns, *((F.col(n) + F.col(f"_c_{n}")).alias(n) for n in names), *(f"{n}_all" for n in names))
+
+
+def value_at(df: DataFrame, value: str, share: float, out: str) -> DataFrame:
+    """One row: the element at floor(share (n - 1)) of all values in order; empty tables give null.
+
+    The element is looked for in two levels: in the range that holds its place, then among the distinct values of that range.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_b", value_range(counts, value))
+    ranges = counts.groupBy("_b").agg(F.sum("_c").alias("_c"))
+    ranges = ranges.select("_b", F.sum("_c").over(Window.orderBy("_b")).alias("_upto"), "_c", F.floor(F.lit(share) * (F.sum("_c").over(Window.partitionBy()) - 1)).alias("_k"))
+    one = ranges.where((F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_c") <= F.col("_k"))).select("_b", (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_k"))
+    inside = counts.join(F.broadcast(one), "_b").select(value, "_k", F.sum("_c").over(Window.partitionBy("_b").orderBy(value)).alias("_upto"))  # one row
+    return inside.agg(F.min(F.when(F.col("_upto") > F.col("_k"), F.col(value))).alias(out))
+
+
 def global_places(df: DataFrame, value: str, tie: list[str]) -> DataFrame:
     """Adds `place` (from 0) and `rows`: the order of all rows by value and tie, without bringing rows to one task.
 

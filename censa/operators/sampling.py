@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def uniform(*parts: Column | str) -> Column:
-    """A number in [0, 1) from the MD5 of the parts joined by colons (28 bits)."""
+def uniform(*parts: Column | str, digits: int = 7) -> Column:
+    """A number in [0, 1) from the first hex digits, at most 13, of the MD5 of the parts joined by colons."""
     text = F.concat_ws(":", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts))
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("double") / (1 << 28)
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("double") / F.lit(float(16**digits))
 
 
 def poisson_one(u: Column) -> Column:
@@ -84,16 +84,28 @@ def nested_fractions(df: DataFrame, label: str, fractions: list[float]) -> DataF
     return counts.select(F.explode(F.array(*(F.struct(F.lit(float(f)).alias("fraction"), F.col(f"`{k}`").alias("labels")) for k, f in enumerate(fractions)))).alias("x")).select("x.*")
 
 
-def negatives(queries: DataFrame, candidates: DataFrame, each: int, buckets: int) -> DataFrame:
-    """`each` candidates of other labels for a query, by hash.
+#: Cells that number candidates; their totals fit one task and a broadcast.
+CELLS = 4096
 
-    Queries meet only the candidates of their own hash bucket, so the work is rows times bucket size, not rows squared.
+
+def negatives(queries: DataFrame, candidates: DataFrame, each: int, draws: int = 16) -> DataFrame:
+    """`each` different candidates of other labels for a query, by hash; (query, label) and (candidate, candidate_label).
+
+    Candidates are numbered in the order of a hash, and a query draws numbers, so its work does not grow with the candidates.
+    The first draws that fit count. A query gets fewer if `draws` numbers hold fewer fitting ones: with a label that holds a
+    third of all candidates less than once in 10^5 queries of that label. No candidates give no rows.
     """
-    q = queries.withColumn("_b", F.floor(uniform(F.lit("neg"), "query") * buckets).cast("int"))
-    c = candidates.withColumn("_b", F.floor(uniform(F.lit("neg"), "candidate") * buckets).cast("int"))
-    pairs = q.join(c, "_b").where("label <> candidate_label")
-    order = Window.partitionBy("query").orderBy(uniform(F.lit("pick"), "query", "candidate"), "candidate")
-    return pairs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("query", "candidate")
+    own = uniform(F.lit("neg"), "candidate", digits=13)
+    rows = candidates.select("candidate", "candidate_label", own.alias("_u")).withColumn("_c", F.floor(F.col("_u") * CELLS).cast("int"))
+    cells = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
+    cells = cells.select("_c", (F.sum("_n").over(Window.orderBy("_c")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    place = F.row_number().over(Window.partitionBy("_c").orderBy("_u", "candidate")) - 1
+    numbered = rows.withColumn("_i", place).join(F.broadcast(cells), "_c").select("candidate", "candidate_label", (F.col("_before") + F.col("_i")).alias("_p"))  # CELLS rows
+    total = cells.agg(F.max("_all").alias("_all"))
+    drawn = queries.select("query", "label", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_d")).join(F.broadcast(total))  # one row
+    drawn = drawn.withColumn("_p", F.floor(uniform(F.lit("draw"), "query", F.col("_d"), digits=13) * F.col("_all")))
+    pairs = drawn.join(numbered, "_p").where("label <> candidate_label").groupBy("query", "candidate").agg(F.min("_d").alias("_d"))
+    return pairs.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy("_d"))).where(F.col("k") <= each).select("query", "candidate")
 
 
 def leakage_checks(roles: DataFrame) -> DataFrame:

@@ -245,9 +245,7 @@ def m_review_at_90(verdicts: DataFrame) -> DataFrame:
 @add("verdicts", sql="WITH r AS (SELECT row_number() OVER w AS k, avg(accepted::INT) OVER (ORDER BY score, edge_id ROWS UNBOUNDED PRECEDING) AS acc FROM verdicts WINDOW w AS (ORDER BY score, edge_id)) SELECT coalesce(max(CASE WHEN acc < 0.7 THEN k END), 0) AS n FROM r")
 def m_abstain_point(verdicts: DataFrame) -> DataFrame:
     """The longest prefix of low scores whose accuracy stays below the target."""
-    w = Window.orderBy("score", "edge_id")
-    rows = verdicts.select(F.row_number().over(w).alias("k"), F.avg(F.col("accepted").cast("double")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("acc"))
-    return rows.agg(F.coalesce(F.max(F.when(F.col("acc") < 0.7, F.col("k"))), F.lit(0)).cast("bigint").alias("n"))
+    return M.abstain_point(verdicts, "score", "accepted", "edge_id", 0.7)
 
 
 _WILSON = "CASE WHEN n > 0 THEN {f}((k / n::DOUBLE + 3.8416 / (2 * n)) / (1 + 3.8416 / n) {s} 1.96 / (1 + 3.8416 / n) * sqrt(k / n::DOUBLE * (1 - k / n::DOUBLE) / n + 3.8416 / (4 * n * n)), {e}) END"
@@ -282,10 +280,18 @@ def m_quality_strata(images: DataFrame) -> DataFrame:
     return rows.select(F.explode(strata).alias("stratum"), "ok").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ok"), 6).alias("acc"))
 
 
-@add("verdicts", sql="SELECT method, round(corr(a, b), 6) AS rho FROM (SELECT method, rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY method ORDER BY accepted::INT) + (count(*) OVER (PARTITION BY method, accepted) - 1) / 2.0::DOUBLE AS b FROM verdicts) GROUP BY 1")
+_RANKS = "rank() OVER (PARTITION BY method ORDER BY {x}) + (count(*) OVER (PARTITION BY method, {x}) - 1) / 2.0::DOUBLE"
+
+
+@add("verdicts", sql=f"""
+    WITH v AS (SELECT method, score, accepted::INT AS share, CAST(edge_id % 7 AS INT) AS links FROM verdicts), c AS (SELECT method, quantile_cont(score, 0.333) AS lo, quantile_cont(score, 0.667) AS hi FROM v GROUP BY 1),
+    r AS (SELECT method, {_RANKS.format(x='score')} AS a, {_RANKS.format(x='share')} AS b, {_RANKS.format(x='links')} AS d FROM v), k AS (SELECT method, round(CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN corr(a, b) END, 6) AS rho, round(CASE WHEN stddev_pop(a) * stddev_pop(d) > 0 THEN corr(a, d) END, 6) AS rho_count FROM r GROUP BY 1),
+    t AS (SELECT method, count(*) AS n, avg(CASE WHEN score <= lo THEN share END) AS low, avg(CASE WHEN score >= hi THEN share END) AS high FROM v JOIN c USING (method) GROUP BY 1)
+    SELECT method, rho, rho_count, n, round(low, 6) AS low, round(high, 6) AS high, round(high - low, 6) AS delta, coalesce(sign(rho) <> sign(rho_count) AND abs(rho_count) > 0.05, FALSE) AS confounded FROM k JOIN t USING (method)""")
 def m_comparability(verdicts: DataFrame) -> DataFrame:
-    """Rank correlation of score and outcome."""
-    return M.spearman(verdicts.withColumn("y", F.col("accepted").cast("int")), "score", "y", "method")
+    """Rank correlation of a factor with share and count of matches, the shares in its outer thirds, and whether the signs disagree."""
+    rows = verdicts.select("method", "score", F.col("accepted").cast("int").alias("share"), (F.col("edge_id") % 7).cast("int").alias("links"))
+    return M.comparability(rows, "score", "share", "links", "method")
 
 
 @add("verdicts", sql=_AUC.format(t="accepted").replace("method, round(", "half, round(").replace("PARTITION BY method", "PARTITION BY half").replace("FROM verdicts)", "FROM (SELECT *, CASE WHEN edge_id >= (SELECT quantile_cont(edge_id, 0.5) FROM verdicts) THEN 'above' ELSE 'below' END AS half FROM verdicts))"))
@@ -304,12 +310,17 @@ def m_mining_audit(verdicts: DataFrame) -> DataFrame:
     return rows.select("threshold", "n", "k", F.round(F.when(F.col("n") > 0, F.col("k") / F.col("n")), 6).alias("precision"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
 
 
-@add("verdicts", sql="SELECT method, count(*) AS judged, round(count(*) FILTER (WHERE accepted AND score >= 400) / nullif(count(*) FILTER (WHERE score >= 400), 0)::DOUBLE, 6) AS precision, round(count(*) FILTER (WHERE accepted AND score >= 400) / nullif(count(*) FILTER (WHERE accepted), 0)::DOUBLE, 6) AS recall FROM verdicts GROUP BY 1")
+@add("verdicts", sql="""
+    WITH e AS (SELECT *, score >= 400 AS yes, (edge_id % 10) / 10.0::DOUBLE AS ta, (edge_id % 13) / 13.0::DOUBLE AS tb FROM verdicts)
+    SELECT method, count(*) AS judged, round(count(*) FILTER (WHERE accepted AND yes) / nullif(count(*) FILTER (WHERE yes), 0)::DOUBLE, 6) AS precision, round(count(*) FILTER (WHERE accepted AND yes) / nullif(count(*) FILTER (WHERE accepted), 0)::DOUBLE, 6) AS recall,
+      round(count(*) FILTER (WHERE accepted) / nullif(count(*) FILTER (WHERE accepted OR novel), 0)::DOUBLE, 6) AS extraction, round(avg(CASE WHEN accepted THEN abs(ta - tb) END), 6) AS drift, coalesce(avg(CASE WHEN accepted THEN abs(ta - (1 - tb)) END) < avg(CASE WHEN accepted THEN abs(ta - tb) END), FALSE) AS inverted FROM e GROUP BY 1""")
 def m_edge_prf(verdicts: DataFrame) -> DataFrame:
-    """Precision and recall over judged edges only."""
-    yes, own = F.col("score") >= 400, F.col("accepted")
-    tp = F.count_if(yes & own)
-    return verdicts.groupBy("method").agg(F.count(F.lit(1)).alias("judged"), F.round(tp / F.nullif(F.count_if(yes), F.lit(0)), 6).alias("precision"), F.round(tp / F.nullif(F.count_if(own), F.lit(0)), 6).alias("recall"))
+    """Precision and recall over judged edges, extraction recall, drift along the axis, and whether the axis looks turned.
+
+    `novel` marks a spot whose partner was not extracted.
+    """
+    rows = verdicts.select("method", "accepted", "novel", (F.col("score") >= 400).alias("yes"), ((F.col("edge_id") % 10) / 10.0).alias("ta"), ((F.col("edge_id") % 13) / 13.0).alias("tb"))
+    return M.edge_prf(rows, "yes", "accepted", "novel", "ta", "tb", "method")
 
 
 @add("verdicts", sql="""

@@ -295,14 +295,7 @@ def axis_flip_scan(vectors: DataFrame) -> DataFrame:
     SELECT (SELECT round(avg(accepted::INT), 6) FROM verdicts WHERE NOT novel) AS r1, round(max(CASE WHEN 0.25 * p + r > 0 THEN 1.25 * p * r / (0.25 * p + r) ELSE 0 END), 6) AS census_f, round(max(b), 6) AS bal_acc FROM f""")
 def m_pooled(verdicts: DataFrame) -> DataFrame:
     """Rank-1, best census F0.5 and best balanced accuracy over all prefixes of falling score."""
-    w = Window.orderBy(F.col("score").desc(), "edge_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    one = lambda c: F.sum(c.cast("int"))
-    known, right = ~F.col("novel"), F.col("accepted")
-    o = verdicts.select(one(known & right).over(w).alias("tp"), one(known).over(w).alias("k"), one(~known).over(w).alias("fp"), F.count(F.lit(1)).over(w).alias("n"), one(known).over(every).alias("nk"), one(~known).over(every).alias("nn"), one(known & right).over(every).alias("hits"))
-    p, r = F.col("tp") / F.col("n"), F.try_divide("tp", "nk")
-    balanced = 0.5 * (F.try_divide("k", "nk") + F.try_divide(F.col("nn") - F.col("fp"), "nn"))
-    return o.agg(F.round(F.max(F.try_divide("hits", "nk")), 6).alias("r1"), F.round(F.max(S.fbeta(p, r)), 6).alias("census_f"), F.round(F.max(balanced), 6).alias("bal_acc"))
+    return M.pooled(verdicts, "score", "edge_id", ~F.col("novel"), F.col("accepted"))
 
 
 @add("verdicts", sql="""

@@ -53,18 +53,14 @@ def join_pairs_two_sets(vectors: DataFrame) -> DataFrame:
 @add("vectors", sql=f"WITH {_V} SELECT a, b, sim FROM (SELECT a.spot_id AS a, b.spot_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS sim, row_number() OVER (PARTITION BY a.photo_id, b.photo_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, a.spot_id, b.spot_id) AS k FROM v a JOIN v b ON a.photo_id < b.photo_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3) WHERE k <= 2")
 def topk_per_pair(vectors: DataFrame) -> DataFrame:
     """The two best links of each pair of photos, among those above a cutoff."""
-    found = P.pairs_above(vectors, 0.3, group="photo_id")
-    name = lambda c: vectors.select(F.col("spot_id").alias(c), F.col("photo_id").alias(f"photo_{c}"))
-    rows = found.join(name("a"), "a").join(name("b"), "b")
-    swap = F.col("photo_a") > F.col("photo_b")
-    rows = rows.select(*(F.when(swap, y).otherwise(F.col(x)).alias(x) for x, y in (("a", F.col("b")), ("b", F.col("a")), ("photo_a", F.col("photo_b")), ("photo_b", F.col("photo_a")))), "sim")
-    return R.first_per(rows, ["photo_a", "photo_b"], F.col("sim").desc(), "a", "b", n=2).select("a", "b", F.round("sim", 6).alias("sim"))
+    found = P.pairs_above(vectors, 0.3, group="photo_id", most=2, per_group=True)
+    return R.first_per(found, ["group_a", "group_b"], F.col("sim").desc(), "a", "b", n=2).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @add("vectors", sql=f"WITH {_V} SELECT a.spot_id AS a, b.spot_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.spot_id < b.spot_id AND a.individual_id <> b.individual_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3 ORDER BY list_cosine_similarity(a.e, b.e) DESC, 1, 2 LIMIT 30")
 def topk_global_pairs(vectors: DataFrame) -> DataFrame:
     """The most similar pairs across individuals."""
-    return P.pairs_above(vectors, 0.3, group="individual_id").orderBy(F.col("sim").desc(), "a", "b").limit(30).select("a", "b", F.round("sim", 6).alias("sim"))
+    return P.pairs_above(vectors, 0.3, group="individual_id", most=30).orderBy(F.col("sim").desc(), "a", "b").limit(30).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @add("vectors", sql=f"WITH {_V}, {_BEST.format(where='WHERE a.photo_id LIKE $$%\\_0$$ ESCAPE $$\\$$')}, m AS (SELECT q_group, g_group, avg(sim) AS sim FROM best GROUP BY 1, 2), o AS (SELECT m.*, split_part(g_group, '_', 1) AS owner FROM m) SELECT q_group, owner, g_group, round(sim, 6) AS sim FROM o QUALIFY row_number() OVER (PARTITION BY q_group, owner ORDER BY sim DESC, g_group) = 1")
@@ -84,30 +80,42 @@ def match_best(vectors: DataFrame) -> DataFrame:
 @add("vectors", sql=f"WITH {_V}, {_BEST.format(where='')} SELECT a.q_group, a.g_group, a.q, a.g, round(a.sim, 6) AS sim FROM best a JOIN best b ON a.q_group = b.g_group AND a.g_group = b.q_group AND a.q = b.g AND a.g = b.q WHERE a.q_group < a.g_group")
 def match_mutual_nn(vectors: DataFrame) -> DataFrame:
     """Spots of two photos that pick each other, over all pairs of photos."""
-    best = P.best_in_groups(_sides(vectors), _sides(vectors)).cache()
-    return P.mutual(best.where("q_group < g_group"), best).select("q_group", "g_group", "q", "g", F.round("sim", 6).alias("sim"))
+    return P.mutual_in_groups(_sides(vectors)).select("q_group", "g_group", "q", "g", F.round("sim", 6).alias("sim"))
 
 
 @add("vectors", sql=f"WITH {_V}, {_BEST.format(where='AND a.individual_id = b.individual_id')} SELECT q AS spot_id, q_group AS photo_id, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM best b WHERE b.q = best.g AND b.g = best.q)) AS survived, count(*) AS siblings, round(max(sim), 6) AS best_sim FROM best GROUP BY 1, 2")
 def spot_survival(vectors: DataFrame) -> DataFrame:
     """To how many photos of its own individual each spot survives as a mutual link."""
-    best = P.best_in_groups(_sides(vectors), _sides(vectors)).where(S.code("q_group") == S.code("g_group")).cache()
-    back = best.select(F.col("g").alias("q"), F.col("q").alias("g"), F.lit(1).alias("m"))
-    rows = best.join(back, ["q", "g"], "left")
-    return rows.groupBy(F.col("q").alias("spot_id"), F.col("q_group").alias("photo_id")).agg(F.count("m").alias("survived"), F.count(F.lit(1)).alias("siblings"), F.round(F.max("sim"), 6).alias("best_sim"))
 
-
-@add("vectors", sql=f"WITH {_V}, {_BEST.format(where='AND a.individual_id = b.individual_id AND a.photo_id < b.photo_id')} SELECT q_group AS a, g_group AS b, round(avg(sim), 6) AS softchamfer, round(max(sim), 6) AS max_sim, round(stddev_pop(sim), 6) AS qmax_std, count(*) FILTER (WHERE sim >= 0.3) AS links FROM best GROUP BY 1, 2")
+    def kernel(x, y):
+        s = K.similarity(x["embedding"], y["embedding"])
+        out = []
+        for ids, top, alive in ((x["spot_id"], s.max(1), 0), (y["spot_id"], s.max(0), 1)):
+            mutual = set(K.mutual_links(s)[:, alive].tolist())
+            out += [{"spot_id": int(i), "second": bool(alive), "alive": k in mutual, "sim": float(t)} for k, (i, t) in enumerate(zip(ids, top, strict=True))]
+        return out
+
+    rows = _over(vectors, kernel, "spot_id long, second boolean, alive boolean, sim double")
+    photo = F.when(F.col("second"), F.col("b")).otherwise(F.col("a"))
+    return rows.groupBy("spot_id", photo.alias("photo_id")).agg(F.count_if("alive").alias("survived"), F.count(F.lit(1)).alias("siblings"), F.round(F.max("sim"), 6).alias("best_sim"))
+
+
+@add("vectors", sql=f"""
+    WITH {_V}, p AS (SELECT a.spot_id AS q, a.photo_id AS a, b.photo_id AS b, b.spot_id AS g, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.individual_id = b.individual_id AND a.photo_id < b.photo_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY q, b ORDER BY s DESC, g) AS k, row_number() OVER (PARTITION BY a, g ORDER BY s DESC, q) AS back FROM p)
+    SELECT a, b, round(avg(s) FILTER (WHERE k = 1), 6) AS softchamfer, round(max(s), 6) AS max_sim, round(stddev_pop(s) FILTER (WHERE k = 1), 6) AS qmax_std, count(*) FILTER (WHERE k = 1 AND s >= 0.3) AS links,
+      round(count(*) FILTER (WHERE k = 1 AND back = 1) / count(DISTINCT q)::DOUBLE, 6) AS mutual_frac, round(least(count(DISTINCT q), count(DISTINCT g)) / greatest(count(DISTINCT q), count(DISTINCT g))::DOUBLE, 6) AS spot_ratio FROM r GROUP BY 1, 2""")
 def pair_consistency(vectors: DataFrame) -> DataFrame:
-    """How well the photos of an individual agree."""
-    pairs = _photo_pairs(vectors)
+    """How well the photos of an individual agree: similarities, mutual links and numbers of spots; `match_ransac` adds the geometry."""
+    values = ("softchamfer", "max_sim", "qmax_std", "mutual_frac", "spot_ratio")
 
     def kernel(x, y):
-        top = K.similarity(x["embedding"], y["embedding"]).max(1)
-        return {"softchamfer": float(top.mean()), "max_sim": float(top.max()), "qmax_std": float(top.std()), "links": int((top >= 0.3).sum())}
+        s = K.similarity(x["embedding"], y["embedding"])
+        top = s.max(1)
+        return {"softchamfer": float(top.mean()), "max_sim": float(top.max()), "qmax_std": float(top.std()), "mutual_frac": len(K.mutual_links(s)) / len(s), "spot_ratio": min(s.shape) / max(s.shape), "links": int((top >= 0.3).sum())}
 
-    out = P.over_pairs(pairs, _photo_sets(vectors), "photo_id", kernel, "a string, b string, softchamfer double, max_sim double, qmax_std double, links long")
-    return out.select("a", "b", *(F.round(c, 6).alias(c) for c in ("softchamfer", "max_sim", "qmax_std")), "links")
+    out = _over(vectors, kernel, ", ".join(f"{v} double" for v in values) + ", links long")
+    return out.select("a", "b", *(F.round(c, 6).alias(c) for c in values), "links")
 
 
 def _photo_sets(vectors: DataFrame) -> DataFrame:
@@ -228,14 +236,12 @@ def mine_correspondences(vectors: DataFrame) -> DataFrame:
 
     def kernel(x, y):
         s = K.similarity(x["embedding"], y["embedding"])
-        pairs = K.mutual_links(s)
-        fits = K.ransac_share(np.array(_xy(x))[pairs[:, 0]], np.array(_xy(y))[pairs[:, 1]])[1]
-        return [{"q": int(x["spot_id"][i]), "g": int(y["spot_id"][j]), "sim": float(s[i, j])} for (i, j), ok in zip(pairs, fits, strict=True) if ok]
+        return [{"q": int(x["spot_id"][i]), "g": int(y["spot_id"][j]), "sim": float(s[i, j])} for i, j in K.correspondences(s, _xy(x), _xy(y))]
 
     found = _over(vectors, kernel, "q long, g long, sim double")
     from ..operators.metrics import at_thresholds
 
-    return at_thresholds(found, [0.0, 0.1, 0.2, 0.3, 0.4], "sim", ("links", F.lit(True)))
+    return at_thresholds(found, [0.4, 0.5, 0.6, 0.7, 0.8], "sim", ("links", F.lit(True)))
 
 
 @add("vectors", sql=f"WITH {_V}, m AS (SELECT photo_id, individual_id, i, avg(e[i]) AS x FROM v, range(1, 65) r(i) GROUP BY 1, 2, 3), p AS (SELECT photo_id, individual_id, list(x ORDER BY i) AS e FROM m GROUP BY 1, 2) SELECT a.photo_id AS a, b.photo_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM p a JOIN p b ON a.photo_id < b.photo_id AND a.individual_id <> b.individual_id WHERE list_cosine_similarity(a.e, b.e) >= 0.25 ORDER BY list_cosine_similarity(a.e, b.e) DESC, 1, 2 LIMIT 25")
@@ -256,15 +262,19 @@ def join_photo_pairs(vectors: DataFrame) -> DataFrame:
     return photos.join(other, "individual_id").where("photo_id <> photo").select(F.col("photo_id").alias("query"), "photo")
 
 
-@add("images", sql="""
-    WITH q AS (SELECT image_id AS query, individual_id AS label, CAST(floor(CAST('0x' || substr(md5('neg:' || image_id), 1, 7) AS BIGINT) / 268435456.0::DOUBLE * 64) AS INT) AS b FROM images WHERE status = 'flagged_uncertain'),
-    c AS (SELECT image_id AS candidate, individual_id AS candidate_label, CAST(floor(CAST('0x' || substr(md5('neg:' || image_id), 1, 7) AS BIGINT) / 268435456.0::DOUBLE * 64) AS INT) AS b FROM images WHERE status = 'confirmed')
-    SELECT query, candidate FROM q JOIN c USING (b) WHERE label <> candidate_label QUALIFY row_number() OVER (PARTITION BY query ORDER BY CAST('0x' || substr(md5('pick:' || query || ':' || candidate), 1, 7) AS BIGINT), candidate) <= 3""")
+_U13 = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+@add("images", sql=f"""
+    WITH c AS (SELECT image_id AS candidate, individual_id AS candidate_label, row_number() OVER (ORDER BY {_U13.format("'neg:' || image_id")}, image_id) - 1 AS p, count(*) OVER () AS n FROM images WHERE status = 'confirmed'),
+    q AS (SELECT image_id AS query, individual_id AS label, d FROM images, range(16) r(d) WHERE status = 'flagged_uncertain'),
+    f AS (SELECT query, candidate, min(d) AS d FROM q JOIN c ON p = CAST(floor({_U13.format("'draw:' || query || ':' || d")} * n) AS BIGINT) AND label <> candidate_label GROUP BY 1, 2)
+    SELECT query, candidate FROM f QUALIFY row_number() OVER (PARTITION BY query ORDER BY d) <= 3""")
 def join_null_pairs(images: DataFrame) -> DataFrame:
     """Three photos of other individuals for each query: the null of a comparison."""
     q = images.where("status = 'flagged_uncertain'").select(F.col("image_id").alias("query"), F.col("individual_id").alias("label"))
     c = images.where("status = 'confirmed'").select(F.col("image_id").alias("candidate"), F.col("individual_id").alias("candidate_label"))
-    return N.negatives(q, c, 3, 64)
+    return N.negatives(q, c, 3)
 
 
 @add("images", sql="SELECT a.image_id AS query, b.image_id AS candidate, coalesce(least(a.blur, b.blur), 1.0::DOUBLE) AS quality FROM images a JOIN images b ON a.individual_id = b.individual_id AND a.image_id < b.image_id WHERE a.status = 'confirmed' AND b.status = 'confirmed'")

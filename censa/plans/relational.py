@@ -400,15 +400,25 @@ def agg_runlog(activity: DataFrame) -> DataFrame:
     return A.run_log(activity, "kind", "props", "k")
 
 
+@add("activity", sql="SELECT kind, field, count(*) AS events, count(*) FILTER (WHERE value IS NULL OR value IN ('', 'false', '0', '0.0', '[]', '{}')) AS falsy FROM (SELECT kind, unnest(json_keys(props)) AS field, unnest([json_extract_string(props, '$.' || k) FOR k IN json_keys(props)]) AS value FROM activity) GROUP BY 1, 2")
+def agg_runlog_fields(activity: DataFrame) -> DataFrame:
+    """Each field of the run log's JSON objects: its events by kind, and how many were falsy."""
+    return A.run_calls(activity, "kind", "props")
+
+
 @add("verdicts", sql="SELECT method, count(*) AS n, count(*) FILTER (WHERE accepted) AS n_accepted, count(*) FILTER (WHERE novel) AS n_novel, round(CAST(count(*) FILTER (WHERE accepted) AS DOUBLE) / count(*), 6) AS precision FROM verdicts GROUP BY 1")
 def agg_review_counts(verdicts: DataFrame) -> DataFrame:
     return A.review_counts(verdicts, "method")
 
 
-@add("individuals", sql="SELECT site_id, substr(sha256(string_agg(CAST(individual_id AS VARCHAR) || ':' || display_id || ':' || status, '|' ORDER BY individual_id)), 1, 16) AS checksum FROM individuals GROUP BY 1")
+@add("individuals", sql="""
+    WITH r AS (SELECT site_id, sha256(CAST(individual_id AS VARCHAR) || ':' || display_id || ':' || status) AS h, count(*) AS c FROM individuals GROUP BY 1, 2),
+    a AS (SELECT site_id, substr(h, 1, 5) AS p, sha256(string_agg(h || '*' || c, '|' ORDER BY h)) AS t FROM r GROUP BY 1, 2),
+    b AS (SELECT site_id, substr(p, 1, 2) AS o, sha256(string_agg(t, '|' ORDER BY p)) AS t FROM a GROUP BY 1, 2)
+    SELECT site_id, substr(sha256(string_agg(t, '|' ORDER BY o)), 1, 16) AS checksum FROM b GROUP BY 1""")
 def agg_checksum(individuals: DataFrame) -> DataFrame:
     """An order-stable checksum of the rows of each site."""
-    return A.checksum(individuals, ["site_id"], "individual_id", F.concat_ws(":", F.col("individual_id").cast("string"), "display_id", "status"))
+    return A.checksum(individuals, ["site_id"], F.concat_ws(":", F.col("individual_id").cast("string"), "display_id", "status"))
 
 
 # Order and limits
