@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import quantile_index
-from .ranking import rank01
+from .ranking import each_place, rank01
 
 
 def clip01(x: Column) -> Column:
@@ -41,3 +41,40 @@ def blend(df: DataFrame, group: list[str], tie: list[str], factors: dict[str, st
     total = sum(weights.values())
     score = reduce(lambda a, b: a + b, (F.lit(weights[n] / total) * rank01(f"_f_{n}", tie, *group) for n in factors))
     return df.withColumn("blend", score).drop(*(f"_f_{n}" for n in factors))
+
+
+#: The factors of a spot's distinctiveness. Rarity takes part only as a constant unless its column is given.
+FACTORS = ("size", "elongation", "noncircularity", "irregularity", "rarity", "isolation")
+
+
+def isolation(spots: DataFrame, image: str, spot: str, t: str, aside: str, near: int = 3) -> DataFrame:
+    """(image, spot, isolation): mean distance of a spot to its `near` nearest others of the image, 1 for a lone one.
+
+    Places are the share along the axis (unknown: 0.5) and the distance from it in half widths, within -3 and 3 (unknown: 0).
+    The places of one image stand in each of its rows, so an image is taken to be a photo with a photo's number of spots.
+    """
+    finite = lambda c, other: F.coalesce(F.when(F.isnan(c), None).otherwise(F.col(c)), F.lit(other))
+    at = F.struct(finite(t, 0.5).cast("double").alias("t"), F.least(F.greatest(finite(aside, 0.0), F.lit(-3.0)), F.lit(3.0)).cast("double").alias("u"))
+    rows = spots.select(image, spot, at.alias("p"))
+    every = rows.groupBy(image).agg(F.collect_list("p").alias("all"))
+    rows = rows.join(every, image)
+    # The nearest place of all is the spot's own, at distance 0.
+    apart = F.sort_array(F.transform("all", lambda q: F.sqrt(F.pow(q["t"] - F.col("p.t"), 2) + F.pow(q["u"] - F.col("p.u"), 2))))
+    some = F.slice(apart, 2, near)
+    mean = F.aggregate(some, F.lit(0.0), lambda a, x: a + x) / F.size(some)
+    return rows.select(image, spot, F.when(F.size("all") <= 1, 1.0).otherwise(mean).alias("isolation"))
+
+
+def distinctiveness(spots: DataFrame, image: str, spot: str, factors: dict[str, str], weights: dict[str, float]) -> DataFrame:
+    """(image, spot, distinctiveness): the weighted mean of the factors' places (0 to 1) among all spots.
+
+    `factors` names a numeric column for each factor; equal values share their mean place, and nulls are one value, the
+    first. A weighted factor without a column counts 0.5, as a constant has no order. (image, spot) must be unique.
+    """
+    used = {n: w for n, w in weights.items() if w and n in factors}
+    total, constant = sum(weights.values()), 0.5 * sum(w for n, w in weights.items() if n not in factors)
+    if not used:
+        return spots.select(image, spot, F.lit(constant / total if total else None).cast("double").alias("distinctiveness"))
+    places = each_place(spots, [image, spot], [factors[n] for n in used])
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in used.values())), F.col("factor") + 1)
+    return places.groupBy(image, spot).agg(((F.sum(weight * F.col("place")) + constant) / total).alias("distinctiveness"))

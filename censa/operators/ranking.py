@@ -96,6 +96,40 @@ def global_places(df: DataFrame, value: str, tie: list[str]) -> DataFrame:
     return df.withColumn("_w", within).join(ahead, F.col(value).eqNullSafe(F.col("_v"))).withColumn("place", F.col("_ahead") + F.col("_w")).drop("_v", "_ahead", "_w")
 
 
+def each_place(df: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """(key, factor, place): for each row and each of several numbers its place from 0 to 1 among all rows, in one pass.
+
+    `factor` counts the columns from 0. Equal values share their mean place, a null or NaN comes before all numbers, and a
+    single row has place 0. Counts of values are summed in two levels, over ranges of the value and within them.
+    """
+    number = lambda v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double"))
+    bounds = df.agg(*(f(number(v)).alias(f"{n}{k}") for k, v in enumerate(values) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    low = [bounds[f"lo{k}"] or 0.0 for k in range(len(values))]
+    span = [(bounds[f"hi{k}"] or 0.0) - lo or 1.0 for k, lo in enumerate(low)]
+    of = lambda numbers: F.element_at(F.array(*(F.lit(float(x)) for x in numbers)), F.col("factor") + 1)
+    rows = df.select(*key, F.posexplode(F.array(*(number(v) for v in values))).alias("factor", "x"))
+    counts = rows.groupBy("factor", "x").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumn("b", F.coalesce(F.floor((F.col("x") - of(low)) / of(span) * (BUCKETS - 1)), F.lit(-1)))
+    ranges = counts.groupBy("factor", "b").agg(F.sum("c").alias("t"))
+    every = Window.partitionBy("factor")
+    ranges = ranges.select("factor", "b", (F.sum("t").over(every.orderBy("b")) - F.col("t")).alias("before"), F.sum("t").over(every).alias("n"))
+    inside = F.sum("c").over(Window.partitionBy("factor", "b").orderBy("x")) - F.col("c")
+    mean = F.col("before") + F.col("inside") + (F.col("c") - 1) / 2
+    # At most BUCKETS + 1 ranges a factor are broadcast.
+    ahead = counts.withColumn("inside", inside).join(F.broadcast(ranges), ["factor", "b"]).select(F.col("factor").alias("_f"), F.col("x").alias("_x"), (mean / F.greatest(F.col("n") - 1, F.lit(1))).alias("place"))
+    return rows.join(ahead, (F.col("factor") == F.col("_f")) & F.col("x").eqNullSafe(F.col("_x"))).select(*key, "factor", "place")
+
+
+def percent_of_all(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds the average rank of a number among all rows over their number; counts of values are ranked, not rows.
+
+    Rows without a value are left out.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running(counts.withColumn("_k", F.lit(0)), "_v", "_k", c=F.col("_n"))
+    return df.join(upto.select("_v", ((F.col("c") - (F.col("_n") - 1) / 2) / F.col("c_all")).alias(out)), F.col(value) == F.col("_v")).drop("_v")
+
+
 def size_percentile(df: DataFrame, value: str, tie: list[str]) -> DataFrame:
     """Adds `pct`: 100 place / (n - 1) among rows with a finite value; others get null."""
     fine = F.col(value).isNotNull() & ~F.isnan(value)

@@ -57,10 +57,12 @@ def rank_rank01(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("edge_id", F.round(R.rank01("score", ["edge_id"], "label"), 6).alias("place"))
 
 
-@add("spots", sql="SELECT image_id, spot_id, round(100.0 * (row_number() OVER (ORDER BY area, image_id, spot_id) - 1) / (count(*) OVER () - 1), 6) AS pct FROM spots")
+@add("spots", sql="WITH s AS (SELECT image_id, spot_id, round(sqrt(4 * area / pi()) / nullif(image_id % 40, 0), 9) AS d FROM spots), r AS (SELECT *, 100.0::DOUBLE * (row_number() OVER (ORDER BY d, image_id, spot_id) - 1) / greatest(count(*) OVER () - 1, 1) AS p FROM s WHERE d IS NOT NULL) SELECT image_id, spot_id, round(p, 6) AS pct FROM s LEFT JOIN r USING (image_id, spot_id)")
 def rank_size_pct(spots: DataFrame) -> DataFrame:
-    """Percentile of a spot's size among all spots; no task holds all of them."""
-    return R.size_percentile(spots.select("image_id", "spot_id", "area"), "area", ["image_id", "spot_id"]).select("image_id", "spot_id", F.round("pct", 6).alias("pct"))
+    """Percentile of a spot's diameter in body lengths among all spots; null without a body length. No task holds all spots."""
+    length = F.nullif(F.col("image_id") % 40, F.lit(0))
+    rows = spots.select("image_id", "spot_id", F.round(F.sqrt(4 * F.col("area") / F.pi()) / length, 9).alias("d"))
+    return R.size_percentile(rows, "d", ["image_id", "spot_id"]).select("image_id", "spot_id", F.round("pct", 6).alias("pct"))
 
 
 @add("models", sql="SELECT model_id, round((rank() OVER (PARTITION BY kind ORDER BY blur) - 1) / greatest(count(*) OVER (PARTITION BY kind) - 1, 1)::DOUBLE, 6) AS pct, round((blur - avg(blur) OVER (PARTITION BY kind)) / stddev_samp(blur) OVER (PARTITION BY kind), 6) AS z FROM models")

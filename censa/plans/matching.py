@@ -244,14 +244,21 @@ def mine_correspondences(vectors: DataFrame) -> DataFrame:
     return at_thresholds(found, [0.4, 0.5, 0.6, 0.7, 0.8], "sim", ("links", F.lit(True)))
 
 
-@add("vectors", sql=f"WITH {_V}, m AS (SELECT photo_id, individual_id, i, avg(e[i]) AS x FROM v, range(1, 65) r(i) GROUP BY 1, 2, 3), p AS (SELECT photo_id, individual_id, list(x ORDER BY i) AS e FROM m GROUP BY 1, 2) SELECT a.photo_id AS a, b.photo_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM p a JOIN p b ON a.photo_id < b.photo_id AND a.individual_id <> b.individual_id WHERE list_cosine_similarity(a.e, b.e) >= 0.25 ORDER BY list_cosine_similarity(a.e, b.e) DESC, 1, 2 LIMIT 25")
+@add("vectors", sql=f"""
+    WITH {_V}, m AS (SELECT photo_id, individual_id, i, avg(e[i]) AS x FROM v, range(1, 65) r(i) GROUP BY 1, 2, 3), p AS (SELECT photo_id, individual_id, list(x ORDER BY i) AS e FROM m GROUP BY 1, 2),
+    s AS (SELECT a.photo_id AS a, b.photo_id AS b, a.individual_id = b.individual_id AS same, list_cosine_similarity(a.e, b.e) AS sim FROM p a JOIN p b ON a.photo_id < b.photo_id),
+    r AS (SELECT round(sim, 9) AS sim, row_number() OVER (ORDER BY round(sim, 9)) - 1 AS k, count(*) OVER () AS n FROM s WHERE same), bar AS (SELECT min(sim) AS bar FROM r WHERE k = floor(0.9 * (n - 1)))
+    SELECT a, b, round(sim, 6) AS sim, coalesce(round(sim, 9) >= bar, FALSE) AS flagged FROM s, bar WHERE NOT same AND sim >= 0.25 ORDER BY s.sim DESC, a, b LIMIT 25""")
 def dup_scan(vectors: DataFrame) -> DataFrame:
-    """Photos of different individuals whose mean vectors are most alike."""
+    """Photos of different individuals whose mean vectors are most alike, flagged if more than 90 % of genuine repeats are."""
     means = P.mean_vectors(vectors, "photo_id").withColumn("id", F.xxhash64("photo_id")).withColumn("owner", S.code("photo_id"))
-    found = P.pairs_above(means.select(F.col("id").alias("spot_id"), F.col("mean").alias("embedding"), "owner"), 0.25, group="owner")
+    found = P.pairs_above(means.select(F.col("id").alias("spot_id"), F.col("mean").alias("embedding"), "owner"), 0.25, group="owner", most=25)
     name = lambda c: means.select(F.col("id").alias(c), F.col("photo_id").alias(f"p_{c}"))
     rows = found.join(name("a"), "a").join(name("b"), "b").select(F.least("p_a", "p_b").alias("a"), F.greatest("p_a", "p_b").alias("b"), "sim")
-    return rows.orderBy(F.col("sim").desc(), "a", "b").limit(25).select("a", "b", F.round("sim", 6).alias("sim"))
+    pairs = J.pairs_within(means.select("owner", "photo_id", "mean"), "owner", "photo_id")
+    bar = R.value_at(pairs.select(F.round(S.cosine("a.mean", "b.mean"), 9).alias("r")), "r", 0.9, "bar")
+    top = rows.orderBy(F.col("sim").desc(), "a", "b").limit(25).join(F.broadcast(bar))  # one row
+    return top.select("a", "b", F.round("sim", 6).alias("sim"), F.coalesce(F.round("sim", 9) >= F.col("bar"), F.lit(False)).alias("flagged"))
 
 
 @add("vectors", sql="SELECT a.photo_id AS query, b.photo_id AS photo FROM (SELECT DISTINCT photo_id, individual_id FROM vectors) a JOIN (SELECT DISTINCT photo_id, individual_id FROM vectors) b ON a.photo_id <> b.photo_id AND a.individual_id = b.individual_id")
@@ -284,17 +291,35 @@ def pair_quality(images: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.image_id").alias("query"), F.col("b.image_id").alias("candidate"), F.coalesce(F.least("a.blur", "b.blur"), F.lit(1.0)).alias("quality"))
 
 
-@add("spots", sql="""
-    WITH r AS (SELECT image_id, spot_id, (row_number() OVER (PARTITION BY image_id ORDER BY area, spot_id) - 1) / greatest(count(*) OVER (PARTITION BY image_id) - 1, 1)::DOUBLE AS size,
-      (row_number() OVER (PARTITION BY image_id ORDER BY mass, spot_id) - 1) / greatest(count(*) OVER (PARTITION BY image_id) - 1, 1)::DOUBLE AS bulk,
-      (row_number() OVER (PARTITION BY image_id ORDER BY abs(axis_offset), spot_id) - 1) / greatest(count(*) OVER (PARTITION BY image_id) - 1, 1)::DOUBLE AS aside FROM spots)
-    SELECT image_id, spot_id, round((0.5::DOUBLE * size + 0.3::DOUBLE * bulk + 0.2::DOUBLE * aside), 6) AS distinctiveness FROM r""")
+_PLACE = "(rank() OVER (ORDER BY {x}) - 1 + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::DOUBLE) / greatest(count(*) OVER () - 1, 1)"
+# Weights of the query; rarity has no column here and counts as a constant.
+_WEIGHTS = {"size": 1.0, "elongation": 0.5, "noncircularity": 0.75, "irregularity": 0.25, "rarity": 0.25, "isolation": 1.25}
+
+
+@add("spots", sql=f"""
+    WITH o AS (SELECT image_id, spot_id, area AS a, area * (0.5 + axis_t / 2) AS b, part % 11 / 10.0::DOUBLE AS k, axis_t AS t, least(greatest(axis_offset / 0.02, -3), 3)::DOUBLE AS u, sqrt(4 * area / pi()) / (50 + image_id % 40) AS size FROM spots),
+    d AS (SELECT x.image_id, x.spot_id, sqrt(pow(x.t - y.t, 2) + pow(x.u - y.u, 2)) AS d FROM o x JOIN o y ON x.image_id = y.image_id AND x.spot_id <> y.spot_id),
+    n AS (SELECT image_id, spot_id, avg(d) AS isolation FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY image_id, spot_id ORDER BY d) <= 3) GROUP BY 1, 2),
+    f AS (SELECT o.image_id, o.spot_id, round(size, 9) AS size, round(sqrt(greatest(0.8 * a * a, b * b * (0.8 + 0.16 * k * k)) / least(0.8 * a * a, b * b * (0.8 + 0.16 * k * k))) - 1, 6) AS elongation,
+      round(greatest(pow(2 * sqrt(a * a + b * b * (1 - k) * (1 - k)) + 4 * b + 2 * a, 2) / (4 * pi() * a * b * (3 + k)) - 1, 0), 6) AS noncircularity, round((1 - k) / 4, 6) AS irregularity, round(coalesce(isolation, 1), 6) AS isolation FROM o LEFT JOIN n USING (image_id, spot_id))
+    SELECT image_id, spot_id, round(({' + '.join(f"{w} * {_PLACE.format(x=n)}" for n, w in _WEIGHTS.items() if n != 'rarity')} + 0.125) / 4, 6) AS distinctiveness FROM f""")
 def distinctiveness(spots: DataFrame) -> DataFrame:
-    """Weighted mean of the ranked factors of a spot within its image."""
-    from ..operators.quality import blend
+    """Weighted mean of a spot's places among all spots, by size, shape and isolation."""
+    from ..operators.quality import distinctiveness as weigh
+    from ..operators.quality import isolation
+    from ..sources.sinks import written
 
-    factors = {"size": "area", "bulk": "mass", "aside": F.abs("axis_offset")}
-    return blend(spots, ["image_id"], ["spot_id"], factors, {"size": 0.5, "bulk": 0.3, "aside": 0.2}).select("image_id", "spot_id", F.round("blend", 6).alias("distinctiveness"))
+    a, b, k = F.col("area"), F.col("area") * (0.5 + F.col("axis_t") / 2), F.col("part") % 11 / 10.0
+    corner = lambda x, y: F.array(x, y)
+    outline = F.array(corner(-a, -b), corner(F.lit(0.0), -b * k), corner(a, -b), corner(a, b), corner(-a, b))
+    size = F.sqrt(4 * a / F.pi()) / (50 + F.col("image_id") % 40)
+    shaped = G.shapes(spots.select("image_id", "spot_id", F.round(size, 9).alias("size"), outline.alias("outline")), "outline").drop("outline")
+    alone = isolation(spots.withColumn("u", F.col("axis_offset") / 0.02), "image_id", "spot_id", "axis_t", "u")
+    rows = shaped.join(alone, ["image_id", "spot_id"])
+    names = ("elongation", "noncircularity", "irregularity", "isolation")
+    rows = rows.select("image_id", "spot_id", "size", *(F.round(n, 6).alias(n) for n in names))
+    # The factors are read several times.
+    return weigh(written(rows), "image_id", "spot_id", {n: n for n in ("size", *names)}, _WEIGHTS).select("image_id", "spot_id", F.round("distinctiveness", 6).alias("distinctiveness"))
 
 
 @add("models", sql="SELECT greatest(median(blur), 1e-6) AS blur_median, greatest(max(CASE WHEN k = 1 + CAST(floor(0.9 * (n - 1)) AS BIGINT) THEN bal_acc END), 0.02) AS scale FROM (SELECT blur, bal_acc, row_number() OVER (ORDER BY bal_acc) AS k, count(*) OVER () AS n FROM models)")
@@ -318,16 +343,19 @@ def quality_composites(images: DataFrame) -> DataFrame:
     return rows.withColumn("overall", F.round(geometric_mean("blur_quality", "spot_quality", "body_quality"), 6))
 
 
-@add("spots", sql="""
-    WITH n AS (SELECT image_id, count(*) AS n_spots, max(part) AS part FROM spots GROUP BY 1), r AS (SELECT *, (rank() OVER (ORDER BY n_spots) + (count(*) OVER (PARTITION BY n_spots) - 1) / 2.0::DOUBLE) / count(*) OVER () AS pct, median(n_spots) OVER (PARTITION BY part % 50) AS mid FROM n)
-    SELECT image_id, round(pct, 6) AS pct, round(n_spots / greatest(mid, 1), 6) AS ratio FROM r WHERE n_spots > 1.5::DOUBLE * mid""")
+_AVG_RANK = "(rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::DOUBLE) / count(*) OVER ()"
+
+
+@add("spots", sql=f"""
+    WITH n AS (SELECT image_id, count(*) AS n_spots, max(part) % 5000 AS sibling, max(part) % 97 / 97.0::DOUBLE AS solidity FROM spots GROUP BY 1),
+    r AS (SELECT *, {_AVG_RANK.format(x='n_spots')} AS p, {_AVG_RANK.format(x='solidity')} AS s, median(n_spots) OVER (PARTITION BY sibling) AS mid FROM n)
+    SELECT image_id, round(p + 1 - s, 6) AS suspicion, round(n_spots / greatest(mid, 1), 6) AS ratio FROM r""")
 def multi_animal_scan(spots: DataFrame) -> DataFrame:
-    """Images with many more spots than their siblings."""
-    n = spots.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_spots"), (F.max("part") % 50).alias("sibling"))
-    sizes = n.groupBy("n_spots").agg(F.count(F.lit(1)).alias("c"))
-    ranks = sizes.select("n_spots", ((F.sum("c").over(Window.orderBy("n_spots")) - (F.col("c") - 1) / 2.0) / F.sum("c").over(Window.partitionBy())).alias("pct"))
-    rows = n.withColumn("mid", F.percentile("n_spots", F.lit(0.5)).over(Window.partitionBy("sibling"))).join(ranks, "n_spots")
-    return rows.where(F.col("n_spots") > 1.5 * F.col("mid")).select("image_id", F.round("pct", 6).alias("pct"), F.round(F.col("n_spots") / F.greatest("mid", F.lit(1.0)), 6).alias("ratio"))
+    """Photos that look like several animals: many spots in an outline far from convex, and more spots than their siblings."""
+    n = spots.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_spots"), (F.max("part") % 5000).alias("sibling"), (F.max("part") % 97 / 97.0).alias("solidity"))
+    rows = R.percent_of_all(R.percent_of_all(n, "n_spots", "p"), "solidity", "s")
+    mid = n.groupBy("sibling").agg(F.percentile("n_spots", F.lit(0.5)).alias("mid"))
+    return rows.join(mid, "sibling").select("image_id", F.round(F.col("p") + 1 - F.col("s"), 6).alias("suspicion"), F.round(F.col("n_spots") / F.greatest("mid", F.lit(1.0)), 6).alias("ratio"))
 
 
 @add("spots", sql="SELECT image_id, spot_id, CASE WHEN axis_offset > 0 THEN 'left' WHEN axis_offset < 0 THEN 'right' ELSE 'overlap' END AS side, CASE WHEN axis_offset > 0 THEN 2 * CAST(least(floor(axis_t * 4), 3) AS INT) + 1 WHEN axis_offset < 0 THEN 2 * CAST(least(floor(axis_t * 4), 3) AS INT) + 2 END AS bin FROM spots")

@@ -23,6 +23,20 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/censa-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, so that the steps that follow do not compute them again."""
+    path = f"{scratch_folder(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def one_per_key(df: DataFrame, key: list[str], version: str | None = None) -> DataFrame:
+    """Of each key the row of the last version; of equal or no versions the one whose content, as JSON, comes first."""
+    order = [F.col(version).desc()] if version else []
+    order.append(F.to_json(F.struct("*")))
+    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_k = 1").drop("_k")
+
+
 def create_or_replace(df: DataFrame, path: str, *partitions: str) -> None:
     """Writes the table anew. The source must not be the target itself; see `publish` for that."""
     writer = df.write.mode("overwrite")
@@ -34,19 +48,15 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: list[str], version: str | None = None) -> DataFrame:
-    """Rows of `changes` replace those of equal key; of several changes to a key the last version counts."""
-    if version:
-        order = Window.partitionBy(*key).orderBy(F.col(version).desc())
-        changes = changes.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
-    else:
-        changes = changes.dropDuplicates(key)
+    """Rows of `changes` replace those of equal key; of several changes to a key `one_per_key` counts."""
+    changes = one_per_key(changes, key, version)
     kept = table.join(changes.select(*key), key, "left_anti")
     return kept.unionByName(changes, allowMissingColumns=True)
 
 
 def insert_missing(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """Adds rows whose key is not there yet."""
-    return table.unionByName(changes.dropDuplicates(key).join(table.select(*key), key, "left_anti"), allowMissingColumns=True)
+    """Adds rows whose key is not there yet; of several `one_per_key` counts."""
+    return table.unionByName(one_per_key(changes, key).join(table.select(*key), key, "left_anti"), allowMissingColumns=True)
 
 
 def add_counts(table: DataFrame, changes: DataFrame, key: list[str], count: str) -> DataFrame:

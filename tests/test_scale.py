@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from censa.operators import aggregates as A
 from censa.operators import metrics as M
 from censa.operators import pairs as P
+from censa.operators import quality as Q
 from censa.operators import ranking as R
 from censa.operators import sampling as N
+from censa.sources import sinks
 
 
 def vectors(seed=1, n=60, size=4):
@@ -116,3 +118,36 @@ def test_prefix_metrics_over_ties(spark):
     assert M.tpr_at_fpr(df, "s", "y", 0.0, "t").first().tpr == pytest.approx(1 / 3, abs=1e-6)
     assert M.abstain_point(df, "s", "y", "t", 0.7).first().n == 5
     assert M.abstain_point(df.limit(0), "s", "y", "t", 0.7).first().n == 0
+
+
+def test_places_of_several_factors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), None if i % 13 == 0 else float(rng.integers(0, 6)), float(rng.normal())) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    found = {(r.id, r.factor): r.place for r in R.each_place(df, ["id"], ["a", "b"]).collect()}
+    for k in (1, 2):
+        own = [-1e9 if r[k] is None else r[k] for r in rows]
+        expected = {(r[0], k - 1): (sum(x < v for x in own) + (sum(x == v for x in own) - 1) / 2) / 89 for r, v in zip(rows, own, strict=True)}
+        assert {x: p for x, p in found.items() if x[1] == k - 1} == pytest.approx(expected)
+    assert R.each_place(df.limit(1), ["id"], ["b"]).first().place == 0
+    assert R.each_place(df.limit(0), ["id"], ["a"]).count() == 0
+
+
+def test_isolation_and_distinctiveness(spark):
+    rows = [(1, 1, 0.0, 0.0), (1, 2, 0.3, 0.4), (1, 3, 0.0, 1.0), (1, 4, None, 9.0), (2, 1, 0.5, None)]
+    df = spark.createDataFrame(rows, "image long, spot long, t double, u double")
+    out = {(r.image, r.spot): r.isolation for r in Q.isolation(df, "image", "spot", "t", "u").collect()}
+    at = np.array([[0, 0], [0.3, 0.4], [0, 1], [0.5, 3]])
+    for k in range(4):
+        assert out[1, k + 1] == pytest.approx(np.sort(np.hypot(*(at - at[k]).T))[1:].mean())
+    assert out[2, 1] == 1.0
+    score = Q.distinctiveness(df, "image", "spot", {"size": "t"}, {"size": 1.0, "rarity": 1.0})
+    assert {(r.image, r.spot): r.distinctiveness for r in score.collect()} == pytest.approx({(1, 4): 0.25, (1, 1): 0.4375, (1, 3): 0.4375, (1, 2): 0.625, (2, 1): 0.75})
+    assert Q.distinctiveness(df, "image", "spot", {}, {"rarity": 2.0}).first().distinctiveness == 0.5
+
+
+def test_one_row_per_key_does_not_depend_on_partitions(spark):
+    table, changes = spark.createDataFrame([(1, "old")], "k long, v string"), spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (2, None)], "k long, v string")
+    for n in (1, 7):
+        assert sorted(map(tuple, sinks.upsert(table, changes.repartition(n), ["k"]).collect())) == [(1, "x"), (2, "z")]
+        assert sorted(map(tuple, sinks.insert_missing(table, changes.repartition(n), ["k"]).collect())) == [(1, "old"), (2, "z")]
