@@ -272,18 +272,41 @@ def build_embeddings(spots: DataFrame) -> DataFrame:
     return E.build(rows)
 
 
-@add("vectors")
+_HALF = _U.format("'half:' || sibling")
+
+
+@add("vectors", sql=f"""
+    WITH {_V}, t AS (SELECT *, ((spot_id * 29) % 97) / 97.0::DOUBLE AS t FROM v),
+    p AS (SELECT a.photo_id AS a, b.photo_id AS b, a.spot_id AS q, b.spot_id AS g, list_cosine_similarity(a.e, b.e) AS c, a.t AS ta, b.t AS tb FROM t a JOIN t b ON a.individual_id = b.individual_id AND a.photo_id < b.photo_id),
+    s AS (SELECT a, b, q, g, 'as_is' AS way, (c + exp(-pow(ta - tb, 2) / 0.045)) / 2 AS s FROM p UNION ALL SELECT a, b, q, g, 'turned', (c + exp(-pow(1 - ta - tb, 2) / 0.045)) / 2 FROM p),
+    r AS (SELECT *, row_number() OVER (PARTITION BY way, q, b ORDER BY s DESC, g) AS k, row_number() OVER (PARTITION BY way, a, g ORDER BY s DESC, q) AS back FROM s),
+    n AS (SELECT a, b, count(*) FILTER (WHERE way = 'as_is' AND k = 1 AND back = 1 AND s >= 0.5) AS as_is, count(*) FILTER (WHERE way = 'turned' AND k = 1 AND back = 1 AND s >= 0.5) AS turned FROM r GROUP BY 1, 2),
+    h AS (SELECT a AS photo, b AS sibling, as_is, turned FROM n UNION ALL SELECT b, a, as_is, turned FROM n), d AS (SELECT *, {_HALF} < 0.5 AS own FROM h)
+    SELECT photo, count(*) AS siblings, CAST(sum(as_is) AS BIGINT) AS as_is, CAST(sum(turned) AS BIGINT) AS turned, CAST(sum(turned - as_is) FILTER (WHERE own) AS BIGINT) AS gain, CAST(sum(turned - as_is) FILTER (WHERE NOT own) AS BIGINT) AS held_out,
+      coalesce(sum(turned - as_is) FILTER (WHERE own) > 0 AND sum(turned - as_is) FILTER (WHERE NOT own) > 0, FALSE) AS suspect FROM d GROUP BY 1""")
 def axis_flip_scan(vectors: DataFrame) -> DataFrame:
-    """Does turning the axis around raise the agreement with the other photos of an individual?"""
+    """Does turning the axis around give more mutual links with the other photos of an individual?
+
+    Links weigh the likeness of spots and of their places alike. The gain over one half of the siblings, by hash, decides,
+    and that over the other half must agree; without siblings in a half nothing is suspect.
+    """
 
     def kernel(x, y):
-        pairs = K.mutual_links(K.similarity(x["embedding"], y["embedding"]))
-        ta, tb = np.array(x["t"])[pairs[:, 0]], np.array(y["t"])[pairs[:, 1]]
-        return {"as_is": K.axial_inliers(ta, tb), "turned": K.axial_inliers(1 - ta, tb)}
+        s = K.similarity(x["embedding"], y["embedding"])
+        ta, tb = np.array(x["t"])[:, None], np.array(y["t"])
+
+        def count(t):
+            both = (s + np.exp(-((t - tb) ** 2) / 0.045)) / 2
+            return int(sum(both[i, j] >= 0.5 for i, j in K.mutual_links(both)))
+
+        return {"as_is": count(ta), "turned": count(1 - ta)}
 
-    out = _over(vectors, kernel, "as_is double, turned double")
-    both = out.select(F.col("a").alias("photo"), "as_is", "turned").unionByName(out.select(F.col("b").alias("photo"), "as_is", "turned"))
-    return both.groupBy("photo").agg(F.avg("as_is").alias("as_is"), F.avg("turned").alias("turned")).withColumn("suspect", F.col("turned") > F.col("as_is"))
+    out = _over(vectors, kernel, "as_is long, turned long")
+    side = lambda p, q: out.select(F.col(p).alias("photo"), F.col(q).alias("sibling"), "as_is", "turned")
+    rows = side("a", "b").unionByName(side("b", "a")).withColumn("own", N.uniform(F.lit("half"), "sibling") < 0.5)
+    more = F.col("turned") - F.col("as_is")
+    out = rows.groupBy("photo").agg(F.count(F.lit(1)).alias("siblings"), F.sum("as_is").alias("as_is"), F.sum("turned").alias("turned"), F.sum(F.when(F.col("own"), more)).alias("gain"), F.sum(F.when(~F.col("own"), more)).alias("held_out"))
+    return out.withColumn("suspect", F.coalesce((F.col("gain") > 0) & (F.col("held_out") > 0), F.lit(False)))
 
 
 # Metrics and samples
