@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_digest, centroid_clusters, chat, embedding_dedup, fill_in_middle, html_text, mixing, packing, quality, secret_scan, simhash, warc
+from . import byte_digest, centroid_clusters, chat, embedding_dedup, fill_in_middle, html_text, mixing, packing, quality, secret_scan, simhash, vantage_trees, warc
 from .common import table
 
 
@@ -53,6 +53,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows to each row whose vec_id is divisible by 100; rows as the operator says."""
+    return vantage_trees.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors in 40 clusters after five rounds of delta Lloyd; rows as the operator says."""
     return centroid_clusters.centroid_clusters(table(spark, sf_dir, "embeddings"))
@@ -78,9 +83,10 @@ QUERIES = {
         op8_embedding_dedup,
         op9_best_fit_packing,
         op10_source_mixing,
+        op11_nearest_neighbours,
         op12_centroid_clusters,
         op13_fill_in_middle,
     )
 }
 
-ORACLE_SQL = {"op6_chat_formatting": chat.SQL, "op7_warc": warc.SQL, "op10_source_mixing": mixing.SQL, "op12_centroid_clusters": centroid_clusters.SQL, "op13_fill_in_middle": fill_in_middle.SQL}
+ORACLE_SQL = {"op6_chat_formatting": chat.SQL, "op7_warc": warc.SQL, "op10_source_mixing": mixing.SQL, "op11_nearest_neighbours": vantage_trees.SQL, "op12_centroid_clusters": centroid_clusters.SQL, "op13_fill_in_middle": fill_in_middle.SQL}
