@@ -33,55 +33,6 @@ def _dealt(df: DataFrame, key: Column, own: str, other: str, mine: int, others:
     return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
 
-def pairs_above(vectors: DataFrame, cutoff: float, id_: str = "spot_id", group: str | None = None, block: int = BLOCK, most: int | None = None, per_group: bool = False) -> DataFrame:
-    """(a, b, sim): unordered pairs with a < b and cosine at least `cutoff`; with `group`, not of the same group.
-
-    Blocks meet once: of two blocks only the pair (smaller, larger) is compared. With `most`, a block emits its first `most`
-    pairs only, by falling similarity and ids; with `per_group` as well the first of each pair of groups, a being of the
-    smaller group, and (group_a, group_b) follow; rows without a group are left out then. The first of all blocks are still
-    to be chosen.
-    """
-    if per_group:
-        vectors = vectors.where(F.col(group).isNotNull())
-    blocks = max(1, -(-vectors.count() // block))
-    name = group or id_
-    rows = vectors.select(F.col(id_).alias("id"), F.col(name).cast("string").alias("grp"), F.col("embedding").cast("array<double>").alias("e"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
-    rows = rows.withColumn("m", F.explode(meet)).select("m.i", "m.j", "own", "id", "grp", "e")
-    names = ["a", "b", "sim"] + (["group_a", "group_b"] if per_group else [])
-
-    def first(found: pd.DataFrame) -> pd.DataFrame:
-        if most is None or len(found) <= most:
-            return found
-        found = found.sort_values(["sim", "a", "b"], ascending=[False, True, True])
-        return found.groupby(["group_a", "group_b"], sort=False).head(most) if per_group else found.head(most)
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        left, right = part[part.own == part.i.iloc[0]], part[part.own == part.j.iloc[0]]
-        out = [_frame(names, [])]
-        if left.empty or right.empty:
-            return out[0]
-        x, ids, groups = _matrix(right.e), right.id.to_numpy(), right.grp.to_numpy()
-        for lo in range(0, len(left), 512):
-            some = left.iloc[lo : lo + 512]
-            s = _matrix(some.e) @ x.T
-            a, b = np.nonzero(s >= cutoff)
-            own, other, grp = some.id.to_numpy()[a], ids[b], some.grp.to_numpy()[a]
-            keep = own < other if part.i.iloc[0] == part.j.iloc[0] else own != other
-            if group:
-                keep &= grp != groups[b]
-            a, b, own, other, grp = a[keep], b[keep], own[keep], other[keep], grp[keep]
-            swap = grp > groups[b] if per_group else own > other
-            found = pd.DataFrame({"a": np.where(swap, other, own), "b": np.where(swap, own, other), "sim": s[a, b]})
-            if per_group:
-                found = found.assign(group_a=np.where(swap, groups[b], grp), group_b=np.where(swap, grp, groups[b]))
-            out.append(first(found))
-        return first(pd.concat([x for x in out if len(x)] or out[:1]))
-
-    return rows.groupBy("i", "j").applyInPandas(solve, "a long, b long, sim double" + (", group_a string, group_b string" if per_group else ""))
-
-
 def _large(sides: DataFrame, block: int) -> DataFrame:
     """The groups that are larger than a block."""
     return sides.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("grp")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import angles as A
 from ..operators import geometry as G
 from ..operators import joins as J
 from ..operators import matching as K
@@ -33,7 +34,7 @@ def _queries(vectors: DataFrame) -> DataFrame:
 @add("vectors", sql=f"WITH {_V} SELECT a.spot_id AS a, b.spot_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.spot_id < b.spot_id AND a.photo_id <> b.photo_id WHERE list_cosine_similarity(a.e, b.e) >= 0.35")
 def join_all_pairs_threshold(vectors: DataFrame) -> DataFrame:
     """All pairs of spots of different photos at or above a cosine, by blocks."""
-    return P.pairs_above(vectors, 0.35, group="photo_id").select("a", "b", F.round("sim", 6).alias("sim"))
+    return A.pairs_above(vectors, 0.35, group="photo_id").select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @add("vectors", sql=f"WITH {_V} SELECT a.spot_id AS a, b.spot_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.photo_id = '0_0' AND b.photo_id = '0_1'")
@@ -53,14 +54,14 @@ def join_pairs_two_sets(vectors: DataFrame) -> DataFrame:
 @add("vectors", sql=f"WITH {_V} SELECT a, b, sim FROM (SELECT a.spot_id AS a, b.spot_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS sim, row_number() OVER (PARTITION BY a.photo_id, b.photo_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, a.spot_id, b.spot_id) AS k FROM v a JOIN v b ON a.photo_id < b.photo_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3) WHERE k <= 2")
 def topk_per_pair(vectors: DataFrame) -> DataFrame:
     """The two best links of each pair of photos, among those above a cutoff."""
-    found = P.pairs_above(vectors, 0.3, group="photo_id", most=2, per_group=True)
+    found = A.pairs_above(vectors, 0.3, group="photo_id", most=2, per_group=True)
     return R.first_per(found, ["group_a", "group_b"], F.col("sim").desc(), "a", "b", n=2).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @add("vectors", sql=f"WITH {_V} SELECT a.spot_id AS a, b.spot_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.spot_id < b.spot_id AND a.individual_id <> b.individual_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3 ORDER BY list_cosine_similarity(a.e, b.e) DESC, 1, 2 LIMIT 30")
 def topk_global_pairs(vectors: DataFrame) -> DataFrame:
     """The most similar pairs across individuals."""
-    return P.pairs_above(vectors, 0.3, group="individual_id", most=30).orderBy(F.col("sim").desc(), "a", "b").limit(30).select("a", "b", F.round("sim", 6).alias("sim"))
+    return A.pairs_above(vectors, 0.3, group="individual_id", most=30).orderBy(F.col("sim").desc(), "a", "b").limit(30).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @add("vectors", sql=f"WITH {_V}, {_BEST.format(where='WHERE a.photo_id LIKE $$%\\_0$$ ESCAPE $$\\$$')}, m AS (SELECT q_group, g_group, avg(sim) AS sim FROM best GROUP BY 1, 2), o AS (SELECT m.*, split_part(g_group, '_', 1) AS owner FROM m) SELECT q_group, owner, g_group, round(sim, 6) AS sim FROM o QUALIFY row_number() OVER (PARTITION BY q_group, owner ORDER BY sim DESC, g_group) = 1")
@@ -252,7 +253,7 @@ def mine_correspondences(vectors: DataFrame) -> DataFrame:
 def dup_scan(vectors: DataFrame) -> DataFrame:
     """Photos of different individuals whose mean vectors are most alike, flagged if more than 90 % of genuine repeats are."""
     means = P.mean_vectors(vectors, "photo_id").withColumn("id", F.xxhash64("photo_id")).withColumn("owner", S.code("photo_id"))
-    found = P.pairs_above(means.select(F.col("id").alias("spot_id"), F.col("mean").alias("embedding"), "owner"), 0.25, group="owner", most=25)
+    found = A.pairs_above(means.select(F.col("id").alias("spot_id"), F.col("mean").alias("embedding"), "owner"), 0.25, group="owner", most=25)
     name = lambda c: means.select(F.col("id").alias(c), F.col("photo_id").alias(f"p_{c}"))
     rows = found.join(name("a"), "a").join(name("b"), "b").select(F.least("p_a", "p_b").alias("a"), F.greatest("p_a", "p_b").alias("b"), "sim")
     pairs = J.pairs_within(means.select("owner", "photo_id", "mean"), "owner", "photo_id")

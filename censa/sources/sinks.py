@@ -27,7 +27,15 @@ def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, so that the steps that follow do not compute them again."""
     path = f"{scratch_folder(df.sparkSession)}/rows"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._censa_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table made by `written` that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._censa_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
 def one_per_key(df: DataFrame, key: list[str], version: str | None = None) -> DataFrame:

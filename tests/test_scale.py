@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from censa.operators import aggregates as A
+from censa.operators import angles
 from censa.operators import metrics as M
 from censa.operators import pairs as P
 from censa.operators import quality as Q
@@ -55,9 +56,9 @@ def test_top_pairs_of_blocks_hold_the_top_of_all(spark, block):
     rows = vectors(2)
     table = spark.createDataFrame([(i, g, x.tolist()) for i, g, x in rows], "spot_id long, photo string, embedding array<double>")
     pairs = sorted((-(x @ y), min(i, j), max(i, j)) for (i, a, x), (j, b, y) in combinations(rows, 2) if a != b)
-    found = P.pairs_above(table, -2.0, group="photo", block=block, most=5).orderBy(F.col("sim").desc(), "a", "b").limit(5).collect()
+    found = angles.pairs_above(table, -2.0, group="photo", block=block, most=5).orderBy(F.col("sim").desc(), "a", "b").limit(5).collect()
     assert [(r.a, r.b) for r in found] == [(a, b) for _, a, b in pairs[:5]]
-    each = R.first_per(P.pairs_above(table, -2.0, group="photo", block=block, most=1, per_group=True), ["group_a", "group_b"], F.col("sim").desc(), "a", "b").collect()
+    each = R.first_per(angles.pairs_above(table, -2.0, group="photo", block=block, most=1, per_group=True), ["group_a", "group_b"], F.col("sim").desc(), "a", "b").collect()
     best = {}
     for (i, a, x), (j, b, y) in combinations(rows, 2):
         if a != b:
