@@ -1,8 +1,10 @@
 """Similarity of sets of vectors.
 
-Dense comparisons run in blocks: both sides are dealt by hash into blocks of a bounded number of rows, each pair of blocks
-is one task group, and a block product emits only what the operator asks for (pairs above a cutoff, the best of a group),
-never the product itself. Comparisons within a small set (two photos) run on one row that holds both sets.
+Where each vector meets each group, both sides are dealt by hash into blocks of a bounded number of rows, and each pair of
+blocks is one task group that emits the best of a group, never the product. A group is held as balls: some of its vectors
+with those around them. The similarity to the balls' middles bounds a group's best from below, the angle to a middle less
+the radius of its ball bounds what the ball holds from above, and only balls that may hold the best are compared in full.
+Comparisons within a small set (two photos) run on one row that holds both sets. Pairs above a cutoff are in `angles`.
 """
 
 from __future__ import annotations
@@ -11,21 +13,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4000
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    x = np.array(column.tolist(), np.float64)
-    return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
-
+from .angles import ROOM, pivots_of, unit
 
-def _frame(names: list[str], parts: list[tuple]) -> pd.DataFrame:
-    """Columns from parts of arrays. Columns of no parts are objects, as Spark takes no empty numbers for texts."""
-    columns = zip(*parts, strict=True) if parts else [(np.zeros(0, object),)] * len(names)
-    return pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, columns, strict=True)})
+BLOCK = 4000
+#: Similarities this near to each other are equal; the smaller id counts.
+SAME = 1e-12
+BATCH = 512
 
 
 def _dealt(df: DataFrame, key: Column, own: str, other: str, mine: int, others: int) -> DataFrame:
@@ -38,19 +35,89 @@ def _large(sides: DataFrame, block: int) -> DataFrame:
     return sides.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("grp")
 
 
+class Balls:
+    """Vectors of several groups in balls: rows by group and ball, and the middle and radius of each ball."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, groups: np.ndarray):
+        self.names, of = np.unique(groups, return_inverse=True)
+        order, ball, middles, radius = [], [], [], []
+        for g in range(len(self.names)):
+            rows = np.flatnonzero(of == g)
+            own = x[rows]
+            chosen = pivots_of(own, max(1, int(np.sqrt(len(rows)))), 0.0)
+            a = np.arccos(np.clip(own @ own[chosen].T, -1, 1))
+            # Of equal middles only one is nearest to any row.
+            used, near = np.unique(a.argmin(1), return_inverse=True)
+            by = np.argsort(near, kind="stable")
+            order.append(rows[by]), ball.append(near[by] + len(middles))
+            middles.extend(own[chosen[used]])
+            radius.extend(np.maximum.reduceat(a.min(1)[by], np.searchsorted(near[by], np.arange(len(used)))))
+        order, self.ball = np.concatenate(order), np.concatenate(ball)
+        self.x, self.ids, self.group = x[order], ids[order], of[order]
+        self.middles, self.radius = np.array(middles), np.array(radius)
+        self.first = np.r_[0, np.flatnonzero(np.diff(self.ball)) + 1]
+        self.end = np.r_[self.first[1:], len(order)]
+        self.ball_group = self.group[self.first]
+        self.group_first = np.r_[0, np.flatnonzero(np.diff(self.group)) + 1]
+        self.group_ball = np.r_[0, np.flatnonzero(np.diff(self.ball_group)) + 1]
+        self.by_id = np.argsort(self.ids, kind="stable")
+        self.place = np.empty(len(order), np.int64)
+        self.place[self.by_id] = np.arange(len(order))
+
+    def similarities(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """([query, row] similarities, -2 where a row cannot be its group's best; [query, group] vectors compared)."""
+        to = q @ self.middles.T
+        best = np.maximum.reduceat(to, self.group_ball, axis=1)
+        above = np.cos(np.maximum(np.arccos(np.clip(to, -1, 1)) - self.radius, 0)) + ROOM
+        may = (above >= best[:, self.ball_group]) & (self.end - self.first > 1)
+        size = self.end - self.first
+        if (may @ size).sum() > len(q) * len(self.x) / 2:
+            return q @ self.x.T, np.broadcast_to(np.diff(np.r_[self.group_first, len(self.x)]), (len(q), len(self.names)))
+        s = np.full((len(q), len(self.x)), -2.0)
+        for b in np.flatnonzero(may.any(0)):
+            rows = np.flatnonzero(may[:, b])
+            s[rows, self.first[b] : self.end[b]] = q[rows] @ self.x[self.first[b] : self.end[b]].T
+        alone = np.flatnonzero(size == 1)
+        s[:, self.first[alone]] = to[:, alone]
+        return s, np.add.reduceat(may * size, self.group_ball, axis=1) + np.diff(np.r_[self.group_ball, len(size)])
+
+    def best(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[query, group] greatest similarity, and the row that has it, of equals that of the least id."""
+        top = np.maximum.reduceat(s, self.group_first, axis=1)
+        at = np.where(s >= top[:, self.group] - SAME, self.place[None], len(self.ids))
+        return top, self.by_id[np.minimum.reduceat(at, self.group_first, axis=1)]
+
+
+def _columns(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit vectors, ids, groups) of rows (id, grp, e)."""
+    return unit(part.column("e")), part.column("id").to_numpy(), part.column("grp").to_numpy()
+
+
+def _table(names: list[str], types: list[pa.DataType], parts: list[tuple]) -> pa.Table:
+    columns = zip(*parts, strict=True) if parts else [(np.zeros(0, object),)] * len(names)
+    return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
 def best_in_groups(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(q, q_group, g_group, sim, g): for each query vector and each other group its most similar vector, the least id of equals.
+    """(q, q_group, g_group, sim, g, compared): for each query vector and each other group its most similar vector.
 
-    Both sides hold (id, grp, e). A group of the gallery stands in one block, so that nothing is merged afterwards; groups
-    larger than a block are dealt by id, and the best of their parts is taken.
+    Of equals the least id counts; `compared` is the number of the group's vectors that were looked at. Both sides hold
+    (id, grp, e); rows without group or vector take no part. A group of the gallery stands in one block, so that nothing is
+    merged afterwards; groups larger than a block are dealt by id, and the best of their parts is taken.
     """
+    queries, gallery = (x.where("grp IS NOT NULL AND e IS NOT NULL") for x in (queries, gallery))
     large = _large(gallery, block)
     if large.isEmpty():
         return _best(queries, gallery, "grp", block)
     whole = _best(queries, gallery.join(large, "grp", "left_anti").select("id", "grp", "e"), "grp", block)
     parts = _best(queries, gallery.join(large, "grp", "left_semi").select("id", "grp", "e"), "id", block)
-    merged = parts.groupBy("q", "q_group", "g_group").agg(F.max(F.struct("sim", (-F.col("g")).alias("last"))).alias("m"))
-    return whole.unionByName(merged.select("q", "q_group", "g_group", "m.sim", (-F.col("m.last")).alias("g")))
+    # As in a block, similarities that are nearly equal are equal.
+    top = parts.groupBy("q", "q_group", "g_group").agg(F.max("sim").alias("sim"), F.collect_list(F.struct("g", F.col("sim").alias("s"))).alias("tops"), F.sum("compared").alias("compared"))  # one entry for each block
+    least = F.array_min(F.transform(F.filter("tops", lambda t: t["s"] >= F.col("sim") - SAME), lambda t: t["g"]))
+    return whole.unionByName(top.select("q", "q_group", "g_group", "sim", least.alias("g"), "compared"))
+
+
+_BEST = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
 
 
 def _best(queries: DataFrame, gallery: DataFrame, key: str, block: int) -> DataFrame:
@@ -61,25 +128,19 @@ def _best(queries: DataFrame, gallery: DataFrame, key: str, block: int) -> DataF
     q = _dealt(queries, F.col("id"), "i", "j", nq, ng)
     g = _dealt(gallery, F.col(key), "j", "i", ng, nq)
 
-    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return _frame(["q", "q_group", "g_group", "sim", "g"], [])
-        right = right.sort_values(["grp", "id"])
-        groups, starts = np.unique(right.grp.to_numpy(), return_index=True)
-        ends = np.r_[starts[1:], len(right)]
-        x, ids = _matrix(right.e), right.id.to_numpy()
+    def solve(left, right):
         out = []
-        for lo in range(0, len(left), 512):
-            some = left.iloc[lo : lo + 512]
-            s = _matrix(some.e) @ x.T
-            for grp, i, j in zip(groups, starts, ends, strict=True):
-                own = s[:, i:j]
-                k = own.argmax(1)
-                keep = some.grp.to_numpy() != grp
-                out.append((some.id.to_numpy()[keep], some.grp.to_numpy()[keep], np.full(keep.sum(), grp, object), own[np.arange(len(own)), k][keep], ids[i:j][k][keep]))
-        return _frame(["q", "q_group", "g_group", "sim", "g"], out)
+        if left.num_rows and right.num_rows:
+            x, ids, groups = _columns(left)
+            balls = Balls(*_columns(right))
+            for lo in range(0, len(x), BATCH):
+                s, compared = balls.similarities(x[lo : lo + BATCH])
+                top, row = balls.best(s)
+                i, k = np.nonzero(groups[lo : lo + BATCH, None] != balls.names[None])
+                out.append((ids[lo + i], groups[lo + i], balls.names[k], top[i, k], balls.ids[row[i, k]], compared[i, k]))
+        return _table(["q", "q_group", "g_group", "sim", "g", "compared"], _BEST, out)
 
-    return q.groupBy("i", "j").cogroup(g.groupBy("i", "j")).applyInPandas(solve, "q long, q_group string, g_group string, sim double, g long")
+    return q.groupBy("i", "j").cogroup(g.groupBy("i", "j")).applyInArrow(solve, "q long, q_group string, g_group string, sim double, g long, compared long")
 
 
 def soft_chamfer(best: DataFrame, owner: DataFrame) -> DataFrame:
@@ -98,19 +159,13 @@ def mutual(forward: DataFrame, backward: DataFrame) -> DataFrame:
     return forward.join(back, ["q_group", "g_group", "q", "g"], "left_semi").select("q_group", "g_group", "q", "g", "sim")
 
 
-def _firsts(s: np.ndarray, best: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
-    """Places (row * columns + column) of the first entry of each row and group of columns that is the best there."""
-    row, column = np.nonzero(s == best[:, group])
-    _, first = np.unique(row * groups + group[column], return_index=True)
-    return row[first] * s.shape[1] + column[first]
-
-
 def mutual_in_groups(sides: DataFrame, block: int = BLOCK // 2) -> DataFrame:
     """(q_group, g_group, q, g, sim): vectors of two groups that are each other's best, the least id of equals; q_group < g_group.
 
     Both groups of a pair stand in one pair of blocks, which emits the mutual links alone. Groups larger than a block are
-    compared with all others in both directions instead.
+    compared with all others in both directions instead. Rows without group or vector take no part.
     """
+    sides = sides.where("grp IS NOT NULL AND e IS NOT NULL")
     large = _large(sides, block)
     split = not large.isEmpty()
     small = sides.join(large, "grp", "left_anti").select("id", "grp", "e") if split else sides.select("id", "grp", "e")
@@ -119,25 +174,33 @@ def mutual_in_groups(sides: DataFrame, block: int = BLOCK // 2) -> DataFrame:
     meet = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
     rows = own.withColumn("m", F.explode(meet)).select("m.i", "m.j", "own", "id", "grp", "e")
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["grp", "id"])
-        left, right = part[part.own == part.i.iloc[0]], part[part.own == part.j.iloc[0]]
-        if left.empty or right.empty:
-            return _frame(["q_group", "g_group", "q", "g", "sim"], [])
-        (a, at), (b, bt) = (np.unique(x.grp.to_numpy(), return_index=True) for x in (left, right))
-        p, r = (np.repeat(np.arange(len(t)), np.diff(np.r_[t, len(x)])) for t, x in ((at, left), (bt, right)))
-        s = _matrix(left.e) @ _matrix(right.e).T
-        forward = _firsts(s, np.maximum.reduceat(s, bt, axis=1), r, len(b))
-        row, column = np.divmod(_firsts(s.T, np.maximum.reduceat(s, at, axis=0).T, p, len(a)), len(s))
-        i, j = np.divmod(np.intersect1d(forward, column * s.shape[1] + row), s.shape[1])
-        ga, gb = a[p[i]], b[r[j]]
-        # A block that meets itself has each pair twice, and groups that meet themselves.
-        keep = ga < gb if part.i.iloc[0] == part.j.iloc[0] else ga != gb
-        i, j, ga, gb = i[keep], j[keep], ga[keep], gb[keep]
-        q, g, swap = left.id.to_numpy()[i], right.id.to_numpy()[j], ga > gb
-        return _frame(["q_group", "g_group", "q", "g", "sim"], [(np.where(swap, gb, ga), np.where(swap, ga, gb), np.where(swap, g, q), np.where(swap, q, g), s[i, j])])
-
-    out = rows.groupBy("i", "j").applyInPandas(solve, "q_group string, g_group string, q long, g long, sim double")
+    def chosen(x: np.ndarray, balls: Balls) -> tuple[np.ndarray, np.ndarray]:
+        """[vector, group] the row that is the group's best for a vector, and the similarity."""
+        found = []
+        for lo in range(0, len(x), BATCH):
+            top, row = balls.best(balls.similarities(x[lo : lo + BATCH])[0])
+            found.append((row, top))
+        return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+    def solve(part):
+        own, i, j = part.column("own").to_numpy(), part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        left, right = part.filter(pa.array(own == i)), part.filter(pa.array(own == j))
+        out = []
+        if left.num_rows and right.num_rows:
+            a = Balls(*_columns(left))
+            b = a if i == j else Balls(*_columns(right))
+            forward, sims = chosen(a.x, b)
+            back = forward if i == j else chosen(b.x, a)[0]
+            r, k = np.nonzero(np.ones(forward.shape, bool) if i != j else a.group[:, None] < np.arange(len(b.names))[None])
+            g = forward[r, k]
+            mutual = back[g, a.group[r]] == r
+            r, k, g = r[mutual], k[mutual], g[mutual]
+            ga, gb, q, h = a.names[a.group[r]], b.names[k], a.ids[r], b.ids[g]
+            swap = ga > gb
+            out.append((np.where(swap, gb, ga), np.where(swap, ga, gb), np.where(swap, h, q), np.where(swap, q, h), sims[r, k]))
+        return _table(["q_group", "g_group", "q", "g", "sim"], [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()], out)
+
+    out = rows.groupBy("i", "j").applyInArrow(solve, "q_group string, g_group string, q long, g long, sim double")
     if not split:
         return out
     hot = sides.join(large, "grp", "left_semi").select("id", "grp", "e")

@@ -205,13 +205,13 @@ def rebin_axis(spots: DataFrame) -> DataFrame:
 # Matching
 
 
-@add("vectors", sql=f"WITH {_V}, p AS (SELECT a.spot_id AS q, b.individual_id AS candidate, max(list_cosine_similarity(a.e, b.e)) AS s FROM v a JOIN v b ON b.photo_id NOT LIKE '%\\_0' ESCAPE '\\' WHERE a.photo_id LIKE '%\\_0' ESCAPE '\\' GROUP BY 1, 2) SELECT photo_id, candidate, round(avg(s), 6) AS score FROM p JOIN v ON spot_id = q GROUP BY 1, 2")
+@add("vectors", sql=f"WITH {_V}, p AS (SELECT a.spot_id AS q, b.individual_id AS candidate, max(list_cosine_similarity(a.e, b.e)) AS s FROM v a JOIN v b ON a.photo_id <> b.photo_id GROUP BY 1, 2) SELECT photo_id, candidate, round(avg(s), 6) AS score FROM p JOIN v ON spot_id = q GROUP BY 1, 2")
 def match_pooled(vectors: DataFrame) -> DataFrame:
-    """Query photos against the pooled photos of each individual."""
-    query = F.col("photo_id").endswith("_0")
-    pooled = vectors.where(~query).select(F.col("spot_id").alias("id"), F.col("individual_id").cast("string").alias("grp"), F.col("embedding").cast("array<double>").alias("e"))
-    best = P.best_in_groups(_sides(vectors.where(query)), pooled)
-    return best.groupBy(F.col("q_group").alias("photo_id"), F.col("g_group").cast("int").alias("candidate")).agg(F.round(F.avg("sim"), 6).alias("score"))
+    """Each photo against the pooled other photos of each individual."""
+    owner = vectors.select(F.col("photo_id").alias("g_group"), F.col("individual_id").alias("candidate")).distinct()
+    best = P.best_in_groups(_sides(vectors), _sides(vectors)).join(owner, "g_group")
+    pooled = best.groupBy("q", "q_group", "candidate").agg(F.max("sim").alias("s"))
+    return pooled.groupBy(F.col("q_group").alias("photo_id"), "candidate").agg(F.round(F.avg("s"), 6).alias("score"))
 
 
 @add("vectors", sql=f"WITH {_V} SELECT a.spot_id AS a, b.spot_id AS b FROM v a JOIN v b ON a.individual_id = b.individual_id AND a.photo_id < b.photo_id WHERE list_cosine_similarity(a.e, b.e) >= 0.25")

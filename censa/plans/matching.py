@@ -27,10 +27,6 @@ def _sides(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("spot_id").alias("id"), F.col("photo_id").alias("grp"), F.col("embedding").cast("array<double>").alias("e"))
 
 
-def _queries(vectors: DataFrame) -> DataFrame:
-    return _sides(vectors.where(F.col("photo_id").endswith("_0")))
-
-
 @add("vectors", sql=f"WITH {_V} SELECT a.spot_id AS a, b.spot_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.spot_id < b.spot_id AND a.photo_id <> b.photo_id WHERE list_cosine_similarity(a.e, b.e) >= 0.35")
 def join_all_pairs_threshold(vectors: DataFrame) -> DataFrame:
     """All pairs of spots of different photos at or above a cosine, by blocks."""
@@ -64,18 +60,18 @@ def topk_global_pairs(vectors: DataFrame) -> DataFrame:
     return A.pairs_above(vectors, 0.3, group="individual_id", most=30).orderBy(F.col("sim").desc(), "a", "b").limit(30).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@add("vectors", sql=f"WITH {_V}, {_BEST.format(where='WHERE a.photo_id LIKE $$%\\_0$$ ESCAPE $$\\$$')}, m AS (SELECT q_group, g_group, avg(sim) AS sim FROM best GROUP BY 1, 2), o AS (SELECT m.*, split_part(g_group, '_', 1) AS owner FROM m) SELECT q_group, owner, g_group, round(sim, 6) AS sim FROM o QUALIFY row_number() OVER (PARTITION BY q_group, owner ORDER BY sim DESC, g_group) = 1")
+@add("vectors", sql=f"WITH {_V}, {_BEST.format(where='')}, m AS (SELECT q_group, g_group, avg(sim) AS sim FROM best GROUP BY 1, 2), o AS (SELECT m.*, split_part(g_group, '_', 1) AS owner FROM m) SELECT q_group, owner, g_group, round(sim, 6) AS sim FROM o QUALIFY row_number() OVER (PARTITION BY q_group, owner ORDER BY sim DESC, g_group) = 1")
 def match_soft_chamfer(vectors: DataFrame) -> DataFrame:
     """Best photo of each individual for each query photo, by the mean of best similarities."""
-    best = P.best_in_groups(_queries(vectors), _sides(vectors))
+    best = P.best_in_groups(_sides(vectors), _sides(vectors))
     owner = vectors.select(F.col("photo_id").alias("g_group"), F.split_part("photo_id", F.lit("_"), F.lit(1)).alias("owner")).distinct()
     return P.soft_chamfer(best, owner).select("q_group", "owner", "g_group", F.round("sim", 6).alias("sim"))
 
 
-@add("vectors", sql=f"WITH {_V}, {_BEST.format(where='WHERE a.photo_id LIKE $$%\\_0$$ ESCAPE $$\\$$')} SELECT q, g_group, g, round(sim, 6) AS sim FROM best")
+@add("vectors", sql=f"WITH {_V}, {_BEST.format(where='')} SELECT q, g_group, g, round(sim, 6) AS sim FROM best")
 def match_best(vectors: DataFrame) -> DataFrame:
     """Each query spot's best spot in every other photo."""
-    return P.best_in_groups(_queries(vectors), _sides(vectors)).select("q", "g_group", "g", F.round("sim", 6).alias("sim"))
+    return P.best_in_groups(_sides(vectors), _sides(vectors)).select("q", "g_group", "g", F.round("sim", 6).alias("sim"))
 
 
 @add("vectors", sql=f"WITH {_V}, {_BEST.format(where='')} SELECT a.q_group, a.g_group, a.q, a.g, round(a.sim, 6) AS sim FROM best a JOIN best b ON a.q_group = b.g_group AND a.g_group = b.q_group AND a.q = b.g AND a.g = b.q WHERE a.q_group < a.g_group")

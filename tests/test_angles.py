@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from censa.operators import angles
+from censa.operators import angles, pairs
 
 
 def clustered(seed, n, clusters, size, spread):
@@ -92,3 +92,29 @@ def test_visits_and_bounds_lose_nothing(seed, cutoff, size, spread):
     near = np.abs(s - cutoff) < 1e-9
     assert set(zip(i.tolist(), j.tolist(), strict=True)) ^ set(zip(*(v.tolist() for v in np.nonzero(s >= cutoff)), strict=True)) <= set(zip(*(v.tolist() for v in np.nonzero(near)), strict=True))
     assert n >= len(i) and np.allclose(sims, s[i, j])
+
+
+def test_best_of_groups_looks_at_few_balls(spark):
+    """Every vector a query, every group; the same rows as all pairs give, from a fraction of the comparisons."""
+    x = clustered(6, 1200, 15, 16, 0.15)
+    x[300:340] = x[300]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    group = np.array([f"g{k % 3}" if k % 10 else "lone" if k else "single" for k in range(len(x))])
+    sides = spark.createDataFrame([(k, str(g), v.tolist()) for k, (g, v) in enumerate(zip(group, x, strict=True))] + [(9000, None, x[0].tolist()), (9001, "g1", None)], "id long, grp string, e array<double>").repartition(3)
+    s = u @ u.T
+    want = {}
+    for g in np.unique(group):
+        cols = np.flatnonzero(group == g)
+        top = s[:, cols].max(1)
+        first = (s[:, cols] >= top[:, None] - 1e-12).argmax(1)
+        want |= {(q, g): (int(cols[first[q]]), top[q]) for q in range(len(x)) if group[q] != g}
+    for block in (5000, 100):
+        found = pairs.best_in_groups(sides, sides, block).collect()
+        assert {(r.q, r.g_group): r.g for r in found} == {k: g for k, (g, _) in want.items()} and len(found) == len(want)
+        assert all(abs(r.sim - want[r.q, r.g_group][1]) < 1e-9 for r in found)
+        if block == 5000:
+            large = [r.compared for r in found if r.g_group in ("g0", "g1", "g2")]
+            assert max(r.compared for r in found if r.g_group == "single") == 1 and np.mean(large) < 0.4 * 360
+        links = pairs.mutual_in_groups(sides, block).collect()
+        mutual = {(q, g) for (q, gg), (g, _) in want.items() if group[q] < gg and want[g, group[q]][0] == q}
+        assert sorted((r.q, r.g) for r in links) == sorted(mutual)
