@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import was_override
+from ..sources.store import Append, Put, Replace, Snapshot, Store, changed
 
 
 def transfer(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -183,3 +184,55 @@ def notifications(rows: DataFrame) -> DataFrame:
     """Counts of unread and open notifications by type."""
     open_ = F.col("dismissed_at").isNull()
     return rows.groupBy("type").agg(F.count_if(open_ & F.col("read_at").isNull()).alias("unread"), F.count_if(open_).alias("open"))
+
+
+# Changes that are written: each is one commit of a store, all tables or none.
+
+
+def replace_extraction(store: Store, tables: dict[str, DataFrame], images: DataFrame, key: str = "image_id") -> Snapshot:
+    """Everything that is held about `images` goes, in all named tables, and their new rows come, if there are any."""
+    return store.change(lambda _: {name: Replace(rows, images.select(key)) for name, rows in tables.items()}, "replace extraction")
+
+
+def record_matches(store: Store, candidates: DataFrame, model: str, coverage: float, most: int) -> Snapshot:
+    """Keeps ranked candidates (query, rank, candidate, photo, similarity, confidence) and marks their photos as matched.
+
+    A result is known by query, model and version, so that a photo matched again has another result. Photos that are
+    confirmed, disqualified or enrolled keep their status and rev; candidates may be empty.
+    """
+
+    def step(now: Snapshot) -> dict:
+        result = F.md5(F.concat_ws(":", F.col("query").cast("string"), F.lit(model), F.lit(now.version)))
+        found = candidates.withColumn("match_result_id", result)
+        results = found.select(F.col("match_result_id").alias("id"), "query").distinct().withColumns({"model_name": F.lit(model), "coverage_target": F.lit(coverage), "max_candidates": F.lit(most), "version": F.lit(now.version + 1)})
+        images = now.table("images")
+        open_ = images.where("status NOT IN ('confirmed', 'disqualified', 'enrolled_new')").join(results.select(F.col("query").alias("image_id")), "image_id", "left_semi")
+        matched = open_.withColumns({"status": F.lit("matched"), "rev": F.col("rev") + 1}).select(*images.columns)
+        add = lambda name, rows: Append(rows) if name in now.tables else Put(rows)
+        return {"match_results": add("match_results", results), "match_candidates": add("match_candidates", found.drop("query")), "images": Replace(matched)}
+
+    return store.change(step, "match")
+
+
+def latest_candidates(now: Snapshot) -> DataFrame:
+    """The candidates of each photo's last result, as they were kept."""
+    last = Window.partitionBy("query").orderBy(F.col("version").desc(), "id")
+    results = now.table("match_results").withColumn("_k", F.row_number().over(last)).where("_k = 1")
+    return now.table("match_candidates").join(results.select("query", F.col("id").alias("match_result_id")), "match_result_id").drop("match_result_id")
+
+
+def record_decisions(store: Store, decisions: DataFrame, threshold: float) -> Snapshot:
+    """Applies decisions to the images of a store, and keeps them and their reasons; see `decide`.
+
+    Only images that change are written. New individuals come with those that they were enrolled from.
+    """
+
+    def step(now: Snapshot) -> dict:
+        images = now.table("images")
+        after, log = decide(images, decisions, threshold)
+        reasons = log.select("id", F.explode("reasons").alias("chip"))
+        enrolled = log.where("verdict = 'new'").select(F.col("new_individual_id").alias("individual_id"), F.lit("provisional").alias("status"), F.col("image_id").alias("reference_image_id"))
+        add = lambda name, rows: Append(rows) if name in now.tables else Put(rows)
+        return {"images": Replace(changed(images, after, ["image_id"])), "review_decisions": add("review_decisions", log.drop("reasons")), "review_decision_reasons": add("review_decision_reasons", reasons), "individuals": add("individuals", enrolled)}
+
+    return store.change(step, "decide")

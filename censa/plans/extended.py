@@ -16,7 +16,11 @@ from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import pairs as P
 from ..operators import quality as Q
+from ..operators import ranking as R
 from ..operators import sampling as N
+from ..operators import workflow as W
+from ..sources.sinks import scratch_folder, written
+from ..sources.store import Put, Store
 from .matching import _over, _photo_sets, _sides, _xy
 from .roles import Catalogue
 
@@ -383,11 +387,22 @@ def ml_distinct(spots: DataFrame) -> DataFrame:
     return ML.out_of_fold(rows, ["area", "axis_t"], "interesting", "fold", 2, balanced=True).select("image_id", "spot_id", "confidence")
 
 
-@add("vectors", sql=f"WITH {_V}, b AS (SELECT a.spot_id AS q, a.photo_id AS query, b.photo_id AS photo, b.individual_id, max(list_cosine_similarity(a.e, b.e)) AS s FROM v a JOIN v b ON a.photo_id <> b.photo_id WHERE a.photo_id = '3_0' GROUP BY 1, 2, 3, 4), p AS (SELECT individual_id, photo, avg(s) AS sim FROM b GROUP BY 1, 2), i AS (SELECT individual_id, max(sim) AS sim, arg_max(photo, sim) AS photo FROM p GROUP BY 1) SELECT CAST(individual_id AS VARCHAR) AS candidate, photo, round(1 / (1 + exp(-(6 * sim - 3))), 4) AS confidence, row_number() OVER (ORDER BY 1 / (1 + exp(-(6 * sim - 3))) DESC, individual_id) AS rank FROM i QUALIFY rank <= 5")
+@add("vectors", sql=f"""
+    WITH {_V}, b AS (SELECT a.spot_id AS q, a.photo_id AS query, b.photo_id AS photo, b.individual_id, max(list_cosine_similarity(a.e, b.e)) AS s FROM v a JOIN v b ON a.photo_id <> b.photo_id GROUP BY 1, 2, 3, 4),
+    p AS (SELECT query, individual_id, photo, avg(s) AS sim FROM b GROUP BY 1, 2, 3), i AS (SELECT query, CAST(individual_id AS VARCHAR) AS candidate, max(sim) AS sim, arg_max(photo, sim) AS photo FROM p GROUP BY 1, 2),
+    c AS (SELECT *, 1 / (1 + exp(-(6 * sim - 3))) AS c FROM i)
+    SELECT query, candidate, photo, round(c, 4) AS confidence, row_number() OVER (PARTITION BY query ORDER BY c DESC, candidate) AS rank,
+      CASE WHEN query LIKE '%\\_0' ESCAPE '\\' THEN 'confirmed' ELSE 'matched' END AS status, CASE WHEN query LIKE '%\\_0' ESCAPE '\\' THEN 0 ELSE 1 END AS rev FROM c QUALIFY rank <= 5""")
 def wf_match(vectors: DataFrame) -> DataFrame:
-    """One query photo against the gallery: best photos, calibrated, ranked, the first five."""
-    best = P.best_in_groups(_sides(vectors.where("photo_id = '3_0'")), _sides(vectors))
+    """Each photo against the gallery: best photos, calibrated, ranked, the first five; committed with the photos' status and read back."""
+    best = P.best_in_groups(_sides(vectors), _sides(vectors))
     owner = vectors.select(F.col("photo_id").alias("g_group"), S.code("photo_id").alias("owner")).distinct()
     found = P.soft_chamfer(best, owner).withColumn("c", S.sigmoid_platt("sim", 6.0, -3.0))
-    found = found.withColumn("rank", F.row_number().over(Window.orderBy(F.col("c").desc(), "owner")).cast("bigint")).where("rank <= 5")
-    return found.select(F.col("owner").alias("candidate"), F.col("g_group").alias("photo"), F.round("c", 4).alias("confidence"), "rank")
+    found = R.first_per(found.withColumn("rank", F.row_number().over(Window.partitionBy("q_group").orderBy(F.col("c").desc(), "owner")).cast("bigint")), ["q_group"], "rank", n=5)
+    found = found.select(F.col("q_group").alias("query"), "rank", F.col("owner").alias("candidate"), F.col("g_group").alias("photo"), F.col("sim").alias("similarity"), F.round("c", 4).alias("confidence"))
+    store = Store(vectors.sparkSession, scratch_folder(vectors.sparkSession))
+    photos = vectors.select(F.col("photo_id").alias("image_id"), F.when(F.col("photo_id").endswith("_0"), "confirmed").otherwise("extracted").alias("status"), F.lit(0).alias("rev")).distinct()
+    store.commit(store.snapshot(), {"images": Put(photos, ("image_id",))}, "load")
+    now = W.record_matches(store, written(found), "soft chamfer", 0.9, 5)
+    state = now.table("images").withColumnRenamed("image_id", "query")
+    return W.latest_candidates(now).join(state, "query").select("query", "candidate", "photo", "confidence", "rank", "status", "rev")

@@ -11,6 +11,7 @@ from ..operators import ranking as R
 from ..operators import sampling as N
 from ..operators import workflow as W
 from ..sources import sinks, tables
+from ..sources.store import Put, Store
 from ..streaming import activity as stream
 from .roles import Catalogue
 
@@ -125,11 +126,39 @@ def sink_add_counts(activity: DataFrame) -> DataFrame:
     return sinks.add_counts(per(activity.where("actor % 2 = 0")), per(activity.where("actor % 2 = 1")), ["kind"], "n")
 
 
-@add("spots", sql="SELECT image_id, spot_id, area FROM spots WHERE image_id % 5 <> 0 UNION ALL SELECT image_id, spot_id, area * 2 FROM spots WHERE image_id % 5 = 0 AND spot_id <= 2")
-def sink_replace_key(spots: DataFrame) -> DataFrame:
-    """All spots of some images are replaced by a new extraction."""
-    rows = spots.select("image_id", "spot_id", "area")
-    return sinks.replace_key(rows, rows.where("image_id % 5 = 0 AND spot_id <= 2").withColumn("area", F.col("area") * 2), "image_id")
+def _store(df: DataFrame) -> Store:
+    """A new store in the shared folder."""
+    return Store(df.sparkSession, sinks.scratch_folder(df.sparkSession))
+
+
+_BOX = "CAST(least(floor(axis_t * 4), 3) AS INT)"
+
+
+@add("images", "spots", sql=f"""
+    WITH s AS (SELECT image_id, spot_id, CASE WHEN image_id % 5 = 0 THEN area * 2 ELSE area END AS area, {_BOX} AS box FROM spots WHERE image_id % 5 <> 0 OR spot_id <= 2)
+    SELECT 'images' AS name, image_id, CAST(n_spots AS BIGINT) AS n, weight AS total FROM images WHERE image_id % 5 <> 0 UNION ALL SELECT 'images', image_id, count(*), NULL FROM s WHERE image_id % 5 = 0 GROUP BY 2
+    UNION ALL SELECT 'spots', image_id, count(*), round(sum(area), 6) FROM s GROUP BY 2
+    UNION ALL SELECT 'bins', image_id, count(DISTINCT box), NULL FROM s GROUP BY 2
+    UNION ALL SELECT 'axis', image_id, CAST(1 AS BIGINT), NULL FROM images WHERE has_axis AND image_id % 5 <> 0""")
+def sink_replace_key(images: DataFrame, spots: DataFrame) -> DataFrame:
+    """All that is held about some images is replaced by a new extraction, four tables in one commit; what a reader then sees.
+
+    The new extraction finds two spots at most, of twice the area, and no axis.
+    """
+    rows = spots.select("image_id", "spot_id", "area", F.expr(_BOX).alias("box"))
+    bins = lambda t: t.groupBy("image_id", "box").agg(F.count(F.lit(1)).alias("n_spots"))
+    store = _store(images)
+    put = {"images": images.select("image_id", F.col("n_spots").cast("bigint").alias("n_spots"), "weight"), "spots": rows, "bins": bins(rows), "axis": images.where("has_axis").select("image_id")}
+    store.commit(store.snapshot(), {name: Put(t, ("image_id",)) for name, t in put.items()}, "load")
+    some = images.where("image_id % 5 = 0").select("image_id")
+    again = rows.where("image_id % 5 = 0 AND spot_id <= 2").withColumn("area", F.col("area") * 2)
+    found = again.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_spots")).withColumn("weight", F.lit(None).cast("double"))
+    now = W.replace_extraction(store, {"images": found, "spots": again, "bins": bins(again), "axis": some.limit(0)}, some)
+    none = F.lit(None).cast("double")
+    per = lambda name, n, total: now.table(name).groupBy("image_id").agg(n.cast("bigint").alias("n"), total.alias("total")).select(F.lit(name).alias("name"), "image_id", "n", "total")
+    count = F.count(F.lit(1))
+    out = per("images", F.max("n_spots"), F.max("weight")).unionByName(per("spots", count, F.round(F.sum("area"), 6)))
+    return out.unionByName(per("bins", count, F.max(none))).unionByName(per("axis", count, F.max(none)))
 
 
 @add("images", sql="SELECT image_id, individual_id, CASE WHEN status = 'in_review' AND n_spots > 5 THEN 'confirmed' ELSE status END AS status, n_spots FROM images")
@@ -197,7 +226,12 @@ def wf_ingest(images: DataFrame) -> DataFrame:
     SELECT image_id, CASE image_id % 8 WHEN 1 THEN individual_id + 1 WHEN 2 THEN -image_id ELSE individual_id END AS individual_id,
       CASE image_id % 8 WHEN 1 THEN 'confirmed' WHEN 2 THEN 'enrolled_new' WHEN 3 THEN 'flagged_uncertain' WHEN 4 THEN 'disqualified' ELSE status END AS status, CAST(CASE WHEN image_id % 8 IN (1, 2, 3, 4) THEN 1 ELSE 0 END AS INT) AS rev FROM images""")
 def wf_decide(images: DataFrame) -> DataFrame:
-    """The last valid decision on each image; a disqualification without a reason is void."""
+    """The last valid decision on each image, committed and read back; a disqualification without a reason is void."""
+    return _decided(images).table("images").select("image_id", "individual_id", "status", "rev")
+
+
+def _decided(images: DataFrame):
+    """A store of the images after the decisions on them."""
     k = F.col("image_id") % 8
     rows = images.where("image_id % 8 BETWEEN 1 AND 5").select(
         F.col("image_id").alias("id"), "image_id", F.col("created_at").alias("decided_at"),
@@ -206,7 +240,21 @@ def wf_decide(images: DataFrame) -> DataFrame:
         (F.col("individual_id") + 1).alias("chosen_individual_id"), (-F.col("image_id")).alias("new_individual_id"), F.col("individual_id").alias("suggested_individual_id"), F.col("q_overall").alias("suggested_confidence"),
     )
     stale = rows.withColumn("verdict", F.lit("uncertain")).withColumn("id", F.col("id") - 1)
-    return W.decide(images.select("image_id", "individual_id", "status", F.lit(0).alias("rev")), rows.unionByName(stale.where("image_id % 8 < 4")), 0.5)[0]
+    store = _store(images)
+    store.commit(store.snapshot(), {"images": Put(images.select("image_id", "individual_id", "status", F.lit(0).alias("rev")), ("image_id",))}, "load")
+    return W.record_decisions(store, rows.unionByName(stale.where("image_id % 8 < 4")), 0.5)
+
+
+@add("images", sql="""
+    WITH d AS (SELECT image_id, image_id % 8 AS k, coalesce(q_overall >= 0.5, FALSE) AS suggested FROM images WHERE image_id % 8 BETWEEN 1 AND 4)
+    SELECT image_id, CASE k WHEN 1 THEN 'confirm' WHEN 2 THEN 'new' WHEN 3 THEN 'uncertain' ELSE 'disqualify' END AS verdict, k <= 2 AND suggested AS was_override,
+      CASE WHEN k = 4 THEN 'blurred' END AS chip, CASE WHEN k = 2 THEN -image_id END AS enrolled FROM d""")
+def wf_decide_log(images: DataFrame) -> DataFrame:
+    """Decisions, their reasons and the individuals they enrolled, as one commit left them."""
+    now = _decided(images)
+    log = now.table("review_decisions").join(now.table("review_decision_reasons"), "id", "left")
+    new = now.table("individuals").select(F.col("reference_image_id").alias("image_id"), F.col("individual_id").alias("enrolled"))
+    return log.join(new, "image_id", "left").select("image_id", "verdict", "was_override", "chip", "enrolled")
 
 
 @add("individuals", "images", sql="SELECT individual_id, CASE WHEN status = 'provisional' AND individual_id IN (SELECT individual_id FROM images WHERE review_batch_id = 5 AND status = 'confirmed') AND individual_id NOT IN (SELECT individual_id FROM images WHERE status = 'flagged_uncertain') THEN 'published' ELSE status END AS status FROM individuals")

@@ -1,7 +1,7 @@
 """Sinks: whole tables are written as new versions; updates, upserts and deletes are functions from table to table.
 
-Plain Parquet has no MERGE. A change is therefore a DataFrame of the table's next state, which `publish` writes beside the
-old one and then names as current; a reader sees one or the other.
+Plain Parquet has no MERGE. A change is therefore a DataFrame of the table's next state; `store` commits such changes to
+several tables at once, so that a reader sees all of them or none.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def one_per_key(df: DataFrame, key: list[str], version: str | None = None) -> Da
 
 
 def create_or_replace(df: DataFrame, path: str, *partitions: str) -> None:
-    """Writes the table anew. The source must not be the target itself; see `publish` for that."""
+    """Writes the table anew. The source must not be the target itself; see `store` for that."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
@@ -122,15 +122,6 @@ def cascade_delete(tables: dict[str, DataFrame], ids: DataFrame, key: str) -> di
     return {name: df.join(gone, key, "left_anti") if key in df.columns else df for name, df in tables.items()}
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
-    """Writes a version of the tables and makes it current; gives the version's folder."""
-    version = f"{root}/v-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{version}/{name}.parquet")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{root}/versions")
-    return version
-
-
 def snapshot(spark: SparkSession, source: str, target: str, names: list[str]) -> None:
     """A copy of the named tables of a database."""
     for name in names:
