@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import quantile_at
+
 
 def distinct_names(df: DataFrame, key: list[str], name: str, out: str, by: str = "; ") -> DataFrame:
     """Distinct names of each key, in order, joined."""
@@ -79,15 +81,8 @@ def dataset_summary(images: DataFrame) -> DataFrame:
 
 
 def quantile_index(df: DataFrame, key: list[str], value: str, q: float, out: str) -> DataFrame:
-    """The element at floor(q (n - 1)) of each key's sorted values.
-
-    Equal values are counted first and the running count is taken over distinct values, so rows are never sorted.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*key)
-    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    place = F.floor(F.lit(q) * (F.col("n") - 1)) + 1
-    return ranked.where(F.col("upto") >= place).groupBy(*key).agg(F.min(value).alias(out))
+    """The element at floor(q (n - 1)) of each key's sorted values; a key of any number of values is summed in ranges."""
+    return quantile_at(df, key, value, q, out)
 
 
 def id_lists(df: DataFrame, key: str, id_: str) -> DataFrame:

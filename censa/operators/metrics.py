@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fbeta
-from .ranking import running, value_range
+from .ranking import prefix_sums, running
 
 
 def score_counts(df: DataFrame, score: str, truth: str, *group: str) -> DataFrame:
@@ -17,20 +17,10 @@ def score_counts(df: DataFrame, score: str, truth: str, *group: str) -> DataFram
 def prefixes(counts: DataFrame, score: str, *group: str) -> DataFrame:
     """Adds tp and fp of the threshold at each score, and the totals P and N.
 
-    Without a group the sums are taken in two levels, over ranges of the score and within them, as distinct scores may be
-    as many as rows.
+    Distinct scores may be as many as rows, so they are summed in ranges of equal numbers, by group as well.
     """
-    if group:
-        w = Window.partitionBy(*group)
-        down = w.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return counts.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).withColumn("P", F.sum("pos").over(w)).withColumn("N", F.sum("neg").over(w))
-    rows = counts.withColumn("_b", value_range(counts, score))
-    whole, above = Window.partitionBy(), Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    totals = totals.select("_b", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_fp"), F.sum("_p").over(whole).alias("P"), F.sum("_n").over(whole).alias("N"))
-    down = Window.partitionBy("_b").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).join(F.broadcast(totals), "_b")  # BUCKETS rows
-    return rows.select(*counts.columns, (F.col("tp") + F.col("_tp")).alias("tp"), (F.col("fp") + F.col("_fp")).alias("fp"), "P", "N")
+    out = prefix_sums(counts, list(group), [F.col(score).desc()], tp=F.col("pos"), fp=F.col("neg"))
+    return out.withColumnsRenamed({"tp_all": "P", "fp_all": "N"})
 
 
 def on_quantiles(rows: DataFrame, steps: int) -> DataFrame:
@@ -64,9 +54,8 @@ def roc_auc(df: DataFrame, score: str, truth: str, *group: str) -> DataFrame:
 
 def average_precision(df: DataFrame, score: str, truth: str, tie: str, *group: str) -> DataFrame:
     """Mean, over the positives by falling score, of the precision at their place."""
-    w = Window.partitionBy(*group).orderBy(F.col(score).desc(), tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.withColumn("_p", F.sum(F.col(truth).cast("int")).over(w) / F.count(F.lit(1)).over(w))
-    return rows.groupBy(*group).agg(F.round(F.avg(F.when(F.col(truth), F.col("_p"))), 6).alias("average_precision"))
+    rows = prefix_sums(df.select(*group, score, truth, tie), list(group), [F.col(score).desc(), F.col(tie)], _h=F.col(truth).cast("int"), _n=F.lit(1))
+    return rows.groupBy(*group).agg(F.round(F.avg(F.when(F.col(truth), F.col("_h") / F.col("_n"))), 6).alias("average_precision"))
 
 
 def best_fbeta(df: DataFrame, score: str, truth: str, beta: float = 0.5, *group: str) -> DataFrame:
@@ -177,14 +166,11 @@ def coverage_at_precision(df: DataFrame, score: str, right: str, least: float) -
 
 def risk_coverage(df: DataFrame, score: str, right: str, tie: str, *group: str) -> DataFrame:
     """Area under the curve of running error over coverage, by trapezoids."""
-    w = Window.partitionBy(*group)
-    order = w.orderBy(F.col(score).desc(), tie)
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.count(F.lit(1)).over(w)
-    rows = df.select(*group, score, tie, (1 - F.avg(F.col(right).cast("double")).over(upto)).alias("risk"), (F.row_number().over(order) / n).alias("cover"))
-    step = F.col("cover") - F.lag("cover").over(order)
-    rows = rows.withColumn("area", (F.col("risk") + F.lag("risk").over(order)) / 2 * step)
-    return rows.groupBy(*group).agg(F.round(F.sum("area"), 6).alias("aurc"))
+    hit, seen = F.coalesce(F.col(right).cast("int"), F.lit(0)), F.col(right).isNotNull().cast("int")
+    rows = prefix_sums(df.select(*group, score, tie, hit.alias("_own"), seen.alias("_known")), list(group), [F.col(score).desc(), F.col(tie)], hit=F.col("_own"), seen=F.col("_known"), n=F.lit(1))
+    risk, last = 1 - F.try_divide("hit", "seen"), 1 - F.try_divide(F.col("hit") - F.col("_own"), F.col("seen") - F.col("_known"))
+    area = F.when(F.col("n") > 1, (risk + last) / 2 / F.col("n_all"))
+    return rows.withColumn("area", area).groupBy(*group).agg(F.round(F.sum("area"), 6).alias("aurc"))
 
 
 def edge_prf(df: DataFrame, linked: str, same: str, missing: str, ta: str, tb: str, *group: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import written
+
 
 def average_rank(value: str, *group: str) -> Column:
     """1-based rank, ties sharing their mean rank."""
@@ -25,109 +27,99 @@ def rank01(value: str, tie: list[str], *group: str) -> Column:
     return F.when(n > 1, (F.row_number().over(w.orderBy(value, *tie)) - 1) / (n - 1)).otherwise(0.0)
 
 
-#: Ranges of a value; their totals fit one task and a broadcast.
-BUCKETS = 4096
-
+def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Adds `_b`: rows in ranges of about equal numbers, numbered in the order given; written, so that the numbers stay.
 
-def value_range(df: DataFrame, value: str) -> Column:
-    """The number of the range that a value lies in, of BUCKETS even ones; null comes first, NaN last."""
-    number = F.col(value).cast("double")
-    low, high = df.where(~F.isnan(number)).agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
-    span = (high - low) if low is not None and high > low else 1.0
-    return F.when(number.isNull(), -1).when(F.isnan(number), BUCKETS).otherwise(F.floor((number - F.lit(low or 0.0)) / span * (BUCKETS - 1)))
+    The cuts come from a sample of the rows, as for a sorted table, so they follow the data: one outlier, a heavy tail or a
+    hot value costs nothing, as long as the order tells rows apart. There are as many ranges as shuffle partitions. A Spark
+    job runs while the plan is made.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *order).withColumn("_b", F.spark_partition_id()))
 
 
-def running(df: DataFrame, value: str, tie: str, falling: bool = False, **sums: Column) -> DataFrame:
-    """Adds for each name in `sums` its sum over all rows up to this one, by value and tie, and its total as name_all.
+def prefix_sums(df: DataFrame, group: list[str], order: list[Column | str], **sums: Column) -> DataFrame:
+    """Adds for each name in `sums` its sum over the rows of the group up to this one, and the group's total as name_all.
 
-    No task holds all rows, nor all rows of a value: the sums are carried over ranges of the value, over its distinct
-    values, over ranges of the tie, and last over rows. Values and ties are numbers; rows equal in both come in any order.
+    Rows are dealt to ranges over (group, order): a large group takes many ranges, many small ones share one. The ranges'
+    totals, as many as ranges and groups, are summed first, then rows within ranges, so that no task holds a group.
+    Rows that the order does not tell apart come in any order.
     """
-    way = (lambda c: F.col(c).desc()) if falling else (lambda c: F.col(c).asc())
-    names = list(sums)
-    rows = df.select("*", *(x.alias(f"_s_{n}") for n, x in sums.items())).withColumn("_t", value_range(df, tie))
-    total = lambda t, *key: t.groupBy(*key).agg(*(F.sum(f"_s_{n}").alias(f"_s_{n}") for n in names))
-
-    def before(t: DataFrame, order: Column, level: str, *part: str) -> DataFrame:
-        w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return t.select("*", *(F.coalesce(F.sum(f"_s_{n}").over(w), F.lit(0)).alias(f"{level}{n}") for n in names))
-
-    cells = total(rows, value, "_t")
-    values = total(cells, value)
-    values = values.withColumn("_b", value_range(values, value))
-    ranges = total(values, "_b")  # at most BUCKETS + 2 rows
-    ranges = before(ranges, way("_b"), "_r_").select("_b", *(f"_r_{n}" for n in names), *(F.sum(f"_s_{n}").over(Window.partitionBy()).alias(f"{n}_all") for n in names))
-    values = before(values, way(value), "_v_", "_b").join(F.broadcast(ranges), "_b")
-    values = values.select(F.col(value).alias("_value"), *((F.col(f"_v_{n}") + F.col(f"_r_{n}")).alias(f"_v_{n}") for n in names), *(f"{n}_all" for n in names))
-    cells = before(cells, F.col("_t"), "_c_", value).join(values, F.col(value).eqNullSafe(F.col("_value")))
-    cells = cells.select("_value", F.col("_t").alias("_tie"), *((F.col(f"_c_{n}") + F.col(f"_v_{n}")).alias(f"_c_{n}") for n in names), *(f"{n}_all" for n in names))
-    w = Window.partitionBy(value, "_t").orderBy(tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.select(*df.columns, "_t", *(F.sum(f"_s_{n}").over(w).alias(n) for n in names))
-    rows = rows.join(cells, F.col(value).eqNullSafe(F.col("_value")) & F.col("_t").eqNullSafe(F.col("_tie")))
-    return rows.select(*df.columns, *((F.col(n) + F.col(f"_c_{n}")).alias(n) for n in names), *(f"{n}_all" for n in names))
+    rows = in_ranges(df.select("*", *(x.alias(f"_s_{n}") for n, x in sums.items())), *group, *order)
+    total = rows.groupBy("_b", *group).agg(*(F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_g{k}" for k in range(len(group))]
+    total = total.select(
+        F.col("_b").alias("_o"), *(F.col(g).alias(n) for g, n in zip(group, names, strict=True)),
+        *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in sums), *(F.sum(f"_t_{n}").over(whole).alias(f"{n}_all") for n in sums),
+    )
+    upto = Window.partitionBy("_b", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(*df.columns, "_b", *(F.sum(f"_s_{n}").over(upto).alias(f"_s_{n}") for n in sums))
+    on = F.col("_b") == F.col("_o")
+    for g, n in zip(group, names, strict=True):
+        on = on & F.col(g).eqNullSafe(F.col(n))
+    return rows.join(total, on).select(*df.columns, *((F.col(f"_s_{n}") + F.col(f"_t_{n}")).alias(n) for n in sums), *(f"{n}_all" for n in sums))
+
+
+def running(df: DataFrame, value: str, tie: str, falling: bool = False, **sums: Column) -> DataFrame:
+    """`prefix_sums` over all rows by value and tie. Rows equal in both come in any order, and are dealt out like others."""
+    first = F.col(value).desc() if falling else F.col(value).asc()
+    return prefix_sums(df.withColumn("_any", F.rand(0)), [], [first, F.col(tie), F.col("_any")], **sums).drop("_any")
 
 
 def value_at(df: DataFrame, value: str, share: float, out: str) -> DataFrame:
-    """One row: the element at floor(share (n - 1)) of all values in order; empty tables give null.
+    """One row: the element at floor(share (n - 1)) of all values in order; empty tables give null."""
+    return quantile_at(df, [], value, share, out)
+
 
-    The element is looked for in two levels: in the range that holds its place, then among the distinct values of that range.
+def quantile_at(df: DataFrame, key: list[str], value: str, share: float, out: str) -> DataFrame:
+    """(key, out): the element at floor(share (n - 1)) of each key's values in order, nulls left out.
+
+    Equal values are counted first, and the counts of distinct values are summed up.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.withColumn("_b", value_range(counts, value))
-    ranges = counts.groupBy("_b").agg(F.sum("_c").alias("_c"))
-    ranges = ranges.select("_b", F.sum("_c").over(Window.orderBy("_b")).alias("_upto"), "_c", F.floor(F.lit(share) * (F.sum("_c").over(Window.partitionBy()) - 1)).alias("_k"))
-    one = ranges.where((F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_c") <= F.col("_k"))).select("_b", (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_k"))
-    inside = counts.join(F.broadcast(one), "_b").select(value, "_k", F.sum("_c").over(Window.partitionBy("_b").orderBy(value)).alias("_upto"))  # one row
-    return inside.agg(F.min(F.when(F.col("_upto") > F.col("_k"), F.col(value))).alias(out))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = prefix_sums(counts, key, [F.col(value)], _upto=F.col("_c"))
+    place = F.floor(F.lit(share) * (F.col("_upto_all") - 1))
+    one = ranked.where((F.col("_upto") > place) & (F.col("_upto") - F.col("_c") <= place))
+    return one.groupBy(*key).agg(F.min(value).alias(out))
 
 
 def global_places(df: DataFrame, value: str, tie: list[str]) -> DataFrame:
-    """Adds `place` (from 0) and `rows`: the order of all rows by value and tie, without bringing rows to one task.
-
-    Rows are counted by value, and the counts are summed up in two levels: over BUCKETS ranges of the value, and over the
-    distinct values of each range. Rows of one value are placed within it. Values are numbers; null comes first, NaN last.
-    """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", value_range(df, value))
-    totals = counts.groupBy("_b").agg(F.sum("_c").alias("_t"))
-    totals = totals.select(F.col("_b").alias("_o"), (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_before"), F.sum("_t").over(Window.partitionBy()).alias("rows"))
-    inside = F.sum("_c").over(Window.partitionBy("_b").orderBy(value)) - F.col("_c")
-    ahead = counts.withColumn("_i", inside).join(F.broadcast(totals), F.col("_b") == F.col("_o")).select(F.col(value).alias("_v"), (F.col("_before") + F.col("_i")).alias("_ahead"), "rows")
-    within = F.row_number().over(Window.partitionBy(value).orderBy(*tie)) - 1
-    return df.withColumn("_w", within).join(ahead, F.col(value).eqNullSafe(F.col("_v"))).withColumn("place", F.col("_ahead") + F.col("_w")).drop("_v", "_ahead", "_w")
+    """Adds `place` (from 0) and `rows`: the order of all rows by value and tie, without bringing rows to one task. Null comes first, NaN last."""
+    out = prefix_sums(df, [], [F.col(value), *(F.col(t) for t in tie)], place=F.lit(1).cast("long"))
+    return out.withColumn("place", F.col("place") - 1).withColumnRenamed("place_all", "rows")
 
 
 def each_place(df: DataFrame, key: list[str], values: list[str]) -> DataFrame:
     """(key, factor, place): for each row and each of several numbers its place from 0 to 1 among all rows, in one pass.
 
     `factor` counts the columns from 0. Equal values share their mean place, a null or NaN comes before all numbers, and a
-    single row has place 0. Counts of values are summed in two levels, over ranges of the value and within them.
+    single row has place 0. Counts of distinct values are summed up, rows of a value are never gathered.
     """
     number = lambda v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double"))
-    bounds = df.agg(*(f(number(v)).alias(f"{n}{k}") for k, v in enumerate(values) for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    low = [bounds[f"lo{k}"] or 0.0 for k in range(len(values))]
-    span = [(bounds[f"hi{k}"] or 0.0) - lo or 1.0 for k, lo in enumerate(low)]
-    of = lambda numbers: F.element_at(F.array(*(F.lit(float(x)) for x in numbers)), F.col("factor") + 1)
     rows = df.select(*key, F.posexplode(F.array(*(number(v) for v in values))).alias("factor", "x"))
     counts = rows.groupBy("factor", "x").agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.withColumn("b", F.coalesce(F.floor((F.col("x") - of(low)) / of(span) * (BUCKETS - 1)), F.lit(-1)))
-    ranges = counts.groupBy("factor", "b").agg(F.sum("c").alias("t"))
-    every = Window.partitionBy("factor")
-    ranges = ranges.select("factor", "b", (F.sum("t").over(every.orderBy("b")) - F.col("t")).alias("before"), F.sum("t").over(every).alias("n"))
-    inside = F.sum("c").over(Window.partitionBy("factor", "b").orderBy("x")) - F.col("c")
-    mean = F.col("before") + F.col("inside") + (F.col("c") - 1) / 2
-    # At most BUCKETS + 1 ranges a factor are broadcast.
-    ahead = counts.withColumn("inside", inside).join(F.broadcast(ranges), ["factor", "b"]).select(F.col("factor").alias("_f"), F.col("x").alias("_x"), (mean / F.greatest(F.col("n") - 1, F.lit(1))).alias("place"))
+    upto = prefix_sums(counts, ["factor"], [F.col("x")], n=F.col("c"))
+    mean = F.col("n") - F.col("c") + (F.col("c") - 1) / 2
+    ahead = upto.select(F.col("factor").alias("_f"), F.col("x").alias("_x"), (mean / F.greatest(F.col("n_all") - 1, F.lit(1))).alias("place"))
     return rows.join(ahead, (F.col("factor") == F.col("_f")) & F.col("x").eqNullSafe(F.col("_x"))).select(*key, "factor", "place")
 
 
-def percent_of_all(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Adds the average rank of a number among all rows over their number; counts of values are ranked, not rows.
+def average_places(df: DataFrame, value: str, out: str, share: bool = False) -> DataFrame:
+    """Adds the average rank (from 1) of a number among all rows, or its share of their number; distinct values are ranked, not rows.
 
     Rows without a value are left out.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = running(counts.withColumn("_k", F.lit(0)), "_v", "_k", c=F.col("_n"))
-    return df.join(upto.select("_v", ((F.col("c") - (F.col("_n") - 1) / 2) / F.col("c_all")).alias(out)), F.col(value) == F.col("_v")).drop("_v")
+    upto = prefix_sums(counts, [], [F.col("_v")], c=F.col("_n"))
+    rank = F.col("c") - (F.col("_n") - 1) / 2
+    return df.join(upto.select("_v", (rank / F.col("c_all") if share else rank).alias(out)), F.col(value) == F.col("_v")).drop("_v")
+
+
+def percent_of_all(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds the average rank of a number among all rows over their number. Rows without a value are left out."""
+    return average_places(df, value, out, share=True)
 
 
 def size_percentile(df: DataFrame, value: str, tie: list[str]) -> DataFrame:
@@ -152,11 +144,9 @@ def coverage(df: DataFrame, query: str, confidence: str, tie: str, target: float
 
 
 def running_prf(df: DataFrame, group: list[str], score: str, truth: str, tie: str) -> DataFrame:
-    """Running tp and fp by falling score, with precision and recall."""
-    w = Window.partitionBy(*group)
-    order = w.orderBy(F.col(score).desc(), tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Running tp and fp by falling score, with precision and recall; a group is summed in ranges, not in one task."""
     hit = F.col(truth).cast("int")
-    out = df.withColumn("tp", F.sum(hit).over(order)).withColumn("fp", F.sum(1 - hit).over(order)).withColumn("positives", F.sum(hit).over(w))
+    out = prefix_sums(df, group, [F.col(score).desc(), F.col(tie)], tp=hit, fp=1 - hit).withColumnRenamed("tp_all", "positives").drop("fp_all")
     return out.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))).withColumn("recall", F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")).otherwise(0.0))
 
 

@@ -42,9 +42,7 @@ def rank_best_per_key(images: DataFrame) -> DataFrame:
 @add("verdicts", sql="SELECT edge_id, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM verdicts")
 def rank_avg_ties(verdicts: DataFrame) -> DataFrame:
     """Average ranks of all rows, from the counts of distinct scores."""
-    counts = verdicts.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
-    ahead = counts.withColumn("r", F.sum("c").over(Window.orderBy("score")) - (F.col("c") - 1) / 2.0)
-    return verdicts.select("edge_id", "score").join(ahead, "score").select("edge_id", "r")
+    return R.average_places(verdicts.select("edge_id", "score"), "score", "r").select("edge_id", "r")
 
 
 @add("verdicts", sql="SELECT edge_id, round((rank() OVER (PARTITION BY label ORDER BY score) + (count(*) OVER (PARTITION BY label, score) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY label), 6) AS pct FROM verdicts")

@@ -27,7 +27,7 @@ def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, so that the steps that follow do not compute them again."""
     path = f"{scratch_folder(df.sparkSession)}/rows"
     df.write.parquet(path)
-    out = df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._censa_path = path
     return out
 

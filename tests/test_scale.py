@@ -152,3 +152,56 @@ def test_one_row_per_key_does_not_depend_on_partitions(spark):
     for n in (1, 7):
         assert sorted(map(tuple, sinks.upsert(table, changes.repartition(n), ["k"]).collect())) == [(1, "x"), (2, "z")]
         assert sorted(map(tuple, sinks.insert_missing(table, changes.repartition(n), ["k"]).collect())) == [(1, "old"), (2, "z")]
+
+
+SHAPES = {
+    "log_normal": lambda r, n: np.exp(2 * r.normal(size=n)),
+    "outlier": lambda r, n: np.r_[r.normal(size=n - 1), 1e9],
+    "equal": lambda r, n: np.full(n, 3.0),
+    "half_equal": lambda r, n: np.where(np.arange(n) % 2, 3.0, r.normal(size=n)),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_ranges_are_of_equal_depth(spark, shape):
+    """The fullest range holds less than twice the mean, whatever the values, and one group of many as well."""
+    n = 40_000
+    values = SHAPES[shape](np.random.default_rng(3), n)
+    df = spark.createDataFrame([("hot" if k % 10 else f"g{k % 70}", float(v), k) for k, v in enumerate(values)], "g string, v double, k long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        for order in ([F.col("v"), "k"], ["g", F.col("v").desc(), "k"]):
+            sizes = [r["count"] for r in R.in_ranges(df, *order).groupBy("_b").count().collect()]
+            assert len(sizes) == 32 and sum(sizes) == n and max(sizes) < 2 * n / 32
+        # Rows alike in value and tie are dealt out too.
+        out = R.running(df.withColumn("k", F.lit(0)), "v", "k", s=F.lit(1))
+        assert out.agg(F.max("s"), F.min("s"), F.countDistinct("s")).first() == (n, 1, n)
+        sums = R.prefix_sums(df, ["g"], [F.col("v"), F.col("k")], s=F.col("k")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    total = {}
+    for r in sorted(sums, key=lambda r: (r.g, r.v, r.k)):
+        total[r.g] = total.get(r.g, 0) + r.k
+        assert r.s == total[r.g]
+    assert all(r.s_all == total[r.g] for r in sums)
+
+
+def test_sums_by_group_with_null_groups(spark):
+    rows = [(None, 1.0, 2), ("a", None, 3), (None, None, 4), ("a", 2.0, 5), ("b", 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, v double, x int")
+    out = {(r.g, r.v): (r.s, r.s_all) for r in R.prefix_sums(df, ["g"], [F.col("v")], s=F.col("x")).collect()}
+    assert out == {(None, None): (4, 6), (None, 1.0): (6, 6), ("a", None): (3, 8), ("a", 2.0): (8, 8), ("b", 1.0): (None, None)}
+    assert {r.g: r.q for r in R.quantile_at(df, ["g"], "v", 0.5, "q").collect()} == {None: 1.0, "a": 2.0, "b": 1.0}
+
+
+def test_curves_by_group_match_plain_ones(spark):
+    rng = np.random.default_rng(11)
+    rows = [("hot" if k % 5 else "cold", float(rng.integers(0, 9)), k, None if k % 17 == 0 else bool(rng.random() < 0.4)) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, s double, t long, y boolean")
+    found = {r.g: r.aurc for r in M.risk_coverage(df, "s", "y", "t", "g").collect()}
+    for g in ("hot", "cold"):
+        own = [r[3] for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))]
+        risks = [1 - np.mean([y for y in own[: k + 1] if y is not None]) if any(y is not None for y in own[: k + 1]) else None for k in range(len(own))]
+        area = sum((a + b) / 2 / len(own) for a, b in zip(risks[:-1], risks[1:], strict=True) if a is not None and b is not None)
+        assert found[g] == pytest.approx(area, abs=1e-6)
