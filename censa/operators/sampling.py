@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import written
+from .ranking import prefix_sums
+
 
 def uniform(*parts: Column | str, digits: int = 7) -> Column:
     """A number in [0, 1) from the first hex digits, at most 13, of the MD5 of the parts joined by colons."""
@@ -84,28 +87,45 @@ def nested_fractions(df: DataFrame, label: str, fractions: list[float]) -> DataF
     return counts.select(F.explode(F.array(*(F.struct(F.lit(float(f)).alias("fraction"), F.col(f"`{k}`").alias("labels")) for k, f in enumerate(fractions)))).alias("x")).select("x.*")
 
 
-#: Cells that number candidates; their totals fit one task and a broadcast.
-CELLS = 4096
-
+def negatives(queries: DataFrame, candidates: DataFrame, each: int) -> DataFrame:
+    """(query, candidate): exactly `each` candidates of other labels for every query (query, label), all of them if they are fewer.
 
-def negatives(queries: DataFrame, candidates: DataFrame, each: int, draws: int = 16) -> DataFrame:
-    """`each` different candidates of other labels for a query, by hash; (query, label) and (candidate, candidate_label).
-
-    Candidates are numbered in the order of a hash, and a query draws numbers, so its work does not grow with the candidates.
-    The first draws that fit count. A query gets fewer if `draws` numbers hold fewer fitting ones: with a label that holds a
-    third of all candidates less than once in 10^5 queries of that label. No candidates give no rows.
+    Candidates (candidate, candidate_label; no candidate twice) stand on a ring in the order of a hash, and a query takes the
+    successors of a hash of its own among those that are not of its label. Where the j-th of these stands follows from how
+    many of the label come before it: the i-th of the label at place p has p - i others before it, so those with p - i <= j
+    come first. Both are put in one order by label and summed up in ranges, so that neither a label of nearly all candidates
+    nor the ring is in one task, and the work grows with rows, not with runs. A null label is a label.
+    """
+    ring = candidates.select("candidate", "candidate_label", uniform(F.lit("neg"), "candidate", digits=13).alias("_u"))
+    ring = written(prefix_sums(ring, [], [F.col("_u"), F.col("candidate")], _p=F.lit(1).cast("long")).withColumn("_p", F.col("_p") - 1).drop("_u"))
+    asked = queries.select(F.col("label").alias("_l")).distinct()
+    own = ring.join(asked, F.col("candidate_label").eqNullSafe(F.col("_l")), "left_semi")
+    own = prefix_sums(own.select("candidate_label", "_p"), ["candidate_label"], [F.col("_p")], _i=F.lit(1).cast("long"))
+    own = written(own.select(F.col("candidate_label").alias("_l"), (F.col("_p") - F.col("_i") + 1).alias("_v"), F.col("_i_all").alias("_n")))
+    counts = own.groupBy("_l").agg(F.max("_n").alias("_n"))
+    rows = queries.join(counts, F.col("label").eqNullSafe(F.col("_l")), "left").select("query", "label", F.coalesce("_n", F.lit(0)).alias("_n"))
+    rows = rows.join(F.broadcast(ring.agg(F.count(F.lit(1)).alias("_all")))).withColumn("_m", F.col("_all") - F.col("_n")).where("_m > 0")  # one row
+    start = F.floor(uniform(F.lit("draw"), "query", digits=13) * F.col("_m"))
+    turns = F.transform(F.sequence(F.lit(0), F.least(F.col("_m"), F.lit(each)).cast("int") - 1), lambda t: (start + t) % F.col("_m"))
+    asks = rows.select(F.col("label").alias("_l"), F.explode(turns).alias("_v"), F.lit(1).alias("_k"), "query")
+    points = own.select("_l", "_v", F.lit(0).alias("_k"), F.lit(None).cast(queries.schema["query"].dataType).alias("query"))
+    found = prefix_sums(points.unionByName(asks), ["_l"], [F.col("_v"), F.col("_k"), F.col("query")], _before=1 - F.col("_k")).where("_k = 1")
+    return found.select("query", (F.col("_v") + F.col("_before")).alias("_p")).join(ring.select("_p", "candidate"), "_p").select("query", "candidate")
+
+
+def candidate_pairs(queries: DataFrame, gallery: DataFrame, each: int) -> DataFrame:
+    """(query, candidate, same, photos): each query (query, label) with its own label and `each` others of the gallery.
+
+    The gallery (image, label) may hold labels that no query has, distractors. A query is left out of its own label's photos,
+    and has no rows at all if its label has no other photo there.
     """
-    own = uniform(F.lit("neg"), "candidate", digits=13)
-    rows = candidates.select("candidate", "candidate_label", own.alias("_u")).withColumn("_c", F.floor(F.col("_u") * CELLS).cast("int"))
-    cells = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
-    cells = cells.select("_c", (F.sum("_n").over(Window.orderBy("_c")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    place = F.row_number().over(Window.partitionBy("_c").orderBy("_u", "candidate")) - 1
-    numbered = rows.withColumn("_i", place).join(F.broadcast(cells), "_c").select("candidate", "candidate_label", (F.col("_before") + F.col("_i")).alias("_p"))  # CELLS rows
-    total = cells.agg(F.max("_all").alias("_all"))
-    drawn = queries.select("query", "label", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_d")).join(F.broadcast(total))  # one row
-    drawn = drawn.withColumn("_p", F.floor(uniform(F.lit("draw"), "query", F.col("_d"), digits=13) * F.col("_all")))
-    pairs = drawn.join(numbered, "_p").where("label <> candidate_label").groupBy("query", "candidate").agg(F.min("_d").alias("_d"))
-    return pairs.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy("_d"))).where(F.col("k") <= each).select("query", "candidate")
+    labels = gallery.groupBy(F.col("label").alias("candidate")).agg(F.count(F.lit(1)).alias("photos"))
+    there = gallery.select(F.col("image").alias("query"), "label").withColumn("_in", F.lit(1))
+    own = queries.join(there, ["query", "label"], "left").join(labels, F.col("label") == F.col("candidate"))
+    own = written(own.select("query", "label", (F.col("photos") - F.coalesce("_in", F.lit(0))).alias("photos")).where("photos > 0"))
+    other = negatives(own.select("query", "label"), labels.select("candidate", F.col("candidate").alias("candidate_label")), each)
+    positive = own.select("query", F.col("label").alias("candidate"), F.lit(True).alias("same"), "photos")
+    return positive.unionByName(other.join(labels, "candidate").select("query", "candidate", F.lit(False).alias("same"), "photos"))
 
 
 def leakage_checks(roles: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from ..operators import sampling as N
 from ..operators import workflow as W
 from ..sources.sinks import scratch_folder, written
 from ..sources.store import Put, Store
-from .matching import _over, _photo_sets, _sides, _xy
+from .matching import _TURN, _U13, _over, _photo_sets, _sides, _xy
 from .roles import Catalogue
 
 catalogue = Catalogue()
@@ -32,13 +32,17 @@ _U = "CAST('0x' || substr(md5({}), 1, 7) AS BIGINT) / 268435456.0::DOUBLE"
 # Joins
 
 
-@add("images", sql="SELECT i.image_id AS query, c.individual_id AS candidate, count(*) AS photos FROM images i JOIN images c ON c.review_batch_id = i.review_batch_id AND c.image_id <> i.image_id WHERE i.status = 'flagged_uncertain' AND c.status = 'confirmed' AND NOT c.is_synthetic GROUP BY 1, 2")
+@add("images", sql=f"""
+    WITH pool AS (SELECT image_id, individual_id, status FROM images WHERE status IN ('flagged_uncertain', 'confirmed') AND NOT is_synthetic),
+    l AS (SELECT individual_id AS candidate, count(*) AS n, {_U13.format("'neg:' || individual_id")} AS u FROM pool GROUP BY 1),
+    q AS (SELECT image_id AS query, individual_id AS label, n - 1 AS photos FROM pool JOIN l ON candidate = individual_id WHERE status = 'flagged_uncertain' AND n > 1),
+    x AS (SELECT query, candidate, n, row_number() OVER (PARTITION BY query ORDER BY u, candidate) - 1 AS j, count(*) OVER (PARTITION BY query) AS m FROM q JOIN l ON label <> candidate)
+    SELECT query, label AS candidate, TRUE AS same, photos FROM q UNION ALL SELECT query, candidate, FALSE, n FROM x WHERE {_TURN} < 4""")
 def join_cand_pairs(images: DataFrame) -> DataFrame:
-    """Query images and candidate individuals of the same batch, the query's own photo left out."""
-    q = images.where("status = 'flagged_uncertain'").select(F.col("image_id").alias("query"), "review_batch_id")
-    # Candidates are counted before the join; a query is no confirmed photo, so none is its own.
-    c = images.where("status = 'confirmed' AND NOT is_synthetic").groupBy("review_batch_id", F.col("individual_id").alias("candidate")).agg(F.count(F.lit(1)).alias("photos"))
-    return q.join(c, "review_batch_id").select("query", "candidate", "photos")
+    """Query photos with their own individual, if it has another photo, and four other individuals; confirmed photos distract."""
+    pool = images.where("status IN ('flagged_uncertain', 'confirmed') AND NOT is_synthetic").select(F.col("image_id").alias("image"), F.col("individual_id").alias("label"), "status")
+    queries = pool.where("status = 'flagged_uncertain'").select(F.col("image").alias("query"), "label")
+    return N.candidate_pairs(queries, pool.select("image", "label"), 4)
 
 
 @add("images", "individuals", sql="SELECT i.image_id AS query, g.individual_id AS candidate, i.individual_id = g.individual_id AS same FROM images i JOIN individuals d ON d.individual_id = i.individual_id JOIN individuals g ON g.site_id = d.site_id WHERE i.status = 'flagged_uncertain' AND EXISTS (SELECT 1 FROM images x WHERE x.individual_id = g.individual_id AND x.image_id <> i.image_id AND x.status = 'confirmed')")
@@ -59,12 +63,18 @@ def join_verdict_features(verdicts: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.select("edge_id", (F.col("a").isNotNull() & F.col("b").isNotNull()).alias("resolved"), F.round(S.cosine("a", "b"), 6).alias("cosine"))
 
 
-@add("spots", sql="SELECT image_id, arg_min(spot_id, pow(axis_t - 0.5, 2) + pow(axis_offset, 2) + spot_id * 1e-12) AS spot_id, round(sqrt(min(pow(axis_t - 0.5, 2) + pow(axis_offset, 2))), 6) AS distance FROM spots WHERE pow(axis_t - 0.5, 2) + pow(axis_offset, 2) <= 0.04 GROUP BY 1")
-def join_nearest_point(spots: DataFrame) -> DataFrame:
-    """The spot nearest to a click on each image, within a radius, the first of equals."""
-    d2 = F.pow(F.col("axis_t") - 0.5, 2) + F.pow("axis_offset", F.lit(2))
-    near = spots.select("image_id", "spot_id", d2.alias("d2")).where("d2 <= 0.04").groupBy("image_id").agg(F.min(F.struct((F.col("d2") + F.col("spot_id") * 1e-12).alias("k"), "spot_id", "d2")).alias("m"), F.min("d2").alias("d2"))
-    return near.select("image_id", "m.spot_id", F.round(F.sqrt("d2"), 6).alias("distance"))
+_CLICK = "(image_id * 7 + click_id * 31) % 100 / 100.0::DOUBLE AS x, ((image_id * 13 + click_id * 17) % 13 - 6) / 100.0::DOUBLE AS y"
+
+
+@add("images", "spots", sql=f"""
+    WITH c AS (SELECT image_id, click_id, {_CLICK} FROM images, (SELECT unnest([0, 1, 2]) AS click_id)),
+    d AS (SELECT c.image_id, click_id, spot_id, round(pow(x - axis_t, 2) + pow(y - axis_offset, 2), 9) AS d FROM c LEFT JOIN spots s ON s.image_id = c.image_id AND round(pow(x - axis_t, 2) + pow(y - axis_offset, 2), 9) <= 0.0009)
+    SELECT image_id, click_id, arg_min(spot_id, (d, spot_id)) AS spot_id, round(sqrt(min(d)), 6) AS distance FROM d GROUP BY 1, 2""")
+def join_nearest_point(images: DataFrame, spots: DataFrame) -> DataFrame:
+    """The spot nearest to each of three clicks on every image, within a radius; null if there is none."""
+    clicks = images.select("image_id", F.explode(F.array(*(F.lit(k) for k in range(3)))).alias("click_id")).selectExpr("image_id", "click_id", *(c.replace("::DOUBLE", "D").replace("100.0D", "100D") for c in _CLICK.split(", ")))
+    points = spots.select("image_id", "spot_id", F.col("axis_t").alias("x"), F.col("axis_offset").alias("y"))
+    return J.nearest_point(clicks, points, "image_id", "click_id", "spot_id", 0.03).withColumn("distance", F.round("distance", 6))
 
 
 @add("vectors", sql=f"WITH {_V}, p AS (SELECT a.spot_id AS q, b.spot_id AS g, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.photo_id = '1_0' AND b.photo_id = '1_1') SELECT q AS id, arg_max(g, s) AS best, 'row' AS side FROM p GROUP BY 1 UNION ALL SELECT g, arg_max(q, s), 'column' FROM p GROUP BY 1")

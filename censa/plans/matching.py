@@ -269,11 +269,15 @@ def join_photo_pairs(vectors: DataFrame) -> DataFrame:
 _U13 = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
 
 
+#: Of the candidates of other labels, in the order of their hash, those that follow a query's own hash.
+_TURN = "(j - CAST(floor(" + _U13.format("'draw:' || query") + " * m) AS BIGINT) + m) % m"
+
+
 @add("images", sql=f"""
-    WITH c AS (SELECT image_id AS candidate, individual_id AS candidate_label, row_number() OVER (ORDER BY {_U13.format("'neg:' || image_id")}, image_id) - 1 AS p, count(*) OVER () AS n FROM images WHERE status = 'confirmed'),
-    q AS (SELECT image_id AS query, individual_id AS label, d FROM images, range(16) r(d) WHERE status = 'flagged_uncertain'),
-    f AS (SELECT query, candidate, min(d) AS d FROM q JOIN c ON p = CAST(floor({_U13.format("'draw:' || query || ':' || d")} * n) AS BIGINT) AND label <> candidate_label GROUP BY 1, 2)
-    SELECT query, candidate FROM f QUALIFY row_number() OVER (PARTITION BY query ORDER BY d) <= 3""")
+    WITH c AS (SELECT image_id AS candidate, individual_id AS candidate_label, {_U13.format("'neg:' || image_id")} AS u FROM images WHERE status = 'confirmed'),
+    q AS (SELECT image_id AS query, individual_id AS label FROM images WHERE status = 'flagged_uncertain'),
+    x AS (SELECT query, candidate, row_number() OVER (PARTITION BY query ORDER BY u, candidate) - 1 AS j, count(*) OVER (PARTITION BY query) AS m FROM q JOIN c ON label <> candidate_label)
+    SELECT query, candidate FROM x WHERE {_TURN} < 3""")
 def join_null_pairs(images: DataFrame) -> DataFrame:
     """Three photos of other individuals for each query: the null of a comparison."""
     q = images.where("status = 'flagged_uncertain'").select(F.col("image_id").alias("query"), F.col("individual_id").alias("label"))

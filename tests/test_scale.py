@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from censa.operators import aggregates as A
 from censa.operators import angles
+from censa.operators import joins as J
 from censa.operators import metrics as M
 from censa.operators import pairs as P
 from censa.operators import quality as Q
@@ -98,7 +99,6 @@ def test_negatives_are_of_other_labels(spark):
     out = N.negatives(q, c, 3).collect()
     assert len(out) == 120 and len(set(out)) == 120
     assert all((r.candidate - 100) % 3 != r["query"] % 3 for r in out)
-    assert len({r.candidate for r in out}) > 60
     assert sorted(out) == sorted(N.negatives(q.repartition(7), c.repartition(5), 3).collect())
     assert N.negatives(q, c.limit(0), 3).count() == 0
 
@@ -205,3 +205,46 @@ def test_curves_by_group_match_plain_ones(spark):
         risks = [1 - np.mean([y for y in own[: k + 1] if y is not None]) if any(y is not None for y in own[: k + 1]) else None for k in range(len(own))]
         area = sum((a + b) / 2 / len(own) for a, b in zip(risks[:-1], risks[1:], strict=True) if a is not None and b is not None)
         assert found[g] == pytest.approx(area, abs=1e-6)
+
+
+def test_exact_negatives_whatever_the_labels(spark):
+    """Every query gets as many as there are, up to k; nine tenths of all candidates are of one label, and some have none."""
+    cand = [(k, "hot" if k % 10 else f"c{k % 7}" if k % 20 else None) for k in range(400)]
+    quer = [(1000 + k, ("hot", "c0", "none", None, "c3")[k % 5]) for k in range(100)]
+    c = spark.createDataFrame(cand, "candidate long, candidate_label string").repartition(3)
+    q = spark.createDataFrame(quer, "query long, label string").repartition(3)
+    for each in (1, 5, 38, 1000):
+        out = {}
+        for r in N.negatives(q, c, each).collect():
+            out.setdefault(r["query"], []).append(r.candidate)
+        for query, label in quer:
+            others = {k for k, own in cand if own != label}
+            assert len(out[query]) == len(set(out[query])) == min(each, len(others)) and set(out[query]) <= others
+    used = {r.candidate for r in N.negatives(q, c, 5).where("query % 5 = 0").collect()}
+    assert len(used) == 40  # hot queries take from all forty others
+    only = c.where("candidate_label = 'hot'")
+    assert N.negatives(q.where("label = 'hot'"), only, 3).count() == 0 and N.negatives(q, c.limit(0), 3).count() == 0
+
+
+def test_candidate_pairs_keep_positives(spark):
+    gallery = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "d"), (6, "d")], "image long, label string")
+    queries = spark.createDataFrame([(1, "a"), (3, "b"), (9, "c"), (10, "z")], "query long, label string")
+    out = sorted(tuple(r) for r in N.candidate_pairs(queries, gallery, 10).collect())
+    # 3 is the only photo of b, and z has none; 9 is no photo of the gallery itself.
+    assert out == [(1, "a", True, 1), (1, "b", False, 1), (1, "c", False, 1), (1, "d", False, 2), (9, "a", False, 2), (9, "b", False, 1), (9, "c", True, 1), (9, "d", False, 2)]
+    assert len([r for r in N.candidate_pairs(queries, gallery, 2).collect() if not r.same]) == 4
+
+
+def test_nearest_points_of_many_clicks(spark):
+    rng = np.random.default_rng(8)
+    pts = [(int(i) % 2, int(i), *map(float, p)) for i, p in enumerate(rng.integers(-20, 20, (300, 2)) / 10)]
+    clk = [(int(i) % 3, int(i), *map(float, p)) for i, p in enumerate(rng.integers(-40, 40, (200, 2)) / 20)] + [(0, 999, 50.0, 50.0)]
+    points = spark.createDataFrame(pts, "im long, pt long, x double, y double")
+    clicks = spark.createDataFrame(clk, "im long, ck long, x double, y double")
+    found = {(r.im, r.ck): (r.pt, r.distance) for r in J.nearest_point(clicks, points, "im", "ck", "pt", 0.25).collect()}
+    assert len(found) == len(clk)
+    for im, ck, x, y in clk:
+        near = sorted((round((x - a) ** 2 + (y - b) ** 2, 9), p) for i, p, a, b in pts if i == im)
+        near = [n for n in near if n[0] <= 0.0625]
+        assert found[im, ck] == ((near[0][1], pytest.approx(near[0][0] ** 0.5)) if near else (None, None))
+    assert sum(p is None for p, _ in found.values()) > 60
