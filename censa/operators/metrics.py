@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fbeta
+from ..sources.sinks import written
 from .ranking import prefix_sums, running
 
 
@@ -208,3 +209,52 @@ def spearman(df: DataFrame, a: str, b: str, *group: str) -> DataFrame:
 
     ranked = df.select(*group, average_rank(a, *group).alias("_a"), average_rank(b, *group).alias("_b"))
     return ranked.groupBy(*group).agg(F.round(F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")), 6).alias("rho"))
+
+
+def gate_fit(edges: DataFrame, individual: str, cos: str, d2: str, truth: str, sigmas: list[float], thresholds: list[float], current: tuple[float, float], folds: int = 5, beta: float = 0.5, bins: int = 1000) -> DataFrame:
+    """(fold, sigma, threshold, f_test, f_current, n, good_threshold): a position gate's width and cut, chosen across individuals.
+
+    An edge's quality is its cosine, at least 0, times exp(-d2 / (2 sigma^2)), 1 where d2 is unknown; it is kept in `bins`
+    steps. For each fold the width with the best AUROC and then the cut with the best F-beta are chosen on the other folds and
+    tried on it, beside the `current` (width, cut), both of the grids; of equals the smaller counts. Row -1 is chosen on all
+    and tried on all, with the lowest cut whose precision is 0.9 or more. Folds without a positive edge, or whose others lack
+    a class, are left out; edges without cosine or truth too.
+
+    One pass counts edges by fold, width and step; what the other folds hold is the total less the fold, so everything after
+    that pass runs on a table whose size the grids bound.
+    """
+    from .sampling import fold_of
+
+    rows = edges.where(F.col(cos).isNotNull() & F.col(truth).isNotNull())
+    gate = lambda s: F.coalesce(F.exp(-F.col(d2) / (2 * s * s)), F.lit(1.0))
+    step = lambda s: F.floor(F.greatest(F.col(cos), F.lit(0.0)) * gate(s) * bins + 1e-9).cast("int")
+    each = F.array(*(F.struct(F.lit(k).alias("s"), step(s).alias("bin")) for k, s in enumerate(sigmas)))
+    hist = rows.select(fold_of(individual, folds).alias("fold"), F.col(truth).alias("y"), F.explode(each).alias("x"))
+    hist = written(hist.groupBy("fold", "x.s", "x.bin").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")))
+    whole = hist.groupBy("s", "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    own = hist.select("fold", "s", "bin", F.col("pos").alias("p"), F.col("neg").alias("n"))
+    less = lambda a, b: (F.col(a) - F.coalesce(b, F.lit(0))).alias(a)
+    train = whole.withColumn("fold", F.explode(F.sequence(F.lit(-1), F.lit(folds - 1)))).join(own, ["fold", "s", "bin"], "left").select("fold", "s", "bin", less("pos", "p"), less("neg", "n"))
+    test = hist.unionByName(whole.withColumn("fold", F.lit(-1)))
+
+    w = Window.partitionBy("fold", "s")  # one row a step
+    area = train.withColumn("fp", F.sum("neg").over(w.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("N", F.sum("neg").over(w))
+    won = F.sum(F.col("pos") * (F.col("N") - F.col("fp")) + F.col("pos") * F.col("neg") / 2.0)
+    area = area.groupBy("fold", "s").agg(F.round(F.try_divide(won, F.sum("pos") * F.sum("neg")), 9).alias("auroc")).where("auroc IS NOT NULL")
+    width = area.groupBy("fold").agg((-F.max(F.struct("auroc", (-F.col("s")).alias("k")))["k"]).alias("s"))
+
+    def at(counts: DataFrame) -> DataFrame:
+        """(fold, s, t, tp, fp, P, N, f) for each threshold."""
+        reach = lambda c, t: F.sum(F.when(F.col("bin") >= round(t * bins), F.col(c)).otherwise(0))
+        per = F.array(*(F.struct(F.lit(float(t)).alias("t"), reach("pos", t).alias("tp"), reach("neg", t).alias("fp")) for t in thresholds))
+        out = counts.groupBy("fold", "s").agg(per.alias("x"), F.sum("pos").alias("P"), F.sum("neg").alias("N")).select("fold", "s", "P", "N", F.explode("x").alias("x")).select("fold", "s", "P", "N", "x.*")
+        f = fbeta(F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.col("P"), beta)
+        return out.withColumn("f", F.round(F.when(F.col("tp") > 0, f).otherwise(0.0), 9))
+
+    tried, learned = written(at(test)), at(train).join(width, ["fold", "s"])
+    precise = F.col("tp") >= 0.9 * (F.col("tp") + F.col("fp"))
+    cut = learned.groupBy("fold", "s").agg((-F.max(F.struct("f", (-F.col("t")).alias("k")))["k"]).alias("t"), F.min(F.when((F.col("fold") == -1) & (F.col("tp") > 0) & precise, F.col("t"))).alias("good_threshold"))
+    now = tried.where((F.col("s") == sigmas.index(current[0])) & (F.col("t") == float(current[1]))).select("fold", F.col("f").alias("f_current"))
+    out = cut.join(tried.where("P > 0"), ["fold", "s", "t"]).join(now, "fold")
+    sigma = F.element_at(F.array(*(F.lit(float(s)) for s in sigmas)), F.col("s") + 1)
+    return out.select("fold", sigma.alias("sigma"), F.col("t").alias("threshold"), F.round("f", 6).alias("f_test"), F.round("f_current", 6).alias("f_current"), (F.col("P") + F.col("N")).alias("n"), "good_threshold")

@@ -24,16 +24,35 @@ def poisson_one(u: Column) -> Column:
     return times
 
 
+#: Draws of a replicate that one row gives.
+DRAWS = 4096
+
+
+def resampled(per: DataFrame, cluster: str, replicates: int) -> DataFrame:
+    """(rep, times, and the columns of `per`): clusters drawn with replacement, as many as there are, in each replicate.
+
+    `per` holds a row for each cluster. Clusters are numbered in order, and draw d of replicate r takes the number that a hash
+    of both gives. Draws come in runs of DRAWS and are counted before they meet the clusters, so there is at most one row for
+    a cluster and replicate, and no task holds a replicate.
+    """
+    numbered = written(prefix_sums(per, [], [F.col(cluster)], _p=F.lit(1).cast("long")).withColumn("_p", F.col("_p") - 1))
+    total = numbered.agg(F.count(F.lit(1)).alias("_all")).where("_all > 0")
+    runs = total.select("_all", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    runs = runs.select("_all", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_all") - 1) / DRAWS))).alias("_run")).repartition("rep", "_run")
+    last = F.least(F.col("_all") - 1, (F.col("_run") + 1) * DRAWS - 1)
+    draws = runs.select("_all", "rep", F.explode(F.sequence(F.col("_run") * DRAWS, last)).alias("_draw"))
+    drawn = draws.select("rep", F.floor(uniform("rep", "_draw", digits=13) * F.col("_all")).alias("_p")).groupBy("rep", "_p").agg(F.count(F.lit(1)).alias("times"))
+    return drawn.join(numbered.drop("_p_all"), "_p").drop("_p")
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, hit: str, replicates: int) -> DataFrame:
-    """(mean, lo, hi) of the rate of `hit` when clusters are resampled with Poisson weights.
+    """(mean, lo, hi) of the rate of `hit` when clusters are drawn with replacement, as many as there are.
 
     Clusters are summed first, so the replicates multiply clusters, not rows.
     """
     per = df.groupBy(cluster).agg(F.count_if(hit).alias("k"), F.count(F.lit(1)).alias("n"))
-    rows = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    rows = rows.withColumn("times", poisson_one(uniform("rep", cluster)))
-    rates = rows.groupBy("rep").agg((F.sum(F.col("times") * F.col("k")) / F.nullif(F.sum(F.col("times") * F.col("n")), F.lit(0))).alias("v"))
-    return _interval(rates)
+    rows = resampled(per, cluster, replicates)
+    return _interval(rows.groupBy("rep").agg((F.sum(F.col("times") * F.col("k")) / F.nullif(F.sum(F.col("times") * F.col("n")), F.lit(0))).alias("v")))
 
 
 def _interval(rates: DataFrame) -> DataFrame:

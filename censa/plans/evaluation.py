@@ -324,16 +324,16 @@ def m_edge_prf(verdicts: DataFrame) -> DataFrame:
 
 
 @add("verdicts", sql="""
-    WITH per AS (SELECT label, count(*) FILTER (WHERE accepted) AS k, count(*) AS n FROM verdicts GROUP BY 1), r AS (SELECT unnest(range(200)) AS rep),
-    w AS (SELECT rep, k, n, CAST('0x' || substr(md5(CAST(rep AS VARCHAR) || ':' || label), 1, 7) AS BIGINT) / 268435456.0::DOUBLE AS u FROM per, r),
-    t AS (SELECT rep, k, n, (u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238462)::INT + (u >= 0.9963401531726563)::INT AS times FROM w),
-    m AS (SELECT rep, sum(times * k) / nullif(sum(times * n), 0)::DOUBLE AS v FROM t GROUP BY 1)
+    WITH per AS (SELECT label, count(*) FILTER (WHERE accepted) AS k, count(*) AS n, row_number() OVER (ORDER BY label NULLS FIRST) - 1 AS p, count(*) OVER () AS clusters FROM verdicts GROUP BY 1),
+    d AS (SELECT rep, CAST(floor(CAST('0x' || substr(md5(rep || ':' || draw), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * clusters) AS BIGINT) AS p
+      FROM range(2000) r(rep), (SELECT p AS draw, clusters FROM per)),
+    m AS (SELECT rep, sum(k) / nullif(sum(n), 0)::DOUBLE AS v FROM d JOIN per USING (p) GROUP BY 1)
     SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM m""")
 def m_cluster_bootstrap(verdicts: DataFrame) -> DataFrame:
-    """Percentile interval of a rate under resampling of individuals, with hashed Poisson weights."""
+    """Percentile interval of a rate over 2,000 resamples of as many individuals as there are."""
     from ..operators.sampling import cluster_bootstrap
 
-    return cluster_bootstrap(verdicts, "label", "accepted", 200)
+    return cluster_bootstrap(verdicts, "label", "accepted", 2000)
 
 
 _TIMES = " + ".join(f"(u >= {p})::INT" for p in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563))

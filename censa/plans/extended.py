@@ -335,16 +335,33 @@ def m_pooled(verdicts: DataFrame) -> DataFrame:
     return M.pooled(verdicts, "score", "edge_id", ~F.col("novel"), F.col("accepted"))
 
 
-@add("verdicts", sql="""
-    WITH g AS (SELECT sigma, edge_id, accepted, ln(1 + score) * exp(-pow((edge_id % 10) / 10.0::DOUBLE, 2) / (2 * sigma * sigma)) AS q FROM verdicts, (SELECT unnest([0.12, 0.25, 0.5, 1.0])::DOUBLE AS sigma)),
-    r AS (SELECT *, rank() OVER (PARTITION BY sigma ORDER BY round(q, 9)) + (count(*) OVER (PARTITION BY sigma, round(q, 9)) - 1) / 2.0::DOUBLE AS k FROM g)
-    SELECT sigma, round((sum(CASE WHEN accepted THEN k END) - count(*) FILTER (WHERE accepted) * (count(*) FILTER (WHERE accepted) + 1) / 2.0::DOUBLE) / (count(*) FILTER (WHERE accepted) * count(*) FILTER (WHERE NOT accepted)), 6) AS auroc FROM r GROUP BY 1""")
-def m_gate_fit(verdicts: DataFrame) -> DataFrame:
-    """AUROC of the gated score for each width of the gate: the grid is a small array in each row."""
-    rows = verdicts.withColumn("sigma", F.explode(F.array(*(F.lit(s) for s in (0.12, 0.25, 0.5, 1.0)))))
-    d2 = F.pow((F.col("edge_id") % 10) / 10.0, F.lit(2))
-    gated = F.round(F.log1p("score") * F.exp(-d2 / (2 * F.col("sigma") * F.col("sigma"))), 9)
-    return M.roc_auc(rows.withColumn("q", gated), "q", "accepted", "sigma")
+_SIGMAS, _CUTS = [0.12, 0.25, 0.5, 1.0], [k / 50 for k in range(1, 20)]
+_F = "CASE WHEN tp > 0 THEN 1.25::DOUBLE * (tp / (tp + fp)::DOUBLE) * (tp / p::DOUBLE) / (0.25::DOUBLE * (tp / (tp + fp)::DOUBLE) + tp / p::DOUBLE) ELSE 0 END"
+
+
+@add("verdicts", "vectors", sql=f"""
+    WITH {_V}, e AS (SELECT CAST(floor({_U.format("'fold:' || a.individual_id")} * 3) AS INT) AS fold, list_cosine_similarity(a.e, b.e) AS c, CASE WHEN edge_id % 5 <> 0 THEN pow((edge_id * 29 % 97 - (edge_id + 1) * 29 % 97) / 97.0::DOUBLE, 2) END AS d2, accepted AS y
+      FROM verdicts JOIN v a ON a.spot_id = edge_id JOIN v b ON b.spot_id = edge_id + 1 WHERE accepted IS NOT NULL),
+    g AS (SELECT s, sigma FROM (SELECT unnest(range({len(_SIGMAS)})) AS s, unnest({_SIGMAS})::DOUBLE AS sigma)), cuts AS (SELECT unnest({_CUTS})::DOUBLE AS t),
+    q AS (SELECT fold, s, y, CAST(floor(greatest(c, 0) * coalesce(exp(-d2 / (2 * sigma * sigma)), 1) * 1000 + 1e-9) AS INT) AS bin FROM e, g),
+    f AS (SELECT CAST(unnest(range(-1, 3)) AS INT) AS fold),
+    train AS (SELECT f.fold, s, bin, y FROM q JOIN f ON q.fold <> f.fold), test AS (SELECT f.fold, s, bin, y FROM q JOIN f ON q.fold = f.fold OR f.fold = -1),
+    k AS (SELECT fold, s, y, rank() OVER w + (count(*) OVER (PARTITION BY fold, s, bin) - 1) / 2.0::DOUBLE AS k FROM train WINDOW w AS (PARTITION BY fold, s ORDER BY bin)),
+    a AS (SELECT fold, s, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE NOT y) AS n, round((sum(k) FILTER (WHERE y) - p * (p + 1) / 2.0::DOUBLE) / (p * n), 9) AS auroc FROM k GROUP BY 1, 2),
+    width AS (SELECT fold, s FROM a WHERE p > 0 AND n > 0 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY auroc DESC, s) = 1),
+    l AS (SELECT fold, s, t, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE y AND bin >= round(t * 1000)) AS tp, count(*) FILTER (WHERE NOT y AND bin >= round(t * 1000)) AS fp FROM train JOIN width USING (fold, s), cuts GROUP BY 1, 2, 3),
+    cut AS (SELECT fold, s, t FROM l QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round({_F}, 9) DESC, t) = 1), good AS (SELECT min(t) AS good FROM l WHERE fold = -1 AND tp > 0 AND tp >= 0.9 * (tp + fp)),
+    o AS (SELECT fold, s, t, count(*) AS n, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE y AND bin >= round(t * 1000)) AS tp, count(*) FILTER (WHERE NOT y AND bin >= round(t * 1000)) AS fp FROM test, cuts GROUP BY 1, 2, 3)
+    SELECT o.fold, sigma, o.t AS threshold, round({_F.replace("tp", "o.tp").replace("fp", "o.fp").replace("/ p", "/ o.p")}, 6) AS f_test, round({_F.replace("tp", "x.tp").replace("fp", "x.fp").replace("/ p", "/ x.p")}, 6) AS f_current, o.n, CASE WHEN o.fold = -1 THEN good END AS good_threshold
+    FROM cut JOIN o USING (fold, s, t) JOIN g USING (s) JOIN o x ON x.fold = o.fold AND x.s = 1 AND x.t = 0.2, good WHERE o.p > 0""")
+def m_gate_fit(verdicts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Width and cut of the position gate of judged edges, chosen across individuals and tried on those left out."""
+    place = lambda c: c * 29 % 97
+    end = lambda n, shift: vectors.select((F.col("spot_id") - shift).alias("edge_id"), F.col("embedding").alias(n), *([F.col("individual_id").alias("individual")] if not shift else []))
+    edges = verdicts.select("edge_id", "accepted").join(end("a", 0), "edge_id").join(end("b", 1), "edge_id")
+    apart = F.pow((place(F.col("edge_id")) - place(F.col("edge_id") + 1)) / 97.0, 2)
+    edges = edges.select("individual", "accepted", S.cosine("a", "b").alias("cos"), F.when(F.col("edge_id") % 5 != 0, apart).alias("d2"))
+    return M.gate_fit(edges, "individual", "cos", "d2", "accepted", _SIGMAS, _CUTS, (0.25, 0.2), folds=3)
 
 
 @add("images", sql=f"WITH p AS (SELECT image_id, individual_id, row_number() OVER (PARTITION BY individual_id ORDER BY {_U.format(chr(39) + 'photo:' + chr(39) + ' || image_id')}, image_id) AS k, count(*) OVER (PARTITION BY individual_id) AS n FROM images WHERE NOT is_synthetic), l AS (SELECT individual_id FROM p WHERE n >= 2 GROUP BY 1 ORDER BY {_U.format(chr(39) + 'label:' + chr(39) + ' || individual_id')}, individual_id LIMIT 16) SELECT image_id, individual_id FROM p WHERE k <= 2 AND individual_id IN (SELECT individual_id FROM l)")

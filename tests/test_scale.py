@@ -248,3 +248,38 @@ def test_nearest_points_of_many_clicks(spark):
         near = [n for n in near if n[0] <= 0.0625]
         assert found[im, ck] == ((near[0][1], pytest.approx(near[0][0] ** 0.5)) if near else (None, None))
     assert sum(p is None for p, _ in found.values()) > 60
+
+
+def test_resamples_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(N, "DRAWS", 7)
+    rng = np.random.default_rng(2)
+    k, n = rng.integers(0, 30, 40), rng.integers(30, 60, 40)
+    per = spark.createDataFrame([(f"c{i}", int(a), int(b)) for i, (a, b) in enumerate(zip(k, n, strict=True))], "c string, k long, n long")
+    drawn = N.resampled(per, "c", 300)
+    assert {r[0] for r in drawn.groupBy("rep").agg(F.sum("times")).select("sum(times)").collect()} == {40}
+    assert drawn.groupBy("rep", "c").count().agg(F.max("count")).first()[0] == 1 and drawn.select("rep").distinct().count() == 300
+    rows = spark.createDataFrame([(f"c{i}", bool(j < a)) for i, (a, b) in enumerate(zip(k, n, strict=True)) for j in range(b)], "c string, hit boolean")
+    found = N.cluster_bootstrap(rows, "c", "hit", 2000).first()
+    picks = rng.integers(0, 40, (4000, 40))
+    v = k[picks].sum(1) / n[picks].sum(1)
+    spread = v.std()
+    assert abs(found.mean - v.mean()) < 0.1 * spread and abs(found.lo - np.quantile(v, 0.025)) < 0.2 * spread and abs(found.hi - np.quantile(v, 0.975)) < 0.2 * spread
+    assert N.resampled(per.limit(0), "c", 5).count() == 0
+
+
+def test_gate_is_fitted_on_other_individuals(spark):
+    rng = np.random.default_rng(4)
+    n = 900
+    who, near = rng.integers(0, 60, n), rng.random(n) < 0.5
+    cos = np.clip(rng.normal(0.6, 0.1, n), -0.2, 1)
+    d2 = np.where(near, rng.random(n) * 0.01, 0.2 + rng.random(n))
+    y = near ^ (rng.random(n) < 0.05)
+    rows = [(int(w), float(c), None if k % 50 == 0 else float(d), bool(t)) for k, (w, c, d, t) in enumerate(zip(who, cos, d2, y, strict=True))] + [(1, None, 0.1, True), (1, 0.5, 0.1, None)]
+    edges = spark.createDataFrame(rows, "who long, cos double, d2 double, y boolean").repartition(3)
+    out = {r.fold: r for r in M.gate_fit(edges, "who", "cos", "d2", "y", [0.12, 0.25, 1.0, 1e6], [k / 20 for k in range(1, 20)], (1e6, 0.5)).collect()}
+    assert set(out) == {-1, 0, 1, 2, 3, 4} and sum(r.n for f, r in out.items() if f >= 0) == n == out[-1].n
+    # Position tells the classes apart: a narrow gate beats none, on the folds held out as well.
+    assert all(r.sigma <= 0.25 and r.f_test > 0.85 and r.f_test > r.f_current for r in out.values())
+    q = np.clip(cos, 0, None) * np.where(np.arange(n) % 50 == 0, 1.0, np.exp(-d2 / (2 * out[-1].sigma ** 2)))
+    kept = [t / 20 for t in range(1, 20) if y[np.floor(q * 1000 + 1e-9) >= round(t * 50)].mean() >= 0.9]
+    assert out[-1].good_threshold == kept[0]
