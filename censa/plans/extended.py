@@ -18,10 +18,11 @@ from ..operators import pairs as P
 from ..operators import quality as Q
 from ..operators import ranking as R
 from ..operators import sampling as N
+from ..operators import sets as T
 from ..operators import workflow as W
 from ..sources.sinks import scratch_folder, written
 from ..sources.store import Put, Store
-from .matching import _TURN, _U13, _over, _photo_sets, _sides, _xy
+from .matching import _GEO, _SETS, _TURN, _U13, _over, _rounded, _sides, _spots, _xy
 from .roles import Catalogue
 
 catalogue = Catalogue()
@@ -88,13 +89,7 @@ def rank_argmax_rowcol(vectors: DataFrame) -> DataFrame:
 @add("vectors", sql=f"WITH {_V}, p AS (SELECT a.spot_id AS q, b.photo_id AS photo, b.spot_id AS g, row_number() OVER (PARTITION BY a.spot_id, b.photo_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.spot_id) AS place FROM v a JOIN v b ON a.individual_id = b.individual_id AND a.photo_id < b.photo_id) SELECT q, g, place FROM p WHERE g = q + 1 OR g = q + 5")
 def rank_partner(vectors: DataFrame) -> DataFrame:
     """Where a spot's true partner stands among the spots of the other photo."""
-
-    def kernel(x, y):
-        s, ids = K.similarity(x["embedding"], y["embedding"]), np.asarray(y["spot_id"])
-        place = np.argsort(np.argsort(-s, axis=1, kind="stable"), axis=1) + 1
-        return [{"q": int(q), "g": int(g), "place": int(place[i, j])} for i, q in enumerate(x["spot_id"]) for j, g in enumerate(ids) if g in (q + 1, q + 5)]
-
-    return _over(vectors, kernel, "q long, g long, place long").select("q", "g", "place")
+    return T.ranked(T.met(_spots(vectors))).where("g = q + 1 OR g = q + 5").select("q", "g", F.col("k").cast("bigint").alias("place"))
 
 
 # Functions
@@ -231,17 +226,19 @@ def match_pooled(vectors: DataFrame) -> DataFrame:
 @add("vectors", sql=f"WITH {_V} SELECT a.spot_id AS a, b.spot_id AS b FROM v a JOIN v b ON a.individual_id = b.individual_id AND a.photo_id < b.photo_id WHERE list_cosine_similarity(a.e, b.e) >= 0.25")
 def match_threshold(vectors: DataFrame) -> DataFrame:
     """All links above a cosine between the photos of an individual."""
-
-    def kernel(x, y):
-        return [{"i": int(x["spot_id"][i]), "j": int(y["spot_id"][j])} for i, j in zip(*np.nonzero(K.similarity(x["embedding"], y["embedding"]) >= 0.25), strict=True)]
-
-    return _over(vectors, kernel, "i long, j long").select(F.col("i").alias("a"), F.col("j").alias("b"))
+    return T.met(_spots(vectors)).where("s >= 0.25").select(F.col("q").alias("a"), F.col("g").alias("b"))
 
 
-@add("vectors")
+@add("vectors", sql=f"""
+    WITH {_V}, {_SETS}, {_GEO}, z AS (SELECT *, greatest(s, 0) AS seen FROM r),
+    c AS (SELECT a, b, round(sum(gw * (s >= 0.3)::INT) / (sum(gw) + 1e-9), 6) AS candidate_over, round(sum(gw * (s < 0.2)::INT) / (sum(gw) + 1e-9), 6) AS open_candidate FROM r WHERE back = 1 GROUP BY 1, 2),
+    f AS (SELECT a, b, round(sum(qw * seen) / (sum(qw) + 1e-9), 6) AS w_mean, round(sum(qw * seen), 6) AS w_total, round(max(s), 6) AS best, round(sum(qw * (s < 0.2)::INT) / (sum(qw) + 1e-9), 6) AS open_query, round(max(qw * (1 - seen)) / (max(qw) + 1e-9), 6) AS worst_open,
+      {", ".join(f"round(sum(qw * (s >= {x})::INT) / (sum(qw) + 1e-9), 6) AS w_over_{k}" for k, x in enumerate((0.4, 0.3, 0.2), 1))}, round(1 - exp(-(count(*) FILTER (WHERE back = 1 AND s >= 0.3)) / 2.5::DOUBLE), 6) AS support, count(*) FILTER (WHERE back = 1) AS mutual, round((count(*) FILTER (WHERE back = 1)) / count(*)::DOUBLE, 6) AS mutual_share
+      FROM z WHERE k = 1 GROUP BY 1, 2)
+    SELECT f.*, candidate_over, open_candidate, g."order" FROM f JOIN c USING (a, b) JOIN geometry g USING (a, b)""")
 def match_strict_features(vectors: DataFrame) -> DataFrame:
-    """17 features weighted by distinctiveness."""
-    return _over(vectors, lambda x, y: K.strict_features(K.similarity(x["embedding"], y["embedding"]), x["w"], y["w"], _xy(x), _xy(y)), ", ".join(f"{n} double" for n in K.STRICT))
+    """Features weighted by distinctiveness; that of a fitted transform is in `match_ransac`."""
+    return _rounded(T.strict_features(T.matched(_spots(vectors)), (0.4, 0.3, 0.2), 0.3, 0.3, 0.2))
 
 
 @add("vectors")
@@ -251,24 +248,24 @@ def match_spotdesc(vectors: DataFrame) -> DataFrame:
     return _over(vectors, lambda x, y: {"score": K.spot_descriptor_match(_xy(x), _xy(y), shape(x), shape(y))}, "score double")
 
 
-@add("vectors")
+@add("vectors", sql=f"""
+    WITH {_V}, {_SETS}, two AS (SELECT i.a, i.b, i.q, i.gt - i.qt AS own, j.gt - j.qt AS other, row_number() OVER (PARTITION BY i.a, i.b, i.q ORDER BY abs(i.qt - j.qt), j.q) AS n FROM l i JOIN l j ON i.a = j.a AND i.b = j.b AND i.q <> j.q),
+    e AS (SELECT a, b, q, count(*) AS others, -abs(max(own) - median(other)) AS residual, avg((abs(own - other) <= 0.05 + 1e-9)::INT) FILTER (WHERE n <= 3) AS support FROM two GROUP BY 1, 2, 3),
+    cq AS (SELECT a, b, q, cume_dist() OVER (PARTITION BY a, b ORDER BY qt) AS cq FROM r WHERE k = 1), cg AS (SELECT a, b, g, cume_dist() OVER (PARTITION BY a, b ORDER BY gt) AS cg FROM r WHERE back = 1)
+    SELECT a, b, q AS i, g AS j, round(s, 6) AS cosine, CASE WHEN others >= 2 THEN round(residual, 6) + 0 END AS residual, CASE WHEN others >= 2 THEN round(support, 6) END AS support, round(-abs(cq - cg), 6) + 0 AS rank_agree FROM l LEFT JOIN e USING (a, b, q) JOIN cq USING (a, b, q) JOIN cg USING (a, b, g)""")
 def edge_relational(vectors: DataFrame) -> DataFrame:
     """Each mutual link against the other links of its pair."""
-    return _over(vectors, lambda x, y: K.relational(K.similarity(x["embedding"], y["embedding"]), x["t"], y["t"]), "i long, j long, cosine double, residual double, support double, rank_agree double")
+    return _rounded(T.relational(T.matched(_spots(vectors))))
 
 
-@add("vectors")
+@add("vectors", sql=f"""
+    WITH {_V}, {_SETS}, {_GEO}, g AS (SELECT a, b, "order" AS geom_spearman, neighbours AS geom_nbr_agree, one_shift AS geom_axial_inliers, kendall AS geom_kendall, sides AS geom_side_agree, gain AS geom_excess FROM geometry)
+    SELECT a, b, statistic, value FROM (UNPIVOT g ON geom_spearman, geom_nbr_agree, geom_axial_inliers, geom_kendall, geom_side_agree, geom_excess INTO NAME statistic VALUE value)""")
 def geom_order(vectors: DataFrame) -> DataFrame:
-    """Order, side, axial shift, neighbours and their excess over chance, one row for each statistic."""
-
-    def kernel(x, y):
-        pairs = K.mutual_links(K.similarity(x["embedding"], y["embedding"]))
-        a, b = (np.array(_xy(z))[pairs[:, k]] for k, z in enumerate((x, y)))
-        ta, tb = (np.array(z["t"])[pairs[:, k]] for k, z in enumerate((x, y)))
-        values = {"geom_spearman": K.distance_spearman(a, b), "geom_nbr_agree": K.neighbour_agreement(a, b), "geom_axial_inliers": K.axial_inliers(ta, tb), "geom_kendall": K.kendall(ta, tb), "geom_side_agree": float(((ta > 0.5) == (tb > 0.5)).mean()) if len(ta) else 0.0, "geom_excess": K.excess(K.neighbour_agreement, a, b, 4) if len(a) >= 3 else 0.0}
-        return [{"statistic": k, "value": v} for k, v in values.items()]
-
-    return _over(vectors, kernel, "statistic string, value double")
+    """The geometry of links, one row for each statistic."""
+    found = _rounded(T.geometry(T.links(T.matched(_spots(vectors)))))
+    names = {"geom_spearman": "order", "geom_nbr_agree": "neighbours", "geom_axial_inliers": "one_shift", "geom_kendall": "kendall", "geom_side_agree": "sides", "geom_excess": "gain"}
+    return found.select("a", "b", F.explode(F.array(*(F.struct(F.lit(n).alias("statistic"), F.col(c).alias("value")) for n, c in names.items()))).alias("x")).select("a", "b", "x.*")
 
 
 @add("spots", sql="WITH r AS (SELECT image_id, spot_id, (row_number() OVER (PARTITION BY image_id ORDER BY area, spot_id) - 1) / greatest(count(*) OVER (PARTITION BY image_id) - 1, 1)::DOUBLE AS size, (row_number() OVER (PARTITION BY image_id ORDER BY mass, spot_id) - 1) / greatest(count(*) OVER (PARTITION BY image_id) - 1, 1)::DOUBLE AS bulk FROM spots) SELECT image_id, spot_id, round(0.25::DOUBLE * size + 0.75::DOUBLE * bulk, 6) AS blend FROM r")
@@ -305,17 +302,7 @@ def axis_flip_scan(vectors: DataFrame) -> DataFrame:
     and that over the other half must agree; without siblings in a half nothing is suspect.
     """
 
-    def kernel(x, y):
-        s = K.similarity(x["embedding"], y["embedding"])
-        ta, tb = np.array(x["t"])[:, None], np.array(y["t"])
-
-        def count(t):
-            both = (s + np.exp(-((t - tb) ** 2) / 0.045)) / 2
-            return int(sum(both[i, j] >= 0.5 for i, j in K.mutual_links(both)))
-
-        return {"as_is": count(ta), "turned": count(1 - ta)}
-
-    out = _over(vectors, kernel, "as_is long, turned long")
+    out = T.turned(T.met(_spots(vectors)), 0.045, 0.5)
     side = lambda p, q: out.select(F.col(p).alias("photo"), F.col(q).alias("sibling"), "as_is", "turned")
     rows = side("a", "b").unionByName(side("b", "a")).withColumn("own", N.uniform(F.lit("half"), "sibling") < 0.5)
     more = F.col("turned") - F.col("as_is")

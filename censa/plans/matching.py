@@ -14,6 +14,7 @@ from ..operators import matching as K
 from ..operators import pairs as P
 from ..operators import ranking as R
 from ..operators import sampling as N
+from ..operators import sets as T
 from .roles import Catalogue
 
 catalogue = Catalogue()
@@ -23,6 +24,36 @@ _V = "v AS (SELECT spot_id, individual_id, photo_id, CAST(embedding AS DOUBLE[])
 _BEST = "best AS (SELECT a.spot_id AS q, a.photo_id AS q_group, b.photo_id AS g_group, max(list_cosine_similarity(a.e, b.e)) AS sim, arg_max(b.spot_id, list_cosine_similarity(a.e, b.e)) AS g FROM v a JOIN v b ON a.photo_id <> b.photo_id {where} GROUP BY 1, 2, 3)"
 
 
+_PLACES = ", ".join(f"CAST({p}.spot_id * 37 % 101 AS DOUBLE) AS {n}x, CAST({p}.spot_id * 53 % 103 AS DOUBLE) AS {n}y, {p}.spot_id * 29 % 97 / 97.0::DOUBLE AS {n}t, {p}.spot_id * 11 % 10 / 10.0::DOUBLE AS {n}w" for p, n in (("a", "q"), ("b", "g")))
+#: Spots of two photos of an individual, ranked from both sides, and the mutual links.
+_SETS = f"""p AS (SELECT a.photo_id AS a, b.photo_id AS b, a.spot_id AS q, b.spot_id AS g, list_cosine_similarity(a.e, b.e) AS s, {_PLACES} FROM v a JOIN v b ON a.individual_id = b.individual_id AND a.photo_id < b.photo_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY a, b, q ORDER BY s DESC, g) AS k, row_number() OVER (PARTITION BY a, b, g ORDER BY s DESC, q) AS back FROM p), l AS (SELECT * FROM r WHERE k = 1 AND back = 1)"""
+_FAR = ", ".join(f"round(sqrt(pow(i.{n}x - j.{n}x, 2) + pow(i.{n}y - j.{n}y, 2)), 9) AS {d}" for n, d in (("q", "d"), ("g", "e")))
+_NEAR = "count(*) FILTER (WHERE m <= 3 AND n <= 3) / (count(*) FILTER (WHERE m <= 3))::DOUBLE"
+_MN = "row_number() OVER (PARTITION BY {own}a, b, iq ORDER BY d, jq) AS m, row_number() OVER (PARTITION BY {own}a, b, iq ORDER BY e, jq) AS n"
+_TIES = "rank() OVER (PARTITION BY a, b ORDER BY {x}) + (count(*) OVER (PARTITION BY a, b, {x}) - 1) / 2.0::DOUBLE"
+#: The geometry of the links of each pair of photos.
+_GEO = f"""two AS (SELECT i.a, i.b, i.q AS iq, j.q AS jq, {_FAR}, sign(i.qt - j.qt) * sign(i.gt - j.gt) AS tau FROM l i JOIN l j ON i.a = j.a AND i.b = j.b AND i.q <> j.q),
+    dist AS (SELECT a, b, CASE WHEN count(*) >= 2 AND stddev_pop(d) > 0 AND stddev_pop(e) > 0 THEN corr(d, e) ELSE 0 END AS o FROM (SELECT a, b, {_TIES.format(x="d")} AS d, {_TIES.format(x="e")} AS e FROM two WHERE iq < jq) GROUP BY 1, 2),
+    nb AS (SELECT a, b, {_NEAR} AS nb FROM (SELECT a, b, {_MN.format(own="")} FROM two) GROUP BY 1, 2), kt AS (SELECT a, b, avg(tau) AS kendall FROM two WHERE iq < jq GROUP BY 1, 2),
+    dealt AS (SELECT l.*, turn, row_number() OVER (PARTITION BY turn, a, b ORDER BY q) AS i, row_number() OVER (PARTITION BY turn, a, b ORDER BY md5('turn:' || turn || ':' || q), q) AS j FROM l, range(4) t(turn)),
+    anew AS (SELECT x.turn, x.a, x.b, x.q, x.qx, x.qy, y.gx, y.gy FROM dealt x JOIN dealt y ON x.turn = y.turn AND x.a = y.a AND x.b = y.b AND x.i = y.j),
+    chance AS (SELECT a, b, avg(nb) AS chance FROM (SELECT turn, a, b, {_NEAR} AS nb FROM (SELECT turn, a, b, {_MN.format(own="turn, ")} FROM (SELECT i.turn, i.a, i.b, i.q AS iq, j.q AS jq, {_FAR} FROM anew i JOIN anew j ON i.turn = j.turn AND i.a = j.a AND i.b = j.b AND i.q <> j.q)) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    shift AS (SELECT a, b, count(*) AS links, avg((abs(gt - qt - m) <= 0.05 + 1e-9)::INT) AS one, avg(((qt > 0.5) = (gt > 0.5))::INT) AS sides FROM (SELECT *, median(gt - qt) OVER (PARTITION BY a, b) AS m FROM l) GROUP BY 1, 2),
+    geometry AS (SELECT a, b, links, round(CASE WHEN links >= 3 THEN coalesce(o, 0) ELSE 0 END, 6) + 0 AS "order", round(CASE WHEN links >= 3 THEN nb ELSE 0 END, 6) AS neighbours, round(CASE WHEN links >= 3 THEN nb - chance ELSE 0 END, 6) + 0 AS gain,
+      round(CASE WHEN links >= 3 THEN one ELSE 0 END, 6) AS one_shift, round(coalesce(kendall, 0), 6) + 0 AS kendall, round(sides, 6) AS sides FROM shift LEFT JOIN dist USING (a, b) LEFT JOIN nb USING (a, b) LEFT JOIN chance USING (a, b) LEFT JOIN kt USING (a, b))"""
+
+
+def _spots(vectors: DataFrame) -> DataFrame:
+    """Spots with the places that `_photo_sets` gives them."""
+    i = F.col("spot_id")
+    return vectors.select(F.col("individual_id").alias("owner"), F.col("photo_id").alias("photo"), i.alias("id"), F.col("embedding").alias("e"), (i * 37 % 101).cast("double").alias("x"), (i * 53 % 103).cast("double").alias("y"), (i * 29 % 97 / 97.0).alias("t"), (i * 11 % 10 / 10.0).alias("w"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
 def _sides(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("spot_id").alias("id"), F.col("photo_id").alias("grp"), F.col("embedding").cast("array<double>").alias("e"))
 
@@ -36,15 +67,8 @@ def join_all_pairs_threshold(vectors: DataFrame) -> DataFrame:
 @add("vectors", sql=f"WITH {_V} SELECT a.spot_id AS a, b.spot_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.photo_id = '0_0' AND b.photo_id = '0_1'")
 def join_pairs_two_sets(vectors: DataFrame) -> DataFrame:
     """The cosine matrix of two photos."""
-    sets = P.sets_of(vectors.where(F.col("photo_id").isin("0_0", "0_1")), "photo_id", "spot_id", "embedding")
-    pair = vectors.sparkSession.createDataFrame([("0_0", "0_1")], "a string, b string")
-
-    def kernel(x, y):
-        s = K.similarity(x["embedding"], y["embedding"])
-        return [{"i": int(i), "j": int(j), "sim": float(s[k, m])} for k, i in enumerate(x["spot_id"]) for m, j in enumerate(y["spot_id"])]
-
-    out = P.over_pairs(pair, sets, "photo_id", kernel, "a string, b string, i long, j long, sim double")
-    return out.select(F.col("i").alias("a"), F.col("j").alias("b"), F.round("sim", 6).alias("sim"))
+    two = _spots(vectors.where(F.col("photo_id").isin("0_0", "0_1")))
+    return T.met(two).select(F.col("q").alias("a"), F.col("g").alias("b"), F.round("s", 6).alias("sim"))
 
 
 @add("vectors", sql=f"WITH {_V} SELECT a, b, sim FROM (SELECT a.spot_id AS a, b.spot_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS sim, row_number() OVER (PARTITION BY a.photo_id, b.photo_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, a.spot_id, b.spot_id) AS k FROM v a JOIN v b ON a.photo_id < b.photo_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3) WHERE k <= 2")
@@ -83,18 +107,7 @@ def match_mutual_nn(vectors: DataFrame) -> DataFrame:
 @add("vectors", sql=f"WITH {_V}, {_BEST.format(where='AND a.individual_id = b.individual_id')} SELECT q AS spot_id, q_group AS photo_id, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM best b WHERE b.q = best.g AND b.g = best.q)) AS survived, count(*) AS siblings, round(max(sim), 6) AS best_sim FROM best GROUP BY 1, 2")
 def spot_survival(vectors: DataFrame) -> DataFrame:
     """To how many photos of its own individual each spot survives as a mutual link."""
-
-    def kernel(x, y):
-        s = K.similarity(x["embedding"], y["embedding"])
-        out = []
-        for ids, top, alive in ((x["spot_id"], s.max(1), 0), (y["spot_id"], s.max(0), 1)):
-            mutual = set(K.mutual_links(s)[:, alive].tolist())
-            out += [{"spot_id": int(i), "second": bool(alive), "alive": k in mutual, "sim": float(t)} for k, (i, t) in enumerate(zip(ids, top, strict=True))]
-        return out
-
-    rows = _over(vectors, kernel, "spot_id long, second boolean, alive boolean, sim double")
-    photo = F.when(F.col("second"), F.col("b")).otherwise(F.col("a"))
-    return rows.groupBy("spot_id", photo.alias("photo_id")).agg(F.count_if("alive").alias("survived"), F.count(F.lit(1)).alias("siblings"), F.round(F.max("sim"), 6).alias("best_sim"))
+    return T.survival(T.matched(_spots(vectors))).withColumn("best_sim", F.round("best_sim", 6))
 
 
 @add("vectors", sql=f"""
@@ -104,15 +117,8 @@ def spot_survival(vectors: DataFrame) -> DataFrame:
       round(count(*) FILTER (WHERE k = 1 AND back = 1) / count(DISTINCT q)::DOUBLE, 6) AS mutual_frac, round(least(count(DISTINCT q), count(DISTINCT g)) / greatest(count(DISTINCT q), count(DISTINCT g))::DOUBLE, 6) AS spot_ratio FROM r GROUP BY 1, 2""")
 def pair_consistency(vectors: DataFrame) -> DataFrame:
     """How well the photos of an individual agree: similarities, mutual links and numbers of spots; `match_ransac` adds the geometry."""
-    values = ("softchamfer", "max_sim", "qmax_std", "mutual_frac", "spot_ratio")
-
-    def kernel(x, y):
-        s = K.similarity(x["embedding"], y["embedding"])
-        top = s.max(1)
-        return {"softchamfer": float(top.mean()), "max_sim": float(top.max()), "qmax_std": float(top.std()), "mutual_frac": len(K.mutual_links(s)) / len(s), "spot_ratio": min(s.shape) / max(s.shape), "links": int((top >= 0.3).sum())}
-
-    out = _over(vectors, kernel, ", ".join(f"{v} double" for v in values) + ", links long")
-    return out.select("a", "b", *(F.round(c, 6).alias(c) for c in values), "links")
+    out = T.consistency(T.matched(_spots(vectors)), 0.3)
+    return out.select("a", "b", *(F.round(c, 6).alias(c) for c in ("softchamfer", "max_sim", "qmax_std", "mutual_frac", "spot_ratio")), "links")
 
 
 def _photo_sets(vectors: DataFrame) -> DataFrame:
@@ -145,43 +151,40 @@ def match_hungarian(vectors: DataFrame) -> DataFrame:
     return _over(vectors, kernel, "q long, g long, sim double")
 
 
-@add("vectors")
+@add("vectors", sql=f"""
+    WITH {_V}, {_SETS}, {_GEO}, c AS (SELECT a, b, count(*) AS ng FROM r WHERE back = 1 GROUP BY 1, 2),
+    f AS (SELECT a, b, round(sum(s), 6) AS total, round(avg(s), 6) AS mean, round(max(s), 6) AS best, round(list_avg(list_sort(list(s), 'DESC')[1:3]), 6) AS best3, round(stddev_pop(s), 6) AS spread, count(*) FILTER (WHERE back = 1) AS mutual,
+      round(avg((s >= 0.4)::INT), 6) AS over_1, round(avg((s >= 0.3)::INT), 6) AS over_2, round(avg((s >= 0.2)::INT), 6) AS over_3, round(avg((s >= 0.1)::INT), 6) AS over_4, count(*) FILTER (WHERE s >= 0.3) AS n_over_1, count(*) FILTER (WHERE s >= 0.2) AS n_over_2,
+      count(*) AS nq FROM r WHERE k = 1 GROUP BY 1, 2)
+    SELECT f.* EXCLUDE (nq), round(ln(1 + nq), 6) AS log_query, round(ln(1 + ng), 6) AS log_candidate, round(mutual / nq::DOUBLE, 6) AS mutual_share, g.* EXCLUDE (a, b, links, kendall, sides) FROM f JOIN c USING (a, b) JOIN geometry g USING (a, b)""")
 def match_features(vectors: DataFrame) -> DataFrame:
-    """22 summary features of each pair of photos."""
-    return _over(vectors, lambda x, y: K.features(K.similarity(x["embedding"], y["embedding"]), _xy(x), _xy(y), x["t"], y["t"], 4), ", ".join(f"{n} double" for n in K.FEATURES))
+    """Twenty features of each pair of photos; the two of a fitted transform are those of `match_ransac`."""
+    return _rounded(T.features(T.matched(_spots(vectors)), (0.4, 0.3, 0.2, 0.1), (0.3, 0.2)))
 
 
 @add("vectors", sql=f"WITH {_V}, p AS (SELECT a.spot_id AS q, a.photo_id AS a, b.photo_id AS b, list_cosine_similarity(a.e, b.e) AS s, b.spot_id AS g FROM v a JOIN v b ON a.individual_id = b.individual_id AND a.photo_id < b.photo_id), r AS (SELECT *, row_number() OVER (PARTITION BY q, b ORDER BY s DESC, g) AS k, row_number() OVER (PARTITION BY a, g ORDER BY s DESC, q) AS back, count(*) OVER (PARTITION BY q, b) AS nc FROM p) SELECT a, b, q, round(max(CASE WHEN k = 1 THEN s END), 6) AS sim1, round(coalesce(max(CASE WHEN k = 2 THEN s END), 0), 6) AS sim2, round(max(CASE WHEN k = 1 AND back = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS mutual, round(ln(1 + max(nc)), 6) AS log_nc FROM r GROUP BY 1, 2, 3")
 def match_records(vectors: DataFrame) -> DataFrame:
     """A record for each query spot of a pair of photos."""
-
-    def kernel(x, y):
-        return [{"q": int(x["spot_id"][r["row"]]), **r} for r in K.records(K.similarity(x["embedding"], y["embedding"]), _xy(x), _xy(y))]
-
-    out = _over(vectors, kernel, "q long, sim1 double, sim2 double, sim3 double, gap double, mutual double, inlier double, log_nc double")
-    return out.select("a", "b", "q", *(F.round(c, 6).alias(c) for c in ("sim1", "sim2", "mutual", "log_nc")))
+    return T.records(T.matched(_spots(vectors))).select("a", "b", "q", *(F.round(c, 6).alias(c) for c in ("sim1", "sim2", "mutual", "log_nc")))
 
 
-@add("vectors")
+@add("vectors", sql=f"""
+    WITH {_V}, {_SETS}, rec AS (SELECT a, b, q, max(qt) AS t, max(CASE WHEN k = 1 THEN s END) AS sim1, coalesce(max(CASE WHEN k = 2 THEN s END), 0) AS sim2, coalesce(max(CASE WHEN k = 3 THEN s END), 0) AS sim3, max((k = 1 AND back = 1)::INT)::DOUBLE AS mutual, ln(1 + count(*)) AS log_nc FROM r GROUP BY 1, 2, 3),
+    e AS (SELECT a, b, CAST(least(floor(t * 16), 15) AS INT) AS band, {', '.join(f"round({f}({x}), 6) AS {n}_{c}" for c, x in (("sim1", "sim1"), ("sim2", "sim2"), ("sim3", "sim3"), ("gap", "sim1 - sim2"), ("mutual", "mutual"), ("log_nc", "log_nc")) for n, f in (("mean", "avg"), ("max", "max")))}, count(*) AS n FROM rec GROUP BY 1, 2, 3)
+    SELECT e.* EXCLUDE (n), round(n / max(n) OVER (PARTITION BY a, b)::DOUBLE, 6) AS share FROM e""")
 def match_axial_bands(vectors: DataFrame) -> DataFrame:
-    """Records gathered in 16 bands along the axis."""
-
-    def kernel(x, y):
-        bands = K.axial_bands(K.records(K.similarity(x["embedding"], y["embedding"])), x["t"])
-        return [{"band": k, "summary": b.tolist()} for k, b in enumerate(bands)]
-
-    return _over(vectors, kernel, "band long, summary array<double>")
+    """Records gathered in 16 bands along the axis; bands without spots have no row."""
+    return _rounded(T.bands(T.records(T.matched(_spots(vectors)))))
 
 
-@add("vectors")
+@add("vectors", sql=f"""
+    WITH {_V}, {_SETS}, z AS (SELECT a, b, qw, gw, back = 1 AND s >= 0.2 AS held, greatest(s, 0) * exp(-(pow(qt - gt, 2) + pow(qw - gw, 2)) / 0.5) AS quality FROM r WHERE k = 1),
+    wg AS (SELECT a, b, sum(gw) AS wg FROM r WHERE back = 1 GROUP BY 1, 2),
+    n AS (SELECT a, b, least(1.0::DOUBLE, coalesce(sum(quality * (qw + gw)) FILTER (WHERE held), 0) / (sum(qw) + max(wg) + 1e-9)) AS coverage, count(*) FILTER (WHERE held) AS n_matched, count(*) FILTER (WHERE held AND quality >= 0.1) AS n_good FROM z JOIN wg USING (a, b) GROUP BY 1, 2)
+    SELECT a, b, round(coverage * (1 - exp(-n_good / 2.5::DOUBLE)), 6) AS score, round(coverage, 6) AS coverage, round(1 - exp(-n_good / 2.5::DOUBLE), 6) AS support, n_matched, n_good FROM n""")
 def match_strict_pair(vectors: DataFrame) -> DataFrame:
     """Coverage times support, with a position gate."""
-
-    def kernel(x, y):
-        at = lambda z: list(zip(z["t"], z["w"], strict=True))
-        return K.strict_score(K.similarity(x["embedding"], y["embedding"]), x["w"], y["w"], at(x), at(y), least=0.2, good=0.1)
-
-    return _over(vectors, kernel, "score double, coverage double, support double, n_matched long, n_good long")
+    return _rounded(T.strict(T.matched(_spots(vectors)), least=0.2, good=0.1))
 
 
 @add("vectors")
@@ -213,18 +216,10 @@ def match_constellation(vectors: DataFrame) -> DataFrame:
     return _over(vectors, lambda x, y: {"score": K.constellation(_xy(x), _xy(y))}, "score double")
 
 
-@add("vectors")
+@add("vectors", sql=f"WITH {_V}, {_SETS}, {_GEO} SELECT * FROM geometry")
 def geom_consistency(vectors: DataFrame) -> DataFrame:
-    """Geometry of mutual links: distance rank correlation, axial shift, order along the axis, and excess over permuted links."""
-
-    def kernel(x, y):
-        pairs = K.mutual_links(K.similarity(x["embedding"], y["embedding"]))
-        a, b = np.array(_xy(x))[pairs[:, 0]], np.array(_xy(y))[pairs[:, 1]]
-        ta, tb = np.array(x["t"])[pairs[:, 0]], np.array(y["t"])[pairs[:, 1]]
-        sides = float(np.mean((ta > 0.5) == (tb > 0.5))) if len(pairs) else 0.0
-        return {"spearman": K.distance_spearman(a, b), "axial": K.axial_inliers(ta, tb), "kendall": K.kendall(ta, tb), "sides": sides, "excess": K.excess(K.neighbour_agreement, a, b, 4) if len(pairs) >= 3 else 0.0}
-
-    return _over(vectors, kernel, "spearman double, axial double, kendall double, sides double, excess double")
+    """Geometry of mutual links: distance rank correlation, neighbours and their excess over permuted links, one shift, order and sides along the axis."""
+    return _rounded(T.geometry(T.links(T.matched(_spots(vectors)))))
 
 
 @add("vectors")
