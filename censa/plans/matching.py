@@ -200,14 +200,15 @@ def match_residual(vectors: DataFrame) -> DataFrame:
 
 @add("vectors")
 def match_ransac(vectors: DataFrame) -> DataFrame:
-    """Share of mutual links that one similarity transform explains."""
+    """Share of mutual links that one similarity transform explains, and by how much it exceeds that of permuted links."""
+    share = lambda q, c: K.ransac_share(q, c)[0]
 
     def kernel(x, y):
         pairs = K.mutual_links(K.similarity(x["embedding"], y["embedding"]))
         a, b = np.array(_xy(x))[pairs[:, 0]], np.array(_xy(y))[pairs[:, 1]]
-        return {"links": len(pairs), "share": K.ransac_share(a, b)[0], "neighbours": K.neighbour_agreement(a, b)}
+        return {"links": len(pairs), "share": share(a, b), "excess": K.excess(share, a, b, 4) if len(pairs) >= 3 else 0.0, "neighbours": K.neighbour_agreement(a, b)}
 
-    return _over(vectors, kernel, "links long, share double, neighbours double")
+    return _over(vectors, kernel, "links long, share double, excess double, neighbours double")
 
 
 @add("vectors")
