@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import written
 from .aggregates import quantile_index
 from .ranking import each_place, rank01
 
@@ -47,22 +50,74 @@ def blend(df: DataFrame, group: list[str], tie: list[str], factors: dict[str, st
 FACTORS = ("size", "elongation", "noncircularity", "irregularity", "rarity", "isolation")
 
 
+#: Spots of an image that are compared within its rows; images of more are searched leaf by leaf.
+FEW = 256
+LEAF = 32
+
+
+def nearest_means(places: np.ndarray, near: int) -> np.ndarray:
+    """Mean distance of each place to its `near` nearest others, exact.
+
+    Places are halved along their longer side down to leaves. A leaf's own places give a first bound on the distances, and
+    only leaves whose boxes come within the largest of them are looked at; of equal places no more than can count are held.
+    """
+    some, of, count = np.unique(places, axis=0, return_inverse=True, return_counts=True)
+    points = np.repeat(some, np.minimum(count, near + 1), axis=0)
+    leaves, todo = [], [np.arange(len(points))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= LEAF:
+            leaves.append(rows)
+            continue
+        side = points[rows]
+        order = rows[np.argsort(side[:, np.argmax(np.ptp(side, axis=0))], kind="stable")]
+        todo += [order[: len(rows) // 2], order[len(rows) // 2 :]]
+    low, high = (np.array([f(points[r], axis=0) for r in leaves]) for f in (np.min, np.max))
+
+    def means(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distance of the last that counts, mean) of `own` among `other`, which holds it."""
+        d = np.sqrt(((own[:, None] - other[None]) ** 2).sum(2))
+        d = np.sort(np.partition(d, min(near, d.shape[1] - 1), axis=1)[:, : near + 1], axis=1)[:, 1:]
+        return (d[:, -1] if d.shape[1] == near else np.full(len(own), np.inf)), (d.mean(1) if d.shape[1] else np.ones(len(own)))
+
+    found = np.empty(len(points))
+    for k, rows in enumerate(leaves):
+        own = points[rows]
+        reach = means(own, own)[0].max()
+        gap = np.sqrt((np.maximum(np.maximum(low - high[k], low[k] - high), 0) ** 2).sum(1))
+        found[rows] = means(own, points[np.concatenate([leaves[j] for j in np.flatnonzero(gap <= reach * (1 + 1e-9))])])[1]
+    first = np.cumsum(np.minimum(count, near + 1)) - np.minimum(count, near + 1)
+    return found[first][of.reshape(-1)]
+
+
 def isolation(spots: DataFrame, image: str, spot: str, t: str, aside: str, near: int = 3) -> DataFrame:
     """(image, spot, isolation): mean distance of a spot to its `near` nearest others of the image, 1 for a lone one.
 
     Places are the share along the axis (unknown: 0.5) and the distance from it in half widths, within -3 and 3 (unknown: 0).
-    The places of one image stand in each of its rows, so an image is taken to be a photo with a photo's number of spots.
+    Images of at most FEW spots, as photos have, hold their places in each row; a larger one is searched in one task, which
+    holds its places and, at a time, the distances of a leaf to the leaves around it.
     """
     finite = lambda c, other: F.coalesce(F.when(F.isnan(c), None).otherwise(F.col(c)), F.lit(other))
     at = F.struct(finite(t, 0.5).cast("double").alias("t"), F.least(F.greatest(finite(aside, 0.0), F.lit(-3.0)), F.lit(3.0)).cast("double").alias("u"))
     rows = spots.select(image, spot, at.alias("p"))
-    every = rows.groupBy(image).agg(F.collect_list("p").alias("all"))
-    rows = rows.join(every, image)
+    large = written(rows.groupBy(image).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select(image))
+    few = rows if large.isEmpty() else rows.join(large, image, "left_anti")
+    every = few.groupBy(image).agg(F.collect_list("p").alias("all"))
+    few = few.join(every, image)
     # The nearest place of all is the spot's own, at distance 0.
     apart = F.sort_array(F.transform("all", lambda q: F.sqrt(F.pow(q["t"] - F.col("p.t"), 2) + F.pow(q["u"] - F.col("p.u"), 2))))
     some = F.slice(apart, 2, near)
     mean = F.aggregate(some, F.lit(0.0), lambda a, x: a + x) / F.size(some)
-    return rows.select(image, spot, F.when(F.size("all") <= 1, 1.0).otherwise(mean).alias("isolation"))
+    out = few.select(image, spot, F.when(F.size("all") <= 1, 1.0).otherwise(mean).alias("isolation"))
+    if large.isEmpty():
+        return out
+
+    def solve(part):
+        places = np.stack([part.column(c).to_numpy() for c in ("t", "u")], 1)
+        return pa.table([part.column(image), part.column(spot), pa.array(nearest_means(places, near))], names=[image, spot, "isolation"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    return out.unionByName(rows.join(large, image, "left_semi").select(image, spot, "p.t", "p.u").groupBy(image).applyInArrow(solve, kinds))
 
 
 def distinctiveness(spots: DataFrame, image: str, spot: str, factors: dict[str, str], weights: dict[str, float]) -> DataFrame:

@@ -368,10 +368,17 @@ def split_nested(individuals: DataFrame) -> DataFrame:
     return N.nested_fractions(individuals, "individual_id", [0.25, 0.5, 1.0])
 
 
-@add("images", sql="SELECT 0::BIGINT AS repeated_images, 0::BIGINT AS images_in_two_roles, 0::BIGINT AS labels_in_two_folds, 0::BIGINT AS open_with_gallery, 0::BIGINT AS closed_without_gallery, 0::BIGINT AS several_queries")
+@add("images", sql="""
+    WITH c AS (SELECT image_id, individual_id, review_batch_id % 3 AS fold, CASE status WHEN 'confirmed' THEN 'gallery' WHEN 'in_review' THEN 'closed_query' ELSE 'open_query' END AS role FROM images UNION ALL SELECT image_id, individual_id, 0, 'gallery' FROM images WHERE image_id % 50 = 0),
+    i AS (SELECT count(*) AS n, count(DISTINCT role) AS roles FROM c GROUP BY image_id), l AS (SELECT count(DISTINCT fold) AS folds, count(*) FILTER (WHERE role = 'gallery') AS g, count(*) FILTER (WHERE role = 'closed_query') AS c, count(*) FILTER (WHERE role = 'open_query') AS o FROM c GROUP BY individual_id)
+    SELECT (SELECT count(*) FROM i WHERE n > 1) AS repeated_images, (SELECT count(*) FROM i WHERE roles > 1) AS images_in_two_roles, count(*) FILTER (WHERE folds > 1) AS labels_in_two_folds, count(*) FILTER (WHERE o > 0 AND g > 0) AS open_with_gallery,
+      count(*) FILTER (WHERE c > 0 AND g = 0) AS closed_without_gallery, count(*) FILTER (WHERE c > 1) AS several_queries FROM l""")
 def split_leakage(images: DataFrame) -> DataFrame:
-    """Checks that must all be zero."""
-    return N.leakage_checks(N.split_roles(images, 5))
+    """The checks of a careless split, by batch and status, with some photos put in twice: all of them find something."""
+    role = F.when(F.col("status") == "confirmed", "gallery").when(F.col("status") == "in_review", "closed_query").otherwise("open_query")
+    rows = images.select("image_id", "individual_id", (F.col("review_batch_id") % 3).alias("fold"), role.alias("role"))
+    twice = images.where("image_id % 50 = 0").select("image_id", "individual_id", F.lit(0).cast("long").alias("fold"), F.lit("gallery").alias("role"))
+    return N.leakage_checks(rows.unionByName(twice))
 
 
 @add("vectors", sql=f"SELECT spot_id, photo_id FROM vectors WHERE {_U.format(chr(39) + 'drop:' + chr(39) + ' || spot_id')} >= 0.3 OR spot_id IN (SELECT min(spot_id) FROM vectors GROUP BY photo_id)")
@@ -382,11 +389,20 @@ def aug_dropout(vectors: DataFrame) -> DataFrame:
     return rows.where((N.uniform(F.lit("drop"), "spot_id") >= 0.3) | (F.col("spot_id") == F.col("first"))).select("spot_id", "photo_id")
 
 
-@add("vectors")
+_GAUSS = "sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v})"
+
+
+@add("vectors", sql=f"""
+    WITH x AS (SELECT spot_id, i - 1 AS k, CAST(embedding[i] AS DOUBLE) AS e FROM vectors, range(1, 65) r(i)),
+    n AS (SELECT spot_id, k, e + 0.05 * {_GAUSS.format(u=_U.format("'radius:' || spot_id || ':' || k"), v=_U.format("'angle:' || spot_id || ':' || k"))} AS e FROM x)
+    SELECT spot_id, round(e / sqrt(sum(e * e) OVER (PARTITION BY spot_id)), 6) AS value, CAST(k AS INT) AS position FROM n""")
 def aug_jitter(vectors: DataFrame) -> DataFrame:
-    """Seeded noise on unit vectors, made unit again."""
-    noisy = F.transform("embedding", lambda x, k: x.cast("double") + 0.05 * (F.pmod(F.xxhash64("spot_id", k), F.lit(2001)) / 1000.0 - 1))
-    return vectors.select("spot_id", S.unit(noisy).alias("embedding"))
+    """Gaussian noise on unit vectors, by hash, made unit again; a row for each component."""
+    u, v = (N.uniform(F.lit(n), "spot_id", "position") for n in ("radius", "angle"))
+    rows = vectors.select("spot_id", F.posexplode("embedding").alias("position", "e"))
+    noisy = rows.withColumn("e", F.col("e").cast("double") + 0.05 * F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v))
+    size = F.sqrt(F.sum(F.col("e") * F.col("e")).over(Window.partitionBy("spot_id")))
+    return noisy.select("spot_id", F.round(F.col("e") / size, 6).alias("value"), "position")
 
 
 # Functions

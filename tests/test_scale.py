@@ -283,3 +283,28 @@ def test_gate_is_fitted_on_other_individuals(spark):
     q = np.clip(cos, 0, None) * np.where(np.arange(n) % 50 == 0, 1.0, np.exp(-d2 / (2 * out[-1].sigma ** 2)))
     kept = [t / 20 for t in range(1, 20) if y[np.floor(q * 1000 + 1e-9) >= round(t * 50)].mean() >= 0.9]
     assert out[-1].good_threshold == kept[0]
+
+
+def test_isolation_of_large_images(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    clusters = rng.random((30, 2))
+    places = np.concatenate([np.round(clusters[rng.integers(0, 30, 900)] + 1e-4 * rng.normal(size=(900, 2)), 6), np.full((90, 2), 0.25), rng.random((10, 2)) * 2])
+    d = np.sort(np.sqrt(((places[:, None] - places[None]) ** 2).sum(2)), axis=1)[:, 1:4]
+    assert Q.nearest_means(places, 3) == pytest.approx(d.mean(1), abs=1e-12)
+    for n in (1, 2, 3, 5):
+        few = np.sort(np.sqrt(((places[:n, None] - places[None, :n]) ** 2).sum(2)), axis=1)[:, 1:4]
+        assert Q.nearest_means(places[:n], 3) == pytest.approx(few.mean(1) if n > 1 else [1.0])
+    rows = [(k % 2, k, *map(float, p)) for k, p in enumerate(places)] + [(7, 1, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "image long, spot long, t double, u double")
+    whole = {(r.image, r.spot): r.isolation for r in Q.isolation(df, "image", "spot", "t", "u").collect()}
+    monkeypatch.setattr(Q, "FEW", 10_000)
+    assert whole == pytest.approx({(r.image, r.spot): r.isolation for r in Q.isolation(df, "image", "spot", "t", "u").collect()}, abs=1e-12)
+    assert len(whole) == len(rows) and whole[7, 1] == 1.0
+
+
+def test_isolation_of_an_image_of_200_000_spots():
+    rng = np.random.default_rng(13)
+    places = np.concatenate([rng.random((100_000, 2)), 0.5 + 1e-5 * rng.normal(size=(60_000, 2)), np.full((40_000, 2), 0.75)])
+    found = Q.nearest_means(places, 3)
+    for k in (0, 5, 99_999, 120_000, 199_999):
+        assert found[k] == pytest.approx(np.sort(np.sqrt(((places - places[k]) ** 2).sum(1)))[1:4].mean(), abs=1e-12)
