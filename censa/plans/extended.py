@@ -15,6 +15,7 @@ from ..operators import matching as K
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import pairs as P
+from ..operators import pools as PO
 from ..operators import quality as Q
 from ..operators import ranking as R
 from ..operators import sampling as N
@@ -216,11 +217,19 @@ def rebin_axis(spots: DataFrame) -> DataFrame:
 
 @add("vectors", sql=f"WITH {_V}, p AS (SELECT a.spot_id AS q, b.individual_id AS candidate, max(list_cosine_similarity(a.e, b.e)) AS s FROM v a JOIN v b ON a.photo_id <> b.photo_id GROUP BY 1, 2) SELECT photo_id, candidate, round(avg(s), 6) AS score FROM p JOIN v ON spot_id = q GROUP BY 1, 2")
 def match_pooled(vectors: DataFrame) -> DataFrame:
-    """Each photo against the pooled other photos of each individual."""
-    owner = vectors.select(F.col("photo_id").alias("g_group"), F.col("individual_id").alias("candidate")).distinct()
-    best = P.best_in_groups(_sides(vectors), _sides(vectors)).join(owner, "g_group")
-    pooled = best.groupBy("q", "q_group", "candidate").agg(F.max("sim").alias("s"))
-    return pooled.groupBy(F.col("q_group").alias("photo_id"), "candidate").agg(F.round(F.avg("s"), 6).alias("score"))
+    """Each photo against the pooled other photos of each individual, by the mean of best similarities."""
+    return _pooled(vectors, PO.SoftChamfer())
+
+
+def _pooled(vectors: DataFrame, scorer: PO.Scorer) -> DataFrame:
+    spots = vectors.select(F.col("spot_id").alias("id"), F.col("photo_id").alias("grp"), F.col("individual_id").alias("owner"), F.col("embedding").alias("e"))
+    return PO.pooled(spots, scorer).select(F.col("photo").alias("photo_id"), F.col("owner").alias("candidate"), F.round("score", 6).alias("score"))
+
+
+@add("vectors", sql=f"WITH {_V}, p AS (SELECT a.spot_id AS q, a.photo_id, b.individual_id AS candidate, ln(avg(exp((list_cosine_similarity(a.e, b.e) - 1) / 0.1))) AS s FROM v a JOIN v b ON a.photo_id <> b.photo_id GROUP BY 1, 2, 3) SELECT photo_id, candidate, round(avg(s), 6) AS score FROM p GROUP BY 1, 2")
+def match_pooled_density(vectors: DataFrame) -> DataFrame:
+    """Each photo against the pooled other photos of each individual, by how densely they lie around its spots."""
+    return _pooled(vectors, PO.SoftDensity(0.1))
 
 
 @add("vectors", sql=f"WITH {_V} SELECT a.spot_id AS a, b.spot_id AS b FROM v a JOIN v b ON a.individual_id = b.individual_id AND a.photo_id < b.photo_id WHERE list_cosine_similarity(a.e, b.e) >= 0.25")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from censa.operators import angles, pairs
+from censa.operators import angles, pairs, pools
 
 
 def clustered(seed, n, clusters, size, spread):
@@ -118,3 +118,41 @@ def test_best_of_groups_looks_at_few_balls(spark):
         links = pairs.mutual_in_groups(sides, block).collect()
         mutual = {(q, g) for (q, gg), (g, _) in want.items() if group[q] < gg and want[g, group[q]][0] == q}
         assert sorted((r.q, r.g) for r in links) == sorted(mutual)
+
+
+class Count:
+    """A scorer of two numbers: the mean similarity of those spots of the pool that reach a cut."""
+
+    merge, width = "sum", 2
+
+    def part(self, similarities, starts):
+        over = similarities >= 0.5
+        return np.stack([np.add.reduceat(over.astype(float), starts, axis=1), np.add.reduceat(np.where(over, similarities, 0.0), starts, axis=1)], 2)
+
+    def pool(self, numbers, offsets, sizes):
+        mean = numbers[:, 1] / np.maximum(numbers[:, 0], 1)
+        return np.add.reduceat(mean, offsets[:-1]) / np.diff(offsets)
+
+
+@pytest.mark.parametrize("scorer,plain", [
+    (pools.SoftChamfer(), lambda s: s.max(1).mean()),
+    (pools.SoftDensity(0.2), lambda s: np.log(np.exp((s - 1) / 0.2).mean(1)).mean()),
+    (Count(), lambda s: np.mean([r[r >= 0.5].mean() if (r >= 0.5).any() else 0.0 for r in s])),
+])
+@pytest.mark.parametrize("block", [5000, 13])
+def test_scorers_over_pools(spark, scorer, plain, block):
+    """Ragged pools, photos split over blocks, the query's own photo left out; a scorer of one's own works too."""
+    x = clustered(9, 120, 6, 5, 0.4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    photo = [f"p{k % 7 if k % 3 else 0}" for k in range(len(x))]
+    owner = {f"p{k}": k // 3 for k in range(7)}
+    rows = [(k, p, owner[p], v.tolist()) for k, (p, v) in enumerate(zip(photo, x, strict=True))] + [(900, None, 1, x[0].tolist()), (901, "p1", None, x[0].tolist()), (902, "p1", 0, None)]
+    out = {(r.photo, r.owner): (r.score, r["size"]) for r in pools.pooled(spark.createDataFrame(rows, "id long, grp string, owner long, e array<double>"), scorer, block).collect()}
+    want = {}
+    for p in owner:
+        mine = [k for k, q in enumerate(photo) if q == p]
+        for o in (0, 1, 2):
+            pool = [k for k, q in enumerate(photo) if owner[q] == o and q != p]
+            if mine and pool:
+                want[p, o] = (pytest.approx(plain(u[mine] @ u[pool].T), abs=1e-9), len(pool))
+    assert out == want and ("p6", 2) not in out
