@@ -365,6 +365,6 @@ def nearest(table: DataFrame, asked, k: int = NEIGHBOURS, factor: float = FACTOR
 SQL = """
 WITH v AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-p AS (SELECT q.rid, q.vec_id AS query_id, v.vec_id, list_distance(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.rid <> v.rid AND len(q.e) = len(v.e))
+p AS (SELECT q.rid, q.vec_id AS query_id, v.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, v.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.rid <> v.rid AND len(q.e) = len(v.e))
 SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score, vec_id) AS INT) AS rank, vec_id, score FROM p QUALIFY rank <= 10
 """
