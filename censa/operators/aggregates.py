@@ -106,6 +106,21 @@ def review_counts(verdicts: DataFrame, key: str) -> DataFrame:
     return out.withColumn("precision", F.round(F.col("n_accepted") / F.col("n"), 6))
 
 
+def operating_point(verdicts: DataFrame) -> DataFrame:
+    """One row: what reviewers' verdicts on matches say of the matcher, without any model.
+
+    Edges that it proposed give its precision. Edges that a reviewer drew are ones it missed; as others may never have been
+    drawn, the recall is an upper bound. Both are 0 where nothing was accepted.
+    """
+    algorithm, accepted = F.col("proposed_by") == "algorithm", F.coalesce("accepted", F.lit(False))
+    sums = verdicts.agg(
+        F.count(F.lit(1)).alias("n_edges"), F.count_if(algorithm).alias("n_algorithm"), F.count_if(F.col("proposed_by") == "human").alias("n_human"), F.countDistinct("individual").alias("n_individuals"),
+        F.count_if(algorithm & accepted).alias("tp"), F.count_if(algorithm & ~accepted).alias("fp"), F.count_if((F.col("proposed_by") == "human") & accepted).alias("missed"),
+    )
+    share = lambda other: F.round(F.col("tp") / F.greatest(F.col("tp") + F.col(other), F.lit(1)), 6)
+    return sums.select("*", share("fp").alias("precision"), share("missed").alias("recall_upper"))
+
+
 def checksum(df: DataFrame, key: list[str], row: Column) -> DataFrame:
     """First 16 hex digits of a SHA-256 over the rows of each key, the same in any order of rows.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import aggregates as A
 from ..operators import models as ML
 from ..operators import ranking as R
 from ..operators import sampling as N
@@ -34,6 +35,41 @@ def scan_json(activity: DataFrame) -> DataFrame:
     return activity.select("kind", F.from_json("props", "k bigint")["k"].alias("k")).groupBy("kind", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _review_store(images: DataFrame) -> DataFrame:
+    """A store of reviews, written as JSON and read back: a match of up to three photos for each individual."""
+    one = F.struct(F.col("image_id").cast("string").alias("image"), F.col("n_spots").alias("spot"))
+    per = images.groupBy("individual_id").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("image_id").cast("string"), F.struct(F.col("status").alias("decision")))))).alias("images"),
+        F.slice(F.transform(F.sort_array(F.collect_list(F.struct("image_id", one.alias("m")))), lambda x: x["m"]), 1, 3).alias("members"),
+    )
+    k = F.col("individual_id")
+    match = F.struct(F.concat(F.lit("m"), k).alias("match_id"), "members", ((k % 4 == 0) | (k % 3 != 0)).alias("accepted"), F.when(k % 4 == 0, "human").otherwise("algorithm").alias("proposed_by"))
+    rows = per.select(F.create_map(k.cast("string"), F.struct("images", F.array(match).alias("matches"))).alias("individuals"))
+    path = f"{sinks.scratch_folder(images.sparkSession)}/reviews"
+    rows.write.json(path)
+    return tables.read_review_store(images.sparkSession, path, lines=True)
+
+
+_REVIEWS = """m AS (SELECT image_id, individual_id AS i, n_spots, row_number() OVER (PARTITION BY individual_id ORDER BY image_id) AS k FROM images),
+    e AS (SELECT 'm' || a.i AS match_id, CAST(a.i AS VARCHAR) AS individual, CAST(a.image_id AS VARCHAR) AS sid_a, a.n_spots AS spot_a, CAST(b.image_id AS VARCHAR) AS sid_b, b.n_spots AS spot_b, a.i % 4 = 0 OR a.i % 3 <> 0 AS accepted, CASE WHEN a.i % 4 = 0 THEN 'human' ELSE 'algorithm' END AS proposed_by
+      FROM m a JOIN m b ON a.i = b.i AND a.k < b.k AND b.k <= 3)"""
+
+
+@add("images", sql=f"WITH {_REVIEWS} SELECT * FROM e")
+def scan_review_store(images: DataFrame) -> DataFrame:
+    """The edges of a nested review store: matches of individuals, expanded to pairs of members."""
+    return tables.match_verdicts(_review_store(images)).drop("method", "pair_kind")
+
+
+@add("images", sql=f"""
+    WITH {_REVIEWS}, s AS (SELECT count(*) AS n_edges, count(*) FILTER (WHERE proposed_by = 'algorithm') AS n_algorithm, count(*) FILTER (WHERE proposed_by = 'human') AS n_human, count(DISTINCT individual) AS n_individuals,
+      count(*) FILTER (WHERE proposed_by = 'algorithm' AND accepted) AS tp, count(*) FILTER (WHERE proposed_by = 'algorithm' AND NOT accepted) AS fp, count(*) FILTER (WHERE proposed_by = 'human' AND accepted) AS missed FROM e)
+    SELECT *, round(tp / greatest(tp + fp, 1)::DOUBLE, 6) AS precision, round(tp / greatest(tp + missed, 1)::DOUBLE, 6) AS recall_upper FROM s""")
+def agg_operating_point(images: DataFrame) -> DataFrame:
+    """Precision of the matcher and an upper bound of its recall, from the verdicts of a review store."""
+    return A.operating_point(tables.match_verdicts(_review_store(images)))
+
+
 _IMG = "SELECT image_id, individual_id, status, n_spots FROM images"
 
 

@@ -44,8 +44,9 @@ def scan(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
     return or_empty(spark, lambda: reader.parquet(path), schema) if schema else reader.parquet(path)
 
 
-def read_review_store(spark: SparkSession, path: str) -> DataFrame:
-    return or_empty(spark, lambda: spark.read.schema(REVIEW_STORE).option("multiLine", "true").json(path), REVIEW_STORE)
+def read_review_store(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Review stores, a JSON document a file, or with `lines` one a line, as many files as there are; a missing path is an empty store."""
+    return or_empty(spark, lambda: spark.read.schema(REVIEW_STORE).option("multiLine", str(not lines).lower()).json(path), REVIEW_STORE)
 
 
 def match_verdicts(store: DataFrame) -> DataFrame:
