@@ -8,8 +8,9 @@ larger one; both hold one match at a time, so the memory a text needs is the tex
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
-from itertools import islice
+from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,11 +26,10 @@ RUN = 1 << 21
 
 
 def count_units(pattern: re.Pattern, text: str) -> int:
-    """The number of matches, one after another."""
-    n = 0
-    for n, _ in enumerate(pattern.finditer(text), 1):  # noqa: B007
-        pass
-    return n
+    """The number of matches, one after another; none is kept."""
+    n = count()
+    deque(zip(pattern.finditer(text), n), maxlen=0)
+    return next(n)
 
 
 def ends_of(pattern: re.Pattern, text: str, first: int, second: int) -> tuple[int, int]:
