@@ -193,13 +193,15 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, blocks:
     """(doc_id, fp, component_id) per row: component_id is the smallest doc_id reachable by links, itself included.
 
     Null and wordless texts have fingerprint 0 and are linked like any other. Rows that repeat a doc_id each get a row.
-    Rows without doc_id get a fingerprint and the component of equal fingerprints, if any has an id. An empty table
-    gives an empty result; further columns are ignored.
+    Rows without doc_id link like others and get the component's id, null if no row of it has one. An empty table gives
+    an empty result; further columns are ignored. A text of any length is read whole, in runs of shingles.
     """
     prints = written(fingerprints(docs, words), "simhash")
-    codes = written(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")), "codes")
-    found = connected_components(links(codes, radius, blocks, shard_rows))
-    labels = codes.join(found, codes.rep == found.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    labels = written(labels, "labels")
+    # A fingerprint stands for itself in the links; ids only name the components.
+    codes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("own")), "codes")
+    found = connected_components(links(codes.select("fp", F.col("fp").alias("rep")), radius, blocks, shard_rows))
+    parts = codes.join(found, codes.fp == found.id, "left").select("fp", "own", F.coalesce("component", "fp").alias("component"))
+    least = parts.groupBy("component").agg(F.min("own").alias("component_id"))
+    labels = written(parts.join(least, "component").select("fp", "component_id"), "labels")
     discard(codes)
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
