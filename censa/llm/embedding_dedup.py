@@ -3,11 +3,11 @@
 Each pass draws random hyperplanes, gives every vector the string of its signs, sorts the vectors of a label by it, and
 compares each vector with its `window` successors. Pairs that reach the cosine are united across passes.
 
-A label of at most `window` vectors is compared whole in a single pass. For a larger one the number of passes follows from
-its size, for labels that sign bits split evenly; dense labels split worse, so passes go on in rounds until a round joins
-hardly anything new. Equal vectors are one vector with a weight. Windows alone would cap the partners of a vector in a
-crowd, so links are counted afterwards within each component, exactly and in blocks: a crowd of any size is cut into
-chunks and each pair of chunks is a task that emits counts only.
+The number of passes follows from the size of a label, as for labels that sign bits split evenly; one that is no longer than
+the window meets whole in its first pass. Dense labels split worse, so passes go on in rounds until a round joins hardly
+anything new. Equal vectors are one vector with a weight. Windows alone would cap the partners of a vector in a crowd, so
+links are counted afterwards within each component, exactly and in blocks: a crowd of any size is cut into chunks and each
+pair of chunks is a task that emits counts only.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .components import connected_components
 from .simhash import least_labels
 
 COSINE = 0.93
-WINDOW = 8192
+WINDOW = 256
 SIGN_BITS = 48
 CHUNK = 1024
 #: Rows compared with the window at a time.

@@ -176,6 +176,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int]], primer: bytes)
             k += 1
         if k < len(taken) and taken[k][0] < e:
             continue
+        if not _WORDS.search(text, s, e):  # a rule of dashes or the like
+            continue
         if begins is None:
             words = [w.span() for w in _SENSITIVE.finditer(text)]
             begins, ends = [a for a, _ in words], [b for _, b in words]
