@@ -51,19 +51,25 @@ def edge_sets(truth: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return both.agg(F.count_if(F.col("t") == 3).alias("tp"), F.count_if(F.col("t") == 2).alias("fp"), F.count_if(F.col("t") == 1).alias("fn"))
 
 
+#: Cells of points are this many radii wide, so that few clicks look into more than one.
+CELL = 8
+
+
 def nearest_point(clicks: DataFrame, points: DataFrame, image: str, click: str, point: str, radius: float) -> DataFrame:
     """(image, click, point, distance): each click's nearest point of its image within the radius, of equals the least; else null.
 
-    Both hold x and y. Points stand in cells as wide as the radius, and a click looks into its own cell and the eight around
-    it, so an image of many points and clicks is parted. Distances are compared at nine decimals of their squares.
+    Both hold x and y. Points stand in cells, and a click looks into those that its radius reaches, so an image of many points and
+    clicks is parted. Clicks are multiplied by this, which no estimate of their size knows: the hint keeps them from being broadcast.
+    Distances are compared at nine decimals of their squares.
     """
-    width = math.sqrt(radius * radius + 1e-9)  # what may round to the radius stays within one cell
-    cell = lambda c: F.floor(F.col(c) / width).cast("long")
-    beside = F.array(*(F.lit(d) for d in (-1, 0, 1)))
-    at = clicks.select(image, click, F.col("x").alias("_x"), F.col("y").alias("_y"), cell("x").alias("_cx"), cell("y").alias("_cy"))
-    at = at.withColumn("_cx", F.explode(F.transform(beside, lambda d: F.col("_cx") + d))).withColumn("_cy", F.explode(F.transform(beside, lambda d: F.col("_cy") + d)))
+    reach = math.sqrt(radius * radius + 1e-9)  # what may round to the radius is within reach
+    width = CELL * reach
+    cell = lambda c, d=0.0: F.floor((F.col(c) + d) / width).cast("long")
+    about = lambda c: F.explode_outer(F.when(F.abs(c) < float("inf"), F.sequence(cell(c, -reach), cell(c, reach))))
+    at = clicks.select(image, click, F.col("x").alias("_x"), F.col("y").alias("_y"))
+    at = at.withColumn("_cx", about("_x")).withColumn("_cy", about("_y"))
     held = points.select(image, point, "x", "y", cell("x").alias("_cx"), cell("y").alias("_cy"))
     square = F.round(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2), 9)
-    near = at.join(held, [image, "_cx", "_cy"]).withColumn("_d", square).where(F.col("_d") <= round(radius * radius, 9))
-    best = near.groupBy(image, click).agg(F.min(F.struct("_d", point)).alias("_b"))
-    return clicks.select(image, click).join(best, [image, click], "left").select(image, click, F.col(f"_b.{point}").alias(point), F.sqrt("_b._d").alias("distance"))
+    near = at.hint("merge").join(held, [image, "_cx", "_cy"], "left").withColumn("_d", square)
+    best = F.min(F.when(F.col("_d") <= round(radius * radius, 9), F.struct("_d", point)))
+    return near.groupBy(image, click).agg(best.alias("_b")).select(image, click, F.col(f"_b.{point}").alias(point), F.sqrt("_b._d").alias("distance"))

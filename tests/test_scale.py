@@ -308,3 +308,14 @@ def test_isolation_of_an_image_of_200_000_spots():
     found = Q.nearest_means(places, 3)
     for k in (0, 5, 99_999, 120_000, 199_999):
         assert found[k] == pytest.approx(np.sort(np.sqrt(((places - places[k]) ** 2).sum(1)))[1:4].mean(), abs=1e-12)
+
+
+def test_repeated_clicks_are_not_broadcast(spark):
+    """Clicks are repeated for the cells they reach, so their files' size says nothing: the first plan must not broadcast them."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["join_nearest_point"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    odd = spark.createDataFrame([(1, 1, None, 0.0), (1, 2, float("nan"), 0.0), (1, 3, 0.01, 0.0), (None, 4, 0.0, 0.0)], "im long, ck long, x double, y double")
+    points = spark.createDataFrame([(1, 7, 0.0, 0.0), (None, 8, 0.0, 0.0)], "im long, pt long, x double, y double")
+    assert {r.ck: r.pt for r in J.nearest_point(odd, points, "im", "ck", "pt", 0.03).collect()} == {1: None, 2: None, 3: 7, 4: None}
