@@ -19,6 +19,21 @@ def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default) -> Da
     return df.join(table, key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
+#: Parts that each key of `fan_out` is dealt to.
+SALTS = 32
+
+
+def fan_out(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """A join of few keys with many rows on both sides: rows of `left` are dealt to parts by a column, those of `right` go to each.
+
+    The result is as large as the product within a key; neither side is gathered by key, and the partitions keep their number.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SALTS))).repartition(n, key, "_part")
+    each = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).repartition(n, key, "_part")
+    return dealt.join(each.hint("shuffle_hash"), [key, "_part"]).drop("_part")
+
+
 def only_left(left: DataFrame, right: DataFrame, key: str, side: str) -> DataFrame:
     """Distinct keys of `left` that `right` lacks."""
     return left.select(key).distinct().join(right.select(key), key, "left_anti").withColumn("side", F.lit(side))

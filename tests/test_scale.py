@@ -319,3 +319,23 @@ def test_repeated_clicks_are_not_broadcast(spark):
     odd = spark.createDataFrame([(1, 1, None, 0.0), (1, 2, float("nan"), 0.0), (1, 3, 0.01, 0.0), (None, 4, 0.0, 0.0)], "im long, ck long, x double, y double")
     points = spark.createDataFrame([(1, 7, 0.0, 0.0), (None, 8, 0.0, 0.0)], "im long, pt long, x double, y double")
     assert {r.ck: r.pt for r in J.nearest_point(odd, points, "im", "ck", "pt", 0.03).collect()} == {1: None, 2: None, 3: 7, 4: None}
+
+
+def test_contributors_by_team(spark):
+    """Individuals and contributors meet by teams: the relation is the same, counts are multiplied and not joined, and parts lose nothing."""
+    from censa.operators import aggregates as A
+    from censa.plans.roles import role
+
+    sf = "/root/testdata/sf0.001"
+    whole = {tuple(r) for r in role(spark, sf, "individual_contributors").collect()}
+    teams, members = role(spark, sf, "individual_teams"), role(spark, sf, "team_contributors")
+    for joined in (teams.join(members, "team"), J.fan_out(teams, members, "team", "individual_id")):
+        rows = [tuple(r) for r in joined.select("individual_id", "contributor_id").collect()]
+        assert len(rows) == len(whole) and set(rows) == whole
+    individuals = spark.createDataFrame([(k,) for k in range(4)], "individual_id long")
+    images = spark.createDataFrame([(10, 0), (11, 0), (12, 1)], "image_id long, individual_id long")
+    teams = spark.createDataFrame([(0, 5), (1, 6), (3, 5)], "individual_id long, team long")
+    members = spark.createDataFrame([(5, 1), (5, 2), (5, 3)], "team long, contributor_id long")
+    names = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b")], "contributor_id long, name string")
+    assert sorted(map(tuple, A.fanout(individuals, images, teams, members, names).collect())) == [(0, 6, 2, 2), (1, 1, 1, 0), (2, 0, 0, 0), (3, 0, 0, 2)]
+    assert sorted(map(tuple, A.roster(individuals, images, teams, members, names).collect())) == [(0, 2, "a; b"), (1, 1, None), (2, 0, None), (3, 0, "a; b")]
