@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .geometry import fourier_descriptor
+from .geometry import described, lists
 
 
 def waves(x: np.ndarray, bands: int) -> np.ndarray:
@@ -36,19 +38,21 @@ def build(spots: DataFrame, combine: str = "concat", order: int = 10, bands: int
     Spark; each block has unit length. `combine` is concat or tensor.
     """
 
-    @F.pandas_udf("array<double>")
-    def describe(outline: pd.Series) -> pd.Series:
-        return pd.Series([fourier_descriptor(p, order).tolist() for p in outline])
+    @F.arrow_udf("array<double>")
+    def describe(outline: pa.Array) -> pa.Array:
+        return lists(described(outline, order))
 
     rows = spots.withColumn("_d", describe("outline")).persist()
     moments = rows.select(F.posexplode("_d").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("k").collect()  # one row for each of the descriptor's numbers
     mean, std = np.array([r.m for r in moments]), np.array([r.s for r in moments]) + 1e-8
 
-    @F.pandas_udf("array<double>")
-    def embed(d: pd.Series, t: pd.Series, offset: pd.Series, side: pd.Series) -> pd.Series:
-        shape = unit((np.array(d.tolist()).reshape(len(d), -1) - mean) / std) if len(d) else np.zeros((0, len(mean)))
-        place = unit(np.hstack([waves(t.fillna(0.5), bands), waves(offset.fillna(0.0), bands), np.where(side == "left", 1.0, -1.0)[:, None]]))
-        return pd.Series((conjunctive(shape, place) if combine == "tensor" else np.hstack([shape, place])).tolist())
+    @F.arrow_udf("array<double>")
+    def embed(d: pa.Array, t: pa.Array, offset: pa.Array, side: pa.Array) -> pa.Array:
+        number = lambda v, other: np.nan_to_num(v.to_numpy(zero_copy_only=False).astype(float), nan=other)
+        shape = unit((d.flatten().to_numpy(zero_copy_only=False).reshape(len(d), len(mean)) - mean) / std)
+        left = pc.fill_null(pc.equal(side, "left"), False).to_numpy(zero_copy_only=False)
+        place = unit(np.hstack([waves(number(t, 0.5), bands), waves(number(offset, 0.0), bands), np.where(left, 1.0, -1.0)[:, None]]))
+        return lists(conjunctive(shape, place) if combine == "tensor" else np.hstack([shape, place]))
 
     return rows.select("image_id", "spot_id", embed("_d", "axis_t", "offset", "side").alias("embedding"))
 

@@ -178,13 +178,16 @@ def fn_polyline(spots: DataFrame) -> DataFrame:
     rows = spots.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("axis_t", "area", "spot_id"))).alias("s"))
     rows = rows.select("image_id", F.transform("s", lambda x: F.array(x["axis_t"] * 100, x["area"])).alias("line"))
 
-    @F.pandas_udf("length double, curl double, shape array<double>")
-    def measure(lines):
-        import pandas as pd
+    def measure(parts):
+        import pyarrow as pa
 
-        return pd.DataFrame({"length": [G.length(p) for p in lines], "curl": [G.curl(p) for p in lines], "shape": [G.fourier_descriptor(p).tolist() for p in lines]})
+        for part in parts:
+            line, length, curl = part.column("line"), np.zeros(part.num_rows), np.zeros(part.num_rows)
+            for at, z in G.polylines(line):
+                length[at], curl[at] = np.abs(np.diff(z, axis=1)).sum(1), G.curls(z)
+            yield pa.RecordBatch.from_arrays([part.column("image_id"), pa.array(length), pa.array(curl), G.lists(G.described(line))], names=["image_id", "length", "curl", "shape"])
 
-    return rows.select("image_id", measure("line").alias("m")).select("image_id", "m.*")
+    return rows.mapInArrow(measure, "image_id long, length double, curl double, shape array<double>")
 
 
 @add("images")
@@ -195,8 +198,11 @@ def fn_clip_polygon(images: DataFrame) -> DataFrame:
     def run(parts):
         import pandas as pd
 
+        sides, bins = np.array([side for _, side in G.BOX], object), np.array(list(G.BOX.values()))
         for part in parts:
-            yield pd.DataFrame([(i, b["bin"], b["side"], G.area(np.array(b["polygon"]).reshape(-1, 2))) for i, n in zip(part.image_id, part.long, strict=True) for b in G.boxes([(10, 50), (10 + n, 55)], 100, 100)], columns=["image_id", "bin", "side", "area"])
+            area = G.box_areas(np.stack([np.full(len(part), 10 + 50j), 10 + part.long.to_numpy() + 55j], 1), 100, 100)
+            row, box = np.nonzero(~np.isnan(area))
+            yield pd.DataFrame({"image_id": part.image_id.to_numpy()[row], "bin": bins[box], "side": sides[box], "area": area[row, box]})
 
     return rows.mapInPandas(run, "image_id long, bin int, side string, area double")
 
