@@ -339,3 +339,8 @@ def test_contributors_by_team(spark):
     names = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b")], "contributor_id long, name string")
     assert sorted(map(tuple, A.fanout(individuals, images, teams, members, names).collect())) == [(0, 6, 2, 2), (1, 1, 1, 0), (2, 0, 0, 0), (3, 0, 0, 2)]
     assert sorted(map(tuple, A.roster(individuals, images, teams, members, names).collect())) == [(0, 2, "a; b"), (1, 1, None), (2, 0, None), (3, 0, "a; b")]
+
+
+def test_few_blocks_for_large_tables():
+    """A row is sent to each block of the other side: eight times the rows must not mean eight times the copies of each."""
+    assert [P._blocks(n, 4000) for n in (0, 1, 4000, 4001, 32_000, 50_000, 256_000, 600_000)] == [1, 1, 1, 2, 8, 8, 8, 19]
