@@ -260,8 +260,8 @@ def match_strict_features(vectors: DataFrame) -> DataFrame:
 @add("vectors")
 def match_spotdesc(vectors: DataFrame) -> DataFrame:
     """Constellation and shape numbers together."""
-    shape = lambda z: [e[:3] for e in z["embedding"]]
-    return _over(vectors, lambda x, y: {"score": K.spot_descriptor_match(_xy(x), _xy(y), shape(x), shape(y))}, "score double")
+    shaped = vectors.withColumn("embedding", F.slice("embedding", 1, 3))
+    return _over(shaped, lambda x, y: {"score": K.spot_descriptor_match(_xy(x), _xy(y), x["e"], y["e"])}, "exy", "score double")
 
 
 @add("vectors", sql=f"""
