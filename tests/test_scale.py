@@ -344,3 +344,18 @@ def test_contributors_by_team(spark):
 def test_few_blocks_for_large_tables():
     """A row is sent to each block of the other side: eight times the rows must not mean eight times the copies of each."""
     assert [P._blocks(n, 4000) for n in (0, 1, 4000, 4001, 32_000, 50_000, 256_000, 600_000)] == [1, 1, 1, 2, 8, 8, 8, 19]
+
+
+def test_tasks_that_number_spots_are_of_bounded_size(spark, monkeypatch):
+    """A large table of spots is dealt into tasks of about as many rows, which windows by image keep; the rows are the same."""
+    from censa.plans import CATALOGUES, roles
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("blend_weights", "sink_delta_merge"):
+        query = next(c.queries[name] for c in CATALOGUES if name in c.queries)
+        want = sorted(query(spark, sf).collect())
+        monkeypatch.setattr(roles, "TASK_ROWS", 400)
+        rows = query(spark, sf)
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 1200 and sorted(rows.collect()) == want
+        monkeypatch.undo()
