@@ -2,7 +2,7 @@
 
 A pool is all that is known of an individual, spread over photos. A scorer says what a part of a pool tells a query vector,
 how parts are merged (the greatest or the sum, number by number), and what the merged numbers of all vectors of a photo make
-of the pool. Parts are photos, and photos too large for a block are cut further, so a pool of any size is never in one task,
+of the pool. Parts are photos, and photos too large for a block are cut further, so a pool of any size need not be in one task,
 and a query's own photo is left out of its individual's pool by leaving out that part.
 
 A scorer sees many parts at once (similarities of a block of query vectors to all rows of a block, with the first row of
@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .pairs import BATCH, BLOCK, _columns, _dealt
+from .pairs import BATCH, BLOCK, _blocks, _columns, _dealt
 
 
 class Scorer(Protocol):
@@ -66,35 +67,50 @@ class SoftDensity:
 def pooled(spots: DataFrame, scorer: Scorer, block: int = BLOCK) -> DataFrame:
     """(photo, owner, score, size): each photo against the pool of each owner, its own photo left out.
 
-    `spots` holds (id, grp, owner, e), grp being the photo; rows without photo, owner or vector take no part. A photo of more
-    than `block` vectors is a part for each block. Owners without another photo have no row for that photo.
+    `spots` holds (id, grp, owner, e), grp being the photo; rows without photo, owner or vector take no part. A photo stands in
+    one block if it fits, else it is a part for each of several blocks. A task merges the photos of an owner that it holds, so
+    that its rows go with owners. Owners without another photo have no row for that photo.
     """
     spots = spots.where("grp IS NOT NULL AND owner IS NOT NULL AND e IS NOT NULL")
-    blocks = max(1, -(-spots.count() // block))
+    total = spots.count()
+    blocks = _blocks(total, block)
+    width = -(-max(total, 1) // blocks)
     each = spots.select(*(F.col(c).alias(c) for c in ("id", "grp", "e")))
-    other = spots.select(*(F.col(c).alias(c) for c in ("id", "grp", "e")))
-    q, g = _dealt(each, F.col("id"), "i", "j", blocks, blocks), _dealt(other, F.col("id"), "j", "i", blocks, blocks)
+    other = spots.select(*(F.col(c).alias(c) for c in ("id", "grp", "owner", "e")))
+    cuts = spots.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / width).alias("cuts"))
+    place = F.xxhash64("grp") % blocks + F.pmod(F.xxhash64("id"), "cuts")
+    q = _dealt(each, F.col("id"), "i", "j", blocks, blocks)
+    g = other.join(cuts, "grp").select("id", "grp", "owner", "e", F.pmod(place, F.lit(blocks)).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"))
+    numbers = [f"v{k}" for k in range(scorer.width)]
+    owner_type = to_arrow_type(spots.schema["owner"].dataType)
+    merged, nothing = {"max": (np.maximum, -np.inf), "sum": (np.add, 0.0)}[scorer.merge]
 
     def solve(left, right):
         out = []
+        owners = right.column("owner").combine_chunks().dictionary_encode()
         if left.num_rows and right.num_rows:
-            (x, ids, groups), (y, _, photos) = _columns(left), _columns(right)
-            order = np.argsort(photos, kind="stable")
-            names, starts = np.unique(photos[order], return_index=True)
-            sizes = np.diff(np.r_[starts, len(order)])
-            for lo in range(0, len(x), BATCH):
-                told = scorer.part(x[lo : lo + BATCH] @ y[order].T, starts)
-                r, k = np.nonzero(groups[lo : lo + BATCH, None] != names[None])
-                out.append((ids[lo + r], groups[lo + r], names[k], told[r, k], sizes[k]))
-        ids, own, photo, told, sizes = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, object), np.zeros(0, object), np.zeros((0, scorer.width)), np.zeros(0, int))
-        columns = [pa.array(ids, pa.int64()), pa.array(own, pa.string()), pa.array(photo, pa.string()), *(pa.array(told[:, k], pa.float64()) for k in range(scorer.width)), pa.array(sizes, pa.int64())]
-        return pa.table(columns, names=["q", "photo", "grp", *(f"v{k}" for k in range(scorer.width)), "size"])
+            (x, ids, groups), (y, _, photos), of = _columns(left), _columns(right), owners.indices.to_numpy()
+            names, photos = np.unique(photos, return_inverse=True)
+            order = np.lexsort((photos, of))
+            y, photos, of = y[order], photos[order], of[order]
+            starts = np.r_[0, np.flatnonzero(np.diff(photos) | np.diff(of)) + 1]
+            sizes, part_photo, part_of = np.diff(np.r_[starts, len(of)]), names[photos[starts]], of[starts]
+            first = np.r_[0, np.flatnonzero(np.diff(part_of)) + 1]
+            for lo in range(0, len(x), step := max(16, min(BATCH, BATCH * BLOCK // len(y)))):
+                told = scorer.part(x[lo : lo + step] @ y.T, starts)
+                own = groups[lo : lo + step, None] == part_photo[None]
+                told[own] = nothing
+                told, size = merged.reduceat(told, first, axis=1), np.add.reduceat(np.where(own, 0, sizes[None]), first, axis=1)
+                r, k = np.nonzero(size)
+                out.append((ids[lo + r], groups[lo + r], part_of[first][k], told[r, k], size[r, k]))
+        ids, own, code, told, sizes = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, object), np.zeros(0, int), np.zeros((0, scorer.width)), np.zeros(0, int))
+        columns = [pa.array(ids, pa.int64()), pa.array(own, pa.string()), owners.dictionary.take(pa.array(code, pa.int32())).cast(owner_type), *(pa.array(told[:, k], pa.float64()) for k in range(scorer.width)), pa.array(sizes, pa.int64())]
+        return pa.table(columns, names=["q", "photo", "owner", *numbers, "size"])
 
-    numbers = [f"v{k}" for k in range(scorer.width)]
-    told = q.groupBy("i", "j").cogroup(g.groupBy("i", "j")).applyInArrow(solve, f"q long, photo string, grp string, {', '.join(f'{n} double' for n in numbers)}, size long")
-    owners = spots.select("grp", "owner").distinct()
+    kind = spots.schema["owner"].dataType.simpleString()
+    told = q.groupBy("i", "j").cogroup(g.groupBy("i", "j")).applyInArrow(solve, f"q long, photo string, owner {kind}, {', '.join(f'{n} double' for n in numbers)}, size long")
     merge = {"max": F.max, "sum": F.sum}[scorer.merge]
-    whole = told.join(owners, "grp").groupBy("q", "photo", "owner").agg(*(merge(n).alias(n) for n in numbers), F.sum("size").alias("size"))
+    whole = told.groupBy("q", "photo", "owner").agg(*(merge(n).alias(n) for n in numbers), F.sum("size").alias("size"))
     pools = whole.groupBy("photo", "owner").agg(F.collect_list(F.array(*numbers)).alias("numbers"), F.max("size").alias("size"))  # the vectors of a photo
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,5 +123,4 @@ def pooled(spots: DataFrame, scorer: Scorer, block: int = BLOCK) -> DataFrame:
                 scores = scorer.pool(values, offsets, sizes.to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), sizes], ["photo", "owner", "score", "size"])
 
-    kind = spots.schema["owner"].dataType.simpleString()
     return pools.mapInArrow(finish, f"photo string, owner {kind}, score double, size long")

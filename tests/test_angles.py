@@ -156,3 +156,18 @@ def test_scorers_over_pools(spark, scorer, plain, block):
             if mine and pool:
                 want[p, o] = (pytest.approx(plain(u[mine] @ u[pool].T), abs=1e-9), len(pool))
     assert out == want and ("p6", 2) not in out
+
+
+def test_pools_meet_in_few_blocks(spark, monkeypatch):
+    """Rows are sent to few blocks, also of a large table, and a photo larger than its share of a block is cut."""
+    sent, dealt = [], pools._dealt
+    monkeypatch.setattr(pools, "_dealt", lambda *a: sent.append(a[-1]) or dealt(*a))
+    x = clustered(3, 600, 6, 5, 0.4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    photo = np.array(["p0" if k % 4 else f"p{1 + k % 3}" for k in range(600)])
+    owner = {"p0": "o", "p1": "o", "p2": "r", "p3": "r"}
+    rows = [(k, p, owner[p], v.tolist()) for k, (p, v) in enumerate(zip(photo, x, strict=True))]
+    found = {(r.photo, r.owner): (r.score, r["size"]) for r in pools.pooled(spark.createDataFrame(rows, "id long, grp string, owner string, e array<double>"), pools.SoftChamfer(), 5).collect()}
+    assert sent == [15]
+    of = np.array([owner[p] for p in photo])
+    assert found == {(p, o): (pytest.approx((u[photo == p] @ u[(of == o) & (photo != p)].T).max(1).mean()), int(((of == o) & (photo != p)).sum())) for p in owner for o in "or"}
