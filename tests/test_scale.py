@@ -359,3 +359,23 @@ def test_tasks_that_number_spots_are_of_bounded_size(spark, monkeypatch):
         sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
         assert max(sizes) < 1200 and sorted(rows.collect()) == want
         monkeypatch.undo()
+
+
+def test_openset_pairs_are_dealt_and_whole(spark):
+    """No task holds a site, and a product in blocks loses nothing; a candidate without another photo is skipped even if its photo is listed twice."""
+    from censa.plans import CATALOGUES
+    from censa.plans.extended import join_openset_pairs
+
+    left = spark.createDataFrame([(q, q % 2) for q in range(70)] + [(7, 1), (99, None)], "q long, site int")
+    right = spark.createDataFrame([(c * 9_000 - 40_000, c % 3, c) for c in range(40)], "c long, site int, x int")
+    assert sorted(J.product_in_blocks(left, right, "site", "q", "c").select("q", "c", "x").collect()) == sorted(left.join(right, "site").select("q", "c", "x").collect())
+    assert J.product_in_blocks(left, right.limit(0), "site", "q", "c").count() == 0
+
+    photos = [(1, 10, "flagged_uncertain"), (1, 10, "confirmed"), (1, 10, "confirmed"), (2, 10, "flagged_uncertain"), (3, 11, "confirmed"), (None, 12, "confirmed"), (None, 12, "confirmed"), (None, 11, "flagged_uncertain")]
+    images = spark.createDataFrame(photos, "image_id long, individual_id long, status string")
+    individuals = spark.createDataFrame([(10, 0), (11, 0), (12, 0)], "individual_id long, site_id int")
+    assert sorted(map(tuple, join_openset_pairs(images, individuals).collect())) == [(1, 11, False), (2, 10, True), (2, 11, False)]
+
+    pairs = next(c.queries["join_openset_pairs"] for c in CATALOGUES if "join_openset_pairs" in c.queries)(spark, "/root/testdata/sf0.01")
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / 4
