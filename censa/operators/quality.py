@@ -6,12 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.sinks import written
 from .aggregates import quantile_index
-from .ranking import each_place, rank01
+from .ranking import places_beside, rank01
 
 
 def clip01(x: Column) -> Column:
@@ -90,8 +90,8 @@ def nearest_means(places: np.ndarray, near: int) -> np.ndarray:
     return found[first][of.reshape(-1)]
 
 
-def isolation(spots: DataFrame, image: str, spot: str, t: str, aside: str, near: int = 3) -> DataFrame:
-    """(image, spot, isolation): mean distance of a spot to its `near` nearest others of the image, 1 for a lone one.
+def isolation(spots: DataFrame, image: str, spot: str, t: str, aside: str, near: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(image, spot, keep, isolation): mean distance of a spot to its `near` nearest others of the image, 1 for a lone one or no image.
 
     Places are the share along the axis (unknown: 0.5) and the distance from it in half widths, within -3 and 3 (unknown: 0).
     Images of at most FEW spots, as photos have, hold their places in each row; a larger one is searched in one task, which
@@ -99,37 +99,36 @@ def isolation(spots: DataFrame, image: str, spot: str, t: str, aside: str, near:
     """
     finite = lambda c, other: F.coalesce(F.when(F.isnan(c), None).otherwise(F.col(c)), F.lit(other))
     at = F.struct(finite(t, 0.5).cast("double").alias("t"), F.least(F.greatest(finite(aside, 0.0), F.lit(-3.0)), F.lit(3.0)).cast("double").alias("u"))
-    rows = spots.select(image, spot, at.alias("p"))
+    rows = spots.select(image, spot, *keep, at.alias("p"))
     large = written(rows.groupBy(image).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select(image))
     few = rows if large.isEmpty() else rows.join(large, image, "left_anti")
-    every = few.groupBy(image).agg(F.collect_list("p").alias("all"))
-    few = few.join(every, image)
+    few = few.withColumn("all", F.collect_list(F.when(F.col(image).isNotNull(), F.col("p"))).over(Window.partitionBy(image)))
     # The nearest place of all is the spot's own, at distance 0.
     apart = F.sort_array(F.transform("all", lambda q: F.sqrt(F.pow(q["t"] - F.col("p.t"), 2) + F.pow(q["u"] - F.col("p.u"), 2))))
     some = F.slice(apart, 2, near)
     mean = F.aggregate(some, F.lit(0.0), lambda a, x: a + x) / F.size(some)
-    out = few.select(image, spot, F.when(F.size("all") <= 1, 1.0).otherwise(mean).alias("isolation"))
+    out = few.select(image, spot, *keep, F.when(F.size("all") <= 1, 1.0).otherwise(mean).alias("isolation"))
     if large.isEmpty():
         return out
 
     def solve(part):
-        places = np.stack([part.column(c).to_numpy() for c in ("t", "u")], 1)
-        return pa.table([part.column(image), part.column(spot), pa.array(nearest_means(places, near))], names=[image, spot, "isolation"])
+        places = np.stack([part.column(c).to_numpy() for c in ("_t", "_u")], 1)
+        return part.select([image, spot, *keep]).append_column("isolation", pa.array(nearest_means(places, near)))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    return out.unionByName(rows.join(large, image, "left_semi").select(image, spot, "p.t", "p.u").groupBy(image).applyInArrow(solve, kinds))
+    return out.unionByName(rows.join(large, image, "left_semi").select(image, spot, *keep, F.col("p.t").alias("_t"), F.col("p.u").alias("_u")).groupBy(image).applyInArrow(solve, kinds))
 
 
 def distinctiveness(spots: DataFrame, image: str, spot: str, factors: dict[str, str], weights: dict[str, float]) -> DataFrame:
     """(image, spot, distinctiveness): the weighted mean of the factors' places (0 to 1) among all spots.
 
     `factors` names a numeric column for each factor; equal values share their mean place, and nulls are one value, the
-    first. A weighted factor without a column counts 0.5, as a constant has no order. (image, spot) must be unique.
+    first. A weighted factor without a column counts 0.5, as a constant has no order.
     """
     used = {n: w for n, w in weights.items() if w and n in factors}
     total, constant = sum(weights.values()), 0.5 * sum(w for n, w in weights.items() if n not in factors)
     if not used:
         return spots.select(image, spot, F.lit(constant / total if total else None).cast("double").alias("distinctiveness"))
-    places = each_place(spots, [image, spot], [factors[n] for n in used])
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in used.values())), F.col("factor") + 1)
-    return places.groupBy(image, spot).agg(((F.sum(weight * F.col("place")) + constant) / total).alias("distinctiveness"))
+    places = places_beside(spots, {f"_place_{n}": factors[n] for n in used})
+    score = reduce(lambda a, b: a + b, (F.lit(float(w)) * F.col(f"_place_{n}") for n, w in used.items()))
+    return places.select(image, spot, ((score + constant) / total).alias("distinctiveness"))

@@ -91,19 +91,28 @@ def global_places(df: DataFrame, value: str, tie: list[str]) -> DataFrame:
     return out.withColumn("place", F.col("place") - 1).withColumnRenamed("place_all", "rows")
 
 
-def each_place(df: DataFrame, key: list[str], values: list[str]) -> DataFrame:
-    """(key, factor, place): for each row and each of several numbers its place from 0 to 1 among all rows, in one pass.
+def places_beside(df: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Adds for each name in `values` the place from 0 to 1 of that column's number among all rows.
 
-    `factor` counts the columns from 0. Equal values share their mean place, a null or NaN comes before all numbers, and a
-    single row has place 0. Counts of distinct values are summed up, rows of a value are never gathered.
+    Equal values share their mean place, a null or NaN comes before all numbers, and a single row has place 0. Counts of
+    distinct values of all columns are summed up in one pass. The places of a column's values are a table of their own: rows
+    are not moved to meet a small one, and move once to meet a large one.
     """
     number = lambda v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double"))
-    rows = df.select(*key, F.posexplode(F.array(*(number(v) for v in values))).alias("factor", "x"))
-    counts = rows.groupBy("factor", "x").agg(F.count(F.lit(1)).alias("c"))
+    counts = df.select(F.posexplode(F.array(*(number(v) for v in values.values()))).alias("factor", "x")).groupBy("factor", "x").agg(F.count(F.lit(1)).alias("c"))
     upto = prefix_sums(counts, ["factor"], [F.col("x")], n=F.col("c"))
-    mean = F.col("n") - F.col("c") + (F.col("c") - 1) / 2
-    ahead = upto.select(F.col("factor").alias("_f"), F.col("x").alias("_x"), (mean / F.greatest(F.col("n_all") - 1, F.lit(1))).alias("place"))
-    return rows.join(ahead, (F.col("factor") == F.col("_f")) & F.col("x").eqNullSafe(F.col("_x"))).select(*key, "factor", "place")
+    place = (F.col("n") - F.col("c") + (F.col("c") - 1) / 2) / F.greatest(F.col("n_all") - 1, F.lit(1))
+    for k, (name, value) in enumerate(values.items()):
+        ahead = written(upto.where(F.col("factor") == k).select(F.col("x").alias("_x"), place.alias(name)))
+        df = df.join(ahead, number(value).eqNullSafe(F.col("_x"))).drop("_x")
+    return df
+
+
+def each_place(df: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """(key, factor, place): `places_beside` as a row for each row and column; `factor` counts the columns from 0."""
+    names = [f"_place{k}" for k in range(len(values))]
+    rows = places_beside(df.select(*dict.fromkeys([*key, *values])), dict(zip(names, values, strict=True)))
+    return rows.select(*key, F.posexplode(F.array(*names)).alias("factor", "place"))
 
 
 def average_places(df: DataFrame, value: str, out: str, share: bool = False) -> DataFrame:

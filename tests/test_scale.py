@@ -379,3 +379,29 @@ def test_openset_pairs_are_dealt_and_whole(spark):
     pairs = next(c.queries["join_openset_pairs"] for c in CATALOGUES if "join_openset_pairs" in c.queries)(spark, "/root/testdata/sf0.01")
     sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / 4
+
+
+def test_distinctiveness_moves_rows_once(spark, monkeypatch):
+    """Neighbours come from one window and places from small tables, so rows are dealt by image and not moved again; hulls are measured together."""
+    from censa.operators import geometry as G
+
+    rng = np.random.default_rng(5)
+    for m in (1, 2, 3, 5, 9):
+        points = rng.integers(0, 5, (200, m, 2)).astype(float)
+        points[:20] = points[:20, :1]
+        z = points[..., 0] + 1j * points[..., 1]
+        turn = np.exp(1j * np.linspace(0, 2 * np.pi, 7200, endpoint=False))
+        for own, found in zip(z, G.hull_areas(z), strict=True):
+            support = own[np.argmax((own[:, None] * turn.conj()).real, axis=0)]  # corners in turn
+            assert found == pytest.approx(abs((support.conj() * np.roll(support, -1)).imag.sum()) / 2, abs=1e-9)
+    rows = [(k % 9, k, float(rng.integers(0, 5)), float(rng.normal())) for k in range(300)] + [(None, 400, 0.0, 0.0), (None, 401, 0.0, 0.5)]
+    df = spark.createDataFrame(rows, "image long, spot long, t double, u double").withColumn("w", F.col("spot") * 2)
+    moves = lambda out: out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    found = Q.isolation(df, "image", "spot", "t", "u", keep=("w",))
+    assert moves(found) == 1
+    kept = {r.spot: (r.w, r.isolation) for r in found.collect()}
+    assert len(kept) == len(rows) and all(w == 2 * s for s, (w, _) in kept.items()) and kept[400][1] == kept[401][1] == 1.0
+    monkeypatch.setattr(Q, "FEW", 20)
+    for r in Q.isolation(df, "image", "spot", "t", "u", keep=("w",)).collect():
+        assert (r.w, r.isolation) == (kept[r.spot][0], pytest.approx(kept[r.spot][1]))
+    assert moves(Q.distinctiveness(df, "image", "spot", {"size": "t", "isolation": "u"}, {"size": 1.0, "isolation": 0.5})) == 0
