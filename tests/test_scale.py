@@ -405,3 +405,20 @@ def test_distinctiveness_moves_rows_once(spark, monkeypatch):
     for r in Q.isolation(df, "image", "spot", "t", "u", keep=("w",)).collect():
         assert (r.w, r.isolation) == (kept[r.spot][0], pytest.approx(kept[r.spot][1]))
     assert moves(Q.distinctiveness(df, "image", "spot", {"size": "t", "isolation": "u"}, {"size": 1.0, "isolation": 0.5})) == 0
+
+
+def test_spots_are_dealt_whatever_the_partitions(spark, monkeypatch):
+    """With more shuffle partitions than tasks, too, a large table is dealt into bounded tasks, which are not put together again."""
+    from censa.plans import CATALOGUES, roles
+
+    query = next(c.queries["sink_delta_merge"] for c in CATALOGUES if "sink_delta_merge" in c.queries)
+    want = sorted(query(spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(roles, "TASK_ROWS", 400)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        rows = query(spark, "/root/testdata/sf0.001")
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 800 and sorted(rows.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
