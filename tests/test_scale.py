@@ -1,6 +1,6 @@
 """Operators that split hot groups give what a plain loop gives, on small blocks."""
 
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pytest
@@ -371,6 +371,12 @@ def test_openset_pairs_are_dealt_and_whole(spark):
     assert sorted(J.product_in_blocks(left, right, "site", "q", "c").select("q", "c", "x").collect()) == sorted(left.join(right, "site").select("q", "c", "x").collect())
     assert J.product_in_blocks(left, right.limit(0), "site", "q", "c").count() == 0
 
+    # Candidates come in the same runs for one query after the other, of a multiple of eight but for the rest.
+    q, c = spark.range(400).selectExpr("id AS q", "0 AS site"), spark.range(203).selectExpr("id * 31 AS c", "0 AS site")
+    rows = J.product_in_blocks(q, c, "site", "q", "c").collect()
+    runs = {(k, tuple(r.c for r in own)) for k, own in groupby(rows, lambda r: r.q)}
+    assert {len(x) for _, x in runs} == {200, 3} and len({x for _, x in runs}) == 2 and len(runs) == 800
+
     photos = [(1, 10, "flagged_uncertain"), (1, 10, "confirmed"), (1, 10, "confirmed"), (2, 10, "flagged_uncertain"), (3, 11, "confirmed"), (None, 12, "confirmed"), (None, 12, "confirmed"), (None, 11, "flagged_uncertain")]
     images = spark.createDataFrame(photos, "image_id long, individual_id long, status string")
     individuals = spark.createDataFrame([(10, 0), (11, 0), (12, 0)], "individual_id long, site_id int")
