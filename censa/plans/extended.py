@@ -242,7 +242,7 @@ def match_pooled_density(vectors: DataFrame) -> DataFrame:
 @add("vectors", sql=f"WITH {_V} SELECT a.spot_id AS a, b.spot_id AS b FROM v a JOIN v b ON a.individual_id = b.individual_id AND a.photo_id < b.photo_id WHERE list_cosine_similarity(a.e, b.e) >= 0.25")
 def match_threshold(vectors: DataFrame) -> DataFrame:
     """All links above a cosine between the photos of an individual."""
-    return T.met(_spots(vectors), 0.25, ()).select(F.col("q").alias("a"), F.col("g").alias("b"))
+    return T.met(_spots(vectors), 0.25, (), bare=True).select(F.col("q").alias("a"), F.col("g").alias("b"))
 
 
 @add("vectors", sql=f"""
