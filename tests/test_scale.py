@@ -52,6 +52,49 @@ def test_best_and_mutual_with_a_hot_group(spark, block):
     assert all(r.q_group == group[r.q] and r.g_group == group[r.g] for r in links)
 
 
+def shuffled(node):
+    """Rows that the exchanges of an executed plan wrote."""
+    own = node.metrics().get("shuffleRecordsWritten")
+    kind = node.getClass().getSimpleName()
+    below = [node.plan()] if kind.endswith("QueryStageExec") else [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.children().apply(k) for k in range(node.children().size())]
+    return (own.get().value() if own.isDefined() else 0) + sum(map(shuffled, below))
+
+
+def test_mutual_links_of_large_groups_stay_in_tasks(spark):
+    """Groups of some thousand rows meet whole: each row goes to few tasks, and only links leave them, of equals those of the least ids."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(-2, 3, (12_600, 6)).astype(float)
+    x[~x.any(1)] = 1
+    x[::50] = x[0]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    group = rng.permutation(12_600) % 6
+    rows = spark.createDataFrame([(k, f"g{g}", v.tolist()) for k, (g, v) in enumerate(zip(group, x, strict=True))], "id long, grp string, e array<double>").repartition(3)
+    links = P.mutual_in_groups(rows).select("q", "g", "q_group", "g_group")
+    found = sorted(map(tuple, links.collect()))
+    want = []
+    for a, b in combinations(range(6), 2):
+        i, j = np.flatnonzero(group == a), np.flatnonzero(group == b)
+        s = u[i] @ u[j].T
+        forth, back = (s >= s.max(1, keepdims=True) - 1e-12).argmax(1), (s >= s.max(0) - 1e-12).argmax(0)
+        want += [(int(i[q]), int(j[g]), f"g{a}", f"g{b}") for q, g in enumerate(forth) if back[g] == q]
+    assert found == sorted(want) and len(found) > 500
+    assert 12_600 < shuffled(links._jdf.queryExecution().executedPlan()) < 8 * 12_600
+
+
+def test_every_two_cells_are_on_one_line(spark):
+    assert [P._prime(k) for k in (1, 2, 4, 5, 6, 8, 24, 26)] == [1, 2, 5, 5, 7, 11, 29, 29]
+    for q in (2, 5, 7):
+        cells = spark.range(q * q).select(P._lines(F.floor(F.col("id") / q), F.col("id") % q, q).alias("l")).collect()
+        assert all(len(set(a.l) & set(b.l)) == 1 for a, b in combinations(cells, 2)) and {k for c in cells for k in c.l} == set(range(q * q + q))
+        # Those of slope 0, where a cell meets itself, come first.
+        assert all(c.l[0] < q and min(c.l[1:]) >= q for c in cells)
+    sizes = spark.createDataFrame([(f"g{k}", 100) for k in range(40)] + [("huge", 900)], "grp string, n long")
+    placed, split = P._cells(sizes, 4900, 5, 450)
+    cells = {r.grp: r.cells for r in placed.collect()}
+    assert split and len(cells) == 41 and len(set(cells["huge"])) == 2 and len({c for own in cells.values() for c in own}) == 25
+    assert P._cells(sizes.where("n < 500"), 4000, 5, 450)[1] is False
+
+
 @pytest.mark.parametrize("block", [7, 1000])
 def test_top_pairs_of_blocks_hold_the_top_of_all(spark, block):
     rows = vectors(2)
